@@ -11,9 +11,9 @@ of their segments, which makes a segment worth two; a pair is found if the alloc
 either of its sets finds it. Candidates are verified exactly on whole shingle sets.
 
 Work is done on classes (sets of equal shingles), so copies are never paired. Posting lists
-give pairs with one centre each; what these leave undecided is verified list by list in
-blocks of bounded size, and only links that join two components come out, so no list's pairs
-are ever emitted. The links returned span exactly the components of the full link graph.
+give pairs with one centre each; pairs of a list that are still in different components
+afterwards are compared by parity sketches in blocks of bounded size, and only those that the
+sketches can't rule out are verified. The links' components are those of the full link graph.
 
 Defined results: null or empty texts and texts of separators only have no shingles, link with
 nothing and are their own component; with fewer words than shingle_words the whole word
@@ -37,8 +37,8 @@ from .words import Pieces, chunks, distinct, mix, ngrams, signed
 
 #: A posting list of more classes than this is costly.
 COSTLY = 64
-#: Classes verified against each other in one group, at most twice this.
-BLOCK = 256
+#: Classes compared with each other in one group, at most twice this.
+BLOCK = 512
 #: Members verified against one centre by one task.
 CENTRE_ROWS = 4096
 
@@ -88,18 +88,35 @@ def _sets(col: pa.Array, words: int) -> Iterator[tuple[int, int, np.ndarray, np.
 
 
 def classes(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, set_class, n_shingles) of every row; set_class is null without shingles."""
+    """(id, set_class, n_shingles, sketch) of every row; set_class is null without shingles.
+
+    sketch: parities of the tokens' counts in 512 buckets, or in twice the set's size rounded up to
+    a power of two.
+    """
 
     def run(batches):
         for b in batches:
-            for row, n, _, _, size, cls in _sets(b.column("text"), words):
+            for row, n, doc, h, size, cls in _sets(b.column("text"), words):
+                wide = 1 << np.maximum(9, np.ceil(np.log2(np.maximum(2 * size, 1)))).astype(np.int64)
+                edge = np.concatenate([[0], np.cumsum(wide // 8)])
+                bit = (mix(h + _U(0x27D4EB2F165667C5)) & (wide[doc] - 1).astype(_U)).astype(np.int64)
+                sketch = np.zeros(edge[-1], np.uint8)
+                np.bitwise_xor.at(sketch, edge[doc] + (bit >> 3), (1 << (bit & 7)).astype(np.uint8))
+                sketch = pa.Array.from_buffers(
+                    pa.large_binary(), n, [None, pa.py_buffer(edge.astype(np.int64)), pa.py_buffer(sketch)]
+                )
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("id").slice(row, n), pa.array(signed(cls), mask=size == 0), pa.array(size, pa.int64())],
-                    ["id", "set_class", "n_shingles"],
+                    [
+                        b.column("id").slice(row, n),
+                        pa.array(signed(cls), mask=size == 0),
+                        pa.array(size, pa.int64()),
+                        sketch.cast(pa.binary()),
+                    ],
+                    ["id", "set_class", "n_shingles", "sketch"],
                 )
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, "id long, set_class long, n_shingles long")
+    return source.mapInArrow(run, "id long, set_class long, n_shingles long, sketch binary")
 
 
 def _signatures(texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -211,44 +228,23 @@ def _verify_centres(pairs: DataFrame, texts: DataFrame, words: int, percent: int
     )
 
 
-def spanning_links(sets: list[np.ndarray], labels: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links between sets of different labels, as many as join what they join."""
-    n = len(sets)
-    size = np.array([len(s) for s in sets])
-    h = np.concatenate(sets) if n else np.zeros(0, _U)
-    own = np.repeat(np.arange(n), size)
-    _, tok, times = np.unique(h, return_inverse=True, return_counts=True)
-    keep = times[tok] > 1
-    tok, own = np.unique(tok[keep], return_inverse=True)[1], own[keep]
-    both = np.zeros((n, n), np.float32)
-    order = np.argsort(tok, kind="stable")
-    tok, own = tok[order], own[order]
-    width = 4096
-    for low in range(0, int(tok[-1]) + 1 if len(tok) else 0, width):
-        a, b = np.searchsorted(tok, [low, low + width])
-        m = np.zeros((n, width), np.float32)
-        m[own[a:b], tok[a:b] - low] = 1
-        both += m @ m.T
-    union = size[:, None] + size[None, :] - both
-    link = (100 * both.astype(np.float64) >= percent * union.astype(np.float64)) & (labels[:, None] != labels[None, :])
-    parent = {}
-
-    def root(x):
-        while parent.get(x, x) != x:
-            x = parent[x]
-        return x
-
-    out = []
-    for i, j in zip(*np.nonzero(np.triu(link, 1))):
-        a, b = root(labels[i]), root(labels[j])
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            out.append((int(i), int(j)))
-    return out
-
-
-def _verify_lists(lists: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """(src, dst): further links within lists (sig, cls, label), in blocks of bounded size."""
+def may_link(bits: np.ndarray, size: np.ndarray, label: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i < j) of different labels that sizes and parity sketches (0/1 rows) don't rule out.
+
+    Every token that only one set has flips one bit, so sketches differ in at most as many bits
+    as the sets differ in tokens.
+    """
+    sign = 1 - 2 * bits.astype(np.float32)
+    differ = (bits.shape[1] - sign @ sign.T) / 2
+    both = size[:, None] + size[None, :]
+    ok = differ * (100 + percent) <= (100 - percent) * both
+    ok &= 100 * np.minimum(size[:, None], size[None, :]) >= percent * np.maximum(size[:, None], size[None, :])
+    ok &= label[:, None] != label[None, :]
+    return np.nonzero(np.triu(ok, 1))
+
+
+def _propose(lists: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """(centre, cls): pairs within lists (sig, cls, label) that may link, from blocks of bounded size."""
     by_label = Window.partitionBy("sig").orderBy("label", "cls")
     rows = lists.withColumn("block", F.floor((F.row_number().over(by_label) - 1) / BLOCK).cast("int"))
     blocks = rows.groupBy("sig", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
@@ -258,17 +254,19 @@ def _verify_lists(lists: DataFrame, texts: DataFrame, words: int, percent: int)
         & ((F.col("lo") != F.col("hi")) | (F.col("lo2") != F.col("hi2")) | (F.col("lo") != F.col("lo2")))
     )
     to = pairs.select("sig", F.col("block").alias("i"), "j", F.explode(F.array_distinct(F.array("block", "j"))).alias("block"))
-    grouped = rows.join(to, ["sig", "block"]).join(texts, "cls").select("sig", "i", "j", "cls", "label", "text")
+    grouped = rows.join(to, ["sig", "block"]).join(sketches, "cls").select("sig", "i", "j", "cls", "label", "size", "sketch")
 
-    def run(key, data):
-        sets = list(_members(data.column("text").combine_chunks(), words))
-        cls = data.column("cls").to_numpy()
-        links = spanning_links(sets, data.column("label").to_numpy(), percent)
-        return pa.table(
-            {"src": pa.array([int(cls[i]) for i, _ in links], pa.int64()), "dst": pa.array([int(cls[j]) for _, j in links], pa.int64())}
-        )
+    def run(data):
+        cls, label, size = (data.column(c).to_numpy() for c in ("cls", "label", "size"))
+        raw = data.column("sketch").to_pylist()
+        width = min(map(len, raw))
+        bits = np.empty((len(raw), width), np.uint8)
+        for k, x in enumerate(raw):
+            bits[k] = np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, width), 0)
+        i, j = may_link(np.unpackbits(bits, axis=1), size, label, percent)
+        return pa.table({"centre": np.minimum(cls[i], cls[j]), "cls": np.maximum(cls[i], cls[j])})
 
-    return grouped.groupBy("sig", "i", "j").applyInArrow(run, "src long, dst long")
+    return grouped.groupBy("sig", "i", "j").applyInArrow(run, "centre long, cls long").distinct()
 
 
 def class_links(docs: DataFrame, known: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -276,10 +274,12 @@ def class_links(docs: DataFrame, known: DataFrame, words: int, percent: int, id_
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     lists = table(_postings(_signatures(source.select("text"), words, percent)), "lists")
     pairs = table(lists.filter("centre <> cls").select("centre", "cls").distinct(), "pairs")
+    first = known.filter("set_class is not null").groupBy(F.col("set_class").alias("cls")).agg(
+        F.min(F.struct("id", F.col("n_shingles").alias("size"), "sketch")).alias("x")
+    ).select("cls", "x.*")
     needed = pairs.select("cls").union(pairs.select(F.col("centre").alias("cls"))).distinct()
-    first = known.filter("set_class is not null").groupBy(F.col("set_class").alias("cls")).agg(F.min("id").alias("id"))
-    texts = needed.join(first, "cls").join(source, "id").select("cls", "text")
-    texts = table(texts, "texts")
+    first = table(first.join(needed, "cls"), "first")
+    texts = table(first.select("id", "cls").join(source, "id").select("cls", "text"), "texts")
     links = table(_verify_centres(pairs, texts, words, percent), "links")
     now = table(components(links), "labels")
 
@@ -290,8 +290,9 @@ def class_links(docs: DataFrame, known: DataFrame, words: int, percent: int, id_
     ).filter("n > 2 and lo <> hi")
     once = per_sig.groupBy("n", "s").agg(F.min("sig").alias("sig")).select("sig")
     left = table(open_.join(once, "sig"), "open")
-    more = table(_verify_lists(left, texts, words, percent), "links")
-    return components(links.union(more))
+    proposed = _propose(left, first.select("cls", "size", "sketch"), percent)
+    more = table(proposed.join(pairs, ["centre", "cls"], "left_anti"), "pairs")
+    return components(links.union(_verify_centres(more, texts, words, percent)))
 
 
 def near_duplicates(
