@@ -90,14 +90,14 @@ def _sets(col: pa.Array, words: int) -> Iterator[tuple[int, int, np.ndarray, np.
 def classes(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, set_class, n_shingles, sketch) of every row; set_class is null without shingles.
 
-    sketch: parities of the tokens' counts in 512 buckets, or in twice the set's size rounded up to
-    a power of two.
+    sketch: parities of the tokens' counts in 1024 buckets, or in four times the set's size rounded
+    up to a power of two.
     """
 
     def run(batches):
         for b in batches:
             for row, n, doc, h, size, cls in _sets(b.column("text"), words):
-                wide = 1 << np.maximum(9, np.ceil(np.log2(np.maximum(2 * size, 1)))).astype(np.int64)
+                wide = 1 << np.maximum(10, np.ceil(np.log2(np.maximum(4 * size, 1)))).astype(np.int64)
                 edge = np.concatenate([[0], np.cumsum(wide // 8)])
                 bit = (mix(h + _U(0x27D4EB2F165667C5)) & (wide[doc] - 1).astype(_U)).astype(np.int64)
                 sketch = np.zeros(edge[-1], np.uint8)
@@ -244,7 +244,12 @@ def may_link(bits: np.ndarray, size: np.ndarray, label: np.ndarray, percent: int
 
 
 def _propose(lists: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """(centre, cls): pairs within lists (sig, cls, label) that may link, from blocks of bounded size."""
+    """(centre, cls): pairs within lists (sig, cls, label) that may link, from blocks of bounded size.
+
+    A pair that shares several lists comes from the first of them alone: each class brings the
+    signatures of its lists along (no more than it has segments).
+    """
+    own = lists.groupBy("cls").agg(F.collect_list("sig").alias("sigs"))
     by_label = Window.partitionBy("sig").orderBy("label", "cls")
     rows = lists.withColumn("block", F.floor((F.row_number().over(by_label) - 1) / BLOCK).cast("int"))
     blocks = rows.groupBy("sig", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
@@ -254,9 +259,11 @@ def _propose(lists: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
         & ((F.col("lo") != F.col("hi")) | (F.col("lo2") != F.col("hi2")) | (F.col("lo") != F.col("lo2")))
     )
     to = pairs.select("sig", F.col("block").alias("i"), "j", F.explode(F.array_distinct(F.array("block", "j"))).alias("block"))
-    grouped = rows.join(to, ["sig", "block"]).join(sketches, "cls").select("sig", "i", "j", "cls", "label", "size", "sketch")
+    grouped = rows.join(to, ["sig", "block"]).join(sketches, "cls").join(own, "cls")
+    grouped = grouped.select("sig", "i", "j", "block", "cls", "label", "size", "sketch", "sigs")
 
-    def run(data):
+    def run(key, data):
+        sig = key[0].as_py()
         cls, label, size = (data.column(c).to_numpy() for c in ("cls", "label", "size"))
         raw = data.column("sketch").to_pylist()
         width = min(map(len, raw))
@@ -264,6 +271,13 @@ def _propose(lists: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
         for k, x in enumerate(raw):
             bits[k] = np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, width), 0)
         i, j = may_link(np.unpackbits(bits, axis=1), size, label, percent)
+        if key[1] != key[2]:
+            block = data.column("block").to_numpy()
+            across = block[i] != block[j]
+            i, j = i[across], j[across]
+        sigs = [set(x) for x in data.column("sigs").to_pylist()] if len(i) else []
+        first = np.array([min(sigs[a] & sigs[b]) == sig for a, b in zip(i.tolist(), j.tolist())], bool)
+        i, j = i[first], j[first]
         return pa.table({"centre": np.minimum(cls[i], cls[j]), "cls": np.maximum(cls[i], cls[j])})
 
     return grouped.groupBy("sig", "i", "j").applyInArrow(run, "centre long, cls long").distinct()
