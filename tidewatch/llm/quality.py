@@ -169,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     known = labels.filter("quality in (0, 1) and doc_id is not null").filter(~held_out())
     known = known.groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
     source = docs.select("doc_id", "text").filter(~held_out())
-    counts = _counts(source.join(known, "doc_id").select("label", "text"))
+    counts = _counts(source.join(known.hint("shuffle_hash"), "doc_id").select("label", "text"))
     size = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     pick = known.filter("label = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).union(
         known.filter("label = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
