@@ -31,10 +31,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Strings up to this many bytes are encoded directly.
-LEAF_BYTES = 24
+#: Strings up to this many bytes are encoded directly; encodings of strings up to twice as long are kept.
+LEAF_BYTES = 5
 #: Entries kept per worker.
-KEPT = 300_000
+KEPT = 400_000
 #: A space before white space, where a cut could differ from the pattern's.
 _UNSAFE = re.compile(r" \s").search
 
@@ -51,7 +51,8 @@ class Codec:
         self._text = {b: str(i) for b, i in ranks.items()}
         self._pieces: dict[str, list[bytes]] = {}
         self.find = regex.compile(pattern).findall
-        self._pairs: dict[tuple[bytes, bytes], bool] = {}
+        self._pairs: dict[tuple[bytes, bytes], list[bytes]] = {}
+        self._short: dict[bytes, list[bytes]] = {}
         self._parts: dict[str, tuple[bytes, str, int, bytes]] = {}
 
     # -- bytes of one piece -----------------------------------------------------------------
@@ -76,24 +77,25 @@ class Codec:
                 scores[i - 1] = ranks.get(parts[i - 1] + parts[i], 1 << 60)
         return parts
 
-    def _stable(self, a: bytes, b: bytes) -> bool:
+    def _pair(self, a: bytes, b: bytes) -> list[bytes]:
+        """The encoding of two tokens' bytes; it is the two tokens if they are stable side by side."""
         known = self._pairs.get((a, b))
         if known is None:
             if len(self._pairs) >= KEPT:
                 self._pairs.clear()
-            known = self._pairs[a, b] = self._leaf(a + b) == [a, b]
+            known = self._pairs[a, b] = self._leaf(a + b)
         return known
 
+    def _stable(self, a: bytes, b: bytes) -> bool:
+        return self._pair(a, b) == [a, b]
+
     def join(self, left: list[bytes], right: list[bytes]) -> list[bytes]:
         """The encoding of the two encodings' bytes together."""
         if not left or not right:
             return left or right
-        if self._stable(left[-1], right[0]):
-            return left + right
-        a, b = 1, 1
+        a, b, window = 1, 1, self._pair(left[-1], right[0])
         while True:
-            window = self._encode_window(b"".join(left[len(left) - a :]) + b"".join(right[:b]))
-            grow_left = a < len(left) and not self._stable(left[len(left) - a - 1], window[0])
+            grow_left = a < len(left) and not self._stable(left[-a - 1], window[0])
             grow_right = b < len(right) and not self._stable(window[-1], right[b])
             if not grow_left and not grow_right:
                 return left[: len(left) - a] + window + right[b:]
@@ -101,23 +103,32 @@ class Codec:
                 a = min(len(left), 2 * a)
             if grow_right:
                 b = min(len(right), 2 * b)
-
-    def _encode_window(self, data: bytes) -> list[bytes]:
-        return self._leaf(data) if len(data) <= 8 * LEAF_BYTES else self.encode_bytes(data)
+            window = self._leaf(b"".join(left[len(left) - a :]) + b"".join(right[:b]))
 
     def encode_bytes(self, data: bytes) -> list[bytes]:
         """Tokens of one piece, by halves."""
-        if len(data) <= LEAF_BYTES or data in self.ranks:
-            return self._leaf(data)
-        half = len(data) // 2
-        return self.join(self.encode_bytes(data[:half]), self.encode_bytes(data[half:]))
+        if data in self.ranks:
+            return [data]
+        known = self._short.get(data)
+        if known is not None:
+            return known
+        if len(data) <= LEAF_BYTES:
+            known = self._leaf(data)
+        else:
+            half = len(data) // 2
+            known = self.join(self.encode_bytes(data[:half]), self.encode_bytes(data[half:]))
+        if len(data) <= 2 * LEAF_BYTES:
+            if len(self._short) >= KEPT:
+                self._short.clear()
+            self._short[data] = known
+        return known
 
     # -- texts --------------------------------------------------------------------------------
 
     def _part(self, part: str) -> tuple[bytes, str, int, bytes]:
         """Of a part of a text: ids as fixed-width bytes, ids as text, their number, decoded bytes."""
         toks: list[bytes] = []
-        for piece in self.find(part):
+        for piece in [part] if part[0] == " " and part[1:].isalpha() else self.find(part):
             got = self._pieces.get(piece)
             if got is None:
                 if len(self._pieces) >= KEPT:
@@ -125,8 +136,7 @@ class Codec:
                 got = self._pieces[piece] = self.encode_bytes(piece.encode())
             toks += got
         wide = b"".join([self._wide[t] for t in toks])
-        ids = np.frombuffer(wide, self.width).tolist()
-        made = (wide, " ".join([self._text[t] for t in toks]), len(toks), self.decode(ids))
+        made = (wide, " ".join([self._text[t] for t in toks]), len(toks), self.decode([self.ranks[t] for t in toks]))
         if len(self._parts) >= KEPT:
             self._parts.clear()
         self._parts[part] = made
