@@ -7,10 +7,10 @@ BLOCK words are a reference block elsewhere. Around anchors, whole windows of `w
 compared exactly, by one grouping of their hashes that keeps the smallest document of each; chains
 of covered windows are the maximal exact repeats.
 
-Anchors are found without moving a row for each probe: hashes of reference blocks go into a bitmap
-of fixed size (BITS bits, 32 MB, whatever the input), probes that hit it mark their hash in a second
-one, and windows none of whose anchors is marked are left out before the shuffle. Bitmaps have
-false hits only, never misses. Beyond some 10^8 blocks they let more windows through, and the
+Anchors are found without moving a row for each probe: hashes of reference blocks go into a Bloom
+filter of fixed size (BITS bits, 32 MB, whatever the input), probes that hit it mark their hash in a
+second one, and windows none of whose anchors is marked are left out before the shuffle. The filters
+have false hits only, never misses. Beyond some 10^8 blocks they let more windows through, and the
 grouping then carries up to a row for each word; results stay the same. Documents without a
 marked anchor are final after that pass and never move.
 
@@ -30,14 +30,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import table
 from .words import Chunk, Pieces, chunks, mix, ngrams, signed
 
-#: Bits of a bitmap, in slices of SLICE bits.
-BITS, SLICE = 1 << 28, 1 << 16
+#: Bits of the filters of blocks and of sequences, in slices of SLICE bits; bits that one block sets.
+BITS, SEQ_BITS, SLICE, HASHES = 1 << 28, 1 << 24, 1 << 16, 3
 
 _U = np.uint64
 _LAST = (1 << 63) - 1
@@ -47,7 +47,12 @@ _BLOCK, _SEQ, _PROBE = 0, 1, 2
 
 
 def _bits(h: np.ndarray) -> np.ndarray:
-    return (h >> _U(8)).astype(np.int64) % BITS
+    """The HASHES bits of each hash, in rows."""
+    return np.stack([(mix(h + _U(k)) >> _U(8)).astype(np.int64) % BITS for k in range(HASHES)])
+
+
+def _seq_bits(h: np.ndarray) -> np.ndarray:
+    return ((h >> _U(8)).astype(np.int64) % SEQ_BITS)[None, :]
 
 
 def _packed(kind: int, bits: np.ndarray, twice: bool) -> list[tuple[int, bytes, bool]]:
@@ -60,7 +65,7 @@ def _packed(kind: int, bits: np.ndarray, twice: bool) -> list[tuple[int, bytes,
 
 def _marks(kind: int, bits: np.ndarray) -> list[tuple[int, bytes, bool]]:
     """(slice, offsets in it, whether they were there at least twice)."""
-    bits = np.sort(bits)
+    bits = np.sort(bits, axis=None)
     again = bits[1:] == bits[:-1]
     twice = np.unique(bits[1:][again])
     return _packed(kind, np.unique(bits), False) + _packed(kind, twice, True)
@@ -117,10 +122,12 @@ def _bitmaps(marks: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _has(bitmap: np.ndarray | None, bit: np.ndarray) -> np.ndarray:
-    if bitmap is None:
-        return np.zeros(len(bit), bool)
-    return (bitmap[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
+def _has(bitmap: np.ndarray | None, bits: np.ndarray) -> np.ndarray:
+    """Whether all bits of each column are set."""
+    out = np.full(bits.shape[1], bitmap is not None)
+    for bit in bits if bitmap is not None else ():
+        out &= (bitmap[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
+    return out
 
 
 def _rolling(w: Pieces, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -174,7 +181,7 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
                 w = Pieces(c)
                 at, h = _rolling(w, block)
                 yield _mark_batch(
-                    _marks(_BLOCK, _bits(h[_is_reference(w, at, block)])) + _marks(_SEQ, _bits(_sequences(w)[w.per_doc > 0]))
+                    _marks(_BLOCK, _bits(h[_is_reference(w, at, block)])) + _marks(_SEQ, _seq_bits(_sequences(w)[w.per_doc > 0]))
                 )
 
     found = _bitmaps(docs.select("text").mapInArrow(index, _MARK))
@@ -188,9 +195,10 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
                 w = Pieces(c)
                 at, h = _rolling(w, block)
                 bit = _bits(h[~_is_reference(w, at, block)])
-                yield _mark_batch(_packed(_PROBE, np.unique(bit[_has(blocks.value, bit)]), False))
+                yield _mark_batch(_packed(_PROBE, np.unique(bit[:, _has(blocks.value, bit)]), False))
 
     hits = _bitmaps(docs.select("text").mapInArrow(probe, _MARK)).get(_PROBE, (None, None))[0]
+    blocks.unpersist()
     shared = sc.broadcast(hits if met is None else met if hits is None else hits | met)
 
     def split(batches):
@@ -201,7 +209,7 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
                 at, _ = _candidates(w, shared.value, window, block)
                 seq = _sequences(w)
                 hard = np.bincount(w.doc[at], minlength=c.n) > 0
-                hard |= _has(copied.value, _bits(seq)) & (w.per_doc > 0)
+                hard |= _has(copied.value, _seq_bits(seq)) & (w.per_doc > 0)
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column("doc_id").slice(c.row, c.n),
@@ -241,9 +249,9 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
                     [pa.array(signed(g)), pa.array(order[c.row + doc]), pa.array((at - w.first[doc]).astype(np.int32))], ["g", "order", "start"]
                 )
 
-    grams = table(own.select("order", "text").mapInArrow(windows, "g long, order long, start int"), "windows")
-    low = grams.groupBy("g").agg(F.min("order").alias("low"), F.max("order").alias("high")).filter("low < high").select("g", "low")
-    starts = grams.join(low, "g").filter("order > low").groupBy("order").agg(F.collect_set("start").alias("starts"))
+    grams = own.select("order", "text").mapInArrow(windows, "g long, order long, start int")
+    earlier = F.min("order").over(Window.partitionBy("g"))
+    starts = grams.withColumn("low", earlier).filter("order > low").groupBy("order").agg(F.collect_set("start").alias("starts"))
 
     def cut(batches):
         for b in batches:
