@@ -160,13 +160,22 @@ def _candidates(w: Pieces, shared: np.ndarray | None, window: int, block: int) -
     return at[some], g[some]
 
 
-def _words(c: Chunk, w: Pieces, i: int) -> list[bytes]:
-    a, b = w.first[i], w.first[i + 1]
-    return [c.buf[x:y].tobytes() for x, y in zip(w.start[a:b].tolist(), w.end[a:b].tolist())]
+def _joined(c: Chunk, w: Pieces, keep: np.ndarray) -> list[bytes]:
+    """The kept words of each document, joined by one space."""
+    k = np.flatnonzero(keep)
+    length, doc = (w.end - w.start)[k], w.doc[k]
+    last = np.append(doc[1:] != doc[:-1], True)[: len(k)]
+    place = np.concatenate([[0], np.cumsum(length + ~last)])
+    before = np.cumsum(length) - length
+    byte = np.arange(length.sum())
+    out = np.full(place[-1], 0x20, np.uint8)
+    out[np.repeat(place[:-1] - before, length) + byte] = c.buf[np.repeat(w.start[k] - before, length) + byte]
+    edge = place[np.searchsorted(doc, np.arange(c.n + 1))]
+    return [out[x:y].tobytes() for x, y in zip(edge[:-1].tolist(), edge[1:].tolist())]
 
 
-def _digest(words: list[bytes]) -> str:
-    return hashlib.sha256(b" ".join(words)).hexdigest()
+def _digest(text: bytes) -> str:
+    return hashlib.sha256(text).hexdigest()
 
 
 def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
@@ -198,7 +207,7 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
                 yield _mark_batch(_packed(_PROBE, np.unique(bit[:, _has(blocks.value, bit)]), False))
 
     hits = _bitmaps(docs.select("text").mapInArrow(probe, _MARK)).get(_PROBE, (None, None))[0]
-    blocks.unpersist()
+    blocks.destroy()
     shared = sc.broadcast(hits if met is None else met if hits is None else hits | met)
 
     def split(batches):
@@ -214,7 +223,7 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
                     [
                         b.column("doc_id").slice(c.row, c.n),
                         pa.array(w.per_doc.astype(np.int64)),
-                        pa.array([_digest(_words(c, w, i)) for i in range(c.n)], pa.string()),
+                        pa.array([_digest(x) for x in _joined(c, w, np.ones(len(w.start), bool))], pa.string()),
                         pa.array(signed(seq)),
                         pa.array([c.text_bytes(i).decode() if hard[i] else None for i in range(c.n)], pa.string()),
                     ],
@@ -227,16 +236,17 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     )
     hard = rows.filter("text is not null").withColumn("order", F.coalesce("doc_id", F.lit(_LAST)))
     firsts = hard.groupBy("seq").agg(F.min("order").alias("first"))
-    hard = hard.join(firsts, "seq")
+    later = hard.select("seq", "order", "doc_id", "n_words", "sha").join(firsts, "seq").filter("order > first")
+    later = table(later.drop("first"), "copies")
     long = F.col("n_words") >= window
-    copies = hard.filter("order > first").select(
+    copies = later.select(
         "doc_id",
         "n_words",
         F.when(long, F.col("n_words")).otherwise(F.lit(0)).alias("n_removed"),
         F.when(long, F.lit("")).alias("kept_text"),
         F.when(long, F.sha2(F.lit(""), 256)).otherwise(F.col("sha")).alias("kept_sha256"),
     )
-    own = hard.filter("order = first").select("doc_id", "order", "text")
+    own = hard.join(later.select("order", "seq").distinct(), ["order", "seq"], "left_anti").select("doc_id", "order", "text")
 
     def windows(batches):
         for b in batches:
@@ -259,18 +269,18 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
             n, gone, kept, sha = [], [], [], []
             for c in chunks(b.column("text")):
                 w = Pieces(c)
-                for i in range(c.n):
-                    words = _words(c, w, i)
-                    covered = np.zeros(len(words) + window, bool)
-                    s = np.array(starts[c.row + i] or [], np.int64)
-                    for j in range(window):
-                        covered[s + j] = True
-                    covered = covered[: len(words)]
-                    left = [x for x, y in zip(words, covered.tolist()) if not y]
-                    n.append(len(words))
-                    gone.append(int(covered.sum()))
-                    kept.append(b" ".join(left).decode() if gone[-1] else None)
-                    sha.append(_digest(left))
+                own = [np.array(starts[c.row + i] or [], np.int64) + w.first[i] for i in range(c.n)]
+                at = np.concatenate(own)
+                covered = np.zeros(len(w.start) + window, bool)
+                for j in range(window):
+                    covered[at + j] = True
+                covered = covered[: len(w.start)]
+                less = np.bincount(w.doc[covered], minlength=c.n)
+                n += w.per_doc.tolist()
+                gone += less.tolist()
+                for text, cut_some in zip(_joined(c, w, ~covered), less > 0):
+                    kept.append(text.decode() if cut_some else None)
+                    sha.append(_digest(text))
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(sha, pa.string())],
                 ["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"],
