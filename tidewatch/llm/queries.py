@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, decontaminate, jaccard_join, pii, quality, rules, substring
+from . import bpe, chat, decontaminate, jaccard_join, licenses, pii, quality, rules, substring, token_output
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,24 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    found = token_output.materialise(_read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, end_id=50256, length=512)
+    found = token_output.shards(found, length=512, per_shard=4096)
+    return found.select("doc_id", "part", "n_ids", "number", "slot", "shard", "offset", F.sha2("ids", 256).alias("ids_sha256"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_read(spark, sf_dir, "documents")).withColumn("dice", F.round("dice", 9))
+
+
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chat.conversations(_read(spark, sf_dir, "conversations"))
+    return found.select(
+        "conv_id", "turn", "role", F.sha2(F.col("own"), 256).alias("own_sha256"), "n_quotes", "linked", "parent_conv", "parent_turn", "position"
+    )
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_quality_classifier": op2_quality_classifier,
@@ -62,6 +80,9 @@ QUERIES = {
     "op5_pii": op5_pii,
     "op6_decontamination": op6_decontamination,
     "op7_quality_rules": op7_quality_rules,
+    "op8_token_output": op8_token_output,
+    "op9_license_scan": op9_license_scan,
+    "op10_chat_formatting": op10_chat_formatting,
 }
 
 ORACLES: dict[str, str] = {}
