@@ -1,0 +1,59 @@
+import pytest
+from pyspark.sql import functions as F
+
+from tests import golden
+from tidewatch.plans import config as C
+from tidewatch.plans import registry
+from tidewatch.plans.runner import run_pass
+from tidewatch.sources.state import StateStore
+
+ENV: dict = {}
+
+
+def open_set(store):
+    return {(r["kind"], r["dev_eui"][-4:]) for r in store.read().filter("resolved_at is null").collect()}
+
+
+@pytest.mark.parametrize("fuse", [True, False])
+def test_fleet(spark, tmp_path, fuse):
+    store = StateStore(spark, str(tmp_path))
+    fleet = golden.fleet()
+    tables, config, checks = fleet.tables(spark), C.parse(golden.CONFIG, ENV), registry.load()
+    first = run_pass(spark, config, checks, tables, store, golden.AS_OF, fuse=fuse)
+    assert not first.errors, first.errors
+    assert open_set(store) == golden.EXPECTED
+    severity = {(r["kind"], r["dev_eui"][-4:]): r["severity"] for r in store.read().collect()}
+    assert severity["battery-low", "0002"] == "critical"
+    assert severity["decode-failure", "0006"] == "critical"
+    assert severity["frost-risk", "0101"] == "critical"
+    assert severity["water-meter-stalled", "0503"] == "critical" and severity["water-meter-stalled", "0502"] == "warning"
+    assert severity["rejoining", "00a4"] == "critical"
+    if not fuse:
+        return
+    again = run_pass(spark, config, checks, tables, store, golden.AS_OF)
+    assert (again.raised, again.resolved) == (0, 0)
+    assert open_set(store) == golden.EXPECTED and store.duplicates().count() == 0
+    fleet.up("0001", "silent-node", 1, 1, {"battery": 3.9})
+    third = run_pass(spark, config, checks, fleet.tables(spark), store, golden.AS_OF)
+    assert third.resolved == 1 and third.raised == 0
+    row = store.read().filter(F.col("dev_eui") == golden.eui("0001")).collect()
+    assert len(row) == 1 and row[0]["resolved_at"] is not None
+    ledger = store.ledger()
+    assert ledger.select("kind").distinct().count() == 29 and ledger.filter("status <> 'ok'").count() == 0
+
+
+def test_orchard(spark, tmp_path):
+    store = StateStore(spark, str(tmp_path))
+    s = run_pass(spark, C.parse(golden.ORCHARD, ENV), registry.load(), golden.orchard().tables(spark), store, golden.AS_OF)
+    assert not s.errors
+    assert open_set(store) == golden.ORCHARD_EXPECTED
+
+
+def test_empty_store(spark, tmp_path):
+    """Every check runs on its defaults and finds nothing; the two that need bounds say so."""
+    checks = registry.load()
+    config = C.parse({"checks": [{"rule": r} for r in checks]}, ENV)
+    s = run_pass(spark, config, checks, golden.Store().tables(spark), StateStore(spark, str(tmp_path)), golden.AS_OF)
+    assert {o.kind for o in s.errors} == {"measurement-threshold", "geofence-breach"}
+    assert all("needs" in o.error for o in s.errors)
+    assert all(o.findings == 0 for o in s.outcomes)
