@@ -22,10 +22,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterable
 from functools import cache
 
-import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -33,27 +32,38 @@ from pyspark.sql import functions as F
 
 #: Strings up to this many bytes are encoded directly; encodings of strings up to twice as long are kept.
 LEAF_BYTES = 5
-#: Entries kept per worker.
-KEPT = 400_000
+#: Entries kept by each table of a worker; a full table starts anew.
+KEPT = 1_000_000
 #: A space before white space, where a cut could differ from the pattern's.
 _UNSAFE = re.compile(r" \s").search
 
 
+class _Texts(dict):
+    """Ids of parts of texts, written in decimal and joined by spaces; made when first asked for."""
+
+    def __init__(self, codec: Codec):
+        super().__init__()
+        self.codec = codec
+
+    def __missing__(self, part: str) -> str:
+        if len(self) >= KEPT:
+            self.clear()
+        made = self[part] = self.codec.part_text(part)
+        return made
+
+
 class Codec:
     """Encoder and decoder for a rank file; ranks: bytes to id."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.tokens = {i: b for b, i in ranks.items()}
-        self.width = "<u2" if max(self.tokens) < 1 << 16 else "<u4"
-        size = np.dtype(self.width).itemsize
-        self._wide = {b: i.to_bytes(size, "little") for b, i in ranks.items()}
-        self._text = {b: str(i) for b, i in ranks.items()}
-        self._pieces: dict[str, list[bytes]] = {}
         self.find = regex.compile(pattern).findall
+        self._text = {b: str(i) for b, i in ranks.items()}
+        self._token = {str(i): b for b, i in ranks.items()}
         self._pairs: dict[tuple[bytes, bytes], list[bytes]] = {}
         self._short: dict[bytes, list[bytes]] = {}
-        self._parts: dict[str, tuple[bytes, str, int, bytes]] = {}
+        self._texts = _Texts(self)
 
     # -- bytes of one piece -----------------------------------------------------------------
 
@@ -125,37 +135,33 @@ class Codec:
 
     # -- texts --------------------------------------------------------------------------------
 
-    def _part(self, part: str) -> tuple[bytes, str, int, bytes]:
-        """Of a part of a text: ids as fixed-width bytes, ids as text, their number, decoded bytes."""
-        toks: list[bytes] = []
-        for piece in [part] if part[0] == " " and part[1:].isalpha() else self.find(part):
-            got = self._pieces.get(piece)
-            if got is None:
-                if len(self._pieces) >= KEPT:
-                    self._pieces.clear()
-                got = self._pieces[piece] = self.encode_bytes(piece.encode())
-            toks += got
-        wide = b"".join([self._wide[t] for t in toks])
-        made = (wide, " ".join([self._text[t] for t in toks]), len(toks), self.decode([self.ranks[t] for t in toks]))
-        if len(self._parts) >= KEPT:
-            self._parts.clear()
-        self._parts[part] = made
-        return made
+    def part_text(self, part: str) -> str:
+        """Ids of a part of a text. Parts of several pieces are put together from their pieces."""
+        if not (part[0] == " " and part[1:].isalpha()):
+            pieces = self.find(part)
+            if len(pieces) > 1:
+                return " ".join([self._texts[p] for p in pieces])
+        return " ".join([self._text[t] for t in self.encode_bytes(part.encode())])
 
-    def parts(self, text: str) -> list[tuple[bytes, str, int, bytes]]:
-        """The encodings whose concatenation is the text's."""
+    def ids_text(self, text: str) -> str:
+        """Ids of a text in decimal, joined by one space."""
         if not text:
-            return []
+            return ""
         if text[-1] == " " or _UNSAFE(text):
-            pieces: Iterable[str] = self.find(text)
+            pieces = self.find(text)
         else:
             head, *rest = text.split(" ")
-            pieces = [head, *[" " + x for x in rest]] if head else [" " + x for x in rest]
-        kept, make = self._parts, self._part
-        return [kept.get(p) or make(p) for p in pieces]
+            pieces = [" " + x for x in rest]
+            if head:
+                pieces.insert(0, head)
+        return " ".join(map(self._texts.__getitem__, pieces))
 
     def encode(self, text: str | None) -> list[int]:
-        return np.frombuffer(b"".join(p[0] for p in self.parts(text or "")), self.width).tolist()
+        return [int(x) for x in self.ids_text(text or "").split()]
+
+    def decode_text(self, ids: str) -> bytes:
+        """The bytes of ids in decimal: the product of the tokens' bytes, whose order of multiplication is free."""
+        return b"".join(map(self._token.__getitem__, ids.split()))
 
     def decode(self, ids: list[int]) -> bytes:
         """Decoding concatenates up the tree."""
@@ -186,11 +192,11 @@ def token_digests(
         codec = load(path, pattern)
         for b in batches:
             n, ids, back = [], [], []
-            for text in b.column("text"):
-                parts = codec.parts(text.as_py() or "")
-                n.append(sum([p[2] for p in parts]))
-                ids.append(hashlib.sha256(" ".join([p[1] for p in parts]).encode()).hexdigest())
-                back.append(hashlib.sha256(b"".join([p[3] for p in parts])).hexdigest())
+            for text in b.column("text").to_pylist():
+                found = codec.ids_text(text or "")
+                n.append(found.count(" ") + 1 if found else 0)
+                ids.append(hashlib.sha256(found.encode()).hexdigest())
+                back.append(hashlib.sha256(codec.decode_text(found)).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
@@ -201,34 +207,22 @@ def token_digests(
 
 
 def encode_texts(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """docs and a column of token ids (fixed-width little-endian bytes) for text_col."""
+    """docs and a column of token ids (array of int) of text_col."""
 
-    def run(texts):
+    @F.pandas_udf("array<int>")
+    def ids(texts: pd.Series) -> pd.Series:
         codec = load(path, pattern)
-        for batch in texts:
-            yield batch.map(lambda t: b"".join([p[0] for p in codec.parts(t or "")]))
-
-    from pyspark.sql.functions import pandas_udf
+        return texts.map(lambda t: codec.encode(t) if isinstance(t, str) else [])
 
-    import pandas as pd
-    from collections.abc import Iterator
-
-    run.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return docs.withColumn(ids_col, pandas_udf(run, "binary")(F.col(text_col)))
+    return docs.withColumn(ids_col, ids(F.col(text_col)))
 
 
 def decode_ids(docs: DataFrame, path: str, pattern: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """docs and a column of the text whose token ids are in ids_col."""
 
-    def run(ids):
+    @F.pandas_udf("string")
+    def text(ids: pd.Series) -> pd.Series:
         codec = load(path, pattern)
-        for batch in ids:
-            yield batch.map(lambda x: codec.decode(np.frombuffer(x or b"", codec.width).tolist()).decode("utf-8", "replace"))
-
-    from pyspark.sql.functions import pandas_udf
-
-    import pandas as pd
-    from collections.abc import Iterator
+        return ids.map(lambda x: codec.decode(list(x) if x is not None else []).decode("utf-8", "replace"))
 
-    run.__annotations__ = {"ids": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return docs.withColumn(text_col, pandas_udf(run, "string")(F.col(ids_col)))
+    return docs.withColumn(text_col, text(F.col(ids_col)))
