@@ -29,6 +29,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -113,12 +114,14 @@ def _bitmaps(marks: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     out: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     size = SLICE // 8
     rows = marks.repartition("slice").sortWithinPartitions("slice", "twice").mapInArrow(run, "slice int, once binary, twice binary")
-    for r in rows.toLocalIterator():
-        kind, at = divmod(r["slice"], _SLICES)
-        if kind not in out:
-            out[kind] = (np.zeros(BITS // 8, np.uint8), np.zeros(BITS // 8, np.uint8))
-        for k, name in ((0, "once"), (1, "twice")):
-            out[kind][k][at * size : (at + 1) * size] = np.frombuffer(r[name], np.uint8)
+    for b in rows.toArrow().to_batches():  # at most a row for each slice of the filters
+        for row, number in enumerate(b.column(0).to_pylist()):
+            kind, at = divmod(number, _SLICES)
+            if kind not in out:
+                n = (SEQ_BITS if kind == _SEQ else BITS) // 8
+                out[kind] = (np.zeros(n, np.uint8), np.zeros(n, np.uint8))
+            for k in (0, 1):
+                out[kind][k][at * size : (at + 1) * size] = np.frombuffer(b.column(k + 1)[row].as_py(), np.uint8)
     return out
 
 
@@ -217,26 +220,28 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
                 w = Pieces(c)
                 at, _ = _candidates(w, shared.value, window, block)
                 seq = _sequences(w)
-                hard = np.bincount(w.doc[at], minlength=c.n) > 0
-                hard |= _has(copied.value, _seq_bits(seq)) & (w.per_doc > 0)
+                again = _has(copied.value, _seq_bits(seq)) & (w.per_doc > 0)
+                hard = again | (np.bincount(w.doc[at], minlength=c.n) > 0)
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column("doc_id").slice(c.row, c.n),
                         pa.array(w.per_doc.astype(np.int64)),
                         pa.array([_digest(x) for x in _joined(c, w, np.ones(len(w.start), bool))], pa.string()),
                         pa.array(signed(seq)),
+                        pa.array(again),
                         pa.array([c.text_bytes(i).decode() if hard[i] else None for i in range(c.n)], pa.string()),
                     ],
-                    ["doc_id", "n_words", "sha", "seq", "text"],
+                    ["doc_id", "n_words", "sha", "seq", "again", "text"],
                 )
 
-    rows = table(docs.mapInArrow(split, "doc_id long, n_words long, sha string, seq long, text string"), "split")
+    rows = table(docs.mapInArrow(split, "doc_id long, n_words long, sha string, seq long, again boolean, text string"), "split")
     easy = rows.filter("text is null").select(
         "doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.lit(None).cast("string").alias("kept_text"), F.col("sha").alias("kept_sha256")
     )
     hard = rows.filter("text is not null").withColumn("order", F.coalesce("doc_id", F.lit(_LAST)))
-    firsts = hard.groupBy("seq").agg(F.min("order").alias("first"))
-    later = hard.select("seq", "order", "doc_id", "n_words", "sha").join(firsts, "seq").filter("order > first")
+    twice = hard.filter("again")  # only these can be copies
+    firsts = twice.groupBy("seq").agg(F.min("order").alias("first"))
+    later = twice.select("seq", "order", "doc_id", "n_words", "sha").join(firsts, "seq").filter("order > first")
     later = table(later.drop("first"), "copies")
     long = F.col("n_words") >= window
     copies = later.select(
@@ -246,7 +251,9 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
         F.when(long, F.lit("")).alias("kept_text"),
         F.when(long, F.sha2(F.lit(""), 256)).otherwise(F.col("sha")).alias("kept_sha256"),
     )
-    own = hard.join(later.select("order", "seq").distinct(), ["order", "seq"], "left_anti").select("doc_id", "order", "text")
+    columns = ["doc_id", "order", "n_words", "sha", "text"]
+    firsts = twice.join(later.select("order", "seq").distinct(), ["order", "seq"], "left_anti")
+    own = hard.filter("not again").select(*columns).union(firsts.select(*columns))
 
     def windows(batches):
         for b in batches:
@@ -262,6 +269,17 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     grams = own.select("order", "text").mapInArrow(windows, "g long, order long, start int")
     earlier = F.min("order").over(Window.partitionBy("g"))
     starts = grams.withColumn("low", earlier).filter("order > low").groupBy("order").agg(F.collect_set("start").alias("starts"))
+    starts = table(starts, "starts")
+
+    def mark(batches):
+        for b in batches:
+            yield _mark_batch(_marks(_SEQ, _seq_bits(mix(b.column("order").to_numpy().view(_U)))))
+
+    touched = sc.broadcast(_bitmaps(starts.select("order").mapInArrow(mark, _MARK)).get(_SEQ, (None, None))[0])
+
+    @F.pandas_udf("boolean")
+    def may_change(order: pd.Series) -> pd.Series:
+        return pd.Series(_has(touched.value, _seq_bits(mix(order.to_numpy().view(_U)))))
 
     def cut(batches):
         for b in batches:
@@ -286,6 +304,10 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
                 ["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"],
             )
 
-    changed = own.join(starts, "order", "left").select("doc_id", "text", "starts")
+    own = own.withColumn("changes", may_change("order"))  # false: surely not, and its text needn't move
+    same = own.filter("not changes").select(
+        "doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.lit(None).cast("string").alias("kept_text"), F.col("sha").alias("kept_sha256")
+    )
+    changed = own.filter("changes").join(starts, "order", "left").select("doc_id", "text", "starts")
     changed = changed.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
-    return easy.union(copies).union(changed)
+    return easy.union(copies).union(same).union(changed)
