@@ -4,7 +4,9 @@ The test items are the indexed side; each passage of each training document is a
 posting list is kept in blocks of item numbers with the greatest impact of each block; a passage's
 items are found by WAND: terms ordered by their next item, the pivot is the first item whose terms'
 greatest impacts can reach the threshold, and a pivot whose blocks' maxima can't reach it is skipped
-together with its blocks. Every item whose score reaches the threshold is retrieved, not only the
+together with its blocks. Before that, all passages of a batch at once are scored over each item's
+most telling terms alone; a passage in which no item could reach the threshold, even with all its
+other terms, is skipped whole. Every item whose score reaches the threshold is retrieved, not only the
 best ones. The threshold is a share of the item's score with itself, so it doesn't depend on lengths.
 
 Verification: the item's words are split into question (up to the last sentence) and answer (the
@@ -59,6 +61,10 @@ class Index:
     top: np.ndarray
     block_top: list[np.ndarray]
     need: np.ndarray
+    key_first: np.ndarray
+    key_item: np.ndarray
+    key_impact: np.ndarray
+    key_need: np.ndarray
     runs: np.ndarray
     run_item: np.ndarray
     words: np.ndarray
@@ -101,9 +107,19 @@ def build(ids: np.ndarray, texts: pa.Array, frequency: dict[int, int], n_items:
     own = np.bincount(item, impact, len(ids))
     run, word = np.concatenate(runs), np.concatenate(words)
     top = np.array([b.max() for b in block_top]) if len(block_top) else np.zeros(0)
+    # An item's telling terms: its greatest impacts, until the others add up to half of what is needed at most.
+    by_item = np.lexsort((-impact, item))
+    total = np.cumsum(impact[by_item])
+    start = np.searchsorted(item[by_item], item[by_item])
+    before = total - impact[by_item] - np.where(start > 0, total[start - 1], 0)
+    key = np.zeros(len(item), bool)
+    key[by_item] = before < (1 - SHARE / 2) * own[item[by_item]]
+    rest = own - np.bincount(item[key], impact[key], len(ids))
+    key_first = np.concatenate([[0], np.cumsum(key)])[first]
     return Index(
-        np.asarray(ids), term, first, item, impact, top, block_top, SHARE * own, run[:, 1], run[:, 0], word[:, 1], word[:, 0], word[:, 2]
-    )
+        np.asarray(ids), term, first, item, impact, top, block_top, SHARE * own,
+        key_first, item[key], impact[key], SHARE * own - rest - 1e-9, run[:, 1], run[:, 0], word[:, 1], word[:, 0], word[:, 2]
+    )
 
 
 def wand(index: Index, terms: list[int]) -> list[int]:
@@ -223,10 +239,12 @@ def _matches(index: Index, w: Pieces) -> list[tuple[int, int, float, float, floa
     width = len(index.term)
     pair = np.unique(key * width + term2)
     key, term2 = pair // width, pair % width
-    bound = np.bincount(key, index.top[term2], offset[-1])
-    least = index.need.min()
+    count = index.key_first[term2 + 1] - index.key_first[term2]
+    post = np.repeat(index.key_first[term2] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    cell, where = np.unique(np.repeat(key, count) * len(index.ids) + index.key_item[post], return_inverse=True)
+    reached = np.bincount(where, index.key_impact[post]) >= index.key_need[cell % len(index.ids)]
     edge = np.searchsorted(key, np.arange(offset[-1] + 1))
-    for k in np.flatnonzero(bound >= least):
+    for k in np.unique(cell[reached] // len(index.ids)):
         d = int(np.searchsorted(offset, k, "right")) - 1
         begin = (k - offset[d]) * STEP
         for item in wand(index, term2[edge[k] : edge[k + 1]].tolist()):
