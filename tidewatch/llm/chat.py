@@ -57,7 +57,7 @@ def parse(messages: DataFrame) -> DataFrame:
     blank = F.split(text, r"\n[ \t]*\n")
     df = df.withColumn("quoted", quoted).withColumn("runs", F.when(F.col("quoted"), runs))
     own = F.when(
-        F.col("quoted"), F.trim(F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["line"]), "\n"))
+        F.col("quoted"), F.regexp_replace(F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["line"]), "\n"), r"\A\s+|\s+\z", "")
     ).otherwise(text)
     bodies = F.when(F.col("quoted"), F.transform(F.filter("runs", lambda r: r["level"] == 0), lambda r: r["body"])).otherwise(blank)
     hashes = lambda arr: F.array_distinct(F.transform(F.filter(F.transform(arr, _norm), lambda p: p != ""), lambda p: F.xxhash64(p)))
