@@ -7,6 +7,9 @@ any file system that Spark knows.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +21,12 @@ RUN = (
 )
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that executors and driver share: under spark.checkpoint.dir, or (only where that is unset) a local one."""
+    place = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    return f"{(place or tempfile.mkdtemp(prefix='tidewatch-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 class StateStore:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")

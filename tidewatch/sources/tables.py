@@ -70,7 +70,7 @@ def from_events(events: DataFrame) -> dict[str, DataFrame]:
     reading = F.format_string(
         '{"%s":{"value":%s},"k":%d,"position":{"latitude":%s,"longitude":%s},"flag":"%s"}',
         "event_type",
-        F.round("value", 2).cast("decimal(18,2)").cast("string"),
+        F.col("value").cast("decimal(18,2)").cast("string"),
         "k",
         (F.col("k") / 10 + 40).cast("decimal(6,1)").cast("string"),
         (F.col("k") / 20 - 95).cast("decimal(6,2)").cast("string"),
