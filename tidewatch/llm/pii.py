@@ -165,14 +165,15 @@ def listed(spans: str) -> Column:
 def redact(docs: DataFrame) -> DataFrame:
     """docs with each span in text replaced by its kind in brackets; n_chars, if there, is the new length."""
     names = ", ".join(f"'[{k.upper()}]'" for k in KINDS)
-    found = find(docs)
+    found = find(docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__all")))
     text = F.expr(
         f"""CASE WHEN size(spans) = 0 THEN text ELSE aggregate(spans, named_struct('at', 0, 'out', ''),
         (a, s) -> CASE WHEN s.s < a.at THEN named_struct('at', greatest(a.at, s.e), 'out', a.out) ELSE
           named_struct('at', s.e, 'out', concat(a.out, substr(text, a.at + 1, s.s - a.at), element_at(array({names}), s.k + 1))) END,
         a -> concat(a.out, substr(text, a.at + 1))) END"""
     )
-    out = found.withColumn("text", text)
+    out = found.select("__all", text.alias("__text"))
+    new = {"text": F.col("__text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.length("__text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new.get(c, F.col(f"__all.`{c}`")).alias(c) for c in docs.columns])
