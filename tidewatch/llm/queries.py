@@ -85,4 +85,50 @@ QUERIES = {
     "op10_chat_formatting": op10_chat_formatting,
 }
 
-ORACLES: dict[str, str] = {}
+_WORDS = r"[^\x20\x09-\x0D]+"
+
+#: The same results in DuckDB's SQL. The other operators' models, encodings and layouts aren't
+#: expressible there; tests compare these queries with brute-force versions.
+ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard_join": f"""
+        WITH RECURSIVE w AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORDS}') AS ws FROM documents),
+        s AS (
+          SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 1))) AS i FROM w WHERE len(ws) >= 4)
+          UNION SELECT doc_id, array_to_string(ws, ' ') FROM w WHERE len(ws) BETWEEN 1 AND 3),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+        link AS (SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b)
+        SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, r.first AS component_id
+        FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS first FROM reach GROUP BY a) r ON r.a = d.doc_id""",
+    "op4_substring_dedup": f"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS ws FROM documents),
+        g AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13)),
+        low AS (SELECT gram, min(doc_id) AS lo FROM g GROUP BY gram),
+        gone AS (SELECT DISTINCT doc_id, i + j AS p FROM (SELECT doc_id, i, unnest(range(0, 13)) AS j FROM g JOIN low USING (gram) WHERE doc_id > lo)),
+        one AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w),
+        kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM one ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+        SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(kept.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+        FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id""",
+    "op7_quality_rules": f"""
+        WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS ws FROM documents),
+        lines AS (SELECT doc_id, line, count(*) AS c FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM w) WHERE regexp_matches(line, '{_WORDS}') GROUP BY doc_id, line),
+        l AS (SELECT doc_id, sum(c)::BIGINT AS n_lines, sum(c - 1)::BIGINT AS n_dup_lines FROM lines GROUP BY doc_id),
+        g AS (SELECT doc_id, i, array_to_string(ws[i:i + 2], ' ') AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3)),
+        r AS (SELECT doc_id, gram FROM g GROUP BY doc_id, gram HAVING count(*) > 1),
+        rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, i + unnest([0, 1, 2]) AS p FROM g SEMI JOIN r USING (doc_id, gram)) GROUP BY doc_id),
+        m AS (
+          SELECT w.doc_id, lang, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+            coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
+          FROM w LEFT JOIN l ON l.doc_id = w.doc_id LEFT JOIN rep ON rep.doc_id = w.doc_id),
+        s AS (
+          SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce(n_symbols / nullif(word_chars, 0), 0.0) AS a,
+            coalesce(n_dup_lines / nullif(n_lines, 0), 0.0) AS b, coalesce(n_repeat_words / nullif(n_words, 0), 0.0) AS c FROM m),
+        q AS (
+          SELECT lang, source, quantile_disc(a, 0.5) AS a5, quantile_disc(a, 0.9) AS a9, quantile_disc(b, 0.5) AS b5, quantile_disc(b, 0.9) AS b9, quantile_disc(c, 0.5) AS c5, quantile_disc(c, 0.9) AS c9
+          FROM s WHERE NOT base_failed GROUP BY lang, source)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+          NOT base_failed AND a <= greatest(0.10, a9 + 3.0 * (a9 - a5)) AND b <= greatest(0.30, b9 + 3.0 * (b9 - b5)) AND c <= greatest(0.30, c9 + 3.0 * (c9 - c5)) AS kept
+        FROM s LEFT JOIN q ON q.lang IS NOT DISTINCT FROM s.lang AND q.source IS NOT DISTINCT FROM s.source""",
+}
