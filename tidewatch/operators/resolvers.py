@@ -147,15 +147,16 @@ def path_presence(up: DataFrame, paths: Paths, hours: float, recent_hours: float
     recent = F.col("time") > since(up, as_of, recent_hours)
     rows = rows.select("dev_eui", "device_name", "time", recent.alias("_recent"), payload.parsed().alias("_v"))
     rows = rows.select("*", *[payload.leaf_text(F.col("_v"), p).isNotNull().alias(f"_has{i}") for i, p in enumerate(paths)]).drop("_v")
-    sums = [F.max("device_name").alias("device_name"), F.count_if("_recent").alias("recent_uplinks")]
+    parts, sums = [F.count_if("_recent").alias("recent_uplinks")], [F.max("device_name").alias("device_name"), F.sum("recent_uplinks").alias("recent_uplinks")]
     for i in range(len(paths)):
         has = F.coalesce(F.col(f"_has{i}"), F.lit(False))
-        sums += [
+        parts += [
             F.count_if(has).alias(f"_ever{i}"),
             F.count_if(has & F.col("_recent")).alias(f"_now{i}"),
             F.max(F.when(has, F.col("time"))).alias(f"_last{i}"),
         ]
-    by_device = rows.groupBy("dev_eui").agg(*sums)
+        sums += [F.sum(f"_ever{i}").alias(f"_ever{i}"), F.sum(f"_now{i}").alias(f"_now{i}"), F.max(f"_last{i}").alias(f"_last{i}")]
+    by_device = rows.groupBy("dev_eui", "device_name").agg(*parts).groupBy("dev_eui").agg(*sums)
     found = F.filter(
         F.array(
             *[

@@ -1,4 +1,8 @@
-"""Checks on the network's own events: silence, decoding, signal, logs, status, joins and commands."""
+"""Checks on the network's own events: silence, decoding, signal, logs, status, joins and commands.
+
+Sums over many uplinks are first grouped by device and name: Spark hashes these, while a greatest
+string beside them would make it sort all rows. Only a row for each name is left for that.
+"""
 
 from __future__ import annotations
 
@@ -23,8 +27,9 @@ def _silent(ctx: Context) -> DataFrame:
     if limit <= 0:
         raise P.ParamError("silentMinutes must be above 0")
     up = ctx.table("event_up")
-    df = _rows(ctx, "event_up", hours).groupBy("dev_eui").agg(
-        F.max("device_name").alias("device_name"), F.max("time").alias("last_seen"), F.count("*").alias("uplinks")
+    by_name = _rows(ctx, "event_up", hours).groupBy("dev_eui", "device_name").agg(F.max("time").alias("last_seen"), F.count("*").alias("uplinks"))
+    df = by_name.groupBy("dev_eui").agg(
+        F.max("device_name").alias("device_name"), F.max("last_seen").alias("last_seen"), F.sum("uplinks").alias("uplinks")
     )
     df = df.filter((c("uplinks") >= least) & (c("last_seen") < R.since(up, ctx.as_of, minutes=limit)))
     minutes = F.round(R.hours_between(c("last_seen"), R.moment(up, ctx.as_of)) * 60).cast("long")
@@ -56,12 +61,15 @@ def _decode_failure(ctx: Context) -> DataFrame:
     p = dict(ctx.params)
     hours, least, ratio = P.whole(p, "lookbackHours", 1), P.whole(p, "minFailures", 1), _ratio(p, "minFailureRatio")
     bad = payload.is_undecoded()
-    df = _rows(ctx, "event_up", hours).withColumn("bad", bad).groupBy("dev_eui").agg(
+    by_name = _rows(ctx, "event_up", hours).withColumn("bad", bad).groupBy("dev_eui", "device_name", "device_profile_name").agg(
+        F.count_if("bad").alias("failed"), F.count("*").alias("total"), F.max(F.when(c("bad"), c("time"))).alias("last_failure")
+    )
+    df = by_name.groupBy("dev_eui").agg(
         F.max("device_name").alias("device_name"),
         F.max("device_profile_name").alias("profile"),
-        F.count_if("bad").alias("failed"),
-        F.count("*").alias("total"),
-        F.max(F.when(c("bad"), c("time"))).alias("last_failure"),
+        F.sum("failed").alias("failed"),
+        F.sum("total").alias("total"),
+        F.max("last_failure").alias("last_failure"),
     )
     df = df.withColumn("ratio", c("failed") / c("total")).filter((c("failed") >= least) & (c("ratio") >= ratio))
     return finding(
@@ -84,13 +92,16 @@ def _signal(ctx: Context) -> DataFrame:
     gateways = F.from_json("rx_info", "array<struct<rssi: string, snr: string>>")
     best = lambda k: F.array_max(F.transform(gateways, lambda g: g[k].try_cast("decimal(12,3)")))
     df = df.select("dev_eui", "device_name", best("rssi").alias("rssi"), best("snr").alias("snr"), F.json_array_length("rx_info").alias("gateways"))
-    df = df.filter("rssi is not null").groupBy("dev_eui").agg(
+    by_name = df.filter("rssi is not null").groupBy("dev_eui", "device_name").agg(
+        F.sum("rssi").alias("rssi"), F.min("rssi").alias("least"), F.sum("snr").alias("snr"), F.count("snr").alias("n_snr"), F.count("*").alias("n"), F.sum("gateways").alias("gateways")
+    )
+    df = by_name.groupBy("dev_eui").agg(
         F.max("device_name").alias("device_name"),
-        F.avg("rssi").alias("avg_rssi"),
-        F.min("rssi").alias("min_rssi"),
-        F.avg("snr").alias("avg_snr"),
-        F.count("*").alias("uplinks"),
-        F.avg("gateways").alias("avg_gateways"),
+        (F.sum("rssi") / F.sum("n")).alias("avg_rssi"),
+        F.min("least").alias("min_rssi"),
+        F.try_divide(F.sum("snr"), F.sum("n_snr")).alias("avg_snr"),
+        F.sum("n").alias("uplinks"),
+        (F.sum("gateways") / F.sum("n")).alias("avg_gateways"),
     )
     weak = c("avg_rssi") <= rssi
     if snr is not None:
