@@ -39,6 +39,8 @@ from .words import Pieces, chunks, distinct, mix, ngrams, signed
 COSTLY = 64
 #: Classes compared with each other in one group, at most twice this.
 BLOCK = 512
+#: Clusters of overlapping lists up to this many classes are compared as one list; larger ones list by list.
+CLUSTER = 16_384
 #: Members verified against one centre by one task.
 CENTRE_ROWS = 4096
 
@@ -61,7 +63,9 @@ class Plan:
             low = high + 1
         self.low, self.high = np.array(self.low), np.array(self.high)
         self.differ = self.high * (100 - percent) // percent
-        self.slack = 2 + (self.differ + 1 + 19) // 20
+        # Room for the empty segments that the band's smallest sets have to expect.
+        few = np.exp(-self.low / np.maximum(1, 1.15 * (self.differ + 1))) * (self.differ + 1)
+        self.slack = 2 + np.ceil((self.differ + 1) / 50 + few + 2 * np.sqrt(few)).astype(np.int64)
         self.m = np.where(self.differ > 0, self.differ + 1 + self.slack, 0)
         self.reach = self.high * 100 // percent  # the largest partner
 
@@ -243,27 +247,59 @@ def may_link(bits: np.ndarray, size: np.ndarray, label: np.ndarray, percent: int
     return np.nonzero(np.triu(ok, 1))
 
 
-def _propose(lists: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """(centre, cls): pairs within lists (sig, cls, label) that may link, from blocks of bounded size.
+def _fold(sketch: bytes, width: int) -> int:
+    out = 0
+    for at in range(0, len(sketch), width):
+        out ^= int.from_bytes(sketch[at : at + width], "little")
+    return out
 
-    A pair that shares several lists comes from the first of them alone: each class brings the
-    signatures of its lists along (no more than it has segments).
-    """
-    own = lists.groupBy("cls").agg(F.collect_list("sig").alias("sigs"))
-    by_label = Window.partitionBy("sig").orderBy("label", "cls")
+
+def _plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (centre, cls) that sizes and sketches don't rule out; texts move for these alone."""
+    other = sketches.select(F.col("cls").alias("centre"), F.col("size").alias("size2"), F.col("sketch").alias("sketch2"))
+    rows = pairs.join(sketches, "cls").join(other, "centre").filter(
+        100 * F.least("size", "size2") >= percent * F.greatest("size", "size2")
+    )
+
+    def run(batches):
+        for b in batches:
+            keep = []
+            for x, y, n, m in zip(*(b.column(c).to_pylist() for c in ("sketch", "sketch2", "size", "size2"))):
+                width = min(len(x), len(y))
+                differ = (_fold(x, width) ^ _fold(y, width)).bit_count()
+                keep.append(differ * (100 + percent) <= (100 - percent) * (n + m))
+            yield b.select(["centre", "cls"]).filter(pa.array(keep, pa.bool_()))
+
+    return rows.select("centre", "cls", "size", "size2", "sketch", "sketch2").mapInArrow(run, "centre long, cls long")
+
+
+def _clusters(lists: DataFrame) -> DataFrame:
+    """(list, cls, label): overlapping lists (sig, cls, label) put together, as far as that stays within CLUSTER classes."""
+    low = lists.groupBy("sig").agg(F.min("label").alias("lo"))
+    edges = lists.join(low, "sig").filter("label <> lo").select(F.col("label").alias("src"), F.col("lo").alias("dst")).distinct()
+    cluster = components(edges).withColumnRenamed("label", "cluster")
+    members = lists.select("cls", "label").distinct().join(cluster, lists.label == cluster.node).select("cluster", "cls", "label")
+    members = table(members, "clusters")
+    large = members.groupBy("cluster").agg(F.count("*").alias("n")).filter(F.col("n") > CLUSTER).select("cluster")
+    small = members.join(large, "cluster", "left_anti").select(F.col("cluster").alias("list"), "cls", "label")
+    rest = lists.join(members.join(large, "cluster").select("cls"), "cls", "left_semi").select(F.xxhash64("sig", F.lit("list")).alias("list"), "cls", "label")
+    return small.union(rest)
+
+
+def _propose(lists: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """(centre, cls): pairs within lists (list, cls, label) that may link, from blocks of bounded size."""
+    by_label = Window.partitionBy("list").orderBy("label", "cls")
     rows = lists.withColumn("block", F.floor((F.row_number().over(by_label) - 1) / BLOCK).cast("int"))
-    blocks = rows.groupBy("sig", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-    other = blocks.select("sig", F.col("block").alias("j"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    pairs = blocks.join(other, "sig").filter(
+    blocks = rows.groupBy("list", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    other = blocks.select("list", F.col("block").alias("j"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    pairs = blocks.join(other, "list").filter(
         (F.col("block") <= F.col("j"))
         & ((F.col("lo") != F.col("hi")) | (F.col("lo2") != F.col("hi2")) | (F.col("lo") != F.col("lo2")))
     )
-    to = pairs.select("sig", F.col("block").alias("i"), "j", F.explode(F.array_distinct(F.array("block", "j"))).alias("block"))
-    grouped = rows.join(to, ["sig", "block"]).join(sketches, "cls").join(own, "cls")
-    grouped = grouped.select("sig", "i", "j", "block", "cls", "label", "size", "sketch", "sigs")
+    to = pairs.select("list", F.col("block").alias("i"), "j", F.explode(F.array_distinct(F.array("block", "j"))).alias("block"))
+    grouped = rows.join(to, ["list", "block"]).join(sketches, "cls").select("list", "i", "j", "block", "cls", "label", "size", "sketch")
 
     def run(key, data):
-        sig = key[0].as_py()
         cls, label, size = (data.column(c).to_numpy() for c in ("cls", "label", "size"))
         raw = data.column("sketch").to_pylist()
         width = min(map(len, raw))
@@ -271,30 +307,34 @@ def _propose(lists: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
         for k, x in enumerate(raw):
             bits[k] = np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, width), 0)
         i, j = may_link(np.unpackbits(bits, axis=1), size, label, percent)
-        if key[1] != key[2]:
+        if key[1] != key[2]:  # pairs inside a block come from that block's own group
             block = data.column("block").to_numpy()
             across = block[i] != block[j]
             i, j = i[across], j[across]
-        sigs = [set(x) for x in data.column("sigs").to_pylist()] if len(i) else []
-        first = np.array([min(sigs[a] & sigs[b]) == sig for a, b in zip(i.tolist(), j.tolist())], bool)
-        i, j = i[first], j[first]
         return pa.table({"centre": np.minimum(cls[i], cls[j]), "cls": np.maximum(cls[i], cls[j])})
 
-    return grouped.groupBy("sig", "i", "j").applyInArrow(run, "centre long, cls long").distinct()
+    return grouped.groupBy("list", "i", "j").applyInArrow(run, "centre long, cls long").distinct()
 
 
 def class_links(docs: DataFrame, known: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """(node, label): components of classes that link with another class."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     lists = table(_postings(_signatures(source.select("text"), words, percent)), "lists")
-    pairs = table(lists.filter("centre <> cls").select("centre", "cls").distinct(), "pairs")
+    pairs = lists.filter("centre <> cls").select("centre", "cls").distinct()
     first = known.filter("set_class is not null").groupBy(F.col("set_class").alias("cls")).agg(
         F.min(F.struct("id", F.col("n_shingles").alias("size"), "sketch")).alias("x")
     ).select("cls", "x.*")
-    needed = pairs.select("cls").union(pairs.select(F.col("centre").alias("cls"))).distinct()
+    needed = lists.select("cls").distinct()  # centres are members as well
     first = table(first.join(needed, "cls"), "first")
-    texts = table(first.select("id", "cls").join(source, "id").select("cls", "text"), "texts")
-    links = table(_verify_centres(pairs, texts, words, percent), "links")
+    sketches = first.select("cls", "size", "sketch")
+
+    def verified(plausible: DataFrame) -> DataFrame:
+        plausible = table(plausible, "pairs")
+        asked = plausible.select("cls").union(plausible.select(F.col("centre").alias("cls"))).distinct()
+        texts = first.join(asked, "cls").select("id", "cls").join(source, "id").select("cls", "text")
+        return table(_verify_centres(plausible, table(texts, "texts"), words, percent), "links")
+
+    links = verified(_plausible(pairs, sketches, percent))
     now = table(components(links), "labels")
 
     open_ = lists.filter("k > 2").select("sig", "cls").distinct()
@@ -304,9 +344,8 @@ def class_links(docs: DataFrame, known: DataFrame, words: int, percent: int, id_
     ).filter("n > 2 and lo <> hi")
     once = per_sig.groupBy("n", "s").agg(F.min("sig").alias("sig")).select("sig")
     left = table(open_.join(once, "sig"), "open")
-    proposed = _propose(left, first.select("cls", "size", "sketch"), percent)
-    more = table(proposed.join(pairs, ["centre", "cls"], "left_anti"), "pairs")
-    return components(links.union(_verify_centres(more, texts, words, percent)))
+    proposed = _propose(_clusters(left), sketches, percent)
+    return components(links.union(verified(proposed.join(pairs, ["centre", "cls"], "left_anti"))))
 
 
 def near_duplicates(
