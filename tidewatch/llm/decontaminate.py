@@ -11,7 +11,8 @@ best ones. The threshold is a share of the item's score with itself, so it doesn
 
 Verification: the item's words are split into question (up to the last sentence) and answer (the
 last sentence). A document contains the item if of the item's runs of RUN words at least OVERLAP
-occur in the passages retrieved, and of the question's and the answer's words at least PART_OVERLAP.
+occur in the passages retrieved, and of the question's and the answer's word pairs at least
+PART_OVERLAP; a part of fewer than PART_WORDS words is left to the runs, which reach into it.
 
 The index is built from blocks of at most ITEMS items, each broadcast in turn: bounded memory for
 test sets of any size, and no item is left out. Document frequencies come from all items.
@@ -34,14 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import Pieces, chunks, distinct, ngrams
+from .words import Pieces, chunks, distinct, mix, ngrams
 
 #: Words of a passage, and words from one passage's start to the next.
 PASSAGE, STEP = 128, 64
 #: Share of an item's own score that a passage must reach.
 SHARE = 0.5
-#: Words of a run, share of an item's runs, and of its question's and its answer's words.
-RUN, OVERLAP, PART_OVERLAP = 5, 0.5, 0.5
+#: Words of a run, share of an item's runs, and of its question's and its answer's word pairs.
+RUN, OVERLAP, PART_OVERLAP, PART_WORDS = 5, 0.5, 0.5, 4
 #: Items of one broadcast index; postings of a block.
 ITEMS, BLOCK = 20_000, 64
 K1, B = 1.2, 0.75
@@ -75,6 +76,11 @@ class Index:
         return slice(self.first[t], self.first[t + 1])
 
 
+def _pairs(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes of the pairs of words that start at some places."""
+    return mix(h[at] * _U(3) + h[at + 1]).view(np.int64)
+
+
 def build(ids: np.ndarray, texts: pa.Array, frequency: dict[int, int], n_items: int, mean_words: float) -> Index:
     """The index of some items; frequency: items in which a term is, over the whole test set."""
     items, terms, impacts, runs, words = [], [], [], [], []
@@ -97,7 +103,10 @@ def build(ids: np.ndarray, texts: pa.Array, frequency: dict[int, int], n_items:
         doc, h = distinct(*ngrams(w, RUN, short=True))
         runs.append(np.stack([doc + c.row, h.view(np.int64)], 1))
         answer = place > ends[w.doc]
-        words.append(np.unique(np.stack([w.doc + c.row, w.hash.view(np.int64), answer], 1), axis=0))
+        size = np.bincount(w.doc * 2 + answer, minlength=2 * c.n)
+        at = np.flatnonzero((w.doc[:-1] == w.doc[1:]) & (answer[:-1] == answer[1:])) if len(w.doc) else np.zeros(0, np.int64)
+        at = at[size[w.doc[at] * 2 + answer[at]] >= PART_WORDS]
+        words.append(np.unique(np.stack([w.doc[at] + c.row, _pairs(w.hash, at), answer[at]], 1), axis=0))
     item, hashes, impact = np.concatenate(items), np.concatenate(terms), np.concatenate(impacts)
     order = np.lexsort((item, hashes))
     item, hashes, impact = item[order], hashes[order], impact[order]
@@ -258,7 +267,7 @@ def _matches(index: Index, w: Pieces) -> list[tuple[int, int, float, float, floa
         mine = index.run_item == item
         total = np.isin(index.runs[mine], _runs(own_words, own)).mean()
         theirs = index.word_item == item
-        there = np.isin(index.words[theirs], own_words[own].view(np.int64))
+        there = np.isin(index.words[theirs], _pairs(own_words, np.flatnonzero(own[:-1] & own[1:])))
         answer = index.word_part[theirs] == 1
         share = [there[k].mean() if k.any() else 1.0 for k in (~answer, answer)]
         if total >= OVERLAP and min(share) >= PART_OVERLAP:
