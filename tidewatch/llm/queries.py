@@ -129,6 +129,6 @@ ORACLES: dict[str, str] = {
           SELECT lang, source, quantile_disc(a, 0.5) AS a5, quantile_disc(a, 0.9) AS a9, quantile_disc(b, 0.5) AS b5, quantile_disc(b, 0.9) AS b9, quantile_disc(c, 0.5) AS c5, quantile_disc(c, 0.9) AS c9
           FROM s WHERE NOT base_failed GROUP BY lang, source)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-          NOT base_failed AND a <= greatest(0.10, a9 + 3.0 * (a9 - a5)) AND b <= greatest(0.30, b9 + 3.0 * (b9 - b5)) AND c <= greatest(0.30, c9 + 3.0 * (c9 - c5)) AS kept
+          NOT base_failed AND a <= greatest(0.10, a9 + 3.0 * (a9 - a5)) AND b <= greatest(0.40, b9 + 3.0 * (b9 - b5)) AND c <= greatest(0.30, c9 + 3.0 * (c9 - c5)) AS kept
         FROM s LEFT JOIN q ON q.lang IS NOT DISTINCT FROM s.lang AND q.source IS NOT DISTINCT FROM s.source""",
 }

@@ -24,7 +24,7 @@ SPREAD = 3.0
 #: Accuracy of the sketches: error of a rank is 1 / ACCURACY.
 ACCURACY = 2000
 #: Floors of the limits: share of symbol characters in words' characters, of lines that repeat, of words in repeats.
-FLOORS = {"symbol_share": 0.10, "dup_line_share": 0.30, "repeat_share": 0.30}
+FLOORS = {"symbol_share": 0.10, "dup_line_share": 0.40, "repeat_share": 0.30}
 
 _U = np.uint64
 _SYMBOL = np.zeros(256, bool)
