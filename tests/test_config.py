@@ -161,6 +161,19 @@ def test_registry(tmp_path):
         registry.validated(bad, "here")
 
 
+def test_example_of_an_own_check(spark, tmp_path):
+    from tests.golden import AS_OF, Store
+    from tidewatch import api
+
+    text = api.__doc__.split("for example:\n")[1]
+    (tmp_path / "my_check.py").write_text("\n".join(line[4:] for line in text.split("\n")))
+    s = Store()
+    s.up("1", "n", 1, 5, {"a.b": 7})
+    s.up("2", "n", 1, 5, {"a.b": 3})
+    found = registry.load(tmp_path)["my-check"].run(api.Context(s.tables(spark), {}, AS_OF)).collect()
+    assert [(r["dev_eui"][-1], r["summary"], r["detail"]["value"]) for r in found] == [("1", "n: is at 7.0", 7.0)]
+
+
 def test_verify():
     checks = registry.load()
     columns = {k: {c.split()[0] for c in v.split(", ")} for k, v in SCHEMAS.items()}

@@ -179,6 +179,8 @@ def _merge(spark, config, checks, store, state, found, ran, as_of, dry_run, retr
     if config.notify and retry_pending:
         pending = result.touched.filter("notified_at is null").select(*fresh.columns)
         alerts += [r.asDict() for r in pending.collect()]
+    rank = {"critical": 0, "warning": 1}
+    alerts.sort(key=lambda a: (rank.get(a["severity"], 2), a["kind"], a["dev_eui"]))  # worst first
     store.write(result.state)
     if not config.notify:
         summary.delivery.unrouted = sum(o.raised for o in summary.outcomes)
