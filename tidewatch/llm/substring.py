@@ -14,7 +14,8 @@ have false hits only, never misses. Beyond some 10^8 blocks they let more window
 grouping then carries up to a row for each word; results stay the same. Documents without a
 marked anchor are final after that pass and never move.
 
-Copies of whole word sequences are set aside: only the first document of each sequence takes part
+Of equal windows of one document only the first is grouped, so a sequence has at most one row for
+each document. Copies of whole word sequences are set aside: only the first document of each sequence takes part
 in the grouping, the others are repeats from end to end.
 
 Defined results: null and empty texts and texts of separators have no words; texts shorter than a
@@ -163,6 +164,23 @@ def _candidates(w: Pieces, shared: np.ndarray | None, window: int, block: int) -
     return at[some], g[some]
 
 
+def _in_document(w: Pieces, at: np.ndarray, g: np.ndarray) -> np.ndarray:
+    return mix(g + mix(w.doc[at].astype(_U)))
+
+
+def _first_of_each(w: Pieces, at: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A document's first window of each word sequence: the verdict on one holds for all of them."""
+    first = np.sort(np.unique(_in_document(w, at, g), return_index=True)[1])
+    return at[first], g[first]
+
+
+def _all_like(w: Pieces, at: np.ndarray, window: int) -> np.ndarray:
+    """All windows of the documents that are equal to those that start at some places."""
+    every, g = _rolling(w, window)
+    key = _in_document(w, every, g)
+    return every[np.isin(key, key[np.searchsorted(every, at)])]
+
+
 def _joined(c: Chunk, w: Pieces, keep: np.ndarray) -> list[bytes]:
     """The kept words of each document, joined by one space."""
     k = np.flatnonzero(keep)
@@ -261,6 +279,7 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
             for c in chunks(b.column("text")):
                 w = Pieces(c)
                 at, g = _candidates(w, shared.value, window, block)
+                at, g = _first_of_each(w, at, g)
                 doc = w.doc[at]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(signed(g)), pa.array(order[c.row + doc]), pa.array((at - w.first[doc]).astype(np.int32))], ["g", "order", "start"]
@@ -288,7 +307,7 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
             for c in chunks(b.column("text")):
                 w = Pieces(c)
                 own = [np.array(starts[c.row + i] or [], np.int64) + w.first[i] for i in range(c.n)]
-                at = np.concatenate(own)
+                at = _all_like(w, np.concatenate(own), window)
                 covered = np.zeros(len(w.start) + window, bool)
                 for j in range(window):
                     covered[at + j] = True
