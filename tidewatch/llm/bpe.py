@@ -32,24 +32,29 @@ from pyspark.sql import functions as F
 
 #: Strings up to this many bytes are encoded directly; encodings of strings up to twice as long are kept.
 LEAF_BYTES = 5
-#: Entries kept by each table of a worker; a full table starts anew.
-KEPT = 1_000_000
+#: Entries of a worker's tables: encodings of texts' parts, of pairs of tokens, of short strings.
+PARTS_KEPT, PAIRS_KEPT, SHORT_KEPT = 220_000, 150_000, 100_000
 #: A space before white space, where a cut could differ from the pattern's.
 _UNSAFE = re.compile(r" \s").search
 
 
-class _Texts(dict):
-    """Ids of parts of texts, written in decimal and joined by spaces; made when first asked for."""
+class _Kept(dict):
+    """A table that makes what it is asked for. When it is full it becomes the older half, from which
+    what is asked for again moves back: what is in use stays, and size is bounded by twice the limit."""
 
-    def __init__(self, codec: Codec):
+    def __init__(self, make, limit: int):
         super().__init__()
-        self.codec = codec
+        self.make, self.limit, self.older = make, limit, {}
 
-    def __missing__(self, part: str) -> str:
-        if len(self) >= KEPT:
+    def __missing__(self, key):
+        if len(self) >= self.limit:
+            self.older = dict(self)
             self.clear()
-        made = self[part] = self.codec.part_text(part)
-        return made
+        found = self.older.pop(key, None)
+        if found is None:
+            found = self.make(key)
+        self[key] = found
+        return found
 
 
 class Codec:
@@ -59,11 +64,12 @@ class Codec:
         self.ranks = ranks
         self.tokens = {i: b for b, i in ranks.items()}
         self.find = regex.compile(pattern).findall
+        self._own = {b: b for b in ranks}  # one object for each token, whoever cuts it out
         self._text = {b: str(i) for b, i in ranks.items()}
         self._token = {str(i): b for b, i in ranks.items()}
-        self._pairs: dict[tuple[bytes, bytes], list[bytes]] = {}
-        self._short: dict[bytes, list[bytes]] = {}
-        self._texts = _Texts(self)
+        self._pairs = _Kept(lambda pair: self._leaf(pair[0] + pair[1]), PAIRS_KEPT)
+        self._short = _Kept(self._halves, SHORT_KEPT)
+        self._texts = _Kept(self.part_text, PARTS_KEPT)
 
     # -- bytes of one piece -----------------------------------------------------------------
 
@@ -85,25 +91,19 @@ class Codec:
                 scores[i] = ranks.get(parts[i] + parts[i + 1], 1 << 60)
             if i:
                 scores[i - 1] = ranks.get(parts[i - 1] + parts[i], 1 << 60)
-        return parts
-
-    def _pair(self, a: bytes, b: bytes) -> list[bytes]:
-        """The encoding of two tokens' bytes; it is the two tokens if they are stable side by side."""
-        known = self._pairs.get((a, b))
-        if known is None:
-            if len(self._pairs) >= KEPT:
-                self._pairs.clear()
-            known = self._pairs[a, b] = self._leaf(a + b)
-        return known
+        return [self._own[p] for p in parts]
 
     def _stable(self, a: bytes, b: bytes) -> bool:
-        return self._pair(a, b) == [a, b]
+        """Whether two tokens' bytes are encoded as these two."""
+        return self._pairs[a, b] == [a, b]
 
     def join(self, left: list[bytes], right: list[bytes]) -> list[bytes]:
         """The encoding of the two encodings' bytes together."""
         if not left or not right:
             return left or right
-        a, b, window = 1, 1, self._pair(left[-1], right[0])
+        a, b, window = 1, 1, self._pairs[left[-1], right[0]]
+        if len(window) == 2 and window[0] == left[-1]:
+            return left + right
         while True:
             grow_left = a < len(left) and not self._stable(left[-a - 1], window[0])
             grow_right = b < len(right) and not self._stable(window[-1], right[b])
@@ -115,23 +115,17 @@ class Codec:
                 b = min(len(right), 2 * b)
             window = self._leaf(b"".join(left[len(left) - a :]) + b"".join(right[:b]))
 
+    def _halves(self, data: bytes) -> list[bytes]:
+        if len(data) <= LEAF_BYTES:
+            return self._leaf(data)
+        half = len(data) // 2
+        return self.join(self.encode_bytes(data[:half]), self.encode_bytes(data[half:]))
+
     def encode_bytes(self, data: bytes) -> list[bytes]:
         """Tokens of one piece, by halves."""
-        if data in self.ranks:
-            return [data]
-        known = self._short.get(data)
-        if known is not None:
-            return known
-        if len(data) <= LEAF_BYTES:
-            known = self._leaf(data)
-        else:
-            half = len(data) // 2
-            known = self.join(self.encode_bytes(data[:half]), self.encode_bytes(data[half:]))
         if len(data) <= 2 * LEAF_BYTES:
-            if len(self._short) >= KEPT:
-                self._short.clear()
-            self._short[data] = known
-        return known
+            return self._short[data]
+        return [data] if data in self.ranks else self._halves(data)
 
     # -- texts --------------------------------------------------------------------------------
 
