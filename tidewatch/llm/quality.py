@@ -131,7 +131,7 @@ def descend(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, limit: np.
     values = []
     for r in rows:
         v = scale[r]
-        values.append(v / max(np.sqrt(v @ v), 1e-12))
+        values.append((v / max(np.sqrt(v @ v), 1e-12)).astype(np.float32))
     square = np.array([v @ v + 1 for v in values])
     order = np.random.default_rng(17)
     for _ in range(PASSES):
@@ -185,12 +185,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     y = np.array([r["label"] for r in sample], float)
     if not (y == 0).any() or not (y == 1).any():
         return Model(scale, np.zeros(SIZE), 0.0, 1.0, 500.0)
-    rows = [np.frombuffer(r["packed"], "<u4").astype(np.int64) for r in sample]
+    rows = [np.frombuffer(r["packed"], "<u4") for r in sample]
     share = np.where(y == 1, size[1] / (y == 1).sum(), size[0] / (y == 0).sum())
     weight, bias = descend(rows, 2 * y - 1, scale, np.full(len(rows), COST))
     model = Model(scale, weight, bias, 1.0, 0.0)
-    edge = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    margin = model.margins(len(rows), edge, np.concatenate(rows) if len(edge) else np.zeros(0, np.int64))
+    margin = np.array([model.margins(1, np.zeros(len(r), np.int64), r)[0] for r in rows])
     model.slope, model.offset = _curve(margin, y, share / share.mean())
     return model
 
@@ -225,13 +224,11 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the classifier accepts, columns as they were."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
-    @F.pandas_udf("boolean")
-    def good(text):
-        import pandas as pd
-
+    @F.arrow_udf("boolean")
+    def good(text: pa.Array) -> pa.Array:
         m, out = model.value, np.zeros(len(text), bool)
-        for first, n, row, feat in features(pa.array(text, pa.string(), from_pandas=True)):
+        for first, n, row, feat in features(text):
             out[first : first + n] = m.scores(m.margins(n, row, feat)) >= 0.5
-        return pd.Series(out)
+        return pa.array(out)
 
     return docs.filter(good(F.col("text")))
