@@ -150,10 +150,9 @@ def materialise(
 def shards(sequences: DataFrame, length: int, per_shard: int) -> DataFrame:
     """Sequences by shard, in slot order within each: shard and offset (the byte at which a slot starts in it)."""
     stride = 2 * length
-    rows = sequences.withColumns(
-        {"shard": F.expr(f"slot DIV {per_shard}"), "offset": F.col("slot") % per_shard * stride}
-    )
-    return rows.repartition("shard").sortWithinPartitions("shard", "slot")
+    shard = F.expr(f"slot DIV {per_shard}")
+    rows = sequences.repartition(shard).sortWithinPartitions("slot")
+    return rows.withColumns({"shard": shard, "offset": F.col("slot") % per_shard * stride})
 
 
 def write_shards(sequences: DataFrame, folder: str, length: int, per_shard: int = 4096) -> DataFrame:
