@@ -206,6 +206,18 @@ def test_pii_bootstrapping(spark):
     assert found[11] == found[12] == found[20] == ""
 
 
+def test_pii_bootstrapping_takes_several_hops(spark):
+    """Instances of a promoted pattern promote the next one, which the base patterns alone don't reach."""
+    chain = ["bob@localhost", "ann@intranet", "eve@corp"], ["dan@lan", "kim@lan", "lee@lan"], ["pat@attic"]
+    rows = [f"please mail to user{i}@host.com today" for i in range(5)] + [f"please mail to {m} today" for m in chain[0]]
+    rows += [f"please write to {m} today" for m in chain[0] + chain[1][:1]]
+    rows += [f"and copy in {m} now" for m in chain[0] + chain[1]] + [f"or call for {m} now" for m in chain[1] + chain[2]]
+    rows += [f"we talk about {m} now" for m in ("a@b1", "a@b2", "a@b3", "a@b4")]
+    found = {t: s for t, s in pii.find(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).select("text", pii.listed("spans")).collect()}
+    spans = {t: f"email:{t.rindex(' ', 0, t.index('@')) + 1}:{t.rindex(' ')}" for t in rows if "talk" not in t}
+    assert found == spans | {t: "" for t in rows if "talk" in t}
+
+
 def test_pii_copies_dont_raise_a_pattern(spark):
     rows = [(i, "please mail to one@host.com today") for i in range(9)] + [(50, "please mail to bob@localhost today")]
     found = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).filter("doc_id = 50").select(pii.listed("spans")).first()[0]

@@ -5,11 +5,14 @@ Base. Four patterns give the leftmost matches that don't overlap; matches that f
 
 Bootstrapping. Base matches are seeds. A lexical pattern is the two words before an identifier and
 its class (with or without @). Candidates are further identifier-like tokens. Patterns and instances
-form a bipartite graph, scored in ROUNDS rounds: a pattern's confidence is the mean score of its
-instances (smoothed), an unseen instance's score is one minus the product of its patterns' doubts,
-seeds count 1. Patterns with MIN_SEEDS distinct seeds and MIN_CONFIDENCE at the end yield their
-unseen instances, as the kind of most of their seeds. Base spans always stay. Instances are counted
-once however often copied, so a text's copies don't raise a pattern.
+form a bipartite graph. In each hop, patterns with MIN_SEEDS distinct known instances (seeds, or
+instances promoted in hops before) are scored in ROUNDS rounds: a pattern's confidence is the mean
+score of its instances (smoothed), an instance's score is one minus the product of its patterns'
+doubts, seeds count 1 and promoted instances at least what they were promoted with. Patterns with
+MIN_CONFIDENCE at the end are promoted, as the kind of most of their known instances, and so are
+their unseen instances, which support further patterns; hops go on until none is promoted. Promoted
+patterns yield their unseen instances. Base spans always stay. Instances are counted once however
+often copied, so a text's copies don't raise a pattern.
 
 The patterns below are equivalent to the plain ones they stand for, with possessive quantifiers and
 a look behind instead of restarts inside a run, so that long runs take linear time. A match's place
@@ -112,27 +115,47 @@ def base_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return df.drop("t", "digit", "_cand", *[f"_{k}" for k in KINDS])
 
 
-def confident_patterns(graph: DataFrame) -> DataFrame:
-    """(context, at, kind): patterns that earned trust, from rows (context, at, m, kind; -1: unseen)."""
-    edges = graph.filter("context <> ''").groupBy("context", "at", "m").agg(F.max("kind").alias("kind"))
-    seeded = edges.filter("kind >= 0").groupBy("context", "at").agg(F.count("*").alias("seeds")).filter(F.col("seeds") >= MIN_SEEDS)
-    edges = table(edges.join(seeded, ["context", "at"]), "pii-edges")
-    score = edges.select("m", F.when(F.col("kind") >= 0, 1.0).otherwise(0.0).alias("score")).groupBy("m").agg(
-        F.max("score").alias("score")
-    )
+def _trusted(edges: DataFrame, known: DataFrame) -> DataFrame:
+    """(context, at, kind, trust): patterns that the known instances (m, is, weight) support and whose trust suffices."""
+    edges = edges.join(known, "m", "left")
+    live = edges.filter("weight is not null").groupBy("context", "at").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_SEEDS)
+    edges = table(edges.join(live.drop("n"), ["context", "at"]).withColumn("weight", F.coalesce("weight", F.lit(0.0))), "pii-live")
+    score = edges.groupBy("m").agg(F.max("weight").alias("score"))
     for _ in range(ROUNDS):
         trust = edges.join(score, "m").groupBy("context", "at").agg((F.sum("score") / (F.count("*") + 0.5)).alias("trust"))
-        new = edges.join(trust, ["context", "at"]).groupBy("m").agg(
-            F.max(F.when(F.col("kind") >= 0, 1.0).otherwise(0.0)).alias("seed"),
-            F.sum(F.log1p(-F.least(F.col("trust"), F.lit(0.999)))).alias("doubt"),
-        )
-        score = table(new.select("m", F.greatest("seed", 1 - F.exp("doubt")).alias("score")), "pii-scores")
+        new = edges.join(trust, ["context", "at"]).groupBy("m").agg(F.max("weight").alias("weight"), _doubt().alias("doubt"))
+        score = table(new.select("m", F.greatest("weight", 1 - F.exp("doubt")).alias("score")), "pii-scores")
     trust = edges.join(score, "m").groupBy("context", "at").agg(
         (F.sum("score") / (F.count("*") + 0.5)).alias("trust"),
-        *[F.count_if(F.col("kind") == k).alias(f"n{k}") for k in range(len(KINDS))],
+        *[F.count_if(F.col("is") == k).alias(f"n{k}") for k in range(len(KINDS))],
     )
     most = F.array_max(F.array(*[F.struct(F.col(f"n{k}").alias("n"), F.lit(-k).alias("k")) for k in range(len(KINDS))]))
-    return trust.filter(F.col("trust") >= MIN_CONFIDENCE).select("context", "at", (-most["k"]).alias("kind"))
+    return trust.filter(F.col("trust") >= MIN_CONFIDENCE).select("context", "at", (-most["k"]).alias("kind"), "trust")
+
+
+def _doubt() -> Column:
+    return F.sum(F.log1p(-F.least(F.col("trust"), F.lit(0.999))))
+
+
+def confident_patterns(graph: DataFrame) -> DataFrame:
+    """(context, at, kind): patterns that earned trust, from rows (context, at, m, kind; -1: unseen)."""
+    edges = graph.filter("context <> ''").select("context", "at", "m").distinct()
+    # Patterns of fewer instances can't get their support, whatever is promoted.
+    wide = edges.groupBy("context", "at").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_SEEDS)
+    edges = table(edges.join(wide.drop("n"), ["context", "at"]), "pii-edges")
+    seeds = graph.filter("kind >= 0").groupBy("m").agg(F.max("kind").alias("is"), F.lit(1.0).alias("weight"))
+    known = table(seeds.join(edges.select("m"), "m", "left_semi"), "pii-known")
+    good = None
+    while True:
+        new = _trusted(edges, known)
+        new = table(new if good is None else new.join(good, ["context", "at"], "left_anti"), "pii-promoted")
+        good = new if good is None else table(good.unionByName(new), "pii-good")
+        if new.isEmpty():
+            return good.select("context", "at", "kind")
+        found = edges.join(new, ["context", "at"]).join(known, "m", "left_anti").groupBy("m").agg(
+            F.max(F.struct("trust", (-F.col("kind")).alias("k"))).alias("best"), _doubt().alias("doubt")
+        )
+        known = table(known.unionByName(found.select("m", (-F.col("best.k")).alias("is"), (1 - F.exp("doubt")).alias("weight"))), "pii-known")
 
 
 def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
