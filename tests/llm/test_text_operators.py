@@ -363,6 +363,23 @@ def test_token_output(spark, docs, corpus, encoding, nothing, tmp_path):
     assert token_output.materialise(nothing, PATH, P.PATTERN, 50256, 32).count() == 0
 
 
+def test_shards_are_fixed_stride_files(spark, docs, tmp_path):
+    got = token_output.materialise(docs, PATH, P.PATTERN, 50256, 32)
+    ids = {r["slot"]: bytes(r["ids"]) for r in got.collect()}
+    folder = tmp_path / "binary"
+    rows = token_output.shards(got, str(folder), 32, per_shard=16).collect()
+    files = sorted(folder.glob("*.bin"))
+    assert not list(folder.glob(".*.tmp")) and b"".join(f.read_bytes() for f in files) == b"".join(ids[s] for s in range(len(ids)))
+    assert len(rows) == len(ids) and len(files) == -(-len(ids) // 16)
+    for r in rows:
+        with open(files[r["shard"]], "rb") as f:
+            f.seek(r["offset"])
+            assert hashlib.sha256(f.read(64)).digest() == bytes(r["digest"]) == hashlib.sha256(ids[r["slot"]]).digest()
+    last = token_output.read_from(spark, str(folder), len(ids) - 3, 50, per_shard=16).collect()
+    assert [(r["slot"], bytes(r["ids"])) for r in last] == [(s, ids[s]) for s in range(len(ids) - 3, len(ids))]
+    assert token_output.shards(got.limit(0), str(tmp_path / "none"), 32).count() == 0
+
+
 # -- 9 ---------------------------------------------------------------------------------------------
 
 

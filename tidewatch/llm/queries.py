@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
 
 from . import bpe, chat, decontaminate, jaccard_join, licenses, pii, quality, rules, substring, token_output
+from .shared import shared_dir
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,9 +59,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    found = token_output.materialise(_read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, end_id=50256, length=512)
-    found = token_output.shards(found, length=512, per_shard=4096)
-    return found.select("doc_id", "part", "n_ids", "number", "slot", "shard", "offset", F.sha2("ids", 256).alias("ids_sha256"))
+    found, n = token_output.numbered(_read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, end_id=50256, length=512)
+    folder = f"{shared_dir(spark).rstrip('/')}/token-shards-{uuid.uuid4().hex}"
+    found = token_output.shards(found, folder, length=512, per_shard=4096, n=n)
+    return found.select("doc_id", "part", "n_ids", "number", "slot", "shard", "offset", F.lower(F.hex("digest")).alias("ids_sha256"))
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,9 +5,11 @@ Every document becomes sequences of `length` token ids: its ids and an end mark,
 doc_id: a range-partitioned sort, totals of the partitions, and positions within them. A keyed
 Feistel permutation with cycle walking (values past n are permuted again) maps the number to its
 global slot in training order: each sequence has its slot from its number alone, no shuffle decides
-it, and the key reproduces it. Ranges of `per_shard` slots are the shards: a
-partitioning by shard and a sort by slot bring each together, and a slot's bytes start at
-(slot mod per_shard) * stride, so that a reader can begin anywhere and resume.
+it, and the key reproduces it. Ranges of `per_shard` slots are the shards: slots are dense, so the
+bounds of the range partitions are known without a sample; each partition sorts its slots and writes
+its shards, each one binary file without a header, under a temporary name that is renamed when the
+file is whole (a task that runs again replaces it by the same bytes). A slot's bytes start at
+(slot mod per_shard) * stride, so that a reader can seek to any slot and resume there.
 
 Defined results: null and empty texts give one sequence of end marks only; documents of equal doc_id
 and nulls (they come first) are ordered by a hash of their text; repeated rows are numbered each;
@@ -18,16 +20,22 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
+import re
+import uuid
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import table
 
 ROUNDS = 6
+#: Shards that one task writes at most, where there are more tasks to have than shuffle partitions.
+SHARDS_A_TASK = 16
 
 
 def _round_keys(key: int) -> list[int]:
@@ -109,6 +117,11 @@ def materialise(
 
     The slot comes from the number by permute(); numbers are dense in order of (doc_id, tie, part).
     """
+    return numbered(docs, path, pattern, end_id, length, key)[0]
+
+
+def numbered(docs: DataFrame, path: str, pattern: str, end_id: int, length: int = 512, key: int = 20240131) -> tuple[DataFrame, int]:
+    """What materialise() returns, and the number of its rows."""
     stored = table(sequences(docs, path, pattern, end_id, length), "sequences")
     counts = stored.groupBy("doc_id", "tie").agg(F.count("*").alias("rows"), (F.max("part") + 1).alias("parts"))
     ordered = table(
@@ -144,26 +157,94 @@ def materialise(
     joined = stored.join(first, stored.doc_id.eqNullSafe(first.d) & (stored.tie == first.t))
     single = joined.filter("copies = 1").withColumn("number", F.col("first") + F.col("part"))
     several = joined.filter("copies > 1").withColumn("number", F.col("first") + F.col("part") * F.col("copies") + same)
-    return single.union(several).withColumn("slot", slot("number")).select("doc_id", "part", "n_ids", "number", "slot", "ids")
+    return single.union(several).withColumn("slot", slot("number")).select("doc_id", "part", "n_ids", "number", "slot", "ids"), n
+
+
+def _open(folder: str) -> tuple[FileSystem, str]:
+    return FileSystem.from_uri(re.sub(r"^file:/+", "/", folder).rstrip("/"))
+
 
+def _file(place: str, shard: int) -> str:
+    return f"{place}/shard-{shard:08d}.bin"
 
-def shards(sequences: DataFrame, length: int, per_shard: int) -> DataFrame:
-    """Sequences by shard, in slot order within each: shard and offset (the byte at which a slot starts in it)."""
-    stride = 2 * length
-    shard = F.expr(f"slot DIV {per_shard}")
-    rows = sequences.repartition(shard).sortWithinPartitions("slot")
-    return rows.withColumns({"shard": shard, "offset": F.col("slot") % per_shard * stride})
+
+def shards(sequences: DataFrame, folder: str, length: int, per_shard: int = 4096, n: int | None = None) -> DataFrame:
+    """Write the shards of sequences (n rows) into folder; returns every sequence's doc_id, part, n_ids, number, slot, shard,
+    offset (the byte of the shard's file at which it starts) and digest (of the bytes written there)."""
+    spark, stride = sequences.sparkSession, 2 * length
+    n = sequences.count() if n is None else n
+    n_shards = -(-n // per_shard)
+    parts = max(1, min(n_shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_shards // SHARDS_A_TASK))))
+    fs, place = _open(folder)
+    fs.create_dir(place, recursive=True)
+    with fs.open_output_stream(f"{place}/layout.json") as f:
+        f.write(json.dumps({"length": length, "per_shard": per_shard, "sequences": n}).encode())
+
+    def write(batches):
+        fs, place = _open(folder)
+        out, name, due = None, None, None
+        for b in batches:
+            slots, ids = b.column("slot").to_pylist(), b.column("ids").to_pylist()
+            for slot, raw in zip(slots, ids):
+                if out is None:
+                    due = slot // per_shard * per_shard
+                    name = f"{place}/.{uuid.uuid4().hex}.tmp"
+                    out = fs.open_output_stream(name)
+                if slot != due or len(raw) != stride:
+                    raise ValueError(f"slot {slot} of {len(raw)} bytes where {due} of {stride} bytes is due")
+                out.write(raw)
+                due += 1
+                if due % per_shard == 0 or due == n:
+                    out.close()
+                    fs.move(name, _file(place, slot // per_shard))
+                    out = None
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[b.column(k) for k in ("doc_id", "part", "n_ids", "number", "slot")],
+                    pa.array([s // per_shard for s in slots], pa.int64()),
+                    pa.array([s % per_shard * stride for s in slots], pa.int64()),
+                    pa.array([hashlib.sha256(x).digest() for x in ids], pa.binary()),
+                ],
+                ["doc_id", "part", "n_ids", "number", "slot", "shard", "offset", "digest"],
+            )
+        if out is not None:
+            raise ValueError(f"slot {due} is missing")
+
+    rows = sequences.repartitionById(parts, F.expr(f"cast((slot DIV {per_shard}) * {parts} DIV {max(1, n_shards)} AS int)"))
+    rows = rows.sortWithinPartitions("slot").mapInArrow(
+        write, "doc_id long, part int, n_ids int, number long, slot long, shard long, offset long, digest binary"
+    )
+    return table(rows, "shards")
 
 
 def write_shards(sequences: DataFrame, folder: str, length: int, per_shard: int = 4096) -> DataFrame:
-    """Write each shard as rows (slot, ids) of a folder shard=N in slot order; returns shard, rows, first_slot."""
-    rows = shards(sequences, length, per_shard).select("shard", "slot", "ids")
-    rows.write.mode("overwrite").partitionBy("shard").parquet(folder)
-    back = sequences.sparkSession.read.parquet(folder)
-    return back.groupBy("shard").agg(F.count("*").alias("rows"), F.min("slot").alias("first_slot"))
+    """Write each shard as one file of folder, sequences of length ids in slot order; returns shard, rows, first_slot."""
+    rows = shards(sequences, folder, length, per_shard)
+    return rows.groupBy("shard").agg(F.count("*").alias("rows"), F.min("slot").alias("first_slot"))
 
 
 def read_from(spark, folder: str, slot: int, count: int, per_shard: int = 4096) -> DataFrame:
-    """Sequences of slots slot to slot + count - 1, in order; only their shards are read."""
-    rows = spark.read.parquet(folder).filter(F.col("shard").between(slot // per_shard, (slot + count - 1) // per_shard))
-    return rows.filter(F.col("slot").between(slot, slot + count - 1)).orderBy("slot")
+    """(slot, ids) of slots slot to slot + count - 1, in order: each shard's file is read from the first slot's byte on."""
+    fs, place = _open(folder)
+    with fs.open_input_stream(f"{place}/layout.json") as f:
+        layout = json.loads(f.read())
+    if layout["per_shard"] != per_shard:
+        raise ValueError(f"the shards have {layout['per_shard']} sequences")
+    stride, end = 2 * layout["length"], min(slot + count, layout["sequences"])
+    first, last = slot // per_shard, -(-end // per_shard)
+
+    def read(batches):
+        fs, place = _open(folder)
+        for b in batches:
+            for shard in b.column("id").to_pylist():
+                at, to = max(slot, shard * per_shard), min(end, (shard + 1) * per_shard)
+                with fs.open_input_file(_file(place, shard)) as f:
+                    f.seek(at % per_shard * stride)
+                    while at < to:
+                        k = min(1024, to - at)
+                        raw = f.read(k * stride)
+                        ids = [raw[i : i + stride] for i in range(0, k * stride, stride)]
+                        yield pa.RecordBatch.from_arrays([pa.array(range(at, at + k), pa.int64()), pa.array(ids, pa.binary())], ["slot", "ids"])
+                        at += k
+
+    return spark.range(first, max(first, last), 1, max(1, last - first)).mapInArrow(read, "slot long, ids binary")
