@@ -401,6 +401,24 @@ def test_licenses(spark, docs, nothing):
     assert licenses.scan(docs).filter("n_matches > 0").count() == 0 and licenses.scan(nothing).count() == 0
 
 
+def test_licenses_all_matches(spark):
+    rng = random.Random(16)
+    wrap = lambda x: "\n".join(" ".join(x.split()[i : i + 9]) for i in range(0, len(x.split()), 9))
+    mit, gpl = licenses.TEMPLATES["MIT"][2], licenses.TEMPLATES["GPL-2.0"][1]
+    short = " ".join(mit.split()[: int(0.72 * len(mit.split()))])
+    rows = [
+        (1, "\n".join([prose(rng, 30), wrap(mit), prose(rng, 30), wrap(gpl), prose(rng, 30)]), 2, "GPL-2.0,MIT"),
+        (2, "\n".join([wrap(mit), prose(rng, 30), wrap(mit)]), 2, "MIT"),
+        (3, prose(rng, 50) + " " + short + " " + prose(rng, 50), 1, "MIT"),
+        (4, prose(rng, 50) + " licensed under the\nMIT License. " + prose(rng, 50), 1, "MIT"),
+        (5, prose(rng, 9) + " " + mit + " " + gpl + " " + mit, 3, "GPL-2.0,MIT"),
+        (6, mit, 1, "MIT"),
+        (7, prose(rng, 50) + " the rights to use, copy, modify " + prose(rng, 50), 0, ""),
+    ]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["n_matches"], r["licenses"]) for r in licenses.scan(df).collect()) == [(i, n, x) for i, _, n, x in rows]
+
+
 def test_size_bound_never_prunes_a_match():
     t = licenses.Templates(licenses.TEMPLATES, 0.8)
     for k, bag in enumerate(t.bags):

@@ -2,10 +2,14 @@
 
 Texts and templates are normalised alike (A-Z in lower case, other characters than letters, digits
 and bytes from 128 on separate words) and taken as multisets of word bigrams. A span of a document
-is compared to a template by 2 * common / (sum of sizes). Spans are single lines, runs of lines of
-about a template's size, and the whole text; a template is a candidate for a span only if the size
-bound 2 * min / (sum) reaches the threshold and the span has a bigram that only few templates have,
-so nearly every line is dropped before any comparison.
+is any run of its bigrams, up to the whole text, and is compared to a template by
+2 * common / (sum of sizes). Bigrams at a span's ends that the template hasn't only lower this, so
+spans from one of the template's own bigrams to another are compared, of all sizes that the size
+bound 2 * min / (sum) admits. A place is looked at only if so many of the template's bigrams stand in
+the longest admitted span that the threshold can be reached, so nearly every text is dropped before
+any comparison. Of a template's spans that overlap the one of the highest coefficient counts, of
+different templates' the one with the most common bigrams; what is left between them is searched
+again, so all matches that don't overlap are found.
 
 Defined results: null and empty texts match nothing; of equal coefficients the first template by
 name wins; repeated rows give repeated results; extra columns don't matter.
@@ -13,6 +17,8 @@ name wins; repeated rows give repeated results; extra columns don't matter.
 
 from __future__ import annotations
 
+import math
+from bisect import bisect
 from collections import Counter
 
 import numpy as np
@@ -110,63 +116,89 @@ class Templates:
                     self.bags.append(Counter(_bigrams(Pieces(c, _SPLIT, lower=True))[1].tolist()))
         self.sizes = np.array([sum(b.values()) for b in self.bags], np.int64)
         self.known = np.unique(np.concatenate([list(b) for b in self.bags])) if self.bags else np.zeros(0, np.int64)
+        #: For each template, which of the known bigrams it has.
+        self.has = [np.isin(self.known, list(b)) for b in self.bags]
 
     def fits(self, size: int) -> np.ndarray:
         """Templates that the size bound admits for a span of so many bigrams."""
         return np.flatnonzero(2 * np.minimum(self.sizes, size) >= self.threshold * (self.sizes + size))
 
-    def best(self, bigrams: list[int], candidates: np.ndarray) -> tuple[float, int]:
-        bag, found = Counter(bigrams), (0.0, -1)
-        for t in candidates.tolist():
-            both = sum(min(n, bag[g]) for g, n in self.bags[t].items() if g in bag)
-            dice = 2 * both / (len(bigrams) + int(self.sizes[t]))
-            if dice > found[0]:
-                found = (dice, t)
-        return found
+    def need(self, k: int) -> tuple[int, int]:
+        """Bigrams of template k that a match has at least, and bigrams of any kind that it has at most."""
+        s, t = int(self.sizes[k]), self.threshold
+        return max(1, math.ceil(s * t / (2 - t) - 1e-9)), math.floor(s * (2 - t) / t + 1e-9)
+
+    def starts(self, k: int, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Numbers of the places, of template k's bigrams in documents, at which a match can begin."""
+        need, most = self.need(k)
+        last = np.arange(need - 1, len(at))
+        first = last - (need - 1)
+        return first[(at[last] - at[first] < most) & (doc[last] == doc[first])]
+
+    def spans(self, k: int, at: list[int], grams: list[int], starts: list[int]) -> list[tuple[float, int, int, int, int]]:
+        """(-dice, -common, first, end, k) of matches that don't overlap, from the places of template k's bigrams in a text."""
+        bag, size, most, found = self.bags[k], int(self.sizes[k]), self.need(k)[1], []
+        for i in starts:
+            seen, common, best = Counter(), 0, None
+            for j in range(i, len(at)):
+                length = at[j] - at[i] + 1
+                if length > most:
+                    break
+                seen[grams[j]] += 1
+                common += seen[grams[j]] <= bag[grams[j]]
+                x = (-2 * common / (length + size), -common, at[i], at[j] + 1, k)
+                if -x[0] >= self.threshold and (best is None or x < best):
+                    best = x
+            if best:
+                found.append(best)
+        return _apart(sorted(found))
+
+
+def _apart(found: list[tuple]) -> list[tuple]:
+    """The matches of a list that overlap none before them."""
+    out, taken = [], []
+    for x in found:
+        i = bisect(taken, (x[2], x[3]))
+        if (i == 0 or taken[i - 1][1] <= x[2]) and (i == len(taken) or x[3] <= taken[i][0]):
+            taken.insert(i, (x[2], x[3]))
+            out.append(x)
+    return out
 
 
-def _scan(t: Templates, c, first_line: np.ndarray, line_doc: np.ndarray) -> list[tuple[int, int, int, float, int]]:
-    """(row in run, first line, lines, dice, template): the best match of each document's spans over the threshold."""
+def _scan(t: Templates, c) -> list[tuple[int, float, int]]:
+    """(row in run, dice, template) of every match."""
     w = Pieces(c, _SPLIT, lower=True)
     at, gram = _bigrams(w)
     if not len(gram):
         return []
     pos = np.searchsorted(t.known, gram)
     pos[pos == len(t.known)] = 0
-    hit = t.known[pos] == gram
-    line = np.searchsorted(first_line, w.start[at], "right") - 1
-    crosses = line != np.searchsorted(first_line, w.start[at + 1], "right") - 1
-    n_lines = len(first_line)
-    size = np.bincount(line[~crosses], minlength=n_lines)
-    known = np.bincount(line[~crosses & hit], minlength=n_lines)
-    tails = np.searchsorted(line, np.arange(n_lines + 1))
-    out, tried = [], set()
-    # A line alone: its known bigrams bound the coefficient.
-    for k in np.flatnonzero((known > 0) & (2 * known >= t.threshold * (size + 1))):
-        own = slice(tails[k], tails[k + 1])
-        grams = gram[own][~crosses[own]].tolist()
-        dice, best = t.best(grams, t.fits(len(grams)))
-        if dice >= t.threshold:
-            out.append((int(line_doc[k]), int(k), 1, dice, best))
-            tried.add(int(line_doc[k]))
-    # Runs of lines, where a document has many known bigrams: windows of each template's size at the densest place.
-    per_doc = np.bincount(w.doc[at][hit], minlength=c.n)
-    least = int(t.sizes.min())
-    start_of = np.searchsorted(w.doc[at], np.arange(c.n + 1))
-    for d in np.flatnonzero(per_doc >= max(8, least)):
-        own = slice(start_of[d], start_of[d + 1])
-        g, h = gram[own], hit[own]
-        cum = np.concatenate([[0], np.cumsum(h)])
-        for k, s in enumerate(t.sizes.tolist()):
-            if s < 16 or 2 * min(s, int(per_doc[d])) < t.threshold * 2 * s:
-                continue
-            width = min(s, len(g))
-            dense = cum[width:] - cum[: len(cum) - width]
-            a = int(dense.argmax())
-            if 2 * dense[a] >= t.threshold * (s + width):
-                dice, _ = t.best(g[a : a + width].tolist(), np.array([k]))
-                if dice >= t.threshold:
-                    out.append((int(d), int(line[own][a]), int(line[own][a + width - 1] - line[own][a] + 1), dice, k))
+    hit = np.flatnonzero(t.known[pos] == gram)
+    pos, doc = pos[hit], w.doc[at][hit]
+    places, out = {}, []
+    # Documents, and templates that some place of theirs can match.
+    likely: dict[int, list[int]] = {}
+    for k in np.flatnonzero(t.sizes > 0).tolist():
+        own = np.flatnonzero(t.has[k][pos])
+        places[k] = hit[own]
+        for d in np.unique(doc[own][t.starts(k, hit[own], doc[own])]).tolist():
+            likely.setdefault(d, []).append(k)
+    first = np.searchsorted(w.doc[at], np.arange(c.n + 1)).tolist()
+    for d, templates in likely.items():
+        stretches = [(first[d], first[d + 1])]
+        while stretches:
+            lo, hi = stretches.pop()
+            found = []
+            for k in templates:
+                own = places[k][slice(*np.searchsorted(places[k], (lo, hi)))]
+                starts = t.starts(k, own, np.zeros(len(own)))
+                if len(starts):
+                    found += t.spans(k, own.tolist(), gram[own].tolist(), starts.tolist())
+            found = _apart(sorted(found, key=lambda x: (x[1], x[0], x[4], x[2])))
+            out += [(d, -x[0], x[4]) for x in found]
+            if found:
+                ends = [lo, *[e for x in sorted(found, key=lambda x: x[2]) for e in x[2:4]], hi]
+                stretches += [(a, b) for a, b in zip(ends[::2], ends[1::2]) if a < b]
     return out
 
 
@@ -178,12 +210,9 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, t
         t = Templates(texts, threshold)
         for b in batches:
             for c in chunks(b.column("text")):
-                after = np.flatnonzero(c.buf == 10) + 1
-                first_line = np.unique(np.concatenate([c.offsets[:-1], after[after < len(c.buf)]]))
-                line_doc = np.searchsorted(c.offsets, first_line, "right") - 1
                 n, best = [0] * c.n, [None] * c.n
                 names: list[set[str]] = [set() for _ in range(c.n)]
-                for d, _, _, dice, k in _scan(t, c, first_line, line_doc):
+                for d, dice, k in _scan(t, c):
                     n[d] += 1
                     names[d].add(t.names[k])
                     if best[d] is None or (-dice, t.names[k]) < (-best[d][0], best[d][1]):
