@@ -79,6 +79,20 @@ def test_empty(nothing, docs):
     assert J.keep_one(nothing).columns == docs.columns
 
 
+def test_null_ids_and_equal_ids(spark):
+    """Copies without an id don't hide a class; texts of one id stay apart, and their components merge."""
+    rng = random.Random(21)
+    a, b, c, d = ([f"{x}{rng.randrange(500)}" for _ in range(60)] for x in "abcd")
+    near = lambda w: " ".join([*w[:30], "other", *w[31:]])
+    rows = [(None, " ".join(a)), (None, " ".join(a)), (1, " ".join(a)), (2, near(a)), (None, " ".join(b)), (None, near(b)), (3, near(b))]
+    rows += [(4, " ".join(c)), (4, " ".join(d)), (5, near(c)), (6, near(d))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in J.near_duplicates(df, 4, 80).collect()]
+    assert {(x, z) for x, _, z in got if x is not None} == {(1, 1), (2, 1), (3, 3), (4, 4), (5, 4), (6, 4)}
+    assert sorted(got, key=repr) == brute(rows, 4, 80)
+    assert {r["doc_id"] for r in J.keep_one(df).collect()} == {None, 1, 3, 4}
+
+
 def test_keep_one(docs, corpus):
     kept = J.keep_one(docs)
     assert kept.columns == docs.columns

@@ -92,7 +92,7 @@ def _sets(col: pa.Array, words: int) -> Iterator[tuple[int, int, np.ndarray, np.
 
 
 def classes(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, set_class, n_shingles, sketch) of every row; set_class is null without shingles.
+    """(id, key, set_class, n_shingles, sketch) of every row; set_class is null without shingles.
 
     sketch: parities of the tokens' counts in 1024 buckets, or in four times the set's size rounded
     up to a power of two.
@@ -112,15 +112,15 @@ def classes(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column("id").slice(row, n),
+                        b.column("key").slice(row, n),
                         pa.array(signed(cls), mask=size == 0),
                         pa.array(size, pa.int64()),
                         sketch.cast(pa.binary()),
                     ],
-                    ["id", "set_class", "n_shingles", "sketch"],
+                    ["id", "key", "set_class", "n_shingles", "sketch"],
                 )
 
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, "id long, set_class long, n_shingles long, sketch binary")
+    return _source(docs, id_col, text_col).mapInArrow(run, "id long, key long, set_class long, n_shingles long, sketch binary")
 
 
 def _signatures(texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -316,14 +316,20 @@ def _propose(lists: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return grouped.groupBy("list", "i", "j").applyInArrow(run, "centre long, cls long").distinct()
 
 
+def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, key) of every row: key is the same only for rows of the same id (or none) and text."""
+    id_, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    return docs.select(id_.alias("id"), text.alias("text"), F.xxhash64(id_.isNull(), id_, text).alias("key"))
+
+
 def class_links(docs: DataFrame, known: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """(node, label): components of classes that link with another class."""
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    source = _source(docs, id_col, text_col).select("key", "text")
     lists = table(_postings(_signatures(source.select("text"), words, percent)), "lists")
     pairs = lists.filter("centre <> cls").select("centre", "cls").distinct()
     first = known.filter("set_class is not null").groupBy(F.col("set_class").alias("cls")).agg(
-        F.min(F.struct("id", F.col("n_shingles").alias("size"), "sketch")).alias("x")
-    ).select("cls", "x.*")
+        F.min(F.struct(F.col("id").isNull().alias("without_id"), "id", "key", F.col("n_shingles").alias("size"), "sketch")).alias("x")
+    ).select("cls", "x.key", "x.size", "x.sketch")
     needed = lists.select("cls").distinct()  # centres are members as well
     first = table(first.join(needed, "cls"), "first")
     sketches = first.select("cls", "size", "sketch")
@@ -331,7 +337,8 @@ def class_links(docs: DataFrame, known: DataFrame, words: int, percent: int, id_
     def verified(plausible: DataFrame) -> DataFrame:
         plausible = table(plausible, "pairs")
         asked = plausible.select("cls").union(plausible.select(F.col("centre").alias("cls"))).distinct()
-        texts = first.join(asked, "cls").select("id", "cls").join(source, "id").select("cls", "text")
+        # Rows of one key have equal texts: one of them does.
+        texts = first.join(asked, "cls").select("key", "cls").join(source, "key").select("cls", "text").dropDuplicates(["cls"])
         return table(_verify_centres(plausible, table(texts, "texts"), words, percent), "links")
 
     links = verified(_plausible(pairs, sketches, percent))
@@ -345,7 +352,9 @@ def class_links(docs: DataFrame, known: DataFrame, words: int, percent: int, id_
     once = per_sig.groupBy("n", "s").agg(F.min("sig").alias("sig")).select("sig")
     left = table(open_.join(once, "sig"), "open")
     proposed = _propose(_clusters(left), sketches, percent)
-    return components(links.union(verified(proposed.join(pairs, ["centre", "cls"], "left_anti"))))
+    low = known.filter("id is not null and set_class is not null").groupBy("id").agg(F.min("set_class").alias("dst"), F.max("set_class").alias("top"))
+    same_id = known.join(low.filter("dst <> top"), "id").filter("set_class <> dst").select(F.col("set_class").alias("src"), "dst").distinct()
+    return components(links.union(same_id).union(verified(proposed.join(pairs, ["centre", "cls"], "left_anti"))))
 
 
 def near_duplicates(
