@@ -2,12 +2,12 @@
 
 Every document becomes sequences of `length` token ids: its ids and an end mark, cut into pieces of
 `length`, the last one filled up with end marks. Sequences are numbered 0 to n - 1 in order of
-doc_id: a range-partitioned sort, totals of the partitions, and positions within them. A keyed
-Feistel permutation with cycle walking (values past n are permuted again) maps the number to its
+doc_id: texts are sorted in range partitions and encoded there, so that a number is the partition's
+first one and a position in it, and no join brings it to the ids. A keyed Feistel permutation with cycle walking (values past n are permuted again) maps the number to its
 global slot in training order: each sequence has its slot from its number alone, no shuffle decides
 it, and the key reproduces it. Ranges of `per_shard` slots are the shards: slots are dense, so the
-bounds of the range partitions are known without a sample; each partition sorts its slots and writes
-its shards, each one binary file without a header, under a temporary name that is renamed when the
+bounds of the range partitions are known without a sample; PASSES ranges of slots are shuffled one after
+the other, which bounds the disk that shuffles take; each partition sorts its slots and writes its shards, each one binary file without a header, under a temporary name that is renamed when the
 file is whole (a task that runs again replaces it by the same bytes). A slot's bytes start at
 (slot mod per_shard) * stride, so that a reader can seek to any slot and resume there.
 
@@ -23,12 +23,13 @@ import hashlib
 import json
 import re
 import uuid
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow.fs import FileSystem
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import table
@@ -36,6 +37,8 @@ from .shared import table
 ROUNDS = 6
 #: Shards that one task writes at most, where there are more tasks to have than shuffle partitions.
 SHARDS_A_TASK = 16
+#: Slot ranges that are shuffled and written one after the other, so that only this part of all ids is in shuffle files at once.
+PASSES = 4
 
 
 def _round_keys(key: int) -> list[int]:
@@ -75,39 +78,40 @@ def _encoder(path: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def sequences(docs: DataFrame, path: str, pattern: str, end_id: int, length: int) -> DataFrame:
-    """(doc_id, tie, part, n_ids, ids): sequences of each row; ids are length little-endian two-byte ids."""
+def _stored(docs: DataFrame, path: str, pattern: str, end_id: int, length: int) -> DataFrame:
+    """(p, i, doc_id, part, n_ids, ids) of each sequence, as a table: texts are range-partitioned by (doc_id, tie) and
+    encoded in that order; i counts the sequences of range partition p. ids are length little-endian two-byte ids."""
 
     def run(batches):
         encode = _encoder(path, pattern).encode_ordinary
-        stride, end = 2 * length, int(end_id).to_bytes(2, "little")
+        stride, end, at = 2 * length, int(end_id).to_bytes(2, "little"), 0
+
+        def batch():
+            return pa.RecordBatch.from_arrays(
+                [pa.array(x, t) for x, t in zip(out, (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))],
+                ["p", "i", "doc_id", "part", "n_ids", "ids"],
+            )
+
         for b in batches:
-            doc, tie, part, count, ids = [], [], [], [], []
-
-            def batch():
-                return pa.RecordBatch.from_arrays(
-                    [pa.array(doc, pa.int64()), pa.array(tie, pa.int64()), pa.array(part, pa.int32()), pa.array(count, pa.int32()), pa.array(ids, pa.binary())],
-                    ["doc_id", "tie", "part", "n_ids", "ids"],
-                )
-
-            for d, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
-                text = text.as_py() or ""
-                raw = np.array(encode(text), "<u2").tobytes() + end
-                own = int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
-                for k, at in enumerate(range(0, len(raw), stride)):
-                    piece = raw[at : at + stride]
-                    doc.append(d)
-                    tie.append(own)
-                    part.append(k)
-                    count.append(len(piece) // 2)
-                    ids.append(piece + end * ((stride - len(piece)) // 2))
-                if len(ids) >= 4096:
+            out: tuple[list, ...] = ([], [], [], [], [], [])
+            for p, d, text in zip(b.column("p").to_pylist(), b.column("doc_id").to_pylist(), b.column("text")):
+                raw = np.array(encode(text.as_py() or ""), "<u2").tobytes() + end
+                for k, x in enumerate(range(0, len(raw), stride)):
+                    piece = raw[x : x + stride]
+                    for column, value in zip(out, (p, at, d, k, len(piece) // 2, piece + end * ((stride - len(piece)) // 2))):
+                        column.append(value)
+                    at += 1
+                if len(out[0]) >= 4096:
                     yield batch()
-                    doc, tie, part, count, ids = [], [], [], [], []
+                    out = ([], [], [], [], [], [])
             yield batch()
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, tie long, part int, n_ids int, ids binary")
+    text = F.col("text").cast("string")
+    # Equal rows are alike, so they may be parted: a third of all rows with one id and text aren't one task's work.
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tie"), F.monotonically_increasing_id().alias("row"))
+    ordered = source.repartitionByRange("doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie", "row")
+    rows = ordered.select(F.spark_partition_id().alias("p"), "doc_id", "text").mapInArrow(run, "p int, i long, doc_id long, part int, n_ids int, ids binary")
+    return table(rows, "sequences")
 
 
 def materialise(
@@ -122,42 +126,22 @@ def materialise(
 
 def numbered(docs: DataFrame, path: str, pattern: str, end_id: int, length: int = 512, key: int = 20240131) -> tuple[DataFrame, int]:
     """What materialise() returns, and the number of its rows."""
-    stored = table(sequences(docs, path, pattern, end_id, length), "sequences")
-    counts = stored.groupBy("doc_id", "tie").agg(F.count("*").alias("rows"), (F.max("part") + 1).alias("parts"))
-    ordered = table(
-        counts.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").withColumns({"p": F.spark_partition_id(), "i": F.monotonically_increasing_id()}),
-        "order",
-    )
-    n, starts = 0, {}
-    for p, count in sorted((r["p"], r["n"]) for r in ordered.groupBy("p").agg(F.sum("rows").alias("n")).collect()):
-        starts[p], n = n, n + count
-
-    def number(batches):
-        at, last = 0, None
-        for b in batches:
-            p, rows = b.column("p").to_pylist(), b.column("rows").to_pylist()
-            first = []
-            for q, r in zip(p, rows):
-                if q != last:
-                    at, last = starts[q], q
-                first.append(at)
-                at += r
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tie"), pa.array(first, pa.int64()), pa.array([r // k for r, k in zip(rows, b.column("parts").to_pylist())], pa.int64())], ["d", "t", "first", "copies"])
-
-    first = ordered.repartition("p").sortWithinPartitions("p", "i").mapInArrow(number, "d long, t long, first long, copies long")
+    stored = _stored(docs, path, pattern, end_id, length)
+    sizes = {r["p"]: r["n"] for r in stored.groupBy("p").agg(F.count("*").alias("n")).collect()}  # a row for each range partition
+    starts, n = np.zeros(max(sizes, default=0) + 1, np.int64), 0
+    for p in sorted(sizes):
+        starts[p], n = n, n + sizes[p]
 
     @F.pandas_udf("long")
-    def slot(x):
-        import pandas as pd
+    def number(p: pd.Series, i: pd.Series) -> pd.Series:
+        return pd.Series(starts[p.to_numpy()] + i.to_numpy())
 
+    @F.pandas_udf("long")
+    def slot(x: pd.Series) -> pd.Series:
         return pd.Series(permute(x.to_numpy(), n, key))
 
-    # Equal rows (same id, same text) are alike; which of them gets which of their numbers makes no difference.
-    same = F.when(F.col("copies") > 1, F.row_number().over(Window.partitionBy("doc_id", "tie", "part").orderBy("n_ids")) - 1).otherwise(F.lit(0))
-    joined = stored.join(first, stored.doc_id.eqNullSafe(first.d) & (stored.tie == first.t))
-    single = joined.filter("copies = 1").withColumn("number", F.col("first") + F.col("part"))
-    several = joined.filter("copies > 1").withColumn("number", F.col("first") + F.col("part") * F.col("copies") + same)
-    return single.union(several).withColumn("slot", slot("number")).select("doc_id", "part", "n_ids", "number", "slot", "ids"), n
+    rows = stored.withColumn("number", number("p", "i")).withColumn("slot", slot("number"))
+    return rows.select("doc_id", "part", "n_ids", "number", "slot", "ids"), n
 
 
 def _open(folder: str) -> tuple[FileSystem, str]:
@@ -170,11 +154,11 @@ def _file(place: str, shard: int) -> str:
 
 def shards(sequences: DataFrame, folder: str, length: int, per_shard: int = 4096, n: int | None = None) -> DataFrame:
     """Write the shards of sequences (n rows) into folder; returns every sequence's doc_id, part, n_ids, number, slot, shard,
-    offset (the byte of the shard's file at which it starts) and digest (of the bytes written there)."""
+    offset (the byte of the shard's file at which it starts) and digest (of the bytes written there). sequences is
+    read once for each pass, so it should come from a stored table, as numbered() gives it."""
     spark, stride = sequences.sparkSession, 2 * length
     n = sequences.count() if n is None else n
     n_shards = -(-n // per_shard)
-    parts = max(1, min(n_shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_shards // SHARDS_A_TASK))))
     fs, place = _open(folder)
     fs.create_dir(place, recursive=True)
     with fs.open_output_stream(f"{place}/layout.json") as f:
@@ -210,11 +194,17 @@ def shards(sequences: DataFrame, folder: str, length: int, per_shard: int = 4096
         if out is not None:
             raise ValueError(f"slot {due} is missing")
 
-    rows = sequences.repartitionById(parts, F.expr(f"cast((slot DIV {per_shard}) * {parts} DIV {max(1, n_shards)} AS int)"))
-    rows = rows.sortWithinPartitions("slot").mapInArrow(
-        write, "doc_id long, part int, n_ids int, number long, slot long, shard long, offset long, digest binary"
-    )
-    return table(rows, "shards")
+    done = []
+    edges = [n_shards * k // PASSES for k in range(PASSES + 1)]
+    for first, last in [(a, b) for a, b in zip(edges, edges[1:]) if a < b] or [(0, 0)]:
+        parts = max(1, min(last - first, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(last - first) // SHARDS_A_TASK))))
+        own = sequences.filter((F.col("slot") >= first * per_shard) & (F.col("slot") < last * per_shard))
+        rows = own.repartitionById(parts, F.expr(f"cast((slot DIV {per_shard} - {first}) * {parts} DIV {max(1, last - first)} AS int)"))
+        rows = rows.sortWithinPartitions("slot").mapInArrow(
+            write, "doc_id long, part int, n_ids int, number long, slot long, shard long, offset long, digest binary"
+        )
+        done.append(table(rows, "shards"))
+    return reduce(DataFrame.union, done)
 
 
 def write_shards(sequences: DataFrame, folder: str, length: int, per_shard: int = 4096) -> DataFrame:
