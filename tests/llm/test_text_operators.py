@@ -156,6 +156,22 @@ def test_substring_full_filters(docs, corpus, monkeypatch):
     assert got == brute_substring(corpus)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_substring_null_and_repeated_ids(spark, seed):
+    """Rows without an id, and rows of one id with different texts, each keep their own word positions."""
+    rng = random.Random(seed)
+    shared = [prose(rng, 13) for _ in range(6)]
+    rows = [(1, prose(rng, 30) + " " + shared[0]), (5, shared[0] + " " + prose(rng, 3)), (5, prose(rng, 30) + " " + shared[0])]
+    rows += [(None, shared[0] + " " + prose(rng, 9)), (None, prose(rng, 9) + " " + shared[0]), (None, None), (5, "")]
+    for _ in range(80):
+        parts = [rng.choice(shared) if rng.random() < 0.4 else prose(rng, rng.randrange(1, 40)) for _ in range(rng.randrange(1, 6))]
+        rows.append((rng.choice([None, None, 5, 6, 7, rng.randrange(100)]), " ".join(parts)))
+    rows += rows[-5:] + [(9, rows[-1][1]), (None, rows[-2][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((repr(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.remove_repeats(df).collect())
+    assert got == brute_substring(rows)
+
+
 def test_substring_empty(nothing):
     assert substring.remove_repeats(nothing).count() == 0
 

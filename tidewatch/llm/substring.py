@@ -3,16 +3,20 @@
 Index: the non-overlapping reference blocks of BLOCK words of every document. Probes: every
 rolling window of BLOCK words. A repeat of at least `window` = 13 words contains a whole reference
 block of either document (13 >= 2 * BLOCK - 1), so each repeat has an anchor: a position whose
-BLOCK words are a reference block elsewhere. Around anchors, whole windows of `window` words are
-compared exactly, by one grouping of their hashes that keeps the smallest document of each; chains
-of covered windows are the maximal exact repeats.
+BLOCK words are a reference block elsewhere.
 
 Anchors are found without moving a row for each probe: hashes of reference blocks go into a Bloom
 filter of fixed size (BITS bits, 32 MB, whatever the input), probes that hit it mark their hash in a
-second one, and windows none of whose anchors is marked are left out before the shuffle. The filters
-have false hits only, never misses. Beyond some 10^8 blocks they let more windows through, and the
-grouping then carries up to a row for each word; results stay the same. Documents without a
-marked anchor are final after that pass and never move.
+second one; a place whose hash is marked is an anchor. The filters have false hits only, never
+misses. Beyond some 10^8 blocks they let more places through, and the grouping then carries up to a
+row for each word; results stay the same. Documents without an anchor are final after that pass and
+never move.
+
+Extension: a hit isn't extended against each document that has its block, which would be all pairs
+of a group of copies. Each anchor is extended to both sides by its whole windows of `window` words,
+and equal windows of all documents meet by their hashes: partial sums give each window's first
+document, and where that is an earlier one, the window is a repeat. Neighbouring repeats join, which
+makes them the maximal exact repeats of the document in earlier ones.
 
 Of equal windows of one document only the first is grouped, so a sequence has at most one row for
 each document. Copies of whole word sequences are set aside: only the first document of each sequence takes part
@@ -21,7 +25,8 @@ in the grouping, the others are repeats from end to end.
 Defined results: null and empty texts and texts of separators have no words; texts shorter than a
 window keep everything; a repeat within one document alone isn't removed; of rows with one doc_id
 none counts as earlier than another; a null doc_id is later than all others; extra columns don't
-matter. Equality of words, windows and sequences is equality of 64-bit hashes.
+matter. Equality of words, windows and sequences is equality of 64-bit hashes. Rows are told apart by
+doc_id and text together, so rows of one doc_id may have different texts.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import table
@@ -203,7 +208,9 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (null: nothing was removed), kept_sha256 of every row of docs (doc_id, text)."""
     block = (window + 1) // 2
     sc = docs.sparkSession.sparkContext
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    id_, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    # key: the same only for rows of one doc_id (or none) and one text; doc_id alone doesn't tell rows apart.
+    docs = docs.select(id_.alias("doc_id"), text.alias("text"), F.xxhash64(id_.isNull(), id_, text).alias("key"))
 
     def index(batches):
         for b in batches:
@@ -243,16 +250,17 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column("doc_id").slice(c.row, c.n),
+                        b.column("key").slice(c.row, c.n),
                         pa.array(w.per_doc.astype(np.int64)),
                         pa.array([_digest(x) for x in _joined(c, w, np.ones(len(w.start), bool))], pa.string()),
                         pa.array(signed(seq)),
                         pa.array(again),
                         pa.array([c.text_bytes(i).decode() if hard[i] else None for i in range(c.n)], pa.string()),
                     ],
-                    ["doc_id", "n_words", "sha", "seq", "again", "text"],
+                    ["doc_id", "key", "n_words", "sha", "seq", "again", "text"],
                 )
 
-    rows = table(docs.mapInArrow(split, "doc_id long, n_words long, sha string, seq long, again boolean, text string"), "split")
+    rows = table(docs.mapInArrow(split, "doc_id long, key long, n_words long, sha string, seq long, again boolean, text string"), "split")
     easy = rows.filter("text is null").select(
         "doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.lit(None).cast("string").alias("kept_text"), F.col("sha").alias("kept_sha256")
     )
@@ -269,36 +277,38 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
         F.when(long, F.lit("")).alias("kept_text"),
         F.when(long, F.sha2(F.lit(""), 256)).otherwise(F.col("sha")).alias("kept_sha256"),
     )
-    columns = ["doc_id", "order", "n_words", "sha", "text"]
+    columns = ["doc_id", "order", "key", "n_words", "sha", "text"]
     firsts = twice.join(later.select("order", "seq").distinct(), ["order", "seq"], "left_anti")
     own = hard.filter("not again").select(*columns).union(firsts.select(*columns))
 
     def windows(batches):
         for b in batches:
-            order = b.column("order").to_numpy()
+            order, key = b.column("order").to_numpy(), b.column("key").to_numpy()
             for c in chunks(b.column("text")):
                 w = Pieces(c)
                 at, g = _candidates(w, shared.value, window, block)
                 at, g = _first_of_each(w, at, g)
                 doc = w.doc[at]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(g)), pa.array(order[c.row + doc]), pa.array((at - w.first[doc]).astype(np.int32))], ["g", "order", "start"]
+                    [pa.array(signed(g)), pa.array(order[c.row + doc]), pa.array(key[c.row + doc]), pa.array((at - w.first[doc]).astype(np.int32))],
+                    ["g", "order", "key", "start"],
                 )
 
-    grams = own.select("order", "text").mapInArrow(windows, "g long, order long, start int")
-    earlier = F.min("order").over(Window.partitionBy("g"))
-    starts = grams.withColumn("low", earlier).filter("order > low").groupBy("order").agg(F.collect_set("start").alias("starts"))
+    grams = table(own.select("order", "key", "text").mapInArrow(windows, "g long, order long, key long, start int"), "windows")
+    # The first document of each window comes from partial sums, and a join brings it back: Spark can split a common window's rows.
+    shared_by = grams.groupBy("g").agg(F.min("order").alias("low"), F.max("order").alias("high")).filter("low < high").select("g", "low")
+    starts = grams.join(shared_by, "g").filter("order > low").groupBy("key").agg(F.collect_set("start").alias("starts"))
     starts = table(starts, "starts")
 
     def mark(batches):
         for b in batches:
-            yield _mark_batch(_marks(_SEQ, _seq_bits(mix(b.column("order").to_numpy().view(_U)))))
+            yield _mark_batch(_marks(_SEQ, _seq_bits(mix(b.column("key").to_numpy().view(_U)))))
 
-    touched = sc.broadcast(_bitmaps(starts.select("order").mapInArrow(mark, _MARK)).get(_SEQ, (None, None))[0])
+    touched = sc.broadcast(_bitmaps(starts.select("key").mapInArrow(mark, _MARK)).get(_SEQ, (None, None))[0])
 
     @F.pandas_udf("boolean")
-    def may_change(order: pd.Series) -> pd.Series:
-        return pd.Series(_has(touched.value, _seq_bits(mix(order.to_numpy().view(_U)))))
+    def may_change(key: pd.Series) -> pd.Series:
+        return pd.Series(_has(touched.value, _seq_bits(mix(key.to_numpy().view(_U)))))
 
     def cut(batches):
         for b in batches:
@@ -323,10 +333,10 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
                 ["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"],
             )
 
-    own = own.withColumn("changes", may_change("order"))  # false: surely not, and its text needn't move
+    own = own.withColumn("changes", may_change("key"))  # false: surely not, and its text needn't move
     same = own.filter("not changes").select(
         "doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.lit(None).cast("string").alias("kept_text"), F.col("sha").alias("kept_sha256")
     )
-    changed = own.filter("changes").join(starts, "order", "left").select("doc_id", "text", "starts")
+    changed = own.filter("changes").join(starts, "key", "left").select("doc_id", "text", "starts")
     changed = changed.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
     return easy.union(copies).union(same).union(changed)
