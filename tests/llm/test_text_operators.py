@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -283,11 +284,94 @@ def test_decontamination_in_blocks_of_items(spark, monkeypatch):
     df = spark.createDataFrame([(i, prose(rng, 90) + " " + t) for i, t in items], "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     whole = sorted(map(tuple, decontaminate.matches(df, bench).collect()))
-    monkeypatch.setattr(decontaminate, "ITEMS", 16)
+    monkeypatch.setattr(decontaminate, "ITEMS", 8)
     parts = sorted(map(tuple, decontaminate.matches(df, bench).collect()))
     assert [x[:2] for x in whole] == [x[:2] for x in parts] == [(i, i) for i in range(40)]
 
 
+def brute_leaks(rows, items):
+    """Every (doc_id, item_id) by full BM25 scores of all pieces in all passages, and exact runs and pairs of words."""
+    low = lambda t: words("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    items = [(i, low(t)) for i, t in dict.fromkeys(items) if i is not None and low(t)]
+    df = Counter(x for _, w in items for x in set(w))
+    mean, size = sum(len(w) for _, w in items) / max(1, len(items)), decontaminate.PASSAGE - decontaminate.STEP
+
+    def score(piece, having):
+        return sum(
+            math.log1p((len(items) - df[x] + 0.5) / (df[x] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(piece) / max(mean, 1)))
+            for x, tf in Counter(piece).items() if x in having
+        )
+
+    grams = lambda w, n: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+    out = set()
+    for d, t in rows:
+        w = low(t)
+        starts = range(0, max(1, len(w) - decontaminate.PASSAGE + decontaminate.STEP), decontaminate.STEP)
+        for i, item in items:
+            n = -(-len(item) // size)
+            step = -(-len(item) // n)
+            pieces = [item[k : k + step] for k in range(0, len(item), step)]
+            around = len(item) if n > 1 else 0
+            own = set()
+            for p in starts:
+                have = set(w[p : p + decontaminate.PASSAGE])
+                if any(score(x, have) >= 0.5 * score(x, set(x)) for x in pieces):
+                    own |= set(range(max(0, p - around), min(len(w), p + decontaminate.PASSAGE + around)))
+            spans, at = [], sorted(own)
+            for k in at:
+                if k - 1 not in own:
+                    spans.append([])
+                spans[-1].append(w[k])
+            n = min(5, len(item))
+            runs = set().union(*[grams(x, n) for x in spans])
+            two = set().union(*[grams(x, 2) for x in spans])
+            ends = [k + 1 for k, x in enumerate(item[:-1]) if x[-1] in ".?!"]
+            cut = ends[-1] if ends else 0
+            parts = [grams(x, 2) for x in (item[:cut], item[cut:]) if len(x) >= 4]
+            need = grams(item, n)
+            if spans and len(need & runs) / len(need) >= 0.5 and all(len(x & two) / len(x) >= 0.5 for x in parts if x):
+                out.add((d, i))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_decontamination_against_brute_force(spark, seed):
+    """Items of 3 to 1500 words, whole, in part and changed, in texts of all lengths."""
+    rng = random.Random(seed)
+    items = [(i, prose(rng, n - n // 3) + ". " + prose(rng, n // 3)) for i, n in enumerate((3, 8, 20, 30, 45, 60, 64, 65, 100, 129, 200, 256, 300, 400, 700, 1500) * 2)]
+    items += [(900, None), (901, ""), (None, prose(rng, 30)), items[3], (4, prose(rng, 33))]
+    rows = [(i, prose(rng, rng.choice((10, 300)))) for i in range(20)]
+    for i, t in items:
+        w = words(t)
+        for k in range(2):
+            part = w[: rng.choice((len(w), len(w), len(w) * 2 // 3, len(w) // 3))]
+            part = [rng.choice(WORDS) if rng.random() < rng.choice((0, 0.03, 0.2)) else x for x in part]
+            rows.append((rng.choice((100 + (i or 0) * 2 + k, 7)), prose(rng, rng.choice((0, 5, 150))) + " " + " ".join(part) + " " + prose(rng, rng.choice((0, 40)))))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(df, bench).collect()} == brute_leaks(rows, items)
+
+
+def test_long_items_are_found(spark):
+    rng = random.Random(30)
+    items = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))) for i, n in enumerate((255, 400, 600, 2000))]
+    rows = [(10 * i + k, prose(rng, 200 * k) + " " + t) for i, t in items for k in (0, 1)]
+    got = decontaminate.matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(10 * i + k, i) for i, _ in items for k in (0, 1)}
+
+
+def test_leaks_of_rows_with_null_and_repeated_ids(spark, monkeypatch):
+    rng = random.Random(31)
+    items = [(i, prose(rng, 40)) for i in range(20)]
+    rows = [(None, items[0][1]), (None, prose(rng, 50)), (4, items[1][1]), (4, prose(rng, 60)), (5, items[12][1]), (5, items[12][1]), (6, None)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, __leak string")
+    bench = spark.createDataFrame([(*i, 1) for i in items], "item_id long, text string, doc_id int")
+    for size in (10_000, 4):
+        monkeypatch.setattr(decontaminate, "ITEMS", size)
+        left = decontaminate.remove_leaks(df, bench)
+        assert sorted(map(repr, (tuple(r)[:2] for r in left.collect()))) == sorted(map(repr, (rows[1], rows[3], rows[6]))) and left.columns == df.columns
+
+
 def test_wand_retrieves_what_full_scoring_does():
     rng = random.Random(12)
     import pyarrow as pa

@@ -14,16 +14,22 @@ last sentence). A document contains the item if of the item's runs of RUN words
 occur in the passages retrieved, and of the question's and the answer's word pairs at least
 PART_OVERLAP; a part of fewer than PART_WORDS words is left to the runs, which reach into it.
 
-The index is built from blocks of at most ITEMS items, each broadcast in turn: bounded memory for
-test sets of any size, and no item is left out. Document frequencies come from all items.
+Passages are PASSAGE words long and start every STEP words, so that anything of up to
+PASSAGE - STEP words lies within one passage. Longer items are indexed as pieces of at most that
+many words, each with its own score to reach; an item is retrieved if one of its pieces is. A
+document that has half of an item's runs has half of some piece's, so length hides no item. The
+whole item is verified, for several pieces on the passages retrieved and as many words as the item
+has on both sides of them.
 
-Passages are PASSAGE words long and start every STEP words, so that an item of up to
-PASSAGE - STEP words lies within one passage; for longer ones the runs of a document's passages
-are put together.
+The index is built from blocks of some ITEMS items, each broadcast in turn and released before the
+next: bounded memory for test sets of any size, and no item is left out; the documents are scanned
+once for each block. Document frequencies come from all items.
 
 Defined results: null and empty texts and items without words match nothing; items shorter than RUN
-words have their whole word sequence as the one run; repeated rows give repeated results; extra
-columns don't matter. Words are runs between separators, A-Z in lower case.
+words have their whole word sequence as the one run; repeated rows of docs give repeated results,
+those of items count once, and several texts of one item_id are items of their own; items without
+item_id or text are left out; extra columns don't matter. remove_leaks judges each row by its own
+text, whatever its id, so a null or repeated doc_id neither hides a leak nor takes a clean row along. Words are runs between separators, A-Z in lower case.
 """
 
 from __future__ import annotations
@@ -35,6 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import table
 from .words import Pieces, chunks, distinct, mix, ngrams
 
 #: Words of a passage, and words from one passage's start to the next.
@@ -43,8 +50,8 @@ PASSAGE, STEP = 128, 64
 SHARE = 0.5
 #: Words of a run, share of an item's runs, and of its question's and its answer's word pairs.
 RUN, OVERLAP, PART_OVERLAP, PART_WORDS = 5, 0.5, 0.5, 4
-#: Items of one broadcast index; postings of a block.
-ITEMS, BLOCK = 20_000, 64
+#: Items of one broadcast index, on average; postings of a block.
+ITEMS, BLOCK = 10_000, 64
 K1, B = 1.2, 0.75
 
 _U = np.uint64
@@ -52,9 +59,13 @@ _U = np.uint64
 
 @dataclass
 class Index:
-    """Inverted index of some items. Postings of term t: first[t]:first[t + 1] of item and impact."""
+    """Inverted index of some items. Postings of term t: first[t]:first[t + 1] of item and impact; item is a piece's
+    number, owner the item of each piece, several whether that has more. Runs and word pairs of item k: run_first[k]:run_first[k + 1]."""
 
     ids: np.ndarray
+    owner: np.ndarray
+    several: np.ndarray
+    size: np.ndarray
     term: np.ndarray
     first: np.ndarray
     item: np.ndarray
@@ -67,9 +78,9 @@ class Index:
     key_impact: np.ndarray
     key_need: np.ndarray
     runs: np.ndarray
-    run_item: np.ndarray
+    run_first: np.ndarray
     words: np.ndarray
-    word_item: np.ndarray
+    word_first: np.ndarray
     word_part: np.ndarray
 
     def lists(self, t: int) -> slice:
@@ -83,16 +94,22 @@ def _pairs(h: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def build(ids: np.ndarray, texts: pa.Array, frequency: dict[int, int], n_items: int, mean_words: float) -> Index:
     """The index of some items; frequency: items in which a term is, over the whole test set."""
-    items, terms, impacts, runs, words = [], [], [], [], []
+    items, terms, impacts, runs, words, owner, sizes = [], [], [], [], [], [], []
     for c in chunks(texts):
         w = Pieces(c, lower=True)
-        key = np.stack([w.doc, w.hash.view(np.int64)], 1) if len(w.hash) else np.zeros((0, 2), np.int64)
+        n_pieces = np.maximum(1, -(-w.per_doc // (PASSAGE - STEP)))
+        piece_words = np.maximum(1, -(-w.per_doc // n_pieces))
+        first_piece = np.concatenate([[0], np.cumsum(n_pieces)]) + sum(map(len, owner))
+        owner.append(np.repeat(np.arange(c.n) + c.row, n_pieces))
+        sizes.append(w.per_doc)
+        piece = first_piece[w.doc] + (np.arange(len(w.doc)) - w.first[w.doc]) // piece_words[w.doc]
+        key = np.stack([piece, w.hash.view(np.int64)], 1) if len(w.hash) else np.zeros((0, 2), np.int64)
         pair, tf = np.unique(key, axis=0, return_counts=True)
         df = np.array([frequency[t] for t in pair[:, 1].tolist()], float)
         idf = np.log1p((n_items - df + 0.5) / (df + 0.5))
-        length = w.per_doc[pair[:, 0]]
+        length = np.bincount(piece, minlength=first_piece[-1])[pair[:, 0]] if len(piece) else np.zeros(0)
         impacts.append(idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(mean_words, 1))))
-        items.append(pair[:, 0] + c.row)
+        items.append(pair[:, 0])
         terms.append(pair[:, 1])
         # The last word that ends a sentence, apart from the item's last word, ends the question.
         stop = np.isin(c.buf[w.end - 1], [ord("."), ord("?"), ord("!")]) if len(w.end) else np.zeros(0, bool)
@@ -107,13 +124,13 @@ def build(ids: np.ndarray, texts: pa.Array, frequency: dict[int, int], n_items:
         at = np.flatnonzero((w.doc[:-1] == w.doc[1:]) & (answer[:-1] == answer[1:])) if len(w.doc) else np.zeros(0, np.int64)
         at = at[size[w.doc[at] * 2 + answer[at]] >= PART_WORDS]
         words.append(np.unique(np.stack([w.doc[at] + c.row, _pairs(w.hash, at), answer[at]], 1), axis=0))
-    item, hashes, impact = np.concatenate(items), np.concatenate(terms), np.concatenate(impacts)
+    item, hashes, impact, owner = np.concatenate(items), np.concatenate(terms), np.concatenate(impacts), np.concatenate(owner)
     order = np.lexsort((item, hashes))
     item, hashes, impact = item[order], hashes[order], impact[order]
     term, first = np.unique(hashes, return_index=True)
     first = np.append(first, len(hashes))
     block_top = [np.maximum.reduceat(impact[a:b], np.arange(0, b - a, BLOCK)) for a, b in zip(first[:-1], first[1:])]
-    own = np.bincount(item, impact, len(ids))
+    own = np.bincount(item, impact, len(owner))
     run, word = np.concatenate(runs), np.concatenate(words)
     top = np.array([b.max() for b in block_top]) if len(block_top) else np.zeros(0)
     # An item's telling terms: its greatest impacts, until the others add up to half of what is needed at most.
@@ -123,16 +140,17 @@ def build(ids: np.ndarray, texts: pa.Array, frequency: dict[int, int], n_items:
     before = total - impact[by_item] - np.where(start > 0, total[start - 1], 0)
     key = np.zeros(len(item), bool)
     key[by_item] = before < (1 - SHARE / 2) * own[item[by_item]]
-    rest = own - np.bincount(item[key], impact[key], len(ids))
+    rest = own - np.bincount(item[key], impact[key], len(owner))
     key_first = np.concatenate([[0], np.cumsum(key)])[first]
+    at = np.arange(len(ids) + 1)
     return Index(
-        np.asarray(ids), term, first, item, impact, top, block_top, SHARE * own,
-        key_first, item[key], impact[key], SHARE * own - rest - 1e-9, run[:, 1], run[:, 0], word[:, 1], word[:, 0], word[:, 2]
+        np.asarray(ids), owner, (np.bincount(owner) > 1)[owner], np.concatenate(sizes), term, first, item, impact, top, block_top, SHARE * own,
+        key_first, item[key], impact[key], SHARE * own - rest - 1e-9, run[:, 1], np.searchsorted(run[:, 0], at), word[:, 1], np.searchsorted(word[:, 0], at), word[:, 2]
     )
 
 
 def wand(index: Index, terms: list[int]) -> list[int]:
-    """Items whose BM25 score for the distinct terms reaches what they need."""
+    """Pieces whose BM25 score for the distinct terms reaches what they need."""
     least = float(index.need.min()) if len(index.need) else np.inf
     lists = [[index.item[index.lists(t)], index.impact[index.lists(t)], 0, t] for t in terms]
     out = []
@@ -149,7 +167,7 @@ def wand(index: Index, terms: list[int]) -> list[int]:
         doc = lists[pivot][0][lists[pivot][2]]
         while pivot + 1 < len(lists) and lists[pivot + 1][0][lists[pivot + 1][2]] == doc:
             pivot += 1
-        here, limit, after = lists[: pivot + 1], 0.0, len(index.ids)
+        here, limit, after = lists[: pivot + 1], 0.0, len(index.owner)
         for items, _, at, t in here:
             j = at + int(np.searchsorted(items[at:], doc))
             if j < len(items):
@@ -198,7 +216,7 @@ def _indexes(items: DataFrame, frequency: DataFrame):
     spark = items.sparkSession
     total = frequency.filter("term is null").first()
     n, words = (total["n"], total["words"]) if total else (0, 0)
-    parts = max(1, -(-n // (ITEMS // 2)))
+    parts = max(1, -(-n // ITEMS))
     for part in range(parts):
         own = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
         rows = own.select("item_id", "text").toArrow()
@@ -232,7 +250,7 @@ def _matches(index: Index, w: Pieces) -> list[tuple[int, int, float, float, floa
     word, term = _passage_terms(index, w)
     doc = w.doc[word]
     place = word - w.first[doc]
-    found: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    found: dict[tuple[int, int], set[tuple[int, int]]] = {}
     # Upper bounds of all passages at once: each word counts for the passages it lies in.
     last = np.maximum(0, -(-(w.per_doc - PASSAGE) // STEP))  # number of the last passage of each document
     offset = np.concatenate([[0], np.cumsum(last + 1)])
@@ -250,23 +268,25 @@ def _matches(index: Index, w: Pieces) -> list[tuple[int, int, float, float, floa
     key, term2 = pair // width, pair % width
     count = index.key_first[term2 + 1] - index.key_first[term2]
     post = np.repeat(index.key_first[term2] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-    cell, where = np.unique(np.repeat(key, count) * len(index.ids) + index.key_item[post], return_inverse=True)
-    reached = np.bincount(where, index.key_impact[post]) >= index.key_need[cell % len(index.ids)]
+    cell, where = np.unique(np.repeat(key, count) * len(index.owner) + index.key_item[post], return_inverse=True)
+    reached = np.bincount(where, index.key_impact[post]) >= index.key_need[cell % len(index.owner)]
     edge = np.searchsorted(key, np.arange(offset[-1] + 1))
-    for k in np.unique(cell[reached] // len(index.ids)):
+    for k in np.unique(cell[reached] // len(index.owner)):
         d = int(np.searchsorted(offset, k, "right")) - 1
         begin = (k - offset[d]) * STEP
-        for item in wand(index, term2[edge[k] : edge[k + 1]].tolist()):
-            found.setdefault((d, item), []).append((int(begin), int(min(begin + PASSAGE, w.per_doc[d]))))
+        for piece in wand(index, term2[edge[k] : edge[k + 1]].tolist()):
+            item = int(index.owner[piece])
+            around = int(index.size[item]) if index.several[piece] else 0
+            found.setdefault((d, item), set()).add((max(0, int(begin) - around), int(min(begin + PASSAGE + around, w.per_doc[d]))))
     out = []
     for (d, item), spans in found.items():
         own = np.zeros(w.per_doc[d], bool)
         for a, b in spans:
             own[a:b] = True
         own_words = w.hash[w.first[d] : w.first[d + 1]]
-        mine = index.run_item == item
+        mine = slice(index.run_first[item], index.run_first[item + 1])
         total = np.isin(index.runs[mine], _runs(own_words, own)).mean()
-        theirs = index.word_item == item
+        theirs = slice(index.word_first[item], index.word_first[item + 1])
         there = np.isin(index.words[theirs], _pairs(own_words, np.flatnonzero(own[:-1] & own[1:])))
         answer = index.word_part[theirs] == 1
         share = [there[k].mean() if k.any() else 1.0 for k in (~answer, answer)]
@@ -297,14 +317,21 @@ def _runs(words: np.ndarray, own: np.ndarray) -> np.ndarray:
     return np.concatenate(got).view(np.int64)
 
 
+def _usable(items: DataFrame) -> DataFrame:
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    return items.filter("text is not null and item_id is not null").distinct()
+
+
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, overlap, question_overlap, answer_overlap) of every document and item that it contains."""
     sc = docs.sparkSession.sparkContext
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null and item_id is not null")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    items = _usable(items)
     schema = "doc_id long, item_id long, overlap double, question_overlap double, answer_overlap double"
-    out = None
+    out, last = None, None
     for index in _indexes(items, _frequency(items)):
+        if last is not None:  # there are several: one is held at a time
+            out, last = _appended(out, *last), None
         shared = sc.broadcast(index)
 
         def run(batches, shared=shared):
@@ -322,12 +349,40 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
                         ["doc_id", "item_id", "overlap", "question_overlap", "answer_overlap"],
                     )
 
-        part = source.mapInArrow(run, schema)
-        out = part if out is None else out.union(part)
-    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+        last = source.mapInArrow(run, schema), shared
+    if last is None:
+        return docs.sparkSession.createDataFrame([], schema)
+    return last[0] if out is None else _appended(out, *last)
+
+
+def _appended(out: DataFrame | None, part: DataFrame, shared) -> DataFrame:
+    part = table(part, "matches")
+    shared.unpersist()
+    return part if out is None else out.union(part)
+
+
+def _clean(shared):
+    """Whether a text contains no item of a broadcast index."""
+
+    @F.arrow_udf("boolean")
+    def clean(text: pa.Array) -> pa.Array:
+        out = np.ones(len(text), bool)
+        for c in chunks(text):
+            for g in _matches(shared.value, Pieces(c, lower=True)):
+                out[c.row + g[0]] = False
+        return pa.array(out)
+
+    return clean
 
 
 def remove_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without those that contain an item; columns as they were."""
-    gone = matches(docs, items).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__leak"], "left_anti")
+    """docs without those that contain an item; columns as they were. Rows are judged in place, none is shuffled."""
+    sc, last = docs.sparkSession.sparkContext, None
+    items = _usable(items)
+    for index in _indexes(items, _frequency(items)):
+        if last is not None:  # there are several: one is held at a time
+            docs = table(docs, "unleaked")
+            last.unpersist()
+        last = sc.broadcast(index)
+        docs = docs.filter(_clean(last)(F.col("text").cast("string")))
+    return docs
