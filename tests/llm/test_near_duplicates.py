@@ -93,6 +93,35 @@ def test_null_ids_and_equal_ids(spark):
     assert {r["doc_id"] for r in J.keep_one(df).collect()} == {None, 1, 3, 4}
 
 
+def test_keep_one_judges_rows(spark):
+    """Equal rows become one, near copies of one id too; other texts of that id and rows without an id stay."""
+    rng = random.Random(22)
+    a, b, c = ([f"{x}{rng.randrange(500)}" for _ in range(60)] for x in "abc")
+    near = lambda w: " ".join([*w[:30], "other", *w[31:]])
+    rows = [(1, " ".join(a)), (1, " ".join(a)), (1, " ".join(a)), (2, " ".join(a)), (3, near(a)), (4, " ".join(b)), (4, near(b)), (4, " ".join(c))]
+    rows += [(None, " ".join(a)), (None, " ".join(a)), (5, ""), (5, ""), (6, None), (7, None)]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, `__row` int").repartition(3)
+    kept = J.keep_one(df)
+    assert kept.columns == df.columns
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert sorted(x for x, _ in got if x is not None) == [1, 4, 4, 5, 6, 7] and sum(x is None for x, _ in got) == 2
+    assert {t for x, t in got if x == 4} & {" ".join(c)}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_random_null_and_repeated_ids(spark, seed):
+    rng = random.Random(seed)
+    bases, rows = [[f"{x}{rng.randrange(300)}" for _ in range(50)] for x in "abcd"], []
+    for _ in range(120):
+        w = list(rng.choice(bases))
+        for _ in range(rng.choice((0, 0, 1, 2, 9))):
+            w[rng.randrange(len(w))] = f"z{rng.randrange(99)}"
+        rows.append((rng.choice((None, None, 3, 4, rng.randrange(60))), " ".join(w[: rng.choice((50, 50, 3, 45))])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in J.near_duplicates(df, 4, 85).collect()]
+    assert sorted(got, key=repr) == brute(rows, 4, 85)
+
+
 def test_keep_one(docs, corpus):
     kept = J.keep_one(docs)
     assert kept.columns == docs.columns

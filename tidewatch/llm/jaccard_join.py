@@ -10,16 +10,23 @@ list is long. Sets for which slack doesn't suffice also index the one-deletion n
 of their segments, which makes a segment worth two; a pair is found if the allocation of
 either of its sets finds it. Candidates are verified exactly on whole shingle sets.
 
-Work is done on classes (sets of equal shingles), so copies are never paired. Posting lists
+Work is done on classes (sets of equal shingles): texts are read once for sets and signatures, and
+one row of each class goes on, so copies are neither paired nor posted. Posting lists
 give pairs with one centre each; pairs of a list that are still in different components
 afterwards are compared by parity sketches in blocks of bounded size, and only those that the
 sketches can't rule out are verified. The links' components are those of the full link graph.
+Lists' lengths and centres come from partial sums that a join brings back, and blocks are numbered
+in range partitions, so no list of any length is one task's work.
 
 Defined results: null or empty texts and texts of separators only have no shingles, link with
 nothing and are their own component; with fewer words than shingle_words the whole word
 sequence is the one shingle; rows with equal id count as one document (the texts' sets are
 both kept, and their components merge); a null id is a document of its own with a null
-component; extra columns don't matter. Equality of tokens is equality of 64-bit hashes.
+component; extra columns don't matter. Equality of tokens is equality of 64-bit hashes. Rows are
+told apart by a key of id and text, so ids that are null or repeated hide no class.
+keep_one judges rows rather than ids: of a group's rows the one with the smallest (id, key) stays,
+of rows alike in id and text one stays, and rows of one id whose texts aren't near copies all stay;
+rows without an id all stay.
 """
 
 from __future__ import annotations
@@ -91,14 +98,54 @@ def _sets(col: pa.Array, words: int) -> Iterator[tuple[int, int, np.ndarray, np.
         yield c.row, c.n, doc, h, size, mix(total + size.astype(_U))
 
 
-def classes(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, key, set_class, n_shingles, sketch) of every row; set_class is null without shingles.
+def _entries(plan: Plan, n: int, doc: np.ndarray, h: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(document, signature, band, free) of the index entries of a run's sets, by document. free: how many more segments it may leave out."""
+    out = []
+    for which, band in plan.bands(size):
+        pick = np.zeros(n, np.int64) - 1
+        pick[which] = np.arange(len(which))
+        tok = np.flatnonzero(pick[doc] >= 0)
+        owner = pick[doc[tok]]
+        m = plan.m[band]
+        cell0 = np.concatenate([[0], np.cumsum(m)])
+        value = mix(h[tok] ^ _U(0xC2B2AE3D27D4EB4F))
+        cell = cell0[owner] + (mix(h[tok] + _U(0x165667B19E3779F9)) % m[owner].astype(_U)).astype(np.int64)
+        count = np.bincount(cell, minlength=cell0[-1])
+        total = np.zeros(cell0[-1], _U)
+        np.add.at(total, cell, value)
+        cell_set = np.repeat(np.arange(len(which)), m)
+        salt = mix(band[cell_set].astype(_U) * _U(0x100000001B3) + (np.arange(cell0[-1]) - cell0[cell_set]).astype(_U))
+        empty = np.bincount(cell_set, weights=count == 0, minlength=len(which)).astype(np.int64)
+        free = plan.slack[band] - empty
+        found = [(mix(total + salt), cell_set, count > 0)]
+        if (free < 0).any():
+            short = free < 0
+            two = np.bincount(cell_set, weights=count > 1, minlength=len(which))
+            hard = short & (two < -free)
+            found.append((mix(total + salt), cell_set, (count == 0) & hard[cell_set]))
+            dels = short[owner] & ((count[cell] > 1) | hard[owner])
+            found.append((mix(total[cell] - value + salt[cell]), owner, dels))
+        own = np.concatenate([o[k] for _, o, k in found])
+        out.append((which[own], np.concatenate([x[k] for x, _, k in found]), band[own], np.clip(free[own], -1, 32767)))
+    if not out:
+        return tuple(np.zeros(0, t) for t in (np.int64, _U, np.int64, np.int64))
+    owner, *rest = (np.concatenate(x) for x in zip(*out))
+    order = np.argsort(owner, kind="stable")
+    return (owner[order], *(x[order] for x in rest))
+
+
+CLASSES = "id long, key long, set_class long, n_shingles long, sketch binary, entries array<struct<sig: long, band: short, free: short>>"
+
+
+def classes(docs: DataFrame, words: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, key, set_class, n_shingles, sketch, entries) of every row; set_class is null without shingles.
 
     sketch: parities of the tokens' counts in 1024 buckets, or in four times the set's size rounded
-    up to a power of two.
+    up to a power of two. entries: the index entries of the set.
     """
 
     def run(batches):
+        plan = Plan(percent)
         for b in batches:
             for row, n, doc, h, size, cls in _sets(b.column("text"), words):
                 wide = 1 << np.maximum(10, np.ceil(np.log2(np.maximum(4 * size, 1)))).astype(np.int64)
@@ -109,6 +156,10 @@ def classes(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str =
                 sketch = pa.Array.from_buffers(
                     pa.large_binary(), n, [None, pa.py_buffer(edge.astype(np.int64)), pa.py_buffer(sketch)]
                 )
+                owner, sig, band, free = _entries(plan, n, doc, h, size)
+                entries = pa.StructArray.from_arrays(
+                    [pa.array(signed(sig)), pa.array(band.astype(np.int16)), pa.array(free.astype(np.int16))], ["sig", "band", "free"]
+                )
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column("id").slice(row, n),
@@ -116,75 +167,28 @@ def classes(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str =
                         pa.array(signed(cls), mask=size == 0),
                         pa.array(size, pa.int64()),
                         sketch.cast(pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)), entries),
                     ],
-                    ["id", "key", "set_class", "n_shingles", "sketch"],
+                    ["id", "key", "set_class", "n_shingles", "sketch", "entries"],
                 )
 
-    return _source(docs, id_col, text_col).mapInArrow(run, "id long, key long, set_class long, n_shingles long, sketch binary")
+    return _source(docs, id_col, text_col).mapInArrow(run, CLASSES)
 
 
-def _signatures(texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """(sig, cls, band, free): the index entries of every set. free: how many more segments it may leave out."""
+def _lists(rows: DataFrame) -> DataFrame:
+    """rows (sig, cls, ...) of signatures of two classes or more, with k, their number, and centre, the smallest of them."""
+    lists = rows.groupBy("sig").agg(F.count("*").alias("k"), F.min("cls").alias("centre"), F.max("cls").alias("last"))
+    return rows.join(lists.filter("centre < last").drop("last"), "sig")
 
-    def run(batches):
-        plan = Plan(percent)
-        for b in batches:
-            for _, n, doc, h, size, cls in _sets(b.column("text"), words):
-                first = np.concatenate([[0], np.cumsum(size)])
-                for which, band in plan.bands(size):
-                    pick = np.zeros(n, np.int64) - 1
-                    pick[which] = np.arange(len(which))
-                    tok = np.flatnonzero(pick[doc] >= 0)
-                    owner = pick[doc[tok]]
-                    m = plan.m[band]
-                    cell0 = np.concatenate([[0], np.cumsum(m)])
-                    value = mix(h[tok] ^ _U(0xC2B2AE3D27D4EB4F))
-                    cell = cell0[owner] + (mix(h[tok] + _U(0x165667B19E3779F9)) % m[owner].astype(_U)).astype(np.int64)
-                    count = np.bincount(cell, minlength=cell0[-1])
-                    total = np.zeros(cell0[-1], _U)
-                    np.add.at(total, cell, value)
-                    cell_set = np.repeat(np.arange(len(which)), m)
-                    salt = mix(
-                        band[cell_set].astype(_U) * _U(0x100000001B3) + (np.arange(cell0[-1]) - cell0[cell_set]).astype(_U)
-                    )
-                    empty = np.bincount(cell_set, weights=count == 0, minlength=len(which)).astype(np.int64)
-                    free = plan.slack[band] - empty
-                    out = [(mix(total + salt), cell_set, count > 0)]
-                    if (free < 0).any():
-                        short = free < 0
-                        two = np.bincount(cell_set, weights=count > 1, minlength=len(which))
-                        hard = short & (two < -free)
-                        out.append((mix(total + salt), cell_set, (count == 0) & hard[cell_set]))
-                        dels = short[owner] & ((count[cell] > 1) | hard[owner])
-                        out.append((mix(total[cell] - value + salt[cell]), owner, dels))
-                    sig = np.concatenate([s[k] for s, _, k in out])
-                    own = np.concatenate([o[k] for _, o, k in out])
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(signed(sig)),
-                            pa.array(signed(cls[which][own])),
-                            pa.array(band[own].astype(np.int16)),
-                            pa.array(np.clip(free[own], -1, 32767).astype(np.int16)),
-                        ],
-                        ["sig", "cls", "band", "free"],
-                    )
-
-    return texts.mapInArrow(run, "sig long, cls long, band short, free short")
-
-
-def _postings(sigs: DataFrame) -> DataFrame:
+
+def _postings(first: DataFrame) -> DataFrame:
     """(sig, cls, centre, k): lists of two classes or more, after the allocation by cost."""
-    w = Window.partitionBy("sig")
-    listed = sigs.withColumns(
-        {"k": F.count("*").over(w), "centre": F.min("cls").over(w), "last": F.max("cls").over(w)}
-    ).filter("centre < last")
-    listed = table(listed.drop("last"), "postings")
+    listed = table(_lists(first.select("cls", F.inline("entries"))), "postings")
     light = listed.filter(F.col("k") <= COSTLY).select("sig", "cls", "centre", "k")
     heavy = listed.filter(F.col("k") > COSTLY).drop("k", "centre").distinct()
     costly = heavy.groupBy("cls", "band").agg(F.count("*").alias("h"))
-    kept = heavy.join(costly, ["cls", "band"]).filter("h > free").select("sig", "cls")
-    kept = kept.withColumns({"centre": F.min("cls").over(w), "k": F.count("*").over(w)}).filter("k > 1")
-    return light.union(kept.select("sig", "cls", "centre", "k"))
+    kept = table(heavy.join(costly, ["cls", "band"]).filter("h > free").select("sig", "cls"), "heavy")
+    return light.union(_lists(kept).select("sig", "cls", "centre", "k"))
 
 
 def _members(col: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -214,8 +218,9 @@ def _verify_centres(pairs: DataFrame, texts: DataFrame, words: int, percent: int
             for i, own in enumerate(_members(b.column("text"), words)):
                 if cls[i] is None:
                     centre, base = at[i], own
+                elif centre != at[i]:
+                    raise RuntimeError(f"the text of class {at[i]} is missing")
                 else:
-                    assert centre == at[i]
                     x, y = (base, own) if len(base) <= len(own) else (own, base)
                     both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
                     if 100 * both >= percent * (len(x) + len(y) - both):
@@ -238,8 +243,11 @@ def may_link(bits: np.ndarray, size: np.ndarray, label: np.ndarray, percent: int
     Every token that only one set has flips one bit, so sketches differ in at most as many bits
     as the sets differ in tokens.
     """
-    sign = 1 - 2 * bits.astype(np.float32)
-    differ = (bits.shape[1] - sign @ sign.T) / 2
+    same = np.zeros((len(bits), len(bits)), np.float32)
+    for at in range(0, bits.shape[1], 8192):  # long sketches, a part at a time
+        sign = 1 - 2 * bits[:, at : at + 8192].astype(np.float32)
+        same += sign @ sign.T
+    differ = (bits.shape[1] - same) / 2
     both = size[:, None] + size[None, :]
     ok = differ * (100 + percent) <= (100 - percent) * both
     ok &= 100 * np.minimum(size[:, None], size[None, :]) >= percent * np.maximum(size[:, None], size[None, :])
@@ -288,8 +296,15 @@ def _clusters(lists: DataFrame) -> DataFrame:
 
 def _propose(lists: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """(centre, cls): pairs within lists (list, cls, label) that may link, from blocks of bounded size."""
-    by_label = Window.partitionBy("list").orderBy("label", "cls")
-    rows = lists.withColumn("block", F.floor((F.row_number().over(by_label) - 1) / BLOCK).cast("int"))
+    order = ("list", "label", "cls")
+    rows = lists.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    rows = table(rows, "ordered").withColumn("p", F.shiftright("at", 33))
+    before = Window.partitionBy("list").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    cells = rows.groupBy("list", "p").agg(F.min("at").alias("start"), F.count("*").alias("n"))  # a row for each list and range partition
+    cells = cells.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    place = F.col("before") + F.col("at") - F.col("start")
+    rows = rows.join(cells, ["list", "p"]).select(*order, F.floor(place / BLOCK).cast("int").alias("block"))
+    rows = table(rows, "blocks")
     blocks = rows.groupBy("list", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
     other = blocks.select("list", F.col("block").alias("j"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     pairs = blocks.join(other, "list").filter(
@@ -322,16 +337,17 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(id_.alias("id"), text.alias("text"), F.xxhash64(id_.isNull(), id_, text).alias("key"))
 
 
-def class_links(docs: DataFrame, known: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, label): components of classes that link with another class."""
+def class_links(
+    docs: DataFrame, known: DataFrame, words: int, percent: int, id_col: str, text_col: str, merge_ids: bool = True
+) -> DataFrame:
+    """(node, label): components of classes that link with another class, or (merge_ids) have an id in common."""
     source = _source(docs, id_col, text_col).select("key", "text")
-    lists = table(_postings(_signatures(source.select("text"), words, percent)), "lists")
+    first = known.filter("set_class is not null").select(F.col("set_class").alias("cls"), "key", F.col("n_shingles").alias("size"), "sketch", "entries")
+    first = table(first.dropDuplicates(["cls"]), "first")
+    lists = table(_postings(first), "lists")
     pairs = lists.filter("centre <> cls").select("centre", "cls").distinct()
-    first = known.filter("set_class is not null").groupBy(F.col("set_class").alias("cls")).agg(
-        F.min(F.struct(F.col("id").isNull().alias("without_id"), "id", "key", F.col("n_shingles").alias("size"), "sketch")).alias("x")
-    ).select("cls", "x.key", "x.size", "x.sketch")
     needed = lists.select("cls").distinct()  # centres are members as well
-    first = table(first.join(needed, "cls"), "first")
+    first = table(first.drop("entries").join(needed, "cls"), "needed")
     sketches = first.select("cls", "size", "sketch")
 
     def verified(plausible: DataFrame) -> DataFrame:
@@ -352,16 +368,19 @@ def class_links(docs: DataFrame, known: DataFrame, words: int, percent: int, id_
     once = per_sig.groupBy("n", "s").agg(F.min("sig").alias("sig")).select("sig")
     left = table(open_.join(once, "sig"), "open")
     proposed = _propose(_clusters(left), sketches, percent)
+    links = links.union(verified(proposed.join(pairs, ["centre", "cls"], "left_anti")))
+    if not merge_ids:
+        return components(links)
     low = known.filter("id is not null and set_class is not null").groupBy("id").agg(F.min("set_class").alias("dst"), F.max("set_class").alias("top"))
     same_id = known.join(low.filter("dst <> top"), "id").filter("set_class <> dst").select(F.col("set_class").alias("src"), "dst").distinct()
-    return components(links.union(same_id).union(verified(proposed.join(pairs, ["centre", "cls"], "left_anti"))))
+    return components(links.union(same_id))
 
 
 def near_duplicates(
     docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, set_class, component_id (the smallest id it links to, over any number of links)."""
-    known = table(classes(docs, shingle_words, id_col, text_col), "classes")
+    known = table(classes(docs, shingle_words, percent, id_col, text_col), "classes")
     labels = class_links(docs, known, shingle_words, percent, id_col, text_col)
     named = known.join(labels, known.set_class == labels.node, "left").select(
         "id", "n_shingles", "set_class", F.coalesce("label", "set_class").alias("component")
@@ -373,7 +392,22 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
-    """docs without all but the first document (smallest doc_id) of each group of near copies; columns as they were."""
-    found = near_duplicates(docs.select("doc_id", "text"), shingle_words, percent)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """docs without all but one row (smallest doc_id) of each group of near copies; columns as they were."""
+    known = table(classes(docs, shingle_words, percent), "classes")
+    labels = class_links(docs, known, shingle_words, percent, "doc_id", "text", merge_ids=False)
+    rows = known.filter("id is not null").select("id", "key", "set_class")
+    named = rows.join(labels, rows.set_class == labels.node, "left").select("id", "key", F.coalesce("label", "set_class").alias("component"))
+    low = named.filter("component is not null").groupBy("component").agg(F.min(F.struct("id", "key")).alias("low"))
+    gone = named.join(low, "component").filter(F.col("key") != F.col("low.key")).select(F.col("key").alias("__mark"), F.lit(True).alias("__gone"))
+    alike = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("__mark"))
+    alike = alike.join(gone, "__mark", "left_anti").select("__mark", F.lit(False).alias("__gone"))
+    marks = table(gone.distinct().union(alike), "marks")
+    id_, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    rest = docs.withColumn("__key", F.xxhash64(id_.isNull(), id_, text))
+    rest = rest.join(marks, rest["__key"] == marks["__mark"], "left").filter("__gone is null or not __gone")
+    if marks.filter("not __gone").isEmpty():
+        return rest.select(*[F.col(f"`{c}`") for c in docs.columns])
+    rest = table(rest, "kept")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = rest.filter("__gone is not null").groupBy("__key").agg(F.first(row).alias("__row")).select("__row.*")
+    return rest.filter("__gone is null").select(*[F.col(f"`{c}`") for c in docs.columns]).union(one)
