@@ -88,21 +88,17 @@ def _mark_batch(rows: list[tuple[int, bytes, bool]]) -> pa.RecordBatch:
 _MARK = "slice int, bits binary, twice boolean"
 
 
-def _bitmaps(marks: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """By kind: the bits marked, and those marked at least twice. Tasks stream a slice's marks past two
-    arrays of fixed size; the driver gets SLICE / 4 bytes for each slice in use."""
+def _bitmaps(marks: DataFrame, wanted: dict[int, tuple[bool, bool]]) -> dict[tuple[int, int], np.ndarray]:
+    """By kind, and 0 or 1: the bits marked, and those marked at least twice, as far as wanted. Tasks stream a slice's
+    marks past two arrays of fixed size; the driver gets SLICE / 8 bytes for each slice in use and each bitmap wanted."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         now, seen = None, np.zeros(SLICE, np.uint8)
 
         def done():
+            own = [np.packbits(seen > k).tobytes() if wanted[now // _SLICES][k] else None for k in (0, 1)]
             return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([now], pa.int32()),
-                    pa.array([np.packbits(seen > 0).tobytes()], pa.binary()),
-                    pa.array([np.packbits(seen > 1).tobytes()], pa.binary()),
-                ],
-                ["slice", "once", "twice"],
+                [pa.array([now], pa.int32()), *[pa.array([x], pa.binary()) for x in own]], ["slice", "once", "twice"]
             )
 
         for b in batches:
@@ -117,17 +113,17 @@ def _bitmaps(marks: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         if now is not None:
             yield done()
 
-    out: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    out: dict[tuple[int, int], np.ndarray] = {}
     size = SLICE // 8
     rows = marks.repartition("slice").sortWithinPartitions("slice", "twice").mapInArrow(run, "slice int, once binary, twice binary")
     for b in rows.toArrow().to_batches():  # at most a row for each slice of the filters
         for row, number in enumerate(b.column(0).to_pylist()):
             kind, at = divmod(number, _SLICES)
-            if kind not in out:
-                n = (SEQ_BITS if kind == _SEQ else BITS) // 8
-                out[kind] = (np.zeros(n, np.uint8), np.zeros(n, np.uint8))
             for k in (0, 1):
-                out[kind][k][at * size : (at + 1) * size] = np.frombuffer(b.column(k + 1)[row].as_py(), np.uint8)
+                if wanted[kind][k]:
+                    if (kind, k) not in out:
+                        out[kind, k] = np.zeros((SEQ_BITS if kind == _SEQ else BITS) // 8, np.uint8)
+                    out[kind, k][at * size : (at + 1) * size] = np.frombuffer(b.column(k + 1)[row].as_py(), np.uint8)
     return out
 
 
@@ -221,10 +217,10 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
                     _marks(_BLOCK, _bits(h[_is_reference(w, at, block)])) + _marks(_SEQ, _seq_bits(_sequences(w)[w.per_doc > 0]))
                 )
 
-    found = _bitmaps(docs.select("text").mapInArrow(index, _MARK))
-    blocks, met = found.get(_BLOCK, (None, None))
-    copied = sc.broadcast(found.get(_SEQ, (None, None))[1])
-    blocks = sc.broadcast(blocks)
+    found = _bitmaps(docs.select("text").mapInArrow(index, _MARK), {_BLOCK: (True, True), _SEQ: (False, True)})
+    met = found.pop((_BLOCK, 1), None)
+    copied = sc.broadcast(found.pop((_SEQ, 1), None))
+    blocks = sc.broadcast(found.pop((_BLOCK, 0), None))
 
     def probe(batches):
         for b in batches:
@@ -234,9 +230,12 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
                 bit = _bits(h[~_is_reference(w, at, block)])
                 yield _mark_batch(_packed(_PROBE, np.unique(bit[:, _has(blocks.value, bit)]), False))
 
-    hits = _bitmaps(docs.select("text").mapInArrow(probe, _MARK)).get(_PROBE, (None, None))[0]
+    hits = _bitmaps(docs.select("text").mapInArrow(probe, _MARK), {_PROBE: (True, False)}).get((_PROBE, 0))
     blocks.destroy()
-    shared = sc.broadcast(hits if met is None else met if hits is None else hits | met)
+    if hits is not None and met is not None:
+        hits |= met
+    shared = sc.broadcast(met if hits is None else hits)
+    del hits, met
 
     def split(batches):
         """Final rows of documents that can't hold a repeat; texts of the others."""
@@ -295,6 +294,8 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
                 )
 
     grams = table(own.select("order", "key", "text").mapInArrow(windows, "g long, order long, key long, start int"), "windows")
+    copied.destroy()
+    shared.destroy()
     # The first document of each window comes from partial sums, and a join brings it back: Spark can split a common window's rows.
     shared_by = grams.groupBy("g").agg(F.min("order").alias("low"), F.max("order").alias("high")).filter("low < high").select("g", "low")
     starts = grams.join(shared_by, "g").filter("order > low").groupBy("key").agg(F.collect_set("start").alias("starts"))
@@ -304,7 +305,7 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
         for b in batches:
             yield _mark_batch(_marks(_SEQ, _seq_bits(mix(b.column("key").to_numpy().view(_U)))))
 
-    touched = sc.broadcast(_bitmaps(starts.select("key").mapInArrow(mark, _MARK)).get(_SEQ, (None, None))[0])
+    touched = sc.broadcast(_bitmaps(starts.select("key").mapInArrow(mark, _MARK), {_SEQ: (True, False)}).get((_SEQ, 0)))
 
     @F.pandas_udf("boolean")
     def may_change(key: pd.Series) -> pd.Series:
