@@ -117,6 +117,15 @@ def test_bpe_query(docs, corpus, encoding, nothing):
     assert bpe.token_digests(nothing, PATH, P.PATTERN).count() == 0
 
 
+def test_bpe_tables_are_bounded_in_bytes(encoding):
+    codec, rng = bpe.Codec({b: i for b, i in bpe.load(PATH, P.PATTERN).ranks.items()}, P.PATTERN), random.Random(7)
+    for k in range(300):
+        t = "".join(rng.choice("あいうえおabc漢字,;") for _ in range(rng.choice((20, 500))))
+        assert codec.encode(t) == encoding.encode_ordinary(t) and codec.decode(codec.encode(t)) == t.encode()
+    kept = [*codec._texts, *codec._texts.older]
+    assert kept and max(map(len, kept)) <= bpe.PART_CHARS
+
+
 def test_bpe_columns_round_trip(docs):
     back = bpe.decode_ids(bpe.encode_texts(docs, PATH, P.PATTERN), PATH, P.PATTERN)
     assert back.filter("coalesce(text, '') <> decoded").count() == 0

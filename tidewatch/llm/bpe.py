@@ -12,9 +12,10 @@ happens in the pair alone). Hence a window is wide enough as soon as its first a
 tokens form stable pairs with the tokens outside; everything farther out was stable already.
 
 Pieces are the matches of the vocabulary's pattern, each encoded separately; encodings of
-whole texts concatenate, and so do decodings. Texts are cut at single spaces between other
-characters, where the pattern always starts a new match, and encodings of these parts are
-kept in a bounded table.
+whole texts concatenate, and so do decodings: decoding maps each id to its bytes and concatenates
+up a tree of halves. Texts are cut at single spaces between other characters, where the pattern
+always starts a new match, and encodings of short parts are kept in a table that is bounded in
+entries and in the length of each.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from pyspark.sql import functions as F
 LEAF_BYTES = 5
 #: Entries of a worker's tables: encodings of texts' parts, of pairs of tokens, of short strings.
 PARTS_KEPT, PAIRS_KEPT, SHORT_KEPT = 220_000, 150_000, 100_000
+#: Characters of the longest part whose encoding is kept; tokens that one leaf of the decoding tree joins.
+PART_CHARS, LEAF_TOKENS = 32, 64
 #: A space before white space, where a cut could differ from the pattern's.
 _UNSAFE = re.compile(r" \s").search
 
@@ -47,6 +50,8 @@ class _Kept(dict):
         self.make, self.limit, self.older = make, limit, {}
 
     def __missing__(self, key):
+        if len(key) > PART_CHARS:  # seldom seen twice, and of any length
+            return self.make(key)
         if len(self) >= self.limit:
             self.older = dict(self)
             self.clear()
@@ -154,15 +159,19 @@ class Codec:
         return [int(x) for x in self.ids_text(text or "").split()]
 
     def decode_text(self, ids: str) -> bytes:
-        """The bytes of ids in decimal: the product of the tokens' bytes, whose order of multiplication is free."""
-        return b"".join(map(self._token.__getitem__, ids.split()))
+        """The bytes of ids in decimal."""
+        return self._joined(list(map(self._token.__getitem__, ids.split())))
 
     def decode(self, ids: list[int]) -> bytes:
-        """Decoding concatenates up the tree."""
-        if len(ids) <= 8:
-            return b"".join([self.tokens[i] for i in ids])
-        half = len(ids) // 2
-        return self.decode(ids[:half]) + self.decode(ids[half:])
+        """The bytes of ids."""
+        return self._joined(list(map(self.tokens.__getitem__, ids)))
+
+    def _joined(self, tokens: list[bytes]) -> bytes:
+        """The product of tokens' bytes, up the tree."""
+        if len(tokens) <= LEAF_TOKENS:
+            return b"".join(tokens)
+        half = len(tokens) // 2
+        return self._joined(tokens[:half]) + self._joined(tokens[half:])
 
 
 @cache
@@ -201,7 +210,7 @@ def token_digests(
 
 
 def encode_texts(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """docs and a column of token ids (array of int) of text_col."""
+    """docs and a column of token ids (array of int) of text_col; a column that is named ids_col already is replaced."""
 
     @F.pandas_udf("array<int>")
     def ids(texts: pd.Series) -> pd.Series:
@@ -212,7 +221,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, text_col: str = "text
 
 
 def decode_ids(docs: DataFrame, path: str, pattern: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    """docs and a column of the text whose token ids are in ids_col."""
+    """docs and a column of the text whose token ids are in ids_col; a column that is named text_col already is replaced."""
 
     @F.pandas_udf("string")
     def text(ids: pd.Series) -> pd.Series:
