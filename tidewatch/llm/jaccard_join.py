@@ -35,11 +35,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import table
+from .shared import placed, table
 from .words import Pieces, chunks, distinct, mix, ngrams, signed
 
 #: A posting list of more classes than this is costly.
@@ -296,14 +296,7 @@ def _clusters(lists: DataFrame) -> DataFrame:
 
 def _propose(lists: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """(centre, cls): pairs within lists (list, cls, label) that may link, from blocks of bounded size."""
-    order = ("list", "label", "cls")
-    rows = lists.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
-    rows = table(rows, "ordered").withColumn("p", F.shiftright("at", 33))
-    before = Window.partitionBy("list").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    cells = rows.groupBy("list", "p").agg(F.min("at").alias("start"), F.count("*").alias("n"))  # a row for each list and range partition
-    cells = cells.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    place = F.col("before") + F.col("at") - F.col("start")
-    rows = rows.join(cells, ["list", "p"]).select(*order, F.floor(place / BLOCK).cast("int").alias("block"))
+    rows = placed(lists, "list", "label", "cls").withColumn("block", F.floor(F.col("place") / BLOCK).cast("int")).drop("place")
     rows = table(rows, "blocks")
     blocks = rows.groupBy("list", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
     other = blocks.select("list", F.col("block").alias("j"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))

@@ -6,7 +6,8 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Spark's own setting: shuffle files of a job go when it ends, not when the driver happens to collect its garbage.
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -45,3 +46,15 @@ def forget(df: DataFrame) -> None:
         if re.sub(r"^file:/+", "/", folder).startswith(f"{place}/"):
             path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(hadoop).delete(path, True)
+
+
+def placed(df: DataFrame, group: str, *order: str) -> DataFrame:
+    """df with place: 0, 1, ... within each group (null is one), in order. Rows are sorted in range partitions, and only
+    their counts are summed by group, so a group of any size is dealt to many tasks. Equal rows get different places."""
+    rows = df.repartitionByRange(group, *order).sortWithinPartitions(group, *order).withColumn("_at", F.monotonically_increasing_id())
+    rows = table(rows, "ordered").withColumn("_p", F.shiftright("_at", 33))
+    before = Window.partitionBy("_group").orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)
+    cells = rows.groupBy(F.col(group).alias("_group"), F.col("_p").alias("_q")).agg(F.min("_at").alias("_start"), F.count("*").alias("_n"))
+    cells = cells.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))  # over a row for each range partition
+    rows = rows.join(cells, rows[group].eqNullSafe(cells["_group"]) & (rows["_p"] == cells["_q"]))
+    return rows.withColumn("place", F.col("_before") + F.col("_at") - F.col("_start")).select(*df.columns, "place")
