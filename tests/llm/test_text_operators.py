@@ -438,6 +438,21 @@ def test_rules_adapt_to_the_group(spark):
     assert all(kept[i] for i in range(200)) and not kept[200]
 
 
+@pytest.mark.parametrize("junk", [1, 20, 45])
+def test_rules_limits_hold_against_junk(spark, junk):
+    """Junk in a large source and in small ones doesn't set its own limit; clean rows stay."""
+    rng, rows = random.Random(junk), []
+    for i in range(200):
+        bad = i < junk
+        rows.append((i, " ".join(x + "#%" if bad else x for x in prose(rng, rng.randrange(60, 300)).split()), "en", "large"))
+    for i in range(300, 316):  # four rows each, the first of them junk
+        rows.append((i, " ".join(x + "#%" if i % 4 == 0 else x for x in prose(rng, rng.randrange(60, 300)).split()), "en", f"small{i // 4}"))
+    rows += [(400, "x" * 90 + " " + " ".join("y" * 80 for _ in range(70)), "en", "large"), (401, " ".join("ab" for _ in range(3)), None, None), (402, None, "xx", "none")]
+    rows += [(403, prose(rng, 90), "xx", "single")]
+    kept = {r["doc_id"]: r["kept"] for r in rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)).collect()}
+    assert {i for i, k in kept.items() if not k} == {*range(junk), *range(300, 316, 4), 400, 401, 402}
+
+
 # -- 8 ---------------------------------------------------------------------------------------------
 
 

@@ -90,6 +90,14 @@ QUERIES = {
 }
 
 _WORDS = r"[^\x20\x09-\x0D]+"
+#: Parts of op7's SQL: quartiles of the four rates a to d, and their mean with a wider group's, which counts as 20 rows.
+_QUARTILES = ", ".join(f"quantile_disc({k}, {q}) FILTER (NOT base_failed) AS {k}{i}" for k in "abcd" for i, q in ((1, 0.25), (3, 0.75)))
+
+
+def _leaning(own: str, wider: str) -> str:
+    return ", ".join(f"(coalesce({own}.{k}{i}, 0) * {own}.n + {wider}.{k}{i} * 20.0) / ({own}.n + 20.0) AS {k}{i}" for k in "abcd" for i in (1, 3))
+
+
 
 #: The same results in DuckDB's SQL. The other operators' models, encodings and layouts aren't
 #: expressible there; tests compare these queries with brute-force versions.
@@ -127,12 +135,15 @@ ORACLES: dict[str, str] = {
             coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
           FROM w LEFT JOIN l ON l.doc_id = w.doc_id LEFT JOIN rep ON rep.doc_id = w.doc_id),
         s AS (
-          SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce(n_symbols / nullif(word_chars, 0), 0.0) AS a,
-            coalesce(n_dup_lines / nullif(n_lines, 0), 0.0) AS b, coalesce(n_repeat_words / nullif(n_words, 0), 0.0) AS c FROM m),
-        q AS (
-          SELECT lang, source, quantile_disc(a, 0.5) AS a5, quantile_disc(a, 0.9) AS a9, quantile_disc(b, 0.5) AS b5, quantile_disc(b, 0.9) AS b9, quantile_disc(c, 0.5) AS c5, quantile_disc(c, 0.9) AS c9
-          FROM s WHERE NOT base_failed GROUP BY lang, source)
+          SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, ln((n_symbols + 1::DOUBLE) / (word_chars + 1)) AS a,
+            ln((n_dup_lines + 1::DOUBLE) / (n_lines + 1)) AS b, ln((n_repeat_words + 2::DOUBLE) / (n_words + 1)) AS c, ln((word_chars + 0.5::DOUBLE) / (n_words + 1)) AS d FROM m),
+        q0 AS (SELECT count(*) FILTER (NOT base_failed) AS n, {_QUARTILES} FROM s),
+        q1 AS (SELECT lang, count(*) FILTER (NOT base_failed) AS n, {_QUARTILES} FROM s GROUP BY lang),
+        q2 AS (SELECT lang, source, count(*) FILTER (NOT base_failed) AS n, {_QUARTILES} FROM s GROUP BY lang, source),
+        l1 AS (SELECT lang, {_leaning('q1', 'q0')} FROM q1, q0),
+        q AS (SELECT q2.lang, source, {_leaning('q2', 'l1')} FROM q2 JOIN l1 ON l1.lang IS NOT DISTINCT FROM q2.lang)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-          NOT base_failed AND a <= greatest(0.10, a9 + 3.0 * (a9 - a5)) AND b <= greatest(0.40, b9 + 3.0 * (b9 - b5)) AND c <= greatest(0.30, c9 + 3.0 * (c9 - c5)) AS kept
+          NOT base_failed AND a <= a3 + 3.0 * greatest(0.7, a3 - a1) + 1e-9 AND b <= b3 + 3.0 * greatest(0.7, b3 - b1) + 1e-9 AND c <= c3 + 3.0 * greatest(0.7, c3 - c1) + 1e-9
+            AND d <= d3 + 3.0 * greatest(0.05, d3 - d1) + 1e-9 AND d >= d1 - 3.0 * greatest(0.05, d3 - d1) - 1e-9 AS kept
         FROM s LEFT JOIN q ON q.lang IS NOT DISTINCT FROM s.lang AND q.source IS NOT DISTINCT FROM s.source""",
 }

@@ -1,10 +1,17 @@
 """Quality rules with adaptive thresholds.
 
-Every document gets its measures; mergeable quantile sketches (Spark's percentile_approx, which
-sums up parts of a group before the shuffle and merges them after it) give each language and
-source its own limits; a join brings these to the documents, and a document is kept if it breaks
-none. A limit never cuts into ordinary documents of its group: it is a quantile of the group plus
-a margin of several times the spread between quantiles, and never tighter than a floor.
+Every document gets its measures: symbols for each character in words, repeated lines for each line,
+words in repeats for each word, and characters for each word, as logarithms of (count + prior) /
+(total + 1), so that none is infinite and a single chance event in a short text weighs little. Mergeable quantile sketches
+(Spark's percentile_approx, which sums up parts of a group before the shuffle and merges them after
+it) give each language and source, each language, and the whole table their lower and upper
+quartile. A group's quartiles are joined with the wider ones, which count as WIDER rows: a small
+group leans on its language, and a language on the whole, while a large group stands by itself. Limits are
+the outer fences, SPREAD times the distance of the quartiles beyond them (at least a factor that keeps
+groups of equal texts from rejecting what differs a little): no measure has a fixed cutoff, and up to
+a quarter of a group can be junk without moving its limit there. The upper fence
+holds for all measures, the lower one for characters for each word, whose low end is junk as well. A join brings the
+limits to the documents, and a document is kept if it breaks none.
 """
 
 from __future__ import annotations
@@ -17,14 +24,21 @@ from pyspark.sql import functions as F
 from .shared import table
 from .words import Chunk, Pieces, byte_table, chunks, ngrams, segment_hash
 
-#: Quantiles that the sketches are asked for.
-LOW, MIDDLE, HIGH = 0.05, 0.5, 0.9
-#: Limit: high quantile and this many times its distance from the median, at least the floor.
-SPREAD = 3.0
+#: Quartiles that the sketches are asked for.
+LOW, HIGH = 0.25, 0.75
+#: Fences: this many times the distance of the quartiles beyond them; rows that a wider group's quartiles count as.
+SPREAD, WIDER = 3.0, 20.0
 #: Accuracy of the sketches: error of a rank is 1 / ACCURACY.
-ACCURACY = 2000
-#: Floors of the limits: share of symbol characters in words' characters, of lines that repeat, of words in repeats.
-FLOORS = {"symbol_share": 0.10, "dup_line_share": 0.40, "repeat_share": 0.30}
+ACCURACY = 10_000
+#: Rounding errors that don't break a limit.
+SLACK = 1e-9
+#: Count, total and prior of each measure, the least distance of its quartiles, and whether its lower fence holds.
+RATES = {
+    "symbol_rate": ("n_symbols", "word_chars", 1.0, 0.7, False),
+    "dup_line_rate": ("n_dup_lines", "n_lines", 1.0, 0.7, False),
+    "repeat_rate": ("n_repeat_words", "n_words", 2.0, 0.7, False),
+    "word_length": ("word_chars", "n_words", 0.5, 0.05, True),
+}
 
 _U = np.uint64
 _SYMBOL = np.zeros(256, bool)
@@ -94,47 +108,63 @@ def measures(docs: DataFrame) -> DataFrame:
     return source.mapInArrow(run, f"doc_id long, lang string, source string, {MEASURES}")
 
 
-def _shares(found: DataFrame) -> DataFrame:
-    share = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
-    return found.withColumns(
-        {
-            "symbol_share": share("n_symbols", "word_chars"),
-            "dup_line_share": share("n_dup_lines", "n_lines"),
-            "repeat_share": share("n_repeat_words", "n_words"),
-            "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
-        }
+def _rates(found: DataFrame) -> DataFrame:
+    rate = lambda a, b, prior: F.log((F.col(a) + prior) / (F.col(b) + 1.0))
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return found.withColumns({k: rate(a, b, prior) for k, (a, b, prior, _, _) in RATES.items()} | {"base_failed": failed})
+
+
+def _sketches(found: DataFrame, *group: str) -> DataFrame:
+    """A row for each group: n, and the quartiles of each rate, over rows that pass the fixed rules."""
+    passing = lambda k: F.when(~F.col("base_failed"), F.col(k))
+    quartiles = F.array(F.lit(LOW), F.lit(HIGH))
+    return found.groupBy(*group).agg(
+        F.count_if(~F.col("base_failed")).alias("n"), *[F.percentile_approx(passing(k), quartiles, ACCURACY).alias(k) for k in RATES]
     )
 
 
+def _leaning(own: DataFrame, wider: DataFrame) -> DataFrame:
+    """own with its quartiles joined with the wider group's (w_n, w_ and rate); of an empty group they are the wider ones."""
+    both = lambda k, i: (
+        (F.coalesce(F.col(f"{k}")[i], F.lit(0.0)) * F.col("n") + F.col(f"w_{k}")[i] * WIDER) / (F.col("n") + WIDER)
+    )
+    rest = [c for c in own.columns if c not in RATES]
+    return wider.select(*rest, *[F.array(both(k, 0), both(k, 1)).alias(k) for k in RATES])
+
+
+def _as_wider(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(c).alias(f"w_{c}") for c in df.columns])
+
+
 def limits(found: DataFrame) -> DataFrame:
-    """One row for each language and source: the limit of each share, over rows that pass the fixed rules."""
-    quantiles = {
-        k: F.percentile_approx(k, F.array(F.lit(MIDDLE), F.lit(HIGH)), ACCURACY).alias(k) for k in FLOORS
-    }
-    own = found.filter("not base_failed").groupBy("lang", "source").agg(*quantiles.values())
+    """(g_lang, g_source, and for each rate its lower and upper fence) of each language and source."""
+    own, by_lang, whole = _sketches(found, "lang", "source"), _sketches(found, "lang"), _as_wider(_sketches(found))
+    by_lang = _as_wider(_leaning(by_lang, by_lang.join(F.broadcast(whole))))  # whole is one row
+    own = _leaning(own, own.join(by_lang, own.lang.eqNullSafe(by_lang.w_lang)))
+    spread = lambda k: SPREAD * F.greatest(F.lit(RATES[k][3]), F.col(k)[1] - F.col(k)[0]) + SLACK
     return own.select(
         F.col("lang").alias("g_lang"),
         F.col("source").alias("g_source"),
-        *[
-            F.greatest(F.lit(floor), F.col(k)[1] + SPREAD * (F.col(k)[1] - F.col(k)[0])).alias(f"{k}_limit")
-            for k, floor in FLOORS.items()
-        ],
+        *[(F.col(k)[0] - spread(k)).alias(f"{k}_low") for k in RATES],
+        *[(F.col(k)[1] + spread(k)).alias(f"{k}_high") for k in RATES],
     )
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """Measures, shares, limits, base_failed and kept of every row of docs (doc_id, text, lang, source).
+    """Measures, rates, limits, base_failed and kept of every row of docs (doc_id, text, lang, source).
 
     Defined results: null and empty texts have no words and fail the fixed rule; null languages and
-    sources are groups of their own; a share of nothing is 0; repeated rows all count; extra columns
-    don't matter. The fixed rules: at least 50 words, at most half of them in repeated windows.
+    sources are groups of their own; a group in which no row passes the fixed rules has its language's limits;
+    repeated rows all count; extra columns don't matter. The fixed rules: at least 50 words, at most half of them in repeated windows.
     """
-    found = _shares(table(measures(docs), "measures"))
+    found = _rates(table(measures(docs), "measures"))
     own = limits(found)
     joined = found.join(
         own, found.lang.eqNullSafe(own.g_lang) & found.source.eqNullSafe(own.g_source), "left"
     )
     within = F.lit(True)
-    for k in FLOORS:
-        within = within & (F.col(k) <= F.coalesce(F.col(f"{k}_limit"), F.lit(FLOORS[k])))
-    return joined.withColumn("kept", ~F.col("base_failed") & within).drop("g_lang", "g_source")
+    for k, (*_, both) in RATES.items():
+        within = within & (F.col(k) <= F.col(f"{k}_high"))
+        if both:
+            within = within & (F.col(k) >= F.col(f"{k}_low"))
+    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(within, F.lit(True))).drop("g_lang", "g_source")
