@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import forget, table
 
-MAX_ROUNDS = 60
 
 
 def _hook(edges: DataFrame, large: bool) -> DataFrame:
@@ -35,18 +34,18 @@ def components(edges: DataFrame) -> DataFrame:
         edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).filter("u > v").distinct(),
         "edges",
     )
+
     def mark(df):
         return df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
     before = mark(now)
-    for _ in range(MAX_ROUNDS):
-        now = table(_hook(_hook(now, True), False), "edges")
+    while True:  # labels only ever get smaller, so this ends
+        last, now = now, table(_hook(_hook(now, True), False), "edges")
         after = mark(now)
+        forget(last)
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError("components didn't settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(
         now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
     )

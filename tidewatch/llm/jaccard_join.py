@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import placed, table
+from .shared import forget, placed, table
 from .words import Pieces, chunks, distinct, mix, ngrams, signed
 
 #: A posting list of more classes than this is costly.
@@ -188,7 +188,10 @@ def _postings(first: DataFrame) -> DataFrame:
     heavy = listed.filter(F.col("k") > COSTLY).drop("k", "centre").distinct()
     costly = heavy.groupBy("cls", "band").agg(F.count("*").alias("h"))
     kept = table(heavy.join(costly, ["cls", "band"]).filter("h > free").select("sig", "cls"), "heavy")
-    return light.union(_lists(kept).select("sig", "cls", "centre", "k"))
+    lists = table(light.union(_lists(kept).select("sig", "cls", "centre", "k")), "lists")
+    forget(listed)
+    forget(kept)
+    return lists
 
 
 def _members(col: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -330,17 +333,26 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(id_.alias("id"), text.alias("text"), F.xxhash64(id_.isNull(), id_, text).alias("key"))
 
 
+def _known(docs: DataFrame, words: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(id, key, set_class, n_shingles) of every row; (cls, key, size, sketch, entries) of every class."""
+    found = table(classes(docs, words, percent, id_col, text_col), "classes")
+    rows = table(found.select("id", "key", "set_class", "n_shingles"), "rows")
+    first = found.filter("set_class is not null").select(F.col("set_class").alias("cls"), "key", F.col("n_shingles").alias("size"), "sketch", "entries")
+    first = table(first.dropDuplicates(["cls"]), "first")
+    forget(found)
+    return rows, first
+
+
 def class_links(
-    docs: DataFrame, known: DataFrame, words: int, percent: int, id_col: str, text_col: str, merge_ids: bool = True
+    docs: DataFrame, known: DataFrame, first: DataFrame, words: int, percent: int, id_col: str, text_col: str, merge_ids: bool = True
 ) -> DataFrame:
-    """(node, label): components of classes that link with another class, or (merge_ids) have an id in common."""
+    """(node, label): components of classes that link with another class, or (merge_ids) have an id in common. first is used up."""
     source = _source(docs, id_col, text_col).select("key", "text")
-    first = known.filter("set_class is not null").select(F.col("set_class").alias("cls"), "key", F.col("n_shingles").alias("size"), "sketch", "entries")
-    first = table(first.dropDuplicates(["cls"]), "first")
-    lists = table(_postings(first), "lists")
+    lists = _postings(first)
     pairs = lists.filter("centre <> cls").select("centre", "cls").distinct()
     needed = lists.select("cls").distinct()  # centres are members as well
-    first = table(first.drop("entries").join(needed, "cls"), "needed")
+    whole, first = first, table(first.drop("entries").join(needed, "cls"), "needed")
+    forget(whole)
     sketches = first.select("cls", "size", "sketch")
 
     def verified(plausible: DataFrame) -> DataFrame:
@@ -373,8 +385,8 @@ def near_duplicates(
     docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, set_class, component_id (the smallest id it links to, over any number of links)."""
-    known = table(classes(docs, shingle_words, percent, id_col, text_col), "classes")
-    labels = class_links(docs, known, shingle_words, percent, id_col, text_col)
+    known, first = _known(docs, shingle_words, percent, id_col, text_col)
+    labels = class_links(docs, known, first, shingle_words, percent, id_col, text_col)
     named = known.join(labels, known.set_class == labels.node, "left").select(
         "id", "n_shingles", "set_class", F.coalesce("label", "set_class").alias("component")
     )
@@ -386,8 +398,8 @@ def near_duplicates(
 
 def keep_one(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """docs without all but one row (smallest doc_id) of each group of near copies; columns as they were."""
-    known = table(classes(docs, shingle_words, percent), "classes")
-    labels = class_links(docs, known, shingle_words, percent, "doc_id", "text", merge_ids=False)
+    known, first = _known(docs, shingle_words, percent)
+    labels = class_links(docs, known, first, shingle_words, percent, "doc_id", "text", merge_ids=False)
     rows = known.filter("id is not null").select("id", "key", "set_class")
     named = rows.join(labels, rows.set_class == labels.node, "left").select("id", "key", F.coalesce("label", "set_class").alias("component"))
     low = named.filter("component is not null").groupBy("component").agg(F.min(F.struct("id", "key")).alias("low"))
