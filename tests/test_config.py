@@ -215,3 +215,48 @@ def test_cli(tmp_path, capsys):
     (tmp_path / "c.json").write_text("{")
     assert main(["test-notify", "--config", str(tmp_path / "c.json")]) == 2
     assert main(["run"]) == 2
+
+
+def test_secret_without_mode_is_sent_as_bearer():
+    from tidewatch.sources import notify
+
+    d = parse({"TIDEWATCH_WEBHOOK_SECRET": "s"}, notify={**HOOK, "destinations": {"ops": {"webhookUrl": "https://x.y"}}}).notify.destinations["ops"]
+    assert notify.signed(d, b"{}", 0)["Authorization"] == "Bearer s"
+
+
+def test_each_missing_column_is_reported_once():
+    from tidewatch.plans.verify import verify
+
+    config = C.parse({"checks": [{"rule": "device-silent"}, {"rule": "decode-failure"}, {"rule": "join-churn"}]}, {})
+    found = verify(config, registry.load(), {"event_up": {"time", "device_name", "device_profile_name", "object"}})
+    assert [p.message.split(" (")[0] for p in found] == ["table event_up has no column dev_eui", "table event_join is missing"]
+
+
+def test_jdbc_round_trip(spark, tmp_path):
+    """The event tables from a database, in slices of time: Derby comes with Spark."""
+    from tests.golden import AS_OF, brewery
+    from tidewatch.sources import tables as T
+
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    mine = brewery().tables(spark)
+    for name, df in mine.items():
+        df.coalesce(1).write.jdbc(url, name, mode="overwrite", properties={"createTableColumnTypes": "object VARCHAR(500)"} if name == "event_up" else {})
+    got = T.jdbc(spark, url, until=AS_OF, hours=3, n_slices=3)
+    want = mine["event_up"].filter(f"time > timestamp '{AS_OF}' - interval 3 hours")
+    assert got["event_up"].rdd.getNumPartitions() == 3
+    key = lambda df: sorted(r["deduplication_id"] for r in df.select("deduplication_id").collect())
+    assert key(got["event_up"]) == key(want) and 0 < want.count() < mine["event_up"].count()
+
+
+def test_layout_by_day_prunes_folders(spark, tmp_path):
+    from tests.golden import AS_OF, fleet
+    from tidewatch.operators import resolvers as R
+    from tidewatch.sources import tables as T
+
+    mine = fleet().tables(spark)
+    T.lay_out(mine, str(tmp_path))
+    got = T.parquet(spark, str(tmp_path))
+    assert len(list((tmp_path / "event_up.parquet").glob("day=*"))) > 2
+    window = R.window(got["event_up"], AS_OF, 6)
+    assert window.columns == mine["event_up"].columns and window.count() == R.window(mine["event_up"], AS_OF, 6).count() > 0
+    assert "PartitionFilters: [isnotnull(day" in window._jdf.queryExecution().toString()

@@ -1,3 +1,6 @@
+import json
+import time
+
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -105,7 +108,8 @@ def test_unknown_disabled_junk_and_dry_run(spark, tmp_path):
     rows = [("1", None, None, "x"), ("", None, None, "x"), (None, None, None, "x"), ("2", None, None, "")]
     raw = [{"rule": "nope"}, {"rule": "a", "enabled": False, "as": "off"}, {"rule": "a"}]
     s = run(spark, store, {"a": canned(rows)}, raw, dry_run=True)
-    assert s.raised == 1 and store.version() == 0 and store.ledger().count() == 0
+    assert s.raised == 0 and [o.findings for o in s.outcomes if o.kind == "a"] == [1]
+    assert store.version() == 0 and store.ledger().count() == 0
     s = run(spark, store, {"a": canned(rows)}, raw)
     assert {o.kind: o.status for o in s.outcomes} == {"nope": "error", "a": "ok"} and s.raised == 1
     assert store.ledger().count() == 2
@@ -126,10 +130,55 @@ def test_notification_and_retry(spark, tmp_path):
     def post(status):
         return lambda url, body, headers, timeout: (calls.append(body), (status, b""))[1]
 
-    once = lambda status: run_pass(spark, C.parse(raw, {}), checks, Store().tables(spark), store, AS_OF, post=post(status))
+    once = lambda status, **more: run_pass(spark, C.parse(raw, {}), checks, Store().tables(spark), store, AS_OF, post=post(status), **more)
     assert once(500).delivery.failed == 1 and store.read().first()["notified_at"] is None
-    assert once(200).delivery.delivered == 1 and store.read().first()["notified_at"] is not None
-    assert once(200).delivery.attempted == 0 and len(calls) == 2
+    assert once(200).delivery.attempted == 0 and store.read().first()["notified_at"] is None
+    assert once(200, retry_pending=True).delivery.delivered == 1 and store.read().first()["notified_at"] is not None
+    assert once(200, retry_pending=True).delivery.attempted == 0 and len(calls) == 2
+
+
+def test_only_routed_alerts_are_sent_worst_first(spark, tmp_path):
+    """Alerts without a destination are counted when they are raised and never sent; the others go out by severity and the rule's order."""
+    store, calls = StateStore(spark, str(tmp_path)), []
+    raw = {"checks": [{"rule": "a"}], "notify": {"destinations": {"x": {"webhookUrl": "https://x.y"}}, "bySeverity": {"info": None}, "defaultDestination": "x"}}
+
+    def find(ctx):
+        rows = [(str(i), None, sev, "x", worst) for i, (sev, worst) in enumerate((("warning", 5), ("info", 1), ("critical", 9), ("warning", -3), ("critical", 2), ("info", 0)))]
+        df = ctx.table("event_up").sparkSession.createDataFrame(rows, "dev_eui string, device_name string, severity string, summary string, ordinal long")
+        return df.withColumn("detail", F.struct(F.lit(1).alias("n")))
+
+    post = lambda url, body, headers, timeout: (calls.append(json.loads(body)["devEui"]), (200, b""))[1]
+    once = lambda **more: run_pass(spark, C.parse(raw, {}), {"a": check("a", find)}, Store().tables(spark), store, AS_OF, post=post, **more).delivery
+    first = once()
+    assert (first.delivered, first.unrouted) == (4, 2) and calls == ["4", "2", "3", "0"]
+    again = once(retry_pending=True)
+    assert (again.attempted, again.unrouted, len(calls)) == (0, 0, 4)
+
+
+def test_closed_alerts_are_written_once(spark, tmp_path):
+    """A pass over many closed alerts writes none of them again, and reads back all of them."""
+    store = StateStore(spark, str(tmp_path))
+    rows = [(str(i), None, None, "x") for i in range(50)]
+    run(spark, store, {"a": canned(rows), "b": canned(rows[:1])})
+    run(spark, store, {"a": canned(), "b": canned(rows[:1])})
+    files = {f: f.stat().st_mtime_ns for f in tmp_path.glob("closed/**/*.parquet")}
+    assert files and store.closed().count() == 50
+    for _ in range(4):
+        run(spark, store, {"a": canned(rows[:2]), "b": canned(rows[:1])})
+        run(spark, store, {"a": canned(), "b": canned(rows[:1])})
+    assert {f: f.stat().st_mtime_ns for f in files} == files
+    assert store.closed().count() == 58 and store.opened().count() == 1 and store.read().count() == 59
+    assert sum(spark.read.parquet(str(p)).count() for p in tmp_path.glob("open/v=*")) <= 9
+    assert len(list(tmp_path.glob("open/v=*"))) == 3 and not list(tmp_path.glob("work/*"))
+
+
+def test_each_check_has_its_own_time(spark, tmp_path):
+    store = StateStore(spark, str(tmp_path))
+    slow = lambda ctx: (time.sleep(1.5), canned([("1", None, None, "x")])(ctx))[1]
+    run(spark, store, {"a": slow, "b": canned()})
+    ledger = {r["kind"]: r for r in store.ledger().collect()}
+    assert ledger["a"]["duration_ms"] >= 1500 and (ledger["a"]["finished_at"] - ledger["a"]["started_at"]).total_seconds() >= 1.5
+    assert ledger["a"]["duration_ms"] != ledger["b"]["duration_ms"]
 
 
 def test_timeout(spark, tmp_path):

@@ -12,7 +12,7 @@ import sys
 from .log import Log
 from .plans import config as C
 from .plans import registry
-from .plans.verify import verify
+from .plans.verify import lookback, verify
 
 VERSION = "0.1.0"
 
@@ -22,6 +22,8 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("command", choices=["list", "verify", "run", "serve", "status", "init", "test-notify", "version"])
     p.add_argument("--config", help="configuration file (JSON)")
     p.add_argument("--events", help="folder of the event tables")
+    p.add_argument("--jdbc", help="address of the database that has the event tables, instead of --events; its driver's jar must be on Spark's class path")
+    p.add_argument("--retry-pending", action="store_true", help="send open alerts again whose delivery failed before")
     p.add_argument("--state", help="folder of alert state and ledger")
     p.add_argument("--checks", help="folder of further checks")
     p.add_argument("--as-of", help="time of the pass, YYYY-MM-DD HH:MM:SS (now)")
@@ -99,9 +101,15 @@ def _run(args: argparse.Namespace, log: Log, spark) -> int:
             if n:
                 log.warning("open alerts of checks that no longer run", alerts=n)
         return 0
-    _need(args, "config", "events")
+    _need(args, "config", *([] if args.jdbc else ["events"]))
     config = C.load(args.config)
-    tables = T.parquet(spark, args.events)
+
+    def events():
+        if not args.jdbc:
+            return T.parquet(spark, args.events)
+        return T.jdbc(spark, args.jdbc, until=args.as_of, hours=lookback(config, checks), timeout_ms=config.timeout_ms)
+
+    tables = events()
     problems = verify(config, checks, T.columns(tables), store)
     if args.command in ("verify", "serve"):
         for p in problems:
@@ -111,7 +119,7 @@ def _run(args: argparse.Namespace, log: Log, spark) -> int:
             return int(bad)
 
     def once():
-        s = run_pass(spark, config, checks, T.parquet(spark, args.events), store, args.as_of, args.dry_run)
+        s = run_pass(spark, config, checks, events(), store, args.as_of, args.dry_run, retry_pending=args.retry_pending)
         for o in s.outcomes:
             (log.error if o.status == "error" else log.info)("check", kind=o.kind, status=o.status, findings=o.findings, raised=o.raised, resolved=o.resolved, error=o.error)
         log.info("pass", raised=s.raised, resolved=s.resolved, errors=len(s.errors), delivered=s.delivery.delivered, failed=s.delivery.failed)
@@ -120,7 +128,8 @@ def _run(args: argparse.Namespace, log: Log, spark) -> int:
     if args.command == "run":
         return int(bool(once().errors))
     service = Service(Schedule(config.schedule, config.timezone), once, log)
-    signal.signal(signal.SIGTERM, lambda *_: service.stop())
+    for name in (signal.SIGTERM, signal.SIGINT):
+        signal.signal(name, lambda *_: service.stop())
     service.serve(run_on_start=True)
     return 0
 

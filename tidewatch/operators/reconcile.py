@@ -45,7 +45,7 @@ def merge(state: DataFrame, findings: DataFrame, as_of: str, kinds: list[str]) -
     """
     now = F.lit(as_of).cast("timestamp")
     found = one_per_device(findings.filter(F.col("kind").isin(kinds))).select(
-        *KEY, F.struct("rule_id", "device_name", "severity", "summary", "detail", "announced", "times").alias("f")
+        *KEY, F.struct("rule_id", "ordinal", "device_name", "severity", "summary", "detail", "announced", "times").alias("f")
     )
     open_rows = state.filter("resolved_at is null").select(*KEY, F.struct(*[c for c in state.columns if c not in KEY]).alias("s"))
     both = open_rows.join(found, KEY, "full_outer")
@@ -72,6 +72,17 @@ def merge(state: DataFrame, findings: DataFrame, as_of: str, kinds: list[str]) -
         F.col("s.notified_at").alias("notified_at"),
         F.coalesce("f.times", F.lit(0)).alias("times"),
         F.col("f.announced").alias("announced"),
+        F.col("f.ordinal").alias("ordinal"),
+    )
+
+
+def counted(merged: DataFrame) -> DataFrame:
+    """kind, findings, raised, touched, resolved: what merge() did for each check."""
+    return merged.groupBy("kind").agg(
+        F.sum("times").alias("findings"),
+        F.count_if(F.col("action") == "raise").alias("raised"),
+        (F.sum("times") - F.count_if(F.col("action") == "raise")).alias("touched"),
+        F.count_if(F.col("action") == "resolve").alias("resolved"),
     )
 
 
@@ -81,13 +92,7 @@ def reconcile(state: DataFrame, findings: DataFrame, as_of: str, kinds: list[str
     columns = state.columns
     after = state.filter("resolved_at is not null").unionByName(merged.select(*columns))
     part = lambda a: merged.filter(F.col("action") == a)
-    counts = merged.groupBy("kind").agg(
-        F.sum("times").alias("findings"),
-        F.count_if(F.col("action") == "raise").alias("raised"),
-        (F.sum("times") - F.count_if(F.col("action") == "raise")).alias("touched"),
-        F.count_if(F.col("action") == "resolve").alias("resolved"),
-    )
-    return Reconciled(after, part("raise"), part("touch"), part("resolve"), counts)
+    return Reconciled(after, part("raise"), part("touch"), part("resolve"), counted(merged))
 
 
 def open_alerts(state: DataFrame, as_of: str) -> DataFrame:

@@ -28,7 +28,10 @@ def since(events: DataFrame, as_of: str, hours: float = 0, minutes: float = 0) -
 
 def window(events: DataFrame, as_of: str, hours: float, scope: Scope | None = None) -> DataFrame:
     """Events after as_of - hours and up to as_of."""
-    rows = events.filter((F.col("time") > since(events, as_of, hours)) & (F.col("time") <= moment(events, as_of)))
+    first, last = since(events, as_of, hours), moment(events, as_of)
+    rows = events.filter((F.col("time") > first) & (F.col("time") <= last))
+    if "day" in events.columns:  # folders by day
+        rows = rows.filter((F.col("day") >= F.to_date(first)) & (F.col("day") <= F.to_date(last))).drop("day")
     return (scope or Scope()).apply(rows)
 
 
@@ -48,34 +51,40 @@ def _newest(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.select(*keep, "deduplication_id").withColumn("_n", F.row_number().over(order)).filter("_n = 1").select(*keep)
 
 
-def _newest_decoded(up: DataFrame, hours: float, scope: Scope, as_of: str) -> DataFrame:
-    rows = _newest(window(up, as_of, hours, scope).filter(F.col("object").isNotNull()), "object")
+def newest_decoded(up: DataFrame, hours: float, scope: Scope, as_of: str) -> DataFrame:
+    """dev_eui, device_name, time, object: each device's newest decoded uplink."""
+    return _newest(window(up, as_of, hours, scope).filter(F.col("object").isNotNull()), "object")
+
+
+def _parsed(up: DataFrame, hours: float, scope: Scope, as_of: str, newest: DataFrame | None) -> DataFrame:
+    """The newest decoded uplinks with their payload. newest: they are there already, of a window that reaches farther back."""
+    rows = newest_decoded(up, hours, scope, as_of) if newest is None else newest.filter(F.col("time") > since(newest, as_of, hours))
     return rows.withColumn("_v", payload.parsed())
 
 
-def latest_readings(up: DataFrame, paths: Paths, hours: float, scope: Scope, as_of: str) -> DataFrame:
+def latest_readings(up: DataFrame, paths: Paths, hours: float, scope: Scope, as_of: str, newest: DataFrame | None = None) -> DataFrame:
     """dev_eui, device_name, matched_path, value, at: first numeric candidate on each device's newest decoded uplink.
 
     A device whose newest decoded uplink has none of them has no row.
     """
-    rows = _newest_decoded(up, hours, scope, as_of)
+    rows = _parsed(up, hours, scope, as_of, newest)
     value, path = payload.first_of([payload.leaf_number(F.col("_v"), p) for p in paths], _names(paths))
     out = rows.select("dev_eui", "device_name", path.alias("matched_path"), value.cast("double").alias("value"), F.col("time").alias("at"))
     return out.filter("value is not null")
 
 
-def latest_flags(up: DataFrame, paths: Paths, hours: float, scope: Scope, true_values: list[str], as_of: str) -> DataFrame:
+def latest_flags(up: DataFrame, paths: Paths, hours: float, scope: Scope, true_values: list[str], as_of: str, newest: DataFrame | None = None) -> DataFrame:
     """dev_eui, device_name, matched_path, raw, value, at: first candidate that is there, compared to the words for true."""
-    rows = _newest_decoded(up, hours, scope, as_of)
+    rows = _parsed(up, hours, scope, as_of, newest)
     raw, path = payload.first_of([payload.leaf_text(F.col("_v"), p) for p in paths], _names(paths))
     yes = F.lower(F.col("raw")).isin([v.lower() for v in true_values])
     out = rows.select("dev_eui", "device_name", path.alias("matched_path"), raw.alias("raw"), F.col("time").alias("at"))
     return out.filter("raw is not null").select("dev_eui", "device_name", "matched_path", "raw", yes.alias("value"), "at")
 
 
-def latest_fixes(up: DataFrame, lat_paths: Paths, lon_paths: Paths, hours: float, scope: Scope, as_of: str) -> DataFrame:
+def latest_fixes(up: DataFrame, lat_paths: Paths, lon_paths: Paths, hours: float, scope: Scope, as_of: str, newest: DataFrame | None = None) -> DataFrame:
     """dev_eui, device_name, lat, lon, at: both halves from each device's newest decoded uplink, or no row."""
-    rows = _newest_decoded(up, hours, scope, as_of)
+    rows = _parsed(up, hours, scope, as_of, newest)
     half = lambda paths: F.coalesce(*[payload.leaf_number(F.col("_v"), p) for p in paths]).cast("double")
     out = rows.select("dev_eui", "device_name", half(lat_paths).alias("lat"), half(lon_paths).alias("lon"), F.col("time").alias("at"))
     return out.filter("lat is not null and lon is not null")

@@ -40,6 +40,11 @@ class Context:
     def scope(self) -> Scope:
         return Scope.of(dict(self.params))
 
+    def newest(self) -> DataFrame | None:
+        """Newest decoded uplinks that a planner has put into the tables, if they are the ones this check looks at."""
+        shared = getattr(self.tables, "newest", None)
+        return shared(self.scope) if shared else None
+
     def with_open(self, df: DataFrame) -> DataFrame:
         """df with is_open."""
         if self.open_devices is None:
@@ -78,11 +83,13 @@ def told(pattern: str, *values: Column | str) -> Column:
     return F.format_string("%s: " + pattern, label(), *[F.col(v) if isinstance(v, str) else v for v in values])
 
 
-def finding(df: DataFrame, severity: Column | str, summary: Column, **detail: Column) -> DataFrame:
+def finding(df: DataFrame, severity: Column | str, summary: Column, order: Column | None = None, **detail: Column) -> DataFrame:
+    """Findings in the common form. order: a number that is lower for worse findings; these are announced first."""
     severity = F.lit(severity) if isinstance(severity, str) else severity
     return df.select(
-        "dev_eui", "device_name", severity.alias("severity"), summary.alias("summary"), F.struct(*[c.alias(k) for k, c in detail.items()]).alias("detail")
-    )
+        "dev_eui", "device_name", severity.alias("severity"), summary.alias("summary"), F.struct(*[c.alias(k) for k, c in detail.items()]).alias("detail"),
+        *([] if order is None else [order.cast("bigint").alias("ordinal")]),
+    )
 
 
 def graded(hit: Column, ordinary: str) -> Column:

@@ -43,6 +43,7 @@ def _silent(ctx: Context) -> DataFrame:
         df,
         "critical",
         told("nothing heard for %s", ago),
+        order=F.unix_micros(c("last_seen").cast("timestamp")),
         lastSeen=c("last_seen"),
         silentMinutes=c("minutes"),
         thresholdMinutes=F.lit(limit),
@@ -76,6 +77,7 @@ def _decode_failure(ctx: Context) -> DataFrame:
         df,
         graded(c("ratio") >= 0.99, "warning"),
         told("%d of %d uplinks not decoded", "failed", "total"),
+        order=-c("failed"),
         deviceProfileName=c("profile"),
         undecodedUplinks=c("failed"),
         totalUplinks=c("total"),
@@ -111,6 +113,7 @@ def _signal(ctx: Context) -> DataFrame:
         df,
         "info",
         told("mean signal %.1f dBm over %d uplinks", c("avg_rssi").cast("double"), "uplinks"),
+        order=c("avg_rssi") * 1_000_000,
         avgRssiDbm=F.round("avg_rssi", 1).cast("double"),
         minRssiDbm=c("min_rssi").cast("double"),
         avgSnrDb=F.round("avg_snr", 1).cast("double"),
@@ -143,6 +146,7 @@ def _log_error(ctx: Context) -> DataFrame:
         df,
         graded(c("worst") >= 2, "warning"),
         told("%d errors (%s), last: %s", "events", F.array_join("codes", ","), F.substring(F.coalesce("description", F.lit("")), 1, 160)),
+        order=-(c("worst") * F.lit(1_000_000_000_000) + c("events")),
         events=c("events"),
         worstLevel=c("worst"),
         codes=c("codes"),
@@ -211,6 +215,7 @@ def _status_margin(ctx: Context) -> DataFrame:
         df,
         F.lit("warning") if critical is None else graded(c("rounded") <= critical, "warning"),
         told("mean link margin %.1f dB", "rounded"),
+        order=c("mean") * 1_000_000,
         source=F.lit("event_status"),
         avgMarginDb=c("rounded"),
         minMarginDb=c("least").cast("long"),
@@ -244,6 +249,7 @@ def _churn(ctx: Context) -> DataFrame:
         df.filter(hit),
         graded((c("uplinks") == 0) | (share >= 1), "warning"),
         told("joined %d times, %d uplinks", "joins", "uplinks"),
+        order=-c("joins"),
         joins=c("joins"),
         distinctDevAddrs=c("addresses"),
         uplinksInWindow=c("uplinks"),
@@ -272,6 +278,7 @@ def _unacked(ctx: Context) -> DataFrame:
         df,
         "critical",
         told("%d of %d commands not confirmed", "unacked", "total"),
+        order=-c("unacked"),
         unacked=c("unacked"),
         totalConfirmedDownlinks=c("total"),
         unackedRatio=F.round("ratio", 3),

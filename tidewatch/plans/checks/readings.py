@@ -21,7 +21,7 @@ def _battery_low(ctx: Context) -> DataFrame:
     if critical_at is not None and critical_at > raise_at:
         raise P.ParamError("criticalAtVolts can't be above raiseAtVolts")
     paths = candidates(ctx)
-    df = ctx.with_open(R.latest_readings(ctx.table("event_up"), paths, P.rounded(p, "lookbackHours"), ctx.scope, ctx.as_of))
+    df = ctx.with_open(R.latest_readings(ctx.table("event_up"), paths, P.rounded(p, "lookbackHours"), ctx.scope, ctx.as_of, ctx.newest()))
     df = df.filter(c("value") <= F.when(c("is_open"), clear_at).otherwise(raise_at))
     return finding(
         df,
@@ -47,7 +47,7 @@ def _threshold(ctx: Context) -> DataFrame:
     if margin < 0:
         raise P.ParamError("clearMargin can't be negative")
     paths = candidates(ctx)
-    df = ctx.with_open(R.latest_readings(ctx.table("event_up"), paths, P.whole(p, "lookbackHours", 1), ctx.scope, ctx.as_of))
+    df = ctx.with_open(R.latest_readings(ctx.table("event_up"), paths, P.whole(p, "lookbackHours", 1), ctx.scope, ctx.as_of, ctx.newest()))
     inner = F.when(c("is_open"), margin).otherwise(0.0)
     below = F.lit(False) if low is None else c("value") < F.lit(low) + inner
     above = F.lit(False) if high is None else c("value") > F.lit(high) - inner
@@ -75,7 +75,7 @@ def _boolean_alarm(ctx: Context) -> DataFrame:
     if not words:
         raise P.ParamError("trueValues can't be empty")
     paths = candidates(ctx)
-    df = R.latest_flags(ctx.table("event_up"), paths, P.whole(p, "lookbackHours", 1), ctx.scope, words, ctx.as_of).filter("value")
+    df = R.latest_flags(ctx.table("event_up"), paths, P.whole(p, "lookbackHours", 1), ctx.scope, words, ctx.as_of, ctx.newest()).filter("value")
     return finding(
         df,
         "critical",
@@ -111,7 +111,7 @@ def _geofence(ctx: Context) -> DataFrame:
         lat0, lon0, radius = (P.number(p, k) for k in ("centerLat", "centerLon", "radiusMetres"))
         if radius <= 0:
             raise P.ParamError("radiusMetres must be above 0")
-    df = ctx.with_open(R.latest_fixes(ctx.table("event_up"), lat, lon, hours, ctx.scope, ctx.as_of))
+    df = ctx.with_open(R.latest_fixes(ctx.table("event_up"), lat, lon, hours, ctx.scope, ctx.as_of, ctx.newest()))
     common = {"shape": F.lit(shape), "latitude": c("lat"), "longitude": c("lon"), "clearMargin": F.lit(margin), "fixAt": c("at")}
     if shape == "box":
         # An open alert widens the box by the margin; with inwardMargin it narrows it instead.

@@ -65,7 +65,7 @@ def _rate(ctx: Context) -> DataFrame:
     if limit < 0:
         raise P.ParamError("maxRatePerHour can't be negative")
     df = _stats(ctx).filter((c("samples") >= least) & (c("span_hours") >= span) & (c("span_hours") > 0))
-    df = df.withColumn("rate", (c("vlast") - c("vfirst")) / c("span_hours"))
+    df = df.withColumn("rate", F.try_divide(c("vlast") - c("vfirst"), c("span_hours")))
     hit = {"falling": c("rate") < -limit, "rising": c("rate") > limit, "either": F.abs("rate") > limit}[direction]
     return finding(
         df.filter(hit),
@@ -158,7 +158,7 @@ def _spike(ctx: Context) -> DataFrame:
     limit, least, span = P.number(p, "maxRatePerHour"), P.whole(p, "minSamples", 2), P.number(p, "minSpanHours")
     df = _stats(ctx).withColumn("advance", c("vlast") - c("vfirst"))
     df = df.filter((c("samples") >= least) & (c("span_hours") >= span) & (c("span_hours") > 0) & (c("advance") >= 0))
-    df = df.withColumn("rate", c("advance") / c("span_hours")).filter(c("rate") > limit)
+    df = df.withColumn("rate", F.try_divide(c("advance"), c("span_hours"))).filter(c("rate") > limit)
     return finding(
         df,
         "critical",

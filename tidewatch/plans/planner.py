@@ -2,8 +2,9 @@
 
 All window checks of a pass whose parameters are valid are put together: the greatest lookback and
 the union of their candidate paths give one frame of numeric readings, which is cached; each check
-filters it by path, time and scope. Checks with equal signatures end up with equal plans, which Spark
-computes once.
+filters it by path, time and scope. Checks on the newest uplink that look at all devices share one
+cached row for each device, of the greatest lookback among them: it is the newest of a shorter one as
+well, if it lies in that.
 """
 
 from __future__ import annotations
@@ -20,14 +21,17 @@ from ..operators.scope import Scope
 from .checks.base import Check
 from .config import CheckConfig
 
+NEWEST_RULES = ("battery-low", "measurement-threshold", "boolean-alarm", "geofence-breach")
 WINDOW_RULES = ("measurement-peak", "measurement-rate", "measurement-stuck", "counter-stalled", "counter-spike")
 
 
 class SharedTables(Mapping):
-    """The event tables, and the readings that several checks share."""
+    """The event tables, and what several checks share: readings, and newest decoded uplinks."""
 
-    def __init__(self, tables: Mapping[str, DataFrame], readings: DataFrame, as_of: str):
-        self._tables, self._readings, self._as_of = tables, readings, as_of
+    def __init__(self, tables: Mapping[str, DataFrame], readings: DataFrame | None, newest: DataFrame | None, as_of: str):
+        self._tables, self._readings, self._newest, self._as_of = tables, readings, newest, as_of
+        if readings is None:
+            self.telemetry = None
 
     def __getitem__(self, name: str) -> DataFrame:
         return self._tables[name]
@@ -38,6 +42,9 @@ class SharedTables(Mapping):
     def __len__(self) -> int:
         return len(self._tables)
 
+    def newest(self, scope: Scope) -> DataFrame | None:
+        return self._newest if scope == Scope() else None
+
     def telemetry(self, paths: R.Paths, hours: float, scope: Scope) -> DataFrame:
         """As resolvers.telemetry, from the shared readings."""
         names = [".".join(p) for p in paths]
@@ -48,13 +55,19 @@ class SharedTables(Mapping):
 
 
 def shared(tables: Mapping[str, DataFrame], checks: list[tuple[CheckConfig, Check]], as_of: str) -> SharedTables | None:
-    """Shared tables for the window checks among checks; None if fewer than two would use them."""
+    """Shared tables for the window checks and the newest-uplink checks among checks; None if of neither there are two."""
     paths: dict[str, tuple[str, ...]] = {}
-    hours, users = 0, 0
+    hours, users, back = 0, 0, []
     for c, check in checks:
+        merged = {**check.params, **c.params}
+        if check.id in NEWEST_RULES:
+            try:
+                if Scope.of(merged) == Scope():
+                    back.append(P.number(merged, "lookbackHours"))
+            except P.ParamError:
+                pass  # the check itself reports it
         if check.id not in WINDOW_RULES:
             continue
-        merged = {**check.params, **c.params}
         try:
             own, own_hours = P.paths(merged), P.whole(merged, "lookbackHours", 1)
         except P.ParamError:
@@ -62,18 +75,21 @@ def shared(tables: Mapping[str, DataFrame], checks: list[tuple[CheckConfig, Chec
         users += 1
         hours = max(hours, own_hours)
         paths |= {".".join(p): p for p in own}
-    if users < 2:
-        return None
     up = tables["event_up"]
+    newest = R.newest_decoded(up, max(back) + 1, Scope(), as_of).cache() if len(back) > 1 else None  # an hour more: some round theirs
+    if users < 2:
+        return SharedTables(tables, None, newest, as_of) if newest is not None else None
     rows = R.window(up, as_of, hours).filter(F.col("object").isNotNull())
     rows = rows.select("dev_eui", "device_name", "device_profile_name", "time", "deduplication_id", payload.parsed().alias("_v"))
     each = F.array(*[F.struct(F.lit(n).alias("path"), payload.leaf_number(F.col("_v"), p).alias("num")) for n, p in paths.items()])
     readings = rows.select(
         "dev_eui", "device_name", "device_profile_name", "time", "deduplication_id", F.inline(F.filter(each, lambda x: x["num"].isNotNull()))
     )
-    return SharedTables(tables, readings.cache(), as_of)
+    return SharedTables(tables, readings.cache(), newest, as_of)
 
 
 def release(tables: Mapping[str, DataFrame]) -> None:
     if isinstance(tables, SharedTables):
-        tables._readings.unpersist()
+        for df in (tables._readings, tables._newest):
+            if df is not None:
+                df.unpersist()

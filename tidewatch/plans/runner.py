@@ -1,28 +1,37 @@
 """One pass: run every enabled check, merge findings into the state, keep the ledger, notify.
 
-Findings of all checks are stacked and merged in one job. If that job fails, checks are run one by
-one, so that a check that fails is recorded and resolves nothing while the others count.
+Each check is a job of its own, some at a time, with its own time limit; a check that fails is
+recorded and resolves nothing while the others count. Checks over the same uplinks share one scan.
+Findings are merged with the open alerts in one job, whose result is written once: counts, alerts to
+send and the new state are read from there.
 """
 
 from __future__ import annotations
 
 import threading
+import time
 import uuid
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import findings as FF
 from ..operators import reconcile as RC
-from ..sources.notify import Delivery, Post, deliver, http_post
+from ..operators import routing as RT
+from ..sources.notify import Delivery, Post, http_post, send_all
 from ..sources.state import StateStore
 from . import planner
 from .checks.base import Check, Context
 from .config import CheckConfig, Config
 
+#: Checks that run at a time.
+AT_A_TIME = 4
+
 
 @dataclass
 class Outcome:
@@ -34,6 +43,7 @@ class Outcome:
     resolved: int = 0
     error: str | None = None
     duration_ms: int = 0
+    started: datetime | None = None
 
 
 @dataclass
@@ -96,97 +106,103 @@ def run_pass(
     as_of: str | None = None,
     dry_run: bool = False,
     fuse: bool = True,
-    retry_pending: bool = True,
+    retry_pending: bool = False,
     post: Post = http_post,
 ) -> Summary:
-    """Run the enabled checks as of a time (now by default). A dry run writes nothing and ignores open alerts."""
+    """Run the enabled checks as of a time (now by default). A dry run counts findings and changes nothing.
+
+    retry_pending: send open alerts again whose delivery failed in a pass before; without it each
+    alert is sent once, when it is raised.
+    """
     as_of = as_of or datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
-    state = store.read()
-    summary, planned = Summary(), []
+    state = store.opened()
     known = [(c, checks[c.rule]) for c in config.enabled if c.rule in checks]
     shared = (planner.shared(tables, known, as_of) if fuse and "event_up" in tables else None) or tables
-    started = datetime.now(timezone.utc).replace(tzinfo=None)
 
-    def failed(c: CheckConfig, error: Exception) -> None:
-        summary.outcomes.append(Outcome(c.kind, c.rule, "error", error=str(error).strip().split("\n")[0][:500]))
-
-    for c in config.enabled:
-        if c.rule not in checks:
-            failed(c, LookupError(f"there is no rule {c.rule}"))
-            continue
+    def one(c: CheckConfig) -> tuple[Outcome, DataFrame | None]:
+        outcome, began, rows = Outcome(c.kind, c.rule, "ok", started=datetime.now(timezone.utc).replace(tzinfo=None)), time.monotonic(), None
         try:
-            planned.append((c, plan(c, checks[c.rule], shared, None if dry_run else state, as_of)))
+            if c.rule not in checks:
+                raise LookupError(f"there is no rule {c.rule}")
+            found = plan(c, checks[c.rule], shared, None if dry_run else state, as_of)
+            rows = within(spark, config.timeout_ms, lambda: store.keep(found, "findings"))
         except Exception as e:  # noqa: BLE001
-            failed(c, e)
-    done: list[tuple[CheckConfig, DataFrame]] = []
+            outcome.status, outcome.error = "error", str(e).strip().split("\n")[0][:500]
+        outcome.duration_ms = int((time.monotonic() - began) * 1000)
+        return outcome, rows
+
+    summary = Summary()
     try:
-        if planned:
-            try:
-                all_rows = FF.stacked([df for _, df in planned])
-                rows = within(spark, config.timeout_ms * max(1, len(planned)), lambda: _kept(spark, all_rows, store))
-                done = [(c, rows.filter(F.col("kind") == c.kind)) for c, _ in planned]
-            except Exception:  # noqa: BLE001
-                for c, df in planned:
-                    try:
-                        done.append((c, within(spark, config.timeout_ms, lambda df=df: _kept(spark, df, store))))
-                    except Exception as e:  # noqa: BLE001
-                        failed(c, e)
+        with ThreadPoolExecutor(AT_A_TIME) as pool:
+            results = list(pool.map(one, config.enabled))
+        summary.outcomes = [o for o, _ in results]
+        done = {o.kind: (o, rows) for o, rows in results if rows is not None}
         if done:
-            found = FF.stacked([df for _, df in done])
-            _merge(spark, config, checks, store, state, found, [c for c, _ in done], as_of, dry_run, retry_pending, post, summary)
+            found = FF.stacked([rows for _, rows in done.values()])
+            if dry_run:
+                for r in found.groupBy("kind").agg(F.count("*").alias("n")).collect():
+                    done[r["kind"]][0].findings = r["n"]
+            else:
+                _merge(spark, config, checks, store, state, found, {k: o for k, (o, _) in done.items()}, as_of, retry_pending, post, summary)
+            store.discard(*[rows for _, rows in done.values()])
     finally:
         planner.release(shared)
-    finished = datetime.now(timezone.utc).replace(tzinfo=None)
-    took = int((finished - started).total_seconds() * 1000)
-    for o in summary.outcomes:
-        o.duration_ms = took
     if not dry_run:
         store.record(
             [
                 {
-                    "id": uuid.uuid4().hex, "rule_id": o.rule_id, "kind": o.kind, "started_at": started, "finished_at": finished, "duration_ms": took,
+                    "id": uuid.uuid4().hex, "rule_id": o.rule_id, "kind": o.kind, "started_at": o.started,
+                    "finished_at": o.started + timedelta(milliseconds=o.duration_ms), "duration_ms": o.duration_ms,
                     "status": o.status, "findings": o.findings, "raised": o.raised, "resolved": o.resolved, "error": o.error,
                 }
                 for o in summary.outcomes
             ]
         )
+        store.prune()
     return summary
 
 
-def _kept(spark: SparkSession, rows: DataFrame, store: StateStore) -> DataFrame:
-    """Findings, written beside the state and read back: checks run once, whatever reads their rows."""
-    path = f"{store.folder}/findings/{uuid.uuid4().hex}"
-    rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
-
-
-def _merge(spark, config, checks, store, state, found, ran, as_of, dry_run, retry_pending, post, summary) -> None:
-    kinds = [c.kind for c in ran]
-    rules = {c.kind: c.rule for c in ran}
-    base = state if not dry_run else state.limit(0)
-    result = RC.reconcile(base, found, as_of, kinds)
-    counts = {r["kind"]: r for r in result.counts.collect()}
-    for kind in kinds:
-        r = counts.get(kind)
-        summary.outcomes.append(
-            Outcome(kind, rules[kind], "ok", *((r["findings"], r["raised"], r["resolved"]) if r else (0, 0, 0)))
-        )
-    if dry_run:
-        return
-    # What is announced is the first finding of a device; alerts whose delivery failed before are tried again.
-    fresh = result.raised.select("id", "rule_id", "kind", "dev_eui", "device_name", F.col("announced.severity").alias("severity"), F.col("announced.summary").alias("summary"), F.col("announced.detail").alias("detail"), "raised_at")
-    alerts = [r.asDict() for r in fresh.collect()] if config.notify else []
-    if config.notify and retry_pending:
-        pending = result.touched.filter("notified_at is null").select(*fresh.columns)
-        alerts += [r.asDict() for r in pending.collect()]
-    rank = {"critical": 0, "warning": 1}
-    alerts.sort(key=lambda a: (rank.get(a["severity"], 2), a["kind"], a["dev_eui"]))  # worst first
-    store.write(result.state)
-    if not config.notify:
-        summary.delivery.unrouted = sum(o.raised for o in summary.outcomes)
-        return
-    routes = {c.kind: (checks[c.rule].routing, c.notify_to) for c in ran}
-    summary.delivery = deliver(alerts, config.notify, routes, post)
-    if summary.delivery.delivered_ids:
-        ids = spark.createDataFrame([(i,) for i in summary.delivery.delivered_ids], "id string")
-        store.write(RC.mark_notified(store.read(), ids, as_of))
+def _routed(merged: DataFrame, config: Config, checks: Mapping[str, Check], retry_pending: bool) -> DataFrame:
+    """Alerts to announce and the destination of each; null: to be recorded only."""
+    # What is announced is the first finding of a device.
+    fresh = F.col("action") == "raise"
+    own = lambda k: F.when(fresh, F.col(f"announced.{k}")).otherwise(F.col(k)).alias(k)
+    wanted = fresh | ((F.col("action") == "touch") & F.col("notified_at").isNull()) if retry_pending else fresh
+    alerts = merged.filter(wanted).select("action", "id", "rule_id", "kind", "dev_eui", "device_name", *map(own, ("severity", "summary", "detail")), "raised_at", "ordinal")
+    if config.notify is None:
+        return alerts.withColumn("destination", F.lit(None).cast("string"))
+    n, per_kind = config.notify, {c.kind: c for c in config.enabled if c.rule in checks}
+
+    def of_kind(value) -> Any:
+        out = F.lit(RT.ABSENT)
+        for kind, c in per_kind.items():
+            out = F.when(F.col("kind") == kind, F.lit(value(c))).otherwise(out)
+        return out
+
+    to = RT.destination_column(F.col("severity"), of_kind(lambda c: checks[c.rule].routing), of_kind(lambda c: c.notify_to), n.by_severity, n.routing, n.default)
+    return alerts.withColumn("destination", to)
+
+
+def _merge(spark, config, checks, store, state, found, outcomes, as_of, retry_pending, post, summary) -> None:
+    kinds = list(outcomes)
+    merged = store.keep(RC.merge(state, found, as_of, kinds), "merged")
+    for r in RC.counted(merged).collect():
+        if o := outcomes.get(r["kind"]):
+            o.findings, o.raised, o.resolved = r["findings"], r["raised"], r["resolved"]
+    opened = merged.filter("action <> 'resolve'").select(*state.columns)
+    closed = merged.filter("action = 'resolve'").select(*state.columns)
+    store.write(opened, closed if summary.resolved else None)
+    alerts = _routed(merged, config, checks, retry_pending)
+    unrouted = alerts.filter("destination is null and action = 'raise'").count()
+    if config.notify is None:
+        summary.delivery.unrouted = unrouted
+    else:
+        rank = F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "warning", 1).otherwise(2)
+        worst_first = alerts.filter("destination is not null").orderBy(rank, "kind", "ordinal", "dev_eui")
+        rows: Iterator[dict[str, Any]] = (r.asDict() for r in worst_first.toLocalIterator())  # one partition is held at a time
+        summary.delivery = send_all(rows, config.notify.destinations, post)
+        summary.delivery.unrouted = unrouted
+        if summary.delivery.delivered_ids:
+            ids = spark.createDataFrame([(i,) for i in summary.delivery.delivered_ids], "id string")
+            store.write(RC.mark_notified(store.opened(), ids, as_of))
+    store.discard(merged)

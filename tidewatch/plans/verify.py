@@ -18,10 +18,13 @@ class Problem:
 
 def verify(config: Config, checks: Mapping[str, Check], columns: Mapping[str, set[str]], store: StateStore | None = None) -> list[Problem]:
     found: list[Problem] = []
+    said: set[str] = set()
 
-    def say(level: str, message: str) -> None:
-        if (problem := Problem(level, message)) not in found:
-            found.append(problem)
+    def say(level: str, message: str, about: str = "") -> None:
+        """A problem, once for each thing it is about, however many checks meet it."""
+        if (about or message) not in said:
+            said.add(about or message)
+            found.append(Problem(level, message))
 
     if not columns:
         say("error", "there are no event tables")
@@ -38,7 +41,13 @@ def verify(config: Config, checks: Mapping[str, Check], columns: Mapping[str, se
             say("warning", f"{c.kind}: {c.rule} doesn't read parameter {key}")
         for table, needed in check.requires.items() if columns else ():
             if table not in columns:
-                say("error", f"table {table} is missing (for {c.rule})")
+                say("error", f"table {table} is missing (for {c.rule})", table)
             for column in sorted(set(needed) - columns.get(table, set(needed))):
-                say("error", f"table {table} has no column {column} (for {c.rule})")
+                say("error", f"table {table} has no column {column} (for {c.rule})", f"{table}.{column}")
     return found
+
+
+def lookback(config: Config, checks: Mapping[str, Check]) -> float:
+    """Hours before a pass that its checks look at, all of them."""
+    own = [{**checks[c.rule].params, **c.params} for c in config.enabled if c.rule in checks]
+    return max((float(v) for p in own for k, v in p.items() if k.endswith("Hours") and isinstance(v, (int, float)) and not isinstance(v, bool)), default=24.0)

@@ -1,4 +1,4 @@
-"""Delivery of newly raised alerts over HTTP, from the driver: raised rows are few by construction."""
+"""Delivery of newly raised alerts over HTTP, one after the other, from the driver, which holds one partition of them at a time."""
 
 from __future__ import annotations
 
@@ -9,8 +9,7 @@ import json
 import time
 import urllib.parse
 import urllib.request
-from collections import defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -67,7 +66,7 @@ def signed(d: Destination, body: bytes, now: float) -> dict[str, str]:
         headers |= {"X-Timestamp": ts, "X-Signature": hmac.new(d.secret.encode(), ts.encode() + b"." + body, hashlib.sha256).hexdigest()}
     elif d.auth == "token":
         headers[d.token_header] = d.secret
-    elif d.auth == "bearer":
+    elif d.secret:  # bearer, also where no mode is set
         headers["Authorization"] = f"Bearer {d.secret}"
     return headers
 
@@ -106,27 +105,34 @@ def _send(d: Destination, alert: dict[str, Any], post: Post) -> None:
         ok(c["SIGNAL_API_URL"].rstrip("/") + "/v2/send", body, as_json)
 
 
+def send_all(alerts: Iterable[dict[str, Any]], destinations: dict[str, Destination], post: Post = http_post) -> Delivery:
+    """Send each alert to its destination, in order; one failure doesn't stop the others."""
+    out = Delivery()
+    for alert in alerts:
+        out.attempted += 1
+        try:
+            _send(destinations[alert["destination"]], alert, post)
+        except Exception as e:  # noqa: BLE001
+            out.failed += 1
+            out.errors.append(f"{alert['destination']}: {alert['kind']} {alert['dev_eui']}: {e}")
+        else:
+            out.delivered += 1
+            out.delivered_ids.append(alert["id"])
+    return out
+
+
 def deliver(alerts: list[dict[str, Any]], notify: Notify | None, routes: dict[str, tuple[str, Any]], post: Post = http_post) -> Delivery:
-    """Send each alert to its destination; one failure doesn't stop the others. routes: kind to (class, notifyTo)."""
-    out, by_target = Delivery(), defaultdict(list)
+    """Route alerts at hand and send them. routes: kind to (class, notifyTo)."""
+    routed, unrouted = [], 0
     for alert in alerts:
         routing, own = routes[alert["kind"]]
         target = destination(alert["severity"], routing, own, notify.by_severity, notify.routing, notify.default) if notify else None
         if target is None:
-            out.unrouted += 1
+            unrouted += 1
         else:
-            by_target[target].append(alert)
-    for target, own in by_target.items():
-        for alert in own:
-            out.attempted += 1
-            try:
-                _send(notify.destinations[target], alert, post)
-            except Exception as e:  # noqa: BLE001
-                out.failed += 1
-                out.errors.append(f"{target}: {alert['kind']} {alert['dev_eui']}: {e}")
-            else:
-                out.delivered += 1
-                out.delivered_ids.append(alert["id"])
+            routed.append(alert | {"destination": target})
+    out = send_all(routed, notify.destinations if notify else {}, post)
+    out.unrouted = unrouted
     return out
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from datetime import datetime, timedelta, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,19 +23,35 @@ AS_OF = "2024-01-31 00:00:00"
 
 
 def parquet(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The event tables as Parquet folders; partition them by date so that windows prune files."""
+    """The event tables as Parquet folders. Those that lay_out() wrote have a column day, by which windows prune folders."""
     return {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in SCHEMAS}
 
 
-def jdbc(spark: SparkSession, url: str, slices: int = 8, since: str | None = None, **options: str) -> dict[str, DataFrame]:
-    """The event tables over JDBC (the driver's jar must be there), read in slices by time."""
-    found = {}
-    for name in SCHEMAS:
-        reader = spark.read.format("jdbc").option("url", url).option("dbtable", name).options(**options)
-        if since:
-            reader = reader.option("partitionColumn", "time").option("lowerBound", since).option("upperBound", AS_OF).option("numPartitions", slices)
-        found[name] = reader.load()
-    return found
+def lay_out(tables: Mapping[str, DataFrame], folder: str) -> None:
+    """Append event tables to folder, a subfolder for each day and in it files by device: what a window or a device's newest
+    row needs lies together. A day of any size is split into files of Spark's advisory size."""
+    for name, df in tables.items():
+        rows = df.withColumn("day", F.to_date("time")).hint("rebalance", "day").sortWithinPartitions("day", "dev_eui", "time")
+        rows.write.mode("append").partitionBy("day").parquet(f"{folder}/{name}.parquet")
+
+
+def slices(until: datetime, hours: float, n: int) -> list[str]:
+    """SQL conditions that part the time from hours before until, excluded, up to it."""
+    edges = [until - timedelta(hours=hours * (n - k) / n) for k in range(n + 1)]
+    at = lambda t: f"CAST('{t:%Y-%m-%d %H:%M:%S.%f}' AS TIMESTAMP)"
+    return [f'"time" > {at(a)} AND "time" <= {at(b)}' for a, b in zip(edges, edges[1:])]
+
+
+def jdbc(
+    spark: SparkSession, url: str, until: str | None = None, hours: float = 720, n_slices: int = 8, timeout_ms: int = 15_000, fetch: int = 10_000, **properties: str
+) -> dict[str, DataFrame]:
+    """The event tables of a database, in slices of the time before until (now by default); every statement has the time limit.
+
+    The driver's jar must be on Spark's class path. Spark hands filters and columns on to the database.
+    """
+    end = datetime.fromisoformat(until) if until else datetime.now(timezone.utc).replace(tzinfo=None)
+    properties = {"queryTimeout": str(-(-timeout_ms // 1000)), "fetchsize": str(fetch), **properties}
+    return {name: spark.read.jdbc(url, name, predicates=slices(end, hours, n_slices), properties=properties) for name in SCHEMAS}
 
 
 def catalog(spark: SparkSession, database: str | None = None) -> dict[str, DataFrame]:
