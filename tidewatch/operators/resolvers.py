@@ -90,12 +90,12 @@ def latest_fixes(up: DataFrame, lat_paths: Paths, lon_paths: Paths, hours: float
     return out.filter("lat is not null and lon is not null")
 
 
-def telemetry(up: DataFrame, paths: Paths, hours: float, scope: Scope, as_of: str) -> DataFrame:
-    """dev_eui, device_name, time, deduplication_id, ord, num: every numeric reading of every candidate."""
+def telemetry(up: DataFrame, paths: Paths, hours: float, scope: Scope, as_of: str, *more: str) -> DataFrame:
+    """dev_eui, device_name, time, deduplication_id, more columns of up, ord, num: every numeric reading of every candidate."""
     rows = window(up, as_of, hours, scope).filter(F.col("object").isNotNull())
-    rows = rows.select("dev_eui", "device_name", "time", "deduplication_id", payload.parsed().alias("_v"))
+    rows = rows.select("dev_eui", "device_name", "time", "deduplication_id", *more, payload.parsed().alias("_v"))
     each = F.array(*[F.struct(F.lit(i).alias("ord"), payload.leaf_number(F.col("_v"), p).alias("num")) for i, p in enumerate(paths)])
-    return rows.select("dev_eui", "device_name", "time", "deduplication_id", F.inline(F.filter(each, lambda x: x["num"].isNotNull())))
+    return rows.select("dev_eui", "device_name", "time", "deduplication_id", *more, F.inline(F.filter(each, lambda x: x["num"].isNotNull())))
 
 
 def stats_of(readings: DataFrame, paths: Paths, decimals: int | None = None) -> DataFrame:

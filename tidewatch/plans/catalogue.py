@@ -44,15 +44,22 @@ def _open(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _check(rule: str, params: dict[str, Any], *fields: str, opened: bool = False) -> Query:
-    """A check's findings: dev_eui, severity and some of its detail, flat."""
+    """A check's findings: dev_eui, severity and some of its detail, flat; name:n is rounded to n places."""
+    names = [f.partition(":") for f in fields]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ctx = Context(T.test_tables(spark, sf_dir), params, AS_OF, rule, _open(spark, sf_dir) if opened else None)
-        return CHECKS[rule].run(ctx).select("dev_eui", "device_name", "severity", *[F.col(f"detail.{f}").alias(f) for f in fields])
+        return CHECKS[rule].run(ctx).select("dev_eui", "device_name", "severity", *[F.col(f"detail.{f}").alias(f) if not n else F.round(f"detail.{f}", int(n)).alias(f) for f, _, n in names])
 
+    run.spec = (rule, params)
     return run
 
 
+def _rounded(total: str, n: str, places: int) -> str:
+    """SQL for total / n (whole numbers) rounded to places, halves away from zero, in whole numbers until the last step."""
+    return f"(CASE WHEN ({total}) < 0 THEN -1 ELSE 1 END * ((2 * abs({total}) * {10**places} + ({n})) // (2 * ({n}))) / CAST({10**places} AS DOUBLE))"
+
+
 def _resolver(make: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: make(T.test_tables(spark, sf_dir)["event_up"])
 
@@ -69,12 +76,19 @@ _STATS = """r AS (
   UNION ALL SELECT dev_eui, device_name, ts, id, 1, CAST(k AS DECIMAL(18,2)) FROM e2 WHERE has AND {since}),
 won AS (SELECT dev_eui, min(ord) AS ord FROM r GROUP BY dev_eui),
 s AS (SELECT dev_eui, max(device_name) AS device_name, CASE WHEN r.ord = 0 THEN 'purchase.value' ELSE 'k' END AS matched_path,
-  CAST(min(num) AS DOUBLE) AS vmin, CAST(max(num) AS DOUBLE) AS vmax, CAST(sum(num) AS DOUBLE) / count(*) AS mean,
+  CAST(min(num) AS DOUBLE) AS vmin, CAST(max(num) AS DOUBLE) AS vmax, {vavg} AS vavg, CAST(sum(num) AS DOUBLE) / count(*) AS mean,
   CAST(arg_min(num, (ts, id)) AS DOUBLE) AS vfirst, CAST(arg_max(num, (ts, id)) AS DOUBLE) AS vlast,
   count(*) AS samples, count(DISTINCT num) AS distinct_values, count(DISTINCT round(num, 0)) AS whole_values, min(ts) AS first_at, max(ts) AS last_at,
   (epoch_us(max(ts)) - epoch_us(min(ts))) / 3.6e9 AS span_hours
   FROM r JOIN won USING (dev_eui, ord) GROUP BY dev_eui, r.ord)"""
 
+
+
+def _rounded4(total: str, n: str) -> str:
+    """SQL for total / n in ten-thousandths, rounded: the scale that an average of whole decimals has."""
+    return f"(CASE WHEN ({total}) < 0 THEN -1 ELSE 1 END * ((2 * abs({total}) * 10000 + {n}) // (2 * {n})))"
+
+
 _LATEST = ["click.value", "view.value", "k"]
 _WINDOW = ["purchase.value", "k"]
 
@@ -84,7 +98,7 @@ def _paths(names: list[str]) -> list[tuple[str, ...]]:
 
 
 def _stats_sql(select: str, hours: float = 720) -> str:
-    return f"{_EV}, {_STATS.format(since=_since(hours))} {select}"
+    return f"{_EV}, {_STATS.format(since=_since(hours), vavg=_rounded('CAST(sum(num) * 100 AS HUGEINT)', 'count(*) * 100', 4))} {select}"
 
 
 def _silent_state(spark: SparkSession, sf_dir: str) -> tuple[RC.Reconciled, DataFrame]:
@@ -148,7 +162,7 @@ def profile_census(spark: SparkSession, sf_dir: str) -> DataFrame:
 def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Least, fifth percentile and greatest reading by profile."""
     up = T.test_tables(spark, sf_dir)["event_up"]
-    rows = R.telemetry(up, _paths(["purchase.value"]), 720, Scope(), AS_OF).join(up.select("deduplication_id", "device_profile_name"), "deduplication_id")
+    rows = R.telemetry(up, _paths(["purchase.value"]), 720, Scope(), AS_OF, "device_profile_name")
     return rows.groupBy("device_profile_name").agg(
         F.min("num").cast("double").alias("least"),
         F.round(F.expr("percentile_cont(0.05) WITHIN GROUP (ORDER BY cast(num AS double))"), 6).alias("p05"),
@@ -157,57 +171,58 @@ def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def context_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parameterised SQL over registered event tables, as a check's author may write it."""
-    T.test_tables(spark, sf_dir)["event_ack"].createOrReplaceTempView("event_ack")
+    """Parameterised SQL over event tables, as a check's author may write it."""
     return spark.sql(
-        "SELECT dev_eui, count(*) AS acks FROM event_ack WHERE acknowledged AND time > CAST(:since AS timestamp_ntz) GROUP BY dev_eui",
+        "SELECT dev_eui, count(*) AS acks FROM {event_ack} WHERE acknowledged AND time > CAST(:since AS timestamp_ntz) GROUP BY dev_eui",
         args={"since": "2024-01-10 00:00:00"},
+        event_ack=T.test_tables(spark, sf_dir)["event_ack"],
     )
 
 
 def full_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A whole pass of every check on shared scans: outcome of each."""
+    """A whole pass on shared scans, of every check of this catalogue under its query's name: outcome of each."""
     from . import config as C
     from .runner import run_pass
 
-    raw = [{"rule": r} for r in CHECKS if r not in ("measurement-threshold", "geofence-breach")]
-    raw += [{"rule": "measurement-peak", "as": f"peak-{h}", "params": {"paths": _WINDOW, "threshold": 200, "lookbackHours": h}} for h in (168, 336, 720)]
-    raw += [{"rule": "measurement-rate", "as": "rate", "params": {"paths": _WINDOW, "maxRatePerHour": 0.1, "lookbackHours": 720}}]
+    raw = [{"rule": q.spec[0], "as": _kind(name), "params": q.spec[1]} for name, q in QUERIES.items() if hasattr(q, "spec")]
     store = StateStore(spark, scratch(spark, "pass"))
     s = run_pass(spark, C.parse({"checks": raw}, {}), CHECKS, T.test_tables(spark, sf_dir), store, AS_OF)
     rows = [(o.kind, o.status, o.findings, o.raised, o.resolved) for o in s.outcomes]
     return spark.createDataFrame(rows, "kind string, status string, findings bigint, raised bigint, resolved bigint")
 
 
-_ROUND6 = "round(CAST({} AS DOUBLE), 6)"
+
+def _kind(name: str) -> str:
+    return name.replace("_", "-")
+
 
 QUERIES: dict[str, Query] = {
     "device_silent": _check("device-silent", {"silentMinutes": 720}, "lastSeen", "silentMinutes", "uplinksInWindow"),
     "device_silent_scoped": _check("device-silent", {"silentMinutes": 720, "deviceProfiles": ["profile-1", "profile-2"], "deviceNamePattern": "dev-1%"}, "uplinksInWindow"),
-    "decode_failure": _check("decode-failure", {"lookbackHours": 720, "minFailureRatio": 0.3}, "deviceProfileName", "undecodedUplinks", "totalUplinks", "lastFailureAt"),
-    "signal_degraded": _check("signal-degraded", {"lookbackHours": 720, "rssiThresholdDbm": -97, "minUplinks": 10}, "minRssiDbm", "uplinks"),
+    "decode_failure": _check("decode-failure", {"lookbackHours": 720, "minFailureRatio": 0.3}, "deviceProfileName", "undecodedUplinks", "totalUplinks", "lastFailureAt", "failureRatio"),
+    "signal_degraded": _check("signal-degraded", {"lookbackHours": 720, "rssiThresholdDbm": -97, "minUplinks": 10}, "minRssiDbm", "uplinks", "avgRssiDbm", "avgSnrDb", "avgGatewaysPerUplink"),
     "threshold_latest": _check("measurement-threshold", {"paths": _LATEST, "lookbackHours": 168, "max": 40}, "measurement", "value", "breached", "readingAt"),
     "threshold_hysteresis": _check("measurement-threshold", {"paths": _LATEST, "lookbackHours": 168, "min": 10, "max": 60, "clearMargin": 8}, "value", "breached", opened=True),
     "battery_low": _check("battery-low", {"paths": ["k"], "raiseAtVolts": 20, "clearAtVolts": 45, "criticalAtVolts": 10, "lookbackHours": 168}, "measurement", "value", opened=True),
     "boolean_alarm": _check("boolean-alarm", {"paths": ["missing", "flag"], "lookbackHours": 720}, "measurement", "rawValue", "readingAt"),
     "geofence_box": _check("geofence-breach", {"north": 46.0, "south": 41.0, "east": -91.0, "west": -94.5, "clearMargin": 0.5, "lookbackHours": 720}, "latitude", "longitude", "outsideEdges", opened=True),
-    "geofence_radius": _check("geofence-breach", {"shape": "radius", "centerLat": 45.0, "centerLon": -92.5, "radiusMetres": 400000, "clearMargin": 50000, "lookbackHours": 720}, "latitude", "longitude", opened=True),
+    "geofence_radius": _check("geofence-breach", {"shape": "radius", "centerLat": 45.0, "centerLon": -92.5, "radiusMetres": 400000, "clearMargin": 50000, "lookbackHours": 720}, "latitude", "longitude", "distanceMetres:3", opened=True),
     "measurement_peak": _check("measurement-peak", {"paths": _WINDOW, "threshold": 200, "lookbackHours": 720}, "measurement", "peak", "samples", "windowMin", "windowMax"),
     "measurement_rate": _check("measurement-rate", {"paths": _WINDOW, "maxRatePerHour": 0.1, "lookbackHours": 720}, "measurement", "ratePerHour", "firstValue", "lastValue", "spanHours", "samples"),
     "measurement_stuck": _check("measurement-stuck", {"paths": _WINDOW, "lookbackHours": 720, "minSamples": 3, "decimals": 0, "maxDistinctValues": 5}, "measurement", "value", "samples", "distinctValues"),
     "counter_stalled": _check("counter-stalled", {"paths": _WINDOW, "lookbackHours": 720, "minAdvance": 20}, "measurement", "reason", "firstValue", "lastValue", "samples"),
     "counter_spike": _check("counter-spike", {"paths": _WINDOW, "lookbackHours": 720, "maxRatePerHour": 0.2}, "measurement", "ratePerHour", "advance", "samples"),
     "measurement_missing": _check("measurement-missing", {"paths": ["purchase.value"], "lookbackHours": 720, "recentHours": 120, "minHistoricalSightings": 5}, "measurement", "historicalSightings", "recentUplinks", "lastSeenAt"),
-    "device_log_error": _check("device-log-error", {"lookbackHours": 720}, "events", "worstLevel", "latestDescription", "latestAt"),
+    "device_log_error": _check("device-log-error", {"lookbackHours": 720}, "events", "worstLevel", "codes", "latestDescription", "latestAt", "eventsPerHour"),
     "status_battery_low": _check("status-battery-low", {}, "batteryPercent", "statusReadingsInWindow", "readingAt", opened=True),
-    "status_margin_low": _check("status-margin-low", {"minMarginDb": -10, "criticalMarginDb": -25, "lookbackHours": 720}, "minMarginDb", "latestMarginDb", "statusReadings", "latestAt"),
+    "status_margin_low": _check("status-margin-low", {"minMarginDb": -10, "criticalMarginDb": -25, "lookbackHours": 720}, "avgMarginDb", "minMarginDb", "latestMarginDb", "statusReadings", "latestAt"),
     "join_churn": _check("join-churn", {"maxJoinsPerUplinkRatio": None}, "joins", "distinctDevAddrs", "uplinksInWindow", "latestJoinAt"),
     "join_churn_ratio": _check("join-churn", {"maxJoins": 9, "maxJoinsPerUplinkRatio": 0.3}, "joins", "uplinksInWindow", "joinsPerUplink"),
-    "downlink_unacked": _check("downlink-unacked", {"lookbackHours": 720}, "unacked", "totalConfirmedDownlinks", "latestUnackedAt", "latestFCntDown"),
+    "downlink_unacked": _check("downlink-unacked", {"lookbackHours": 720}, "unacked", "totalConfirmedDownlinks", "unackedRatio", "latestUnackedAt", "latestFCntDown"),
     "latest_readings": _resolver(lambda up: R.latest_readings(up, _paths(_LATEST), 168, Scope(), AS_OF)),
     "latest_flags": _resolver(lambda up: R.latest_flags(up, _paths(["flag"]), 168, Scope(), ["OPEN"], AS_OF)),
     "latest_fixes": _resolver(lambda up: R.latest_fixes(up, _paths(["position.latitude"]), _paths(["gps.lon", "position.longitude"]), 168, Scope(), AS_OF)),
-    "window_stats": _resolver(lambda up: R.window_stats(up, _paths(_WINDOW), 720, Scope(), AS_OF).drop("vavg")),
+    "window_stats": _resolver(lambda up: R.window_stats(up, _paths(_WINDOW), 720, Scope(), AS_OF)),
     "path_presence": _resolver(lambda up: R.path_presence(up, _paths(["signup.value", "error.value", "k"]), 720, 120, Scope(), AS_OF)),
     "reconcile_two_passes": reconcile_two_passes,
     "open_alerts": open_alerts,
@@ -233,10 +248,11 @@ ORACLES: dict[str, str] = {
     "device_silent_scoped": f"""{_EV} SELECT dev_eui, device_name, 'critical' AS severity, n AS "uplinksInWindow"
         FROM ({_SILENT.format(at=AS_OF, more="AND profile IN ('profile-1', 'profile-2') AND device_name LIKE 'dev-1%'")})""",
     "decode_failure": f"""{_EV} SELECT dev_eui, max(device_name) AS device_name, CASE WHEN count(*) FILTER (NOT has) / count(*) >= 0.99 THEN 'critical' ELSE 'warning' END AS severity,
-        max(profile) AS "deviceProfileName", count(*) FILTER (NOT has) AS "undecodedUplinks", count(*) AS "totalUplinks", max(ts) FILTER (NOT has) AS "lastFailureAt"
+        max(profile) AS "deviceProfileName", count(*) FILTER (NOT has) AS "undecodedUplinks", count(*) AS "totalUplinks", max(ts) FILTER (NOT has) AS "lastFailureAt", {_rounded('count(*) FILTER (NOT has)', 'count(*)', 3)} AS "failureRatio"
         FROM e2 WHERE {_since(720)} GROUP BY dev_eui HAVING count(*) FILTER (NOT has) >= 5 AND count(*) FILTER (NOT has) / count(*) >= 0.3""",
-    "signal_degraded": f"""{_EV}, g AS (SELECT *, greatest(-80 - k % 50, -85 - k % 40) AS rssi FROM e2 WHERE k % 7 <> 0 AND {_since(720)})
-        SELECT dev_eui, max(device_name) AS device_name, 'info' AS severity, CAST(min(rssi) AS DOUBLE) AS "minRssiDbm", count(*) AS uplinks
+    "signal_degraded": f"""{_EV}, g AS (SELECT *, greatest(-80 - k % 50, -85 - k % 40) AS rssi, k % 12 - 6 AS snr FROM e2 WHERE k % 7 <> 0 AND {_since(720)})
+        SELECT dev_eui, max(device_name) AS device_name, 'info' AS severity, CAST(min(rssi) AS DOUBLE) AS "minRssiDbm", count(*) AS uplinks,
+        {_rounded('sum(rssi)', 'count(*)', 1)} AS "avgRssiDbm", {_rounded('sum(snr)', 'count(*)', 1)} AS "avgSnrDb", CAST(2 AS DOUBLE) AS "avgGatewaysPerUplink"
         FROM g GROUP BY dev_eui HAVING count(*) >= 10 AND sum(rssi) <= -97 * count(*)""",
     "threshold_latest": f"""{_EV}, {_NEWEST.format(since=_since(168))}, {_READING}
         SELECT dev_eui, device_name, 'warning' AS severity, matched_path AS measurement, value, 'max' AS breached, ts AS "readingAt" FROM reading WHERE value > 40""",
@@ -252,7 +268,7 @@ ORACLES: dict[str, str] = {
         SELECT dev_eui, device_name, 'critical' AS severity, lat AS latitude, lon AS longitude, edges AS "outsideEdges" FROM y WHERE len(edges) > 0""",
     "geofence_radius": f"""{_EV}, {_NEWEST.format(since=_since(720))}, x AS (SELECT *, CAST(CAST(k / 10 + 40 AS DECIMAL(6,1)) AS DOUBLE) AS lat, CAST(CAST(k / 20 - 95 AS DECIMAL(6,2)) AS DOUBLE) AS lon FROM newest WHERE has),
         y AS (SELECT *, 2 * 6371008.8 * asin(sqrt(least(1.0, sin(radians(lat - 45) / 2) ** 2 + cos(radians(45.0)) * cos(radians(lat)) * sin(radians(lon + 92.5) / 2) ** 2))) AS d FROM x)
-        SELECT dev_eui, device_name, 'critical' AS severity, lat AS latitude, lon AS longitude FROM y WHERE d > CASE WHEN {_OPENED} THEN 350000 ELSE 400000 END""",
+        SELECT dev_eui, device_name, 'critical' AS severity, lat AS latitude, lon AS longitude, round(d, 3) AS "distanceMetres" FROM y WHERE d > CASE WHEN {_OPENED} THEN 350000 ELSE 400000 END""",
     "measurement_peak": _stats_sql("""SELECT dev_eui, device_name, 'warning' AS severity, matched_path AS measurement, vmax AS peak, samples, vmin AS "windowMin", vmax AS "windowMax"
         FROM s WHERE samples >= 3 AND vmax > 200"""),
     "measurement_rate": _stats_sql("""SELECT dev_eui, device_name, 'warning' AS severity, matched_path AS measurement, (vlast - vfirst) / span_hours AS "ratePerHour",
@@ -267,6 +283,7 @@ ORACLES: dict[str, str] = {
         count(*) FILTER (has AND event_type = 'purchase' AND {_since(120)}) AS now, count(*) FILTER ({_since(120)}) AS ups, max(ts) FILTER (has AND event_type = 'purchase') AS last FROM e2 WHERE {_since(720)} GROUP BY dev_eui)
         SELECT dev_eui, device_name, 'warning' AS severity, 'purchase.value' AS measurement, ever AS "historicalSightings", ups AS "recentUplinks", last AS "lastSeenAt" FROM p WHERE ever >= 5 AND ups >= 5 AND now = 0""",
     "device_log_error": f"""{_EV} SELECT dev_eui, max(device_name) AS device_name, 'critical' AS severity, count(*) AS events, CAST(2 AS INTEGER) AS "worstLevel",
+        list_sort(list(DISTINCT CAST(k % 10 AS VARCHAR))) AS codes, {_rounded('count(*)', '720', 2)} AS "eventsPerHour",
         arg_max('code ' || (k % 10), (ts, event_id)) AS "latestDescription", max(ts) AS "latestAt" FROM e2 WHERE event_type = 'error' AND k % 3 = 2 AND k % 10 <> 7 AND {_since(720)} GROUP BY dev_eui HAVING count(*) >= 3""",
     "status_battery_low": f"""{_EV}, b AS (SELECT dev_eui, arg_max(device_name, (ts, id)) AS device_name, CAST(arg_max(CAST(value AS FLOAT), (ts, id)) AS DOUBLE) AS battery, count(*) AS n, max(ts) AS seen_at
         FROM e2 WHERE event_type = 'view' AND value IS NOT NULL AND k % 7 <> 0 AND k % 5 <> 0 AND CAST(value AS FLOAT) <= 25 AND {_since(336)} GROUP BY dev_eui)
@@ -274,7 +291,7 @@ ORACLES: dict[str, str] = {
         FROM b WHERE battery <= CASE WHEN {_OPENED} THEN 25 ELSE 20 END""",
     "status_margin_low": f"""{_EV}, m AS (SELECT dev_eui, max(device_name) AS device_name, sum(k - 60) AS t, count(*) AS n, min(k - 60) AS least, arg_max(k - 60, (ts, id)) AS latest, max(ts) AS seen_at
         FROM e2 WHERE event_type = 'view' AND {_since(720)} GROUP BY dev_eui)
-        SELECT dev_eui, device_name, CASE WHEN round(CAST(t AS DECIMAL(18,6)) / n, 1) <= -25 THEN 'critical' ELSE 'warning' END AS severity, CAST(least AS BIGINT) AS "minMarginDb", CAST(latest AS BIGINT) AS "latestMarginDb", n AS "statusReadings", seen_at AS "latestAt"
+        SELECT dev_eui, device_name, CASE WHEN round(CAST(t AS DECIMAL(18,6)) / n, 1) <= -25 THEN 'critical' ELSE 'warning' END AS severity, {_rounded(_rounded4('t', 'n'), '10000', 1)} AS "avgMarginDb", CAST(least AS BIGINT) AS "minMarginDb", CAST(latest AS BIGINT) AS "latestMarginDb", n AS "statusReadings", seen_at AS "latestAt"
         FROM m WHERE n >= 3 AND t <= -10 * n""",
     "join_churn": f"""{_EV}, j AS (SELECT dev_eui, max(device_name) AS device_name, count(*) AS joins, count(DISTINCT k) AS addrs, max(ts) AS last FROM e2 WHERE event_type = 'signup' AND {_since(168)} GROUP BY dev_eui),
         u AS (SELECT dev_eui, count(*) AS n FROM e2 WHERE {_since(168)} GROUP BY dev_eui)
@@ -286,11 +303,11 @@ ORACLES: dict[str, str] = {
         FROM j JOIN u USING (dev_eui) WHERE joins > 9 OR (n >= 5 AND joins / n > 0.3)""",
     "downlink_unacked": f"""{_EV}, a AS (SELECT dev_eui, max(device_name) AS device_name, count(*) FILTER (k % 5 = 0 OR k < 50) AS lost, count(*) AS n, max(ts) FILTER (k % 5 = 0 OR k < 50) AS last,
         arg_max(event_id, (ts, id)) FILTER (k % 5 = 0 OR k < 50) AS frame FROM e2 WHERE event_type = 'purchase' AND {_since(720)} GROUP BY dev_eui)
-        SELECT dev_eui, device_name, 'critical' AS severity, lost AS unacked, n AS "totalConfirmedDownlinks", last AS "latestUnackedAt", frame AS "latestFCntDown" FROM a WHERE lost >= 2 AND lost / n >= 0.5""",
+        SELECT dev_eui, device_name, 'critical' AS severity, lost AS unacked, n AS "totalConfirmedDownlinks", {_rounded('lost', 'n', 3)} AS "unackedRatio", last AS "latestUnackedAt", frame AS "latestFCntDown" FROM a WHERE lost >= 2 AND lost / n >= 0.5""",
     "latest_readings": f"{_EV}, {_NEWEST.format(since=_since(168))}, {_READING} SELECT dev_eui, device_name, matched_path, value, ts AS at FROM reading",
     "latest_flags": f"""{_EV}, {_NEWEST.format(since=_since(168))} SELECT dev_eui, device_name, 'flag' AS matched_path, CASE WHEN k >= 90 THEN 'Open' ELSE 'closed' END AS raw, k >= 90 AS value, ts AS at FROM newest WHERE has""",
     "latest_fixes": f"""{_EV}, {_NEWEST.format(since=_since(168))} SELECT dev_eui, device_name, CAST(CAST(k / 10 + 40 AS DECIMAL(6,1)) AS DOUBLE) AS lat, CAST(CAST(k / 20 - 95 AS DECIMAL(6,2)) AS DOUBLE) AS lon, ts AS at FROM newest WHERE has""",
-    "window_stats": _stats_sql("SELECT dev_eui, device_name, matched_path, vmin, vmax, vfirst, vlast, samples, distinct_values, first_at, last_at, mean FROM s"),
+    "window_stats": _stats_sql("SELECT dev_eui, device_name, matched_path, vmin, vmax, vavg, vfirst, vlast, samples, distinct_values, first_at, last_at, mean FROM s"),
     "path_presence": f"""{_EV}, p AS (SELECT dev_eui, max(device_name) AS device_name, count(*) FILTER ({_since(120)}) AS ups,
         count(*) FILTER (has AND event_type = 'signup') AS e0, count(*) FILTER (has AND event_type = 'error') AS e1, count(*) FILTER (has) AS e2c,
         count(*) FILTER (has AND event_type = 'signup' AND {_since(120)}) AS n0, count(*) FILTER (has AND event_type = 'error' AND {_since(120)}) AS n1, count(*) FILTER (has AND {_since(120)}) AS n2,
@@ -315,3 +332,10 @@ ORACLES: dict[str, str] = {
         FROM e2 WHERE has AND event_type = 'purchase' AND {_since(720)} GROUP BY profile""",
     "context_query": f"{_EV} SELECT dev_eui, count(*) AS acks FROM ev WHERE event_type = 'purchase' AND k % 5 <> 0 AND k >= 50 AND ts > TIMESTAMP '2024-01-10 00:00:00' GROUP BY dev_eui",
 }
+
+#: The pass starts without alerts, so every finding is raised and none is judged by a clearing limit.
+ORACLES["full_pass"] = " UNION ALL ".join(
+    f"SELECT '{_kind(name)}' AS kind, 'ok' AS status, count(*) AS findings, count(*) AS raised, CAST(0 AS BIGINT) AS resolved FROM ({ORACLES[name].replace(_OPENED, 'false')})"
+    for name, q in QUERIES.items()
+    if hasattr(q, "spec")
+)
