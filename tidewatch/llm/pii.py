@@ -3,15 +3,17 @@
 Base. Four patterns give the leftmost matches that don't overlap; matches that fail their check
 (parts of an address, digits and Luhn's sum of a card, digits of a phone) are dropped.
 
-Bootstrapping. Base matches are seeds. A lexical pattern is the two words before an identifier and
-its class (with or without @). Candidates are further identifier-like tokens. Patterns and instances
+Bootstrapping. Base matches are seeds. Lexical patterns are the two words before an identifier, the
+two words after it, and the word before with the word after it, in lower case and with digits made
+equal, each with the identifier's class (with or without @). Candidates are further identifier-like
+tokens of MIN_LENGTH characters or more. A context of more than CONTEXT characters to one side is none. Patterns and instances
 form a bipartite graph. In each hop, patterns with MIN_SEEDS distinct known instances (seeds, or
 instances promoted in hops before) are scored in ROUNDS rounds: a pattern's confidence is the mean
 score of its instances (smoothed), an instance's score is one minus the product of its patterns'
 doubts, seeds count 1 and promoted instances at least what they were promoted with. Patterns with
 MIN_CONFIDENCE at the end are promoted, as the kind of most of their known instances, and so are
 their unseen instances, which support further patterns; hops go on until none is promoted. Promoted
-patterns yield their unseen instances. Base spans always stay. Instances are counted once however
+patterns yield their unseen instances; of several that name a place, the most trusted one tells its kind. Base spans always stay. Instances are counted once however
 often copied, so a text's copies don't raise a pattern.
 
 The patterns below are equivalent to the plain ones they stand for, with possessive quantifiers and
@@ -20,7 +22,8 @@ is the first place of its string at or after the end of the match before; that i
 earlier place would have been a match itself.
 
 Defined results: null texts count as empty, without spans; offsets are code points, end exclusive;
-spans of different kinds may overlap; repeated rows give repeated results; extra columns don't matter.
+base spans of different kinds may overlap, added spans overlap no other; repeated rows give repeated
+results; extra columns of any name stay, but columns named base and spans are replaced.
 """
 
 from __future__ import annotations
@@ -82,18 +85,36 @@ def _places(pattern: str, order: int, needs: str) -> str:
     ELSE cast(array() AS array<struct<s: int, k: int, e: int, m: string>>) END"""
 
 
-def _context(start: str) -> str:
-    """SQL for the two words before a place of t, in lower case; empty if there aren't two."""
+_GAP, _WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
+
+
+def _taken(text: str, pattern: str) -> str:
+    """SQL for the first group of a pattern, in lower case, with every digit as 0; empty if there is no match."""
+    return f"regexp_replace(lower(regexp_extract({text}, {_sql(pattern)}, 1)), '[0-9]', '0')"
+
+
+def _contexts() -> str:
+    """SQL for the lexical patterns of a match s (s.s to s.e) of t. Words that the windows cut don't count."""
+    before = f"concat(CASE WHEN s.s <= {CONTEXT} THEN ' ' ELSE '' END, substr(t, greatest(1, s.s + 1 - {CONTEXT}), least(s.s, {CONTEXT})))"
+    after = f"concat(substr(t, s.e + 1, {CONTEXT}), CASE WHEN length(t) <= s.e + {CONTEXT} THEN ' ' ELSE '' END)"
+    two, one = f"{_WORD}+{_GAP}+{_WORD}+", f"{_WORD}+"
+    parts = {
+        "b2": _taken("w.b", f"{_GAP}({two}){_GAP}*\\z"), "b1": _taken("w.b", f"{_GAP}({one}){_GAP}*\\z"),
+        "a2": _taken("w.a", f"\\A{_WORD}*{_GAP}+({two}){_GAP}"), "a1": _taken("w.a", f"\\A{_WORD}*{_GAP}+({one}){_GAP}"),
+    }
+    words = ", ".join(f"'{k}', {x}" for k, x in parts.items())
     return (
-        f"lower(regexp_extract(substr(t, greatest(1, {start} + 1 - {CONTEXT}), least({start}, {CONTEXT})), "
-        + _sql(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)[\x20\x09-\x0D]*\z")
-        + ", 1))"
+        f"array_compact(flatten(transform(transform(array(named_struct('b', {before}, 'a', {after})), w -> named_struct({words})), w -> array("
+        "CASE WHEN w.b2 <> '' THEN concat('<', w.b2) END, CASE WHEN w.a2 <> '' THEN concat('>', w.a2) END, "
+        "CASE WHEN w.b1 <> '' AND w.a1 <> '' THEN concat('=', w.b1, ' _ ', w.a1) END))))"
     )
 
 
 def base_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs and: base, the checked matches in order; seeds and cands, identifiers with their contexts."""
-    df = docs.withColumn("t", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    """text_col, the other columns as struct __rest, and: base, the checked matches in order; graph, identifiers with their contexts."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    df = docs.select(F.col(f"`{text_col}`").alias("__text"), F.struct(*(rest or [F.lit(None).alias("none")])).alias("__rest"))
+    df = df.withColumns({"__row": F.monotonically_increasing_id(), "t": F.coalesce(F.col("__text").cast("string"), F.lit(""))})
     df = df.withColumn("digit", F.expr("t RLIKE '[0-9]'"))
     for k, kind in enumerate(KINDS):
         df = df.withColumn(f"_{kind}", F.expr(f"filter({_places(PATTERNS[kind], k, _NEEDS[kind])}, s -> {_CHECKS[kind]})"))
@@ -106,12 +127,8 @@ def base_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
             f"s -> length(s.m) >= {MIN_LENGTH} AND NOT exists(base, b -> b.s < s.e AND s.s < b.e))"
         ),
     )
-    row = "named_struct('s', s.s, 'e', s.e, 'm', lower(s.m), 'kind', {kind}, 'context', {context}, 'at', contains(s.m, '@'))"
-    df = df.withColumn("graph", F.expr(
-        "concat("
-        + f"transform(base, s -> {row.format(kind='s.k', context=_context('s.s'))}), "
-        + f"transform(_cand, s -> {row.format(kind='-1', context=_context('s.s'))}))"
-    ))
+    row = f"named_struct('s', s.s, 'e', s.e, 'm', lower(s.m), 'kind', {{kind}}, 'contexts', {_contexts()}, 'at', contains(s.m, '@'))"
+    df = df.withColumn("graph", F.expr(f"concat(transform(base, s -> {row.format(kind='s.k')}), transform(_cand, s -> {row.format(kind='-1')}))"))
     return df.drop("t", "digit", "_cand", *[f"_{k}" for k in KINDS])
 
 
@@ -138,8 +155,8 @@ def _doubt() -> Column:
 
 
 def confident_patterns(graph: DataFrame) -> DataFrame:
-    """(context, at, kind): patterns that earned trust, from rows (context, at, m, kind; -1: unseen)."""
-    edges = graph.filter("context <> ''").select("context", "at", "m").distinct()
+    """(context, at, kind, trust): patterns that earned trust, from rows (context, at, m, kind; -1: unseen)."""
+    edges = graph.filter("context is not null").select("context", "at", "m").distinct()
     # Patterns of fewer instances can't get their support, whatever is promoted.
     wide = edges.groupBy("context", "at").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_SEEDS)
     edges = table(edges.join(wide.drop("n"), ["context", "at"]), "pii-edges")
@@ -151,32 +168,38 @@ def confident_patterns(graph: DataFrame) -> DataFrame:
         new = table(new if good is None else new.join(good, ["context", "at"], "left_anti"), "pii-promoted")
         good = new if good is None else table(good.unionByName(new), "pii-good")
         if new.isEmpty():
-            return good.select("context", "at", "kind")
+            return good.select("context", "at", "kind", "trust")
         found = edges.join(new, ["context", "at"]).join(known, "m", "left_anti").groupBy("m").agg(
             F.max(F.struct("trust", (-F.col("kind")).alias("k"))).alias("best"), _doubt().alias("doubt")
         )
         known = table(known.unionByName(found.select("m", (-F.col("best.k")).alias("is"), (1 - F.exp("doubt")).alias("weight"))), "pii-known")
 
 
-def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs and: base and spans, arrays of (s, k, e), kind number k; spans has what the method adds."""
-    rows = table(base_spans(docs.withColumn("__row", F.monotonically_increasing_id()), text_col), "pii")
-    graph = rows.select("__row", F.explode("graph").alias("g")).select("__row", "g.*")
+def _found(docs: DataFrame, text_col: str) -> DataFrame:
+    """__text, __rest, base and spans of every row."""
+    rows = table(base_spans(docs, text_col), "pii")
+    graph = rows.select("__row", F.explode("graph").alias("g")).select("__row", "g.s", "g.e", "g.m", "g.kind", "g.at", F.explode_outer("g.contexts").alias("context"))
     good = table(confident_patterns(graph.select("context", "at", "m", "kind")), "pii-patterns")
+    plain = F.expr("transform(base, s -> named_struct('s', s.s, 'k', s.k, 'e', s.e))")
+    rows = rows.withColumn("base", plain)
+    if good.isEmpty():  # nothing to add, so nothing to join
+        return rows.select("__text", "__rest", "base", F.col("base").alias("spans"))
     more = (
         graph.filter("kind < 0")
-        .select("__row", "s", "e", "context", "at")
-        .join(good, ["context", "at"])
+        .join(good.withColumnRenamed("kind", "as"), ["context", "at"])
+        .groupBy("__row", "s", "e")
+        .agg(F.max(F.struct("trust", (-F.col("as")).alias("k"))).alias("best"))
         .groupBy(F.col("__row").alias("__found"))
-        .agg(F.collect_list(F.struct("s", F.col("kind").cast("int").alias("k"), "e")).alias("more"))
-    )
-    plain = F.expr("transform(base, s -> named_struct('s', s.s, 'k', s.k, 'e', s.e))")
-    return (
-        rows.withColumn("base", plain)
-        .join(more, rows["__row"] == more["__found"], "left")
-        .withColumn("spans", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "more"))))
-        .drop("graph", "more", "__row", "__found")
+        .agg(F.collect_list(F.struct("s", (-F.col("best.k")).cast("int").alias("k"), "e")).alias("more"))
     )
+    spans = F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "more")))
+    return rows.join(more, rows["__row"] == more["__found"], "left").select("__text", "__rest", "base", spans.alias("spans"))
+
+
+def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs and: base and spans, arrays of (s, k, e), kind number k; spans has what the method adds."""
+    column = lambda c: F.col("__text") if c == text_col else F.col(f"__rest.`{c}`")
+    return _found(docs, text_col).select(*[column(c).alias(c) for c in docs.columns if c not in ("base", "spans")], "base", "spans")
 
 
 def listed(spans: str) -> Column:
@@ -188,15 +211,14 @@ def listed(spans: str) -> Column:
 def redact(docs: DataFrame) -> DataFrame:
     """docs with each span in text replaced by its kind in brackets; n_chars, if there, is the new length."""
     names = ", ".join(f"'[{k.upper()}]'" for k in KINDS)
-    found = find(docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__all")))
     text = F.expr(
-        f"""CASE WHEN size(spans) = 0 THEN text ELSE aggregate(spans, named_struct('at', 0, 'out', ''),
+        f"""CASE WHEN size(spans) = 0 THEN __text ELSE aggregate(spans, named_struct('at', 0, 'out', ''),
         (a, s) -> CASE WHEN s.s < a.at THEN named_struct('at', greatest(a.at, s.e), 'out', a.out) ELSE
-          named_struct('at', s.e, 'out', concat(a.out, substr(text, a.at + 1, s.s - a.at), element_at(array({names}), s.k + 1))) END,
-        a -> concat(a.out, substr(text, a.at + 1))) END"""
+          named_struct('at', s.e, 'out', concat(a.out, substr(__text, a.at + 1, s.s - a.at), element_at(array({names}), s.k + 1))) END,
+        a -> concat(a.out, substr(__text, a.at + 1))) END"""
     )
-    out = found.select("__all", text.alias("__text"))
+    out = _found(docs, "text").select("__rest", text.alias("__text"))
     new = {"text": F.col("__text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.length("__text").cast(docs.schema["n_chars"].dataType)
-    return out.select(*[new.get(c, F.col(f"__all.`{c}`")).alias(c) for c in docs.columns])
+    return out.select(*[new.get(c, F.col(f"__rest.`{c}`")).alias(c) for c in docs.columns])
