@@ -10,6 +10,7 @@ from tidewatch.llm import queries, quality
 from tidewatch.llm.shared import table
 
 from .test_near_duplicates import brute
+from .test_text_operators import brute_leaks
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,7 +40,9 @@ def test_stages_against_brute_force(spark, results):
     want = {d for d, _, c in brute(list(zip(before.doc_id, before.text)), 5, 80) if d == c}
     assert set(after.doc_id) == want
     before, after = stages["decontamination"]
-    assert set(after.doc_id) <= set(before.doc_id)
+    items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
+    leaks = {d for d, _ in brute_leaks(list(zip(before.doc_id, before.text)), items)}
+    assert set(after.doc_id) == set(before.doc_id) - leaks
     before, after = stages["personal_data"]
     assert list(sorted(before.doc_id)) == list(sorted(after.doc_id))
     assert not any(re.search(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9-]+", t) for t in after.text)

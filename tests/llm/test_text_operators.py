@@ -73,6 +73,57 @@ def test_descent_separates():
     assert all(np.sign(w[r].sum() + b) == s for r, s in zip(rows, y))
 
 
+def test_class_counts_against_brute_force(spark):
+    """The distributed counts are those of a plain loop over all labelled rows, and the scale is their log ratio."""
+    import pyarrow as pa
+
+    docs, labels = labelled(spark, 120)
+    known = {r["doc_id"]: r["quality"] for r in labels.collect() if r["quality"] is not None and r["doc_id"] is not None}
+    rows = [(known[r["doc_id"]], r["text"]) for r in docs.collect() if r["doc_id"] in known]
+    want = Counter()
+    for y, t in rows:
+        for _, _, _, feat in quality.features(pa.array([t])):
+            want.update((int(x), y) for x in feat)
+    got = Counter()
+    for r in quality._counts(spark.createDataFrame(rows, "label int, text string").repartition(3)).collect():
+        got.update({(r["feature"], 1): r["n1"], (r["feature"], 0): r["n0"]})
+    assert +got == want
+    model = quality.fit(docs, labels)
+    held = {r["doc_id"] for r in docs.filter(quality.held_out()).collect()}
+    train = [(known[r["doc_id"]], r["text"]) for r in docs.collect() if r["doc_id"] in known and r["doc_id"] not in held]
+    n1, n0 = np.full(quality.SIZE, quality.SMOOTHING), np.full(quality.SIZE, quality.SMOOTHING)
+    for y, t in train:
+        for _, _, _, feat in quality.features(pa.array([t])):
+            (n1 if y else n0)[feat] += 1
+    assert np.allclose(model.scale, np.log(n1 / n1.sum()) - np.log(n0 / n0.sum()))
+
+
+def test_descent_finds_the_least_loss():
+    """No small change of the weights lowers the hinge loss that the descent ends at by more than one in a hundred, even where labels are noise."""
+    rng = np.random.default_rng(2)
+    rows = [np.sort(rng.choice(60, 10, replace=False)) for _ in range(150)]
+    y = np.where(rng.random(150) < 0.5, 1.0, -1.0)
+    w, b = quality.descend(rows, y, np.ones(quality.SIZE), np.ones(150))
+    x = np.zeros((150, 60))
+    for i, r in enumerate(rows):
+        x[i, r] = 1 / np.sqrt(10)
+    loss = lambda v, c: 0.5 * (v @ v + c * c) + np.maximum(0, 1 - y * (x @ v + c)).sum()
+    here, near = loss(w[:60], b), [loss(w[:60] + d[:60], b + d[60]) for d in rng.normal(0, 1, (4000, 61)) * rng.choice([1e-3, 1e-2, 0.1], (4000, 1))]
+    assert min(near) >= here * 0.99
+
+
+def test_fit_is_bounded_by_ids(spark, monkeypatch):
+    """Rows that repeat an id with other texts don't add to what is fitted on."""
+    docs, labels = labelled(spark, 60)
+    seen = []
+    real = quality.descend
+    monkeypatch.setattr(quality, "descend", lambda rows, *a: (seen.append(len(rows)), real(rows, *a))[1])
+    from pyspark.sql import functions as F
+
+    quality.fit(docs.union(docs.withColumn("text", F.concat("text", F.lit(" more")))).union(docs), labels)
+    assert seen == [docs.join(labels.filter("quality is not null"), "doc_id").filter(~quality.held_out()).count()]
+
+
 # -- 3 ---------------------------------------------------------------------------------------------
 
 

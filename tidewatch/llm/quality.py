@@ -180,7 +180,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         n1[r["feature"]] += r["n1"]
         n0[r["feature"]] += r["n0"]
     scale = np.log(n1 / n1.sum()) - np.log(n0 / n0.sum())
-    sample = _feature_rows(source.join(F.broadcast(pick), "doc_id").select("label", "text")).collect()  # at most 2 * FIT_ROWS rows
+    # A row for each document picked, so at most 2 * FIT_ROWS: of several texts of one id, the smallest.
+    picked = source.join(F.broadcast(pick), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    sample = _feature_rows(picked.select("label", "text")).collect()
     sample.sort(key=lambda r: (r["label"], bytes(r["packed"])))
     y = np.array([r["label"] for r in sample], float)
     if not (y == 0).any() or not (y == 1).any():
@@ -213,7 +215,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Defined results: null and empty texts have no features and get the score of the bias;
     labels of unknown documents, null labels and labels other than 0 and 1 are left out; of
-    several labels of a document the highest counts; without both classes all scores are 1;
+    several labels of a document the highest counts; of several texts of one doc_id all are counted and scored, one is fitted on; without both classes all scores are 1;
     a null doc_id gives a null held_out; repeated rows give repeated results.
     """
     found = score(docs, fit(docs, labels))
