@@ -129,9 +129,14 @@ def test_keep_one(docs, corpus):
     assert {r["doc_id"] for r in kept.collect()} - {None} == want
 
 
-def test_components(spark):
-    rng = random.Random(5)
-    edges = [(i, i + 1) for i in range(60)] + [(100 + rng.randrange(30), 100 + rng.randrange(30)) for _ in range(25)] + [(7, 7)]
+@pytest.mark.parametrize("seed", range(3))
+def test_components(spark, seed):
+    rng = random.Random(seed)
+    edges = {
+        0: [(i, i + 1) for i in range(60)] + [(100 + rng.randrange(30), 100 + rng.randrange(30)) for _ in range(25)] + [(7, 7)],
+        1: [(rng.randrange(40), rng.randrange(40)) for _ in range(30)] + [(500, 500 + i) for i in range(40)] + [(900 - i, 900) for i in range(40)],
+        2: [(9, 3), (9, 5), (5, 3), (20, 3), (20, 21), (50, 50)],
+    }[seed]
     parent = {}
 
     def find(x):

@@ -24,6 +24,13 @@ def _hook(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("u > v").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one edge, to a node that has none: then that is the smallest of its component."""
+    several = edges.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").select("u")
+    chained = edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").select("u")
+    return several.union(chained).isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): label is the smallest node that node reaches; every node of edges (src, dst) is there.
 
@@ -34,18 +41,9 @@ def components(edges: DataFrame) -> DataFrame:
         edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).filter("u > v").distinct(),
         "edges",
     )
-
-    def mark(df):
-        return df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-
-    before = mark(now)
-    while True:  # labels only ever get smaller, so this ends
+    while not _settled(now):  # edges only ever get smaller ends, so this ends
         last, now = now, table(_hook(_hook(now, True), False), "edges")
-        after = mark(now)
         forget(last)
-        if after == before:
-            break
-        before = after
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(
         now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
     )
