@@ -145,6 +145,7 @@ def _r(rule, kind, **params):
 
 
 CONFIG = {
+    "statementTimeoutMs": 300_000,
     "checks": [
         {"// climate": "rooms"},
         _t("room-below-zero", ["room.celsius", "celsius"], low=0, margin=0.5, hours=8, severity="critical"),
@@ -204,6 +205,7 @@ def _cell(kind, profile, raise_at):
 
 
 BREWERY = {
+    "statementTimeoutMs": 300_000,
     "checks": [
         _t("wort-warm", ["wort.celsius"], high=24, margin=1),
         _t("wort-sour", ["wort.ph"], low=3.6, high=5.5, margin=0.1),

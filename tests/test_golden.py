@@ -51,7 +51,7 @@ def test_brewery(spark, tmp_path):
 def test_empty_store(spark, tmp_path):
     """Every check runs on its defaults and finds nothing; the two that need bounds say so."""
     checks = registry.load()
-    config = C.parse({"checks": [{"rule": r} for r in checks]}, ENV)
+    config = C.parse({"checks": [{"rule": r} for r in checks], "statementTimeoutMs": 300_000}, ENV)
     s = run_pass(spark, config, checks, golden.Store().tables(spark), StateStore(spark, str(tmp_path)), golden.AS_OF)
     assert {o.kind for o in s.errors} == {"measurement-threshold", "geofence-breach"}
     assert all("needs" in o.error for o in s.errors)

@@ -79,7 +79,7 @@ def check(id, find):
 
 
 def run(spark, store, checks, raw=None, **more):
-    config = C.parse({"checks": raw or [{"rule": c} for c in checks]}, {})
+    config = C.parse({"checks": raw or [{"rule": c} for c in checks], "statementTimeoutMs": 300_000}, {})
     return run_pass(spark, config, {k: check(k, f) for k, f in checks.items()}, Store().tables(spark), store, AS_OF, **more)
 
 
@@ -124,7 +124,7 @@ def test_severity(spark, tmp_path):
 
 def test_notification_and_retry(spark, tmp_path):
     store, calls = StateStore(spark, str(tmp_path)), []
-    raw = {"checks": [{"rule": "a"}], "notify": {"destinations": {"x": {"webhookUrl": "https://x.y"}}, "defaultDestination": "x"}}
+    raw = {"checks": [{"rule": "a"}], "notify": {"destinations": {"x": {"webhookUrl": "https://x.y"}}, "defaultDestination": "x"}, "statementTimeoutMs": 300_000}
     checks = {"a": check("a", canned([("1", None, None, "x")]))}
 
     def post(status):
@@ -140,7 +140,7 @@ def test_notification_and_retry(spark, tmp_path):
 def test_only_routed_alerts_are_sent_worst_first(spark, tmp_path):
     """Alerts without a destination are counted when they are raised and never sent; the others go out by severity and the rule's order."""
     store, calls = StateStore(spark, str(tmp_path)), []
-    raw = {"checks": [{"rule": "a"}], "notify": {"destinations": {"x": {"webhookUrl": "https://x.y"}}, "bySeverity": {"info": None}, "defaultDestination": "x"}}
+    raw = {"checks": [{"rule": "a"}], "notify": {"destinations": {"x": {"webhookUrl": "https://x.y"}}, "bySeverity": {"info": None}, "defaultDestination": "x"}, "statementTimeoutMs": 300_000}
 
     def find(ctx):
         rows = [(str(i), None, sev, "x", worst) for i, (sev, worst) in enumerate((("warning", 5), ("info", 1), ("critical", 9), ("warning", -3), ("critical", 2), ("info", 0)))]

@@ -186,7 +186,7 @@ def full_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     raw = [{"rule": q.spec[0], "as": _kind(name), "params": q.spec[1]} for name, q in QUERIES.items() if hasattr(q, "spec")]
     store = StateStore(spark, scratch(spark, "pass"))
-    s = run_pass(spark, C.parse({"checks": raw}, {}), CHECKS, T.test_tables(spark, sf_dir), store, AS_OF)
+    s = run_pass(spark, C.parse({"checks": raw, "statementTimeoutMs": 900_000}, {}), CHECKS, T.test_tables(spark, sf_dir), store, AS_OF)
     rows = [(o.kind, o.status, o.findings, o.raised, o.resolved) for o in s.outcomes]
     return spark.createDataFrame(rows, "kind string, status string, findings bigint, raised bigint, resolved bigint")
 

@@ -42,6 +42,12 @@ class SharedTables(Mapping):
     def __len__(self) -> int:
         return len(self._tables)
 
+    def fill(self) -> None:
+        """Compute what is shared, so that its time isn't that of the first check that reads it."""
+        for df in (self._readings, self._newest):
+            if df is not None:
+                df.count()
+
     def newest(self, scope: Scope) -> DataFrame | None:
         return self._newest if scope == Scope() else None
 

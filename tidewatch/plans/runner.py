@@ -117,7 +117,7 @@ def run_pass(
     as_of = as_of or datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
     state = store.opened()
     known = [(c, checks[c.rule]) for c in config.enabled if c.rule in checks]
-    shared = (planner.shared(tables, known, as_of) if fuse and "event_up" in tables else None) or tables
+    shared = _shared(spark, config, tables, known, as_of) if fuse and "event_up" in tables else tables
 
     def one(c: CheckConfig) -> tuple[Outcome, DataFrame | None]:
         outcome, began, rows = Outcome(c.kind, c.rule, "ok", started=datetime.now(timezone.utc).replace(tzinfo=None)), time.monotonic(), None
@@ -162,6 +162,19 @@ def run_pass(
     return summary
 
 
+def _shared(spark: SparkSession, config: Config, tables: Mapping[str, DataFrame], known: list, as_of: str) -> Mapping[str, DataFrame]:
+    """Tables with what checks share; without it if that can't be made, so that each check meets its own failure."""
+    shared = None
+    try:
+        shared = planner.shared(tables, known, as_of)
+        if shared is not None:
+            within(spark, config.timeout_ms * len(known), shared.fill)
+    except Exception:  # noqa: BLE001
+        planner.release(shared or tables)
+        shared = None
+    return shared or tables
+
+
 def _routed(merged: DataFrame, config: Config, checks: Mapping[str, Check], retry_pending: bool) -> DataFrame:
     """Alerts to announce and the destination of each; null: to be recorded only."""
     # What is announced is the first finding of a device.
