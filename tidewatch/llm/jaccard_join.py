@@ -32,6 +32,7 @@ rows without an id all stay.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,8 @@ COSTLY = 64
 BLOCK = 512
 #: Clusters of overlapping lists up to this many classes are compared as one list; larger ones list by list.
 CLUSTER = 16_384
+#: Parts of the signatures that are grouped one after the other, so that shuffles hold one part's entries at a time.
+PASSES = 3
 #: Members verified against one centre by one task.
 CENTRE_ROWS = 4096
 
@@ -183,14 +186,16 @@ def _lists(rows: DataFrame) -> DataFrame:
 
 def _postings(first: DataFrame) -> DataFrame:
     """(sig, cls, centre, k): lists of two classes or more, after the allocation by cost."""
-    listed = table(_lists(first.select("cls", F.inline("entries"))), "postings")
+    entries = first.select("cls", F.inline("entries"))
+    parts = [table(_lists(entries.filter(F.pmod("sig", F.lit(PASSES)) == k)), "postings") for k in range(PASSES)]
+    listed = reduce(DataFrame.union, parts)
     light = listed.filter(F.col("k") <= COSTLY).select("sig", "cls", "centre", "k")
     heavy = listed.filter(F.col("k") > COSTLY).drop("k", "centre").distinct()
     costly = heavy.groupBy("cls", "band").agg(F.count("*").alias("h"))
     kept = table(heavy.join(costly, ["cls", "band"]).filter("h > free").select("sig", "cls"), "heavy")
     lists = table(light.union(_lists(kept).select("sig", "cls", "centre", "k")), "lists")
-    forget(listed)
-    forget(kept)
+    for used in (*parts, kept):
+        forget(used)
     return lists
 
 
