@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -40,11 +41,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import forget, table
 from .words import Chunk, Pieces, chunks, mix, ngrams, signed
 
 #: Bits of the filters of blocks and of sequences, in slices of SLICE bits; bits that one block sets.
 BITS, SEQ_BITS, SLICE, HASHES = 1 << 28, 1 << 24, 1 << 16, 3
+#: Parts of the windows that are grouped one after the other, so that shuffles hold one part at a time.
+PASSES = 3
 
 _U = np.uint64
 _LAST = (1 << 63) - 1
@@ -297,9 +300,15 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     copied.destroy()
     shared.destroy()
     # The first document of each window comes from partial sums, and a join brings it back: Spark can split a common window's rows.
-    shared_by = grams.groupBy("g").agg(F.min("order").alias("low"), F.max("order").alias("high")).filter("low < high").select("g", "low")
-    starts = grams.join(shared_by, "g").filter("order > low").groupBy("key").agg(F.collect_set("start").alias("starts"))
-    starts = table(starts, "starts")
+    hits = []
+    for k in range(PASSES):
+        part = grams.filter(F.pmod("g", F.lit(PASSES)) == k)
+        shared_by = part.groupBy("g").agg(F.min("order").alias("low"), F.max("order").alias("high")).filter("low < high").select("g", "low")
+        hits.append(table(part.join(shared_by, "g").filter("order > low").select("key", "start"), "repeats"))
+    forget(grams)
+    starts = table(reduce(DataFrame.union, hits).groupBy("key").agg(F.collect_set("start").alias("starts")), "starts")
+    for part in hits:
+        forget(part)
 
     def mark(batches):
         for b in batches:
