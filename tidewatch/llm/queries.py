@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, chat, decontaminate, jaccard_join, licenses, pii, quality, rules, substring, token_output
+from . import bpe, chat, decontaminate, divergence, jaccard_join, licenses, pii, quality, rules, sharding, substring, token_output, whitening
 from .shared import shared_dir
 
 
@@ -76,6 +76,23 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(_read(spark, sf_dir, "embeddings"), components=8)
+    each = F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "of")
+    return found.select("vec_id", "n", F.expr("try_cast(deviation AS BIGINT)").alias("deviation"), "identity_error", each).select(
+        "vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "of.whitened", "of.explained", "identity_error"
+    )
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_read(spark, sf_dir, "documents"), least_docs=10, k=10)
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.assign(_read(spark, sf_dir, "documents"), weights=[1.0] * 40, grown=1.0)
+    return found.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_quality_classifier": op2_quality_classifier,
@@ -87,6 +104,9 @@ QUERIES = {
     "op8_token_output": op8_token_output,
     "op9_license_scan": op9_license_scan,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_sharding": op13_sharding,
 }
 
 _WORDS = r"[^\x20\x09-\x0D]+"
@@ -146,4 +166,40 @@ ORACLES: dict[str, str] = {
           NOT base_failed AND a <= a3 + 3.0 * greatest(0.7, a3 - a1) + 1e-9 AND b <= b3 + 3.0 * greatest(0.7, b3 - b1) + 1e-9 AND c <= c3 + 3.0 * greatest(0.7, c3 - c1) + 1e-9
             AND d <= d3 + 3.0 * greatest(0.05, d3 - d1) + 1e-9 AND d >= d1 - 3.0 * greatest(0.05, d3 - d1) - 1e-9 AS kept
         FROM s LEFT JOIN q ON q.lang IS NOT DISTINCT FROM s.lang AND q.source IS NOT DISTINCT FROM s.source""",
+    "op12_source_divergence": r"""
+        WITH w AS (
+          SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+            regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+        d AS (SELECT row_number() OVER () AS r, * FROM w),
+        t AS (SELECT lang, source, r, unnest(ws) AS term FROM d),
+        keep AS (SELECT lang, term, count(*) AS c FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+        g AS (SELECT DISTINCT lang, source FROM w),
+        c AS (SELECT lang, source, term, count(*) AS c FROM t SEMI JOIN keep USING (lang, term) GROUP BY ALL),
+        v AS (SELECT lang, count(*) AS v, sum(c) AS n FROM keep GROUP BY lang),
+        n AS (SELECT lang, source, sum(c) AS n FROM c GROUP BY lang, source),
+        p AS (
+          SELECT g.lang, g.source, keep.term, coalesce(c.c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 2)) // (coalesce(n.n, 0) + 2 * v.v) AS p,
+            1 + (1000000000::HUGEINT * (keep.c + 2)) // (v.n + 2 * v.v) AS q
+          FROM g JOIN keep ON keep.lang = g.lang JOIN v ON v.lang = g.lang
+            LEFT JOIN n ON n.lang = g.lang AND n.source = g.source LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = keep.term),
+        pair AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pair.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source),
+        terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p WHERE c > 0 AND p > q),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (FROM pairs UNION ALL FROM terms))
+        SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 10""",
+    # CRC-32 by its table, over the bytes of the text; shards 0 to 39 and one more bid for each key.
+    "op13_sharding": """
+        WITH crc AS (
+          SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+        d AS (SELECT doc_id, 16 + octet_length(encode(coalesce(text, ''))) AS size, hex(encode(coalesce(text, ''))) AS h, row_number() OVER () AS r FROM documents),
+        b AS (SELECT r, list_prepend(4294967295, list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::BIGINT)) AS bytes FROM d),
+        sums AS (SELECT r, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM b, crc),
+        bid AS (
+          SELECT r, s, 1 / -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || s), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE) AS bid
+          FROM (SELECT r, doc_id, unnest(range(41)) AS s FROM d)),
+        won AS (SELECT r, arg_max(s, bid) FILTER (s < 40) AS shard, arg_max(s, bid) AS grown FROM bid GROUP BY r)
+        SELECT doc_id, size::BIGINT AS size, text_crc32, 'key' AS law, shard::INTEGER AS shard,
+          row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown::INTEGER AS grown_shard
+        FROM d JOIN sums USING (r) JOIN won USING (r)""",
 }
