@@ -6,7 +6,7 @@ reading is taken if the leaf is a JSON number, or a string that is a plain decim
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Plain decimals, as strings in payloads may have them.
@@ -66,7 +66,14 @@ def first_of(values: list[Column], labels: list[str]) -> tuple[Column, Column]:
     return F.coalesce(*values), which
 
 
-def is_undecoded(column: str = "object") -> Column:
-    """SQL null, JSON null, {} and text that isn't JSON."""
-    v = parsed(column)
+def is_undecoded(column: str = "object", v: Column | None = None) -> Column:
+    """SQL null, JSON null, {} and text that isn't JSON. v: the parsed payload, if it is there."""
+    v = parsed(column) if v is None else v
     return F.col(column).isNull() | F.coalesce(F.is_variant_null(v), F.lit(False)) | (F.schema_of_variant(v) == "OBJECT<>")
+
+
+def readings(uplinks: DataFrame, paths: dict[str, Path], *columns: str) -> DataFrame:
+    """columns, path, num: every numeric reading of every path of uplinks with a payload."""
+    rows = uplinks.select(*columns, parsed().alias("_v"))
+    each = F.array(*[F.struct(F.lit(n).alias("path"), leaf_number(F.col("_v"), p).alias("num")) for n, p in paths.items()])
+    return rows.select(*columns, F.inline(F.filter(each, lambda x: x["num"].isNotNull())))

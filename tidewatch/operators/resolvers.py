@@ -11,35 +11,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import payload
+from .folds import Fold, folded, one
 from .scope import Scope
+from .times import hours_between, moment, since, window  # noqa: F401  (resolvers' users take them from here)
 
 Paths = list[tuple[str, ...]]
 
 
-def moment(events: DataFrame, as_of: str) -> Column:
-    """as_of as a literal of the type of the table's time column, so that filters reach the files' statistics."""
-    return F.lit(as_of).cast(events.schema["time"].dataType)
-
-
-def since(events: DataFrame, as_of: str, hours: float = 0, minutes: float = 0) -> Column:
-    seconds = hours * 3600 + minutes * 60
-    return moment(events, as_of) - F.expr(f"make_dt_interval(0, 0, 0, {seconds:.6f})")
-
-
-def window(events: DataFrame, as_of: str, hours: float, scope: Scope | None = None) -> DataFrame:
-    """Events after as_of - hours and up to as_of."""
-    first, last = since(events, as_of, hours), moment(events, as_of)
-    rows = events.filter((F.col("time") > first) & (F.col("time") <= last))
-    if "day" in events.columns:  # folders by day
-        rows = rows.filter((F.col("day") >= F.to_date(first)) & (F.col("day") <= F.to_date(last))).drop("day")
-    return (scope or Scope()).apply(rows)
-
-
-def hours_between(start: Column, end: Column) -> Column:
-    micros = lambda c: F.unix_micros(c.cast("timestamp"))
-    return (micros(end) - micros(start)) / F.lit(3.6e9)
-
-
 def _names(paths: Paths) -> list[str]:
     return [".".join(p) for p in paths]
 
@@ -98,34 +76,16 @@ def telemetry(up: DataFrame, paths: Paths, hours: float, scope: Scope, as_of: st
     return rows.select("dev_eui", "device_name", "time", "deduplication_id", *more, F.inline(F.filter(each, lambda x: x["num"].isNotNull())))
 
 
-def stats_of(readings: DataFrame, paths: Paths, decimals: int | None = None) -> DataFrame:
-    """Statistics of each device's winning candidate (the first that has a reading anywhere in the window).
-
-    dev_eui, device_name, matched_path, vmin, vmax, vavg, vfirst, vlast, samples, distinct_values,
-    first_at, last_at. Readings are first summed by value, before and after a shuffle by device,
-    candidate and value; only these sums meet by device, so one device may hold any share of the rows.
-    """
-    if decimals is not None:
-        readings = readings.withColumn("num", F.round("num", decimals).cast(payload.READING))
+def by_value(readings: DataFrame, *key: str) -> DataFrame:
+    """Readings summed up by value: key, num, n, lo and hi (time and id of its first and last reading), device_name."""
     when = F.struct("time", "deduplication_id")
-    by_value = readings.groupBy("dev_eui", "ord", "num").agg(
-        F.count("*").alias("n"), F.min(when).alias("lo"), F.max(when).alias("hi"), F.max("device_name").alias("device_name")
-    )
-    wide = lambda c: c.cast("decimal(38,12)")
-    by_path = by_value.groupBy("dev_eui", "ord").agg(
-        F.max("device_name").alias("device_name"),
-        F.min("num").alias("vmin"),
-        F.max("num").alias("vmax"),
-        F.sum(wide(F.col("num") * F.col("n"))).alias("total"),
-        F.min_by("num", "lo").alias("vfirst"),
-        F.max_by("num", "hi").alias("vlast"),
-        F.sum("n").alias("samples"),
-        F.count("*").alias("distinct_values"),
-        F.min("lo").alias("lo"),
-        F.max("hi").alias("hi"),
-    )
+    return readings.groupBy(*key, "num").agg(F.count("*").alias("n"), F.min(when).alias("lo"), F.max(when).alias("hi"), F.max("device_name").alias("device_name"))
+
+
+def winners(sums: DataFrame, paths: Paths) -> DataFrame:
+    """Statistics of each device's winning candidate, of sums by device and candidate."""
     first = Window.partitionBy("dev_eui")
-    won = by_path.withColumn("_first", F.min("ord").over(first)).filter("ord = _first")
+    won = sums.withColumn("_first", F.min("ord").over(first)).filter("ord = _first")
     name = F.element_at(F.array(*[F.lit(n) for n in _names(paths)]), F.col("ord") + 1)
     return won.select(
         "dev_eui",
@@ -133,7 +93,8 @@ def stats_of(readings: DataFrame, paths: Paths, decimals: int | None = None) ->
         name.alias("matched_path"),
         *[F.col(c).cast("double").alias(c) for c in ("vmin", "vmax")],
         F.round(F.col("total") / F.col("samples"), 4).cast("double").alias("vavg"),
-        *[F.col(c).cast("double").alias(c) for c in ("vfirst", "vlast")],
+        F.col("lo.num").cast("double").alias("vfirst"),
+        F.col("hi.num").cast("double").alias("vlast"),
         "samples",
         "distinct_values",
         F.col("lo.time").alias("first_at"),
@@ -142,38 +103,65 @@ def stats_of(readings: DataFrame, paths: Paths, decimals: int | None = None) ->
     )
 
 
+def stats_of(readings: DataFrame, paths: Paths, decimals: int | None = None) -> DataFrame:
+    """Statistics of each device's winning candidate (the first that has a reading anywhere in the window).
+
+    dev_eui, device_name, matched_path, vmin, vmax, vavg, vfirst, vlast, samples, distinct_values,
+    first_at, last_at. Readings are first summed by value, before and after a shuffle by device,
+    candidate and value; only these sums meet by device, so one device may hold any share of the rows.
+    """
+    return stats_of_values(by_value(rounded(readings, decimals), "dev_eui", "ord"), paths)
+
+
+def rounded(readings: DataFrame, decimals: int | None) -> DataFrame:
+    return readings if decimals is None else readings.withColumn("num", F.round("num", decimals).cast(payload.READING))
+
+
+def stats_of_values(values: DataFrame, paths: Paths) -> DataFrame:
+    """stats_of, from a row for each device, candidate and value."""
+    wide = lambda c: c.cast("decimal(38,12)")
+    sums = values.groupBy("dev_eui", "ord").agg(
+        F.max("device_name").alias("device_name"),
+        F.min("num").alias("vmin"),
+        F.max("num").alias("vmax"),
+        F.sum(wide(F.col("num") * F.col("n"))).alias("total"),
+        F.sum("n").alias("samples"),
+        F.count("*").alias("distinct_values"),
+        F.min(F.struct("lo.time", "lo.deduplication_id", "num")).alias("lo"),
+        F.max(F.struct("hi.time", "hi.deduplication_id", "num")).alias("hi"),
+    )
+    return winners(sums, paths)
+
+
 def window_stats(up: DataFrame, paths: Paths, hours: float, scope: Scope, as_of: str, decimals: int | None = None) -> DataFrame:
     return stats_of(telemetry(up, paths, hours, scope, as_of), paths, decimals)
 
 
-def path_presence(up: DataFrame, paths: Paths, hours: float, recent_hours: float, scope: Scope, as_of: str, each_path: bool = False) -> DataFrame:
-    """dev_eui, device_name, matched_path, ever_seen, recent_seen, recent_uplinks, last_seen_at.
-
-    The candidate is the first that was ever there (any type but JSON null); with each_path there is a
-    row for each candidate that was. Uplinks count whether decoded or not.
-    """
-    rows = window(up, as_of, hours, scope)
+def presence(paths: Paths, hours: float, recent_hours: float, scope: Scope, up: DataFrame, as_of: str) -> Fold:
+    """What path_presence sums up of its uplinks."""
     recent = F.col("time") > since(up, as_of, recent_hours)
-    rows = rows.select("dev_eui", "device_name", "time", recent.alias("_recent"), payload.parsed().alias("_v"))
-    rows = rows.select("*", *[payload.leaf_text(F.col("_v"), p).isNotNull().alias(f"_has{i}") for i, p in enumerate(paths)]).drop("_v")
-    parts, sums = [F.count_if("_recent").alias("recent_uplinks")], [F.max("device_name").alias("device_name"), F.sum("recent_uplinks").alias("recent_uplinks")]
+    row = {f"seen{i}": lambda c, p=p: F.when(payload.leaf_text(F.col("_v"), p).isNotNull(), F.col("time")) for i, p in enumerate(paths)}
+    values = {"recent_uplinks": ("count", lambda c: F.when(recent, True))}
+    for i in range(len(paths)):
+        seen = lambda c, i=i: c(f"seen{i}")
+        values |= {f"ever{i}": ("count", seen), f"now{i}": ("count", lambda c, i=i: F.when(recent, c(f"seen{i}"))), f"last{i}": ("max", seen)}
+    return Fold(hours, scope, row, values, parses=True)
+
+
+def presence_of(sums: DataFrame, paths: Paths, each_path: bool = False) -> DataFrame:
+    """path_presence from a fold's sums by device, name and profile."""
+    parts = [F.max("device_name").alias("device_name"), F.sum("recent_uplinks").alias("recent_uplinks")]
     for i in range(len(paths)):
-        has = F.coalesce(F.col(f"_has{i}"), F.lit(False))
-        parts += [
-            F.count_if(has).alias(f"_ever{i}"),
-            F.count_if(has & F.col("_recent")).alias(f"_now{i}"),
-            F.max(F.when(has, F.col("time"))).alias(f"_last{i}"),
-        ]
-        sums += [F.sum(f"_ever{i}").alias(f"_ever{i}"), F.sum(f"_now{i}").alias(f"_now{i}"), F.max(f"_last{i}").alias(f"_last{i}")]
-    by_device = rows.groupBy("dev_eui", "device_name").agg(*parts).groupBy("dev_eui").agg(*sums)
+        parts += [F.sum(f"ever{i}").alias(f"ever{i}"), F.sum(f"now{i}").alias(f"now{i}"), F.max(f"last{i}").alias(f"last{i}")]
+    by_device = sums.groupBy("dev_eui").agg(*parts)
     found = F.filter(
         F.array(
             *[
                 F.struct(
                     F.lit(name).alias("matched_path"),
-                    F.col(f"_ever{i}").alias("ever_seen"),
-                    F.col(f"_now{i}").alias("recent_seen"),
-                    F.col(f"_last{i}").alias("last_seen_at"),
+                    F.col(f"ever{i}").alias("ever_seen"),
+                    F.col(f"now{i}").alias("recent_seen"),
+                    F.col(f"last{i}").alias("last_seen_at"),
                 )
                 for i, name in enumerate(_names(paths))
             ]
@@ -183,3 +171,13 @@ def path_presence(up: DataFrame, paths: Paths, hours: float, recent_hours: float
     found = found if each_path else F.slice(found, 1, 1)
     rows = by_device.select("dev_eui", "device_name", "recent_uplinks", F.inline(found))
     return rows.select("dev_eui", "device_name", "matched_path", "ever_seen", "recent_seen", "recent_uplinks", "last_seen_at")
+
+
+def path_presence(up: DataFrame, paths: Paths, hours: float, recent_hours: float, scope: Scope, as_of: str, each_path: bool = False) -> DataFrame:
+    """dev_eui, device_name, matched_path, ever_seen, recent_seen, recent_uplinks, last_seen_at.
+
+    The candidate is the first that was ever there (any type but JSON null); with each_path there is a
+    row for each candidate that was. Uplinks count whether decoded or not.
+    """
+    f = presence(paths, hours, recent_hours, scope, up, as_of)
+    return presence_of(one(folded(up, as_of, [f]), 0, f), paths, each_path)

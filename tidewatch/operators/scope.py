@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import params as P
@@ -28,9 +28,14 @@ class Scope:
             raise P.ParamError(f"deviceNamePattern must be a string, not {pattern!r}")
         return cls(P.strings(params, "deviceProfiles"), pattern or None)
 
-    def apply(self, events: DataFrame) -> DataFrame:
+    def matches(self) -> Column:
+        """True for rows of the scope; otherwise false or null."""
+        out = F.lit(True)
         if self.profiles:
-            events = events.filter(F.col("device_profile_name").isin(self.profiles))
+            out = out & F.col("device_profile_name").isin(self.profiles)
         if self.name_like is not None:
-            events = events.filter(F.col("device_name").like(self.name_like))
-        return events
+            out = out & F.col("device_name").like(self.name_like)
+        return out
+
+    def apply(self, events: DataFrame) -> DataFrame:
+        return events if self == Scope() else events.filter(self.matches())

@@ -18,7 +18,9 @@ from ..operators import resolvers as R
 from ..operators import routing
 from ..operators.scope import Scope
 from ..sources import tables as T
+from ..sources.partials import Partials
 from ..sources.state import StateStore, scratch
+from ..streaming import silence
 from .checks import CHECKS, Context
 
 AS_OF = T.AS_OF
@@ -170,6 +172,42 @@ def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: A window with an odd start and end, so that it has edges; what partial sums cover lies between.
+_EDGES = ("2024-01-30 18:20:30", 600.25)
+
+
+def window_stats_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Window statistics merged from stored partial sums, which three batches made; two of them come late, for hours that are summed up already."""
+    up = T.test_tables(spark, sf_dir)["event_up"]
+    sums = Partials(spark, scratch(spark, "partials"), _paths(_WINDOW))
+    for batch in range(3):
+        sums.append(up.filter(F.pmod(F.xxhash64("deduplication_id"), F.lit(3)) == batch), batch)
+    return sums.stats(up, _paths(_WINDOW), _EDGES[1], Scope(), _EDGES[0])
+
+
+#: How late rows of the stream may be, and the silence it watches for.
+_LATE_MINUTES, _STREAM_TRIGGERS = 90, 4
+
+
+def silence_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Devices in alert after a replay of all uplinks as a stream, in some triggers; each run of the query goes on from the checkpoint of the one before."""
+    up = T.test_tables(spark, sf_dir)["event_up"].select("dev_eui", "device_name", "device_profile_name", F.col("time").cast("timestamp").alias("time"))
+    folder = scratch(spark, "silence")
+    spark.conf.set(*silence.PROVIDER)
+    ends = up.agg(F.min("time").alias("a"), F.max("time").alias("b")).first()
+    edges = [ends["a"] + (ends["b"] - ends["a"]) * i / _STREAM_TRIGGERS for i in range(_STREAM_TRIGGERS)][1:]
+    part = sum((F.when(F.col("time") > F.lit(e), 1).otherwise(0) for e in edges), F.lit(0))
+    arrived = up.withColumn("part", part)
+    for i in range(_STREAM_TRIGGERS):
+        arrived.filter(F.col("part") == i).drop("part").write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(up.schema).parquet(f"{folder}/in")
+        events = silence.silence(stream, silent_minutes=720, late=f"{_LATE_MINUTES} minutes")
+        query = events.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+    ntz = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return silence.in_alert(spark.read.schema(silence.EVENTS).parquet(f"{folder}/out")).select("dev_eui", "device_name", ntz("last_seen"))
+
+
 def context_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parameterised SQL over event tables, as a check's author may write it."""
     return spark.sql(
@@ -223,6 +261,8 @@ QUERIES: dict[str, Query] = {
     "latest_flags": _resolver(lambda up: R.latest_flags(up, _paths(["flag"]), 168, Scope(), ["OPEN"], AS_OF)),
     "latest_fixes": _resolver(lambda up: R.latest_fixes(up, _paths(["position.latitude"]), _paths(["gps.lon", "position.longitude"]), 168, Scope(), AS_OF)),
     "window_stats": _resolver(lambda up: R.window_stats(up, _paths(_WINDOW), 720, Scope(), AS_OF)),
+    "window_stats_partials": window_stats_partials,
+    "silence_stream": silence_stream,
     "path_presence": _resolver(lambda up: R.path_presence(up, _paths(["signup.value", "error.value", "k"]), 720, 120, Scope(), AS_OF)),
     "reconcile_two_passes": reconcile_two_passes,
     "open_alerts": open_alerts,
@@ -308,6 +348,11 @@ ORACLES: dict[str, str] = {
     "latest_flags": f"""{_EV}, {_NEWEST.format(since=_since(168))} SELECT dev_eui, device_name, 'flag' AS matched_path, CASE WHEN k >= 90 THEN 'Open' ELSE 'closed' END AS raw, k >= 90 AS value, ts AS at FROM newest WHERE has""",
     "latest_fixes": f"""{_EV}, {_NEWEST.format(since=_since(168))} SELECT dev_eui, device_name, CAST(CAST(k / 10 + 40 AS DECIMAL(6,1)) AS DOUBLE) AS lat, CAST(CAST(k / 20 - 95 AS DECIMAL(6,2)) AS DOUBLE) AS lon, ts AS at FROM newest WHERE has""",
     "window_stats": _stats_sql("SELECT dev_eui, device_name, matched_path, vmin, vmax, vavg, vfirst, vlast, samples, distinct_values, first_at, last_at, mean FROM s"),
+    "window_stats_partials": _stats_sql("SELECT dev_eui, device_name, matched_path, vmin, vmax, vavg, vfirst, vlast, samples, distinct_values, first_at, last_at, mean FROM s", _EDGES[1]).replace(AS_OF, _EDGES[0]),
+    # As of the watermark: the newest uplink of all, less what rows may be late, down to the second.
+    "silence_stream": f"""{_EV}, clock AS (SELECT date_trunc('second', max(ts) - INTERVAL '{_LATE_MINUTES} minutes') AS now FROM ev)
+        SELECT dev_eui, max(device_name) AS device_name, max(ts) AS last_seen FROM ev, clock WHERE ts <= now AND ts > now - INTERVAL '168 hours'
+        GROUP BY dev_eui, now HAVING count(*) >= 5 AND max(ts) < now - INTERVAL '720 minutes'""",
     "path_presence": f"""{_EV}, p AS (SELECT dev_eui, max(device_name) AS device_name, count(*) FILTER ({_since(120)}) AS ups,
         count(*) FILTER (has AND event_type = 'signup') AS e0, count(*) FILTER (has AND event_type = 'error') AS e1, count(*) FILTER (has) AS e2c,
         count(*) FILTER (has AND event_type = 'signup' AND {_since(120)}) AS n0, count(*) FILTER (has AND event_type = 'error' AND {_since(120)}) AS n1, count(*) FILTER (has AND {_since(120)}) AS n2,

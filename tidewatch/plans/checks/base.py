@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ...functions import params as P
+from ...operators.folds import Fold, folded, one
 from ...operators.scope import DEFAULTS as SCOPE
 from ...operators.scope import Scope
 
@@ -45,6 +46,12 @@ class Context:
         shared = getattr(self.tables, "newest", None)
         return shared(self.scope) if shared else None
 
+    def folded(self, fold: Fold) -> DataFrame:
+        """Sums over uplinks by device, name and profile; a planner may have put them into the tables already."""
+        shared = getattr(self.tables, "folded", None)
+        found = shared(self.kind) if shared else None
+        return found if found is not None else one(folded(self.table("event_up"), self.as_of, [fold]), 0, fold)
+
     def with_open(self, df: DataFrame) -> DataFrame:
         """df with is_open."""
         if self.open_devices is None:
@@ -61,6 +68,8 @@ class Check:
     defaults: dict[str, Any]
     requires: dict[str, tuple[str, ...]]
     find: Callable[[Context], DataFrame]
+    #: What the check sums up of event_up, where it reads these sums through Context.folded: a planner makes them for all checks at once.
+    fold: Callable[[Context], Fold] | None = None
     routing: str = "fact"
     scoped: bool = True
     params: dict[str, Any] = field(init=False)
@@ -68,6 +77,11 @@ class Check:
     def __post_init__(self):
         object.__setattr__(self, "params", {**self.defaults, **(SCOPE if self.scoped else {})})
 
+    def folds(self, ctx: Context) -> Fold | None:
+        """The check's fold for these parameters; wrong ones raise."""
+        ctx.params = {**self.params, **ctx.params}
+        return self.fold(ctx) if self.fold else None
+
     def run(self, ctx: Context) -> DataFrame:
         """Findings: dev_eui, device_name, severity, summary, detail (a struct)."""
         ctx.params = {**self.params, **ctx.params}

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ...functions import params as P
 from ...functions import payload
 from ...operators import resolvers as R
+from ...operators.folds import Fold
 from .base import COMMON, Check, Context, finding, graded, told
 
 c = F.col
@@ -21,15 +22,18 @@ def _rows(ctx: Context, table: str, hours: float) -> DataFrame:
     return R.window(ctx.table(table), ctx.as_of, hours, ctx.scope)
 
 
+def _silent_fold(ctx: Context) -> Fold:
+    return Fold(P.whole(dict(ctx.params), "inventoryHours", 1), ctx.scope, values={"last_seen": ("max", lambda own: c("time"))})
+
+
 def _silent(ctx: Context) -> DataFrame:
     p = dict(ctx.params)
-    limit, hours, least = P.number(p, "silentMinutes"), P.whole(p, "inventoryHours", 1), P.whole(p, "minUplinks", 1)
+    limit, least = P.number(p, "silentMinutes"), P.whole(p, "minUplinks", 1)
     if limit <= 0:
         raise P.ParamError("silentMinutes must be above 0")
     up = ctx.table("event_up")
-    by_name = _rows(ctx, "event_up", hours).groupBy("dev_eui", "device_name").agg(F.max("time").alias("last_seen"), F.count("*").alias("uplinks"))
-    df = by_name.groupBy("dev_eui").agg(
-        F.max("device_name").alias("device_name"), F.max("last_seen").alias("last_seen"), F.sum("uplinks").alias("uplinks")
+    df = ctx.folded(_silent_fold(ctx)).groupBy("dev_eui").agg(
+        F.max("device_name").alias("device_name"), F.max("last_seen").alias("last_seen"), F.sum("rows").alias("uplinks")
     )
     df = df.filter((c("uplinks") >= least) & (c("last_seen") < R.since(up, ctx.as_of, minutes=limit)))
     minutes = F.round(R.hours_between(c("last_seen"), R.moment(up, ctx.as_of)) * 60).cast("long")
@@ -58,18 +62,20 @@ def _ratio(p: dict, key: str) -> float:
     return value
 
 
+def _decode_fold(ctx: Context) -> Fold:
+    row = {"failed_at": lambda own: F.when(payload.is_undecoded(v=c("_v")), c("time"))}
+    values = {"failed": ("count", lambda own: own("failed_at")), "last_failure": ("max", lambda own: own("failed_at"))}
+    return Fold(P.whole(dict(ctx.params), "lookbackHours", 1), ctx.scope, row, values, parses=True)
+
+
 def _decode_failure(ctx: Context) -> DataFrame:
     p = dict(ctx.params)
     hours, least, ratio = P.whole(p, "lookbackHours", 1), P.whole(p, "minFailures", 1), _ratio(p, "minFailureRatio")
-    bad = payload.is_undecoded()
-    by_name = _rows(ctx, "event_up", hours).withColumn("bad", bad).groupBy("dev_eui", "device_name", "device_profile_name").agg(
-        F.count_if("bad").alias("failed"), F.count("*").alias("total"), F.max(F.when(c("bad"), c("time"))).alias("last_failure")
-    )
-    df = by_name.groupBy("dev_eui").agg(
+    df = ctx.folded(_decode_fold(ctx)).groupBy("dev_eui").agg(
         F.max("device_name").alias("device_name"),
         F.max("device_profile_name").alias("profile"),
         F.sum("failed").alias("failed"),
-        F.sum("total").alias("total"),
+        F.sum("rows").alias("total"),
         F.max("last_failure").alias("last_failure"),
     )
     df = df.withColumn("ratio", c("failed") / c("total")).filter((c("failed") >= least) & (c("ratio") >= ratio))
@@ -87,17 +93,24 @@ def _decode_failure(ctx: Context) -> DataFrame:
     )
 
 
+def _signal_fold(ctx: Context) -> Fold:
+    best = lambda own, k: F.array_max(F.transform(own("heard_by"), lambda g: g[k].try_cast("decimal(12,3)")))
+    row = {
+        "heard_by": lambda own: F.when(F.json_array_length("rx_info") > 0, F.from_json("rx_info", "array<struct<rssi: string, snr: string>>")),
+        "rssi": lambda own: best(own, "rssi"),
+        "snr": lambda own: F.when(own("rssi").isNotNull(), best(own, "snr")),
+        "gateways": lambda own: F.when(own("rssi").isNotNull(), F.json_array_length("rx_info")),
+    }
+    each = lambda k: lambda own: own(k)
+    values = {"rssi": ("sum", each("rssi")), "least": ("min", each("rssi")), "n": ("count", each("rssi"))}
+    values |= {"snr": ("sum", each("snr")), "n_snr": ("count", each("snr")), "gateways": ("sum", each("gateways"))}
+    return Fold(P.whole(dict(ctx.params), "lookbackHours", 1), ctx.scope, row, values)
+
+
 def _signal(ctx: Context) -> DataFrame:
     p = dict(ctx.params)
     hours, rssi, snr, least = P.whole(p, "lookbackHours", 1), P.number(p, "rssiThresholdDbm"), P.optional(p, "snrThresholdDb"), P.whole(p, "minUplinks", 1)
-    df = _rows(ctx, "event_up", hours).filter(F.json_array_length("rx_info") > 0)
-    gateways = F.from_json("rx_info", "array<struct<rssi: string, snr: string>>")
-    best = lambda k: F.array_max(F.transform(gateways, lambda g: g[k].try_cast("decimal(12,3)")))
-    df = df.select("dev_eui", "device_name", best("rssi").alias("rssi"), best("snr").alias("snr"), F.json_array_length("rx_info").alias("gateways"))
-    by_name = df.filter("rssi is not null").groupBy("dev_eui", "device_name").agg(
-        F.sum("rssi").alias("rssi"), F.min("rssi").alias("least"), F.sum("snr").alias("snr"), F.count("snr").alias("n_snr"), F.count("*").alias("n"), F.sum("gateways").alias("gateways")
-    )
-    df = by_name.groupBy("dev_eui").agg(
+    df = ctx.folded(_signal_fold(ctx)).filter("n > 0").groupBy("dev_eui").agg(
         F.max("device_name").alias("device_name"),
         (F.sum("rssi") / F.sum("n")).alias("avg_rssi"),
         F.min("least").alias("min_rssi"),
@@ -228,6 +241,10 @@ def _status_margin(ctx: Context) -> DataFrame:
     )
 
 
+def _churn_fold(ctx: Context) -> Fold:
+    return Fold(P.whole(dict(ctx.params), "lookbackHours", 1))  # uplinks of a device under any name
+
+
 def _churn(ctx: Context) -> DataFrame:
     p = dict(ctx.params)
     hours, most = P.whole(p, "lookbackHours", 1), P.whole(p, "maxJoins", 0)
@@ -239,7 +256,7 @@ def _churn(ctx: Context) -> DataFrame:
         F.min("time").alias("first"),
         F.max("time").alias("latest"),
     )
-    uplinks = R.window(ctx.table("event_up"), ctx.as_of, hours).groupBy(c("dev_eui").alias("up_eui")).agg(F.count("*").alias("uplinks"))
+    uplinks = ctx.folded(_churn_fold(ctx)).groupBy(c("dev_eui").alias("up_eui")).agg(F.sum("rows").alias("uplinks"))
     df = joins.join(uplinks, joins.dev_eui == uplinks.up_eui, "left").withColumn("uplinks", F.coalesce("uplinks", F.lit(0)))
     share = c("joins") / F.greatest(c("uplinks"), F.lit(1))
     hit = c("joins") > most
@@ -300,6 +317,7 @@ CHECKS = [
         {"silentMinutes": 180, "inventoryHours": 168, "minUplinks": 5},
         {"event_up": COMMON},
         _silent,
+        _silent_fold,
         routing="situation",
     ),
     Check(
@@ -309,6 +327,7 @@ CHECKS = [
         {"lookbackHours": 24, "minFailures": 5, "minFailureRatio": 0.5},
         {"event_up": (*COMMON, "object")},
         _decode_failure,
+        _decode_fold,
     ),
     Check(
         "signal-degraded",
@@ -317,6 +336,7 @@ CHECKS = [
         {"lookbackHours": 72, "rssiThresholdDbm": -115, "snrThresholdDb": None, "minUplinks": 20},
         {"event_up": (*COMMON, "rx_info")},
         _signal,
+        _signal_fold,
     ),
     Check(
         "device-log-error",
@@ -349,6 +369,7 @@ CHECKS = [
         {"lookbackHours": 168, "maxJoins": 3, "maxJoinsPerUplinkRatio": 0.1, "minUplinksForRatio": 5},
         {"event_join": (*COMMON, "dev_addr"), "event_up": ("time", "dev_eui")},
         _churn,
+        _churn_fold,
         routing="situation",
     ),
     Check(

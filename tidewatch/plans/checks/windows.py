@@ -7,19 +7,23 @@ from pyspark.sql import functions as F
 
 from ...functions import params as P
 from ...operators import resolvers as R
+from ...operators.folds import Fold
 from .base import UPLINK, Check, Context, candidates, finding, graded, told
 
 c = F.col
 
 
 def _stats(ctx: Context, decimals: int | None = None) -> DataFrame:
-    """Window statistics; a planner may have put them into the context's tables already."""
+    """Window statistics; a planner may have put readings or their partial sums into the context's tables already."""
     p = dict(ctx.params)
     paths = candidates(ctx)
     hours = P.whole(p, "lookbackHours", 1)
-    shared = getattr(ctx.tables, "telemetry", None)
-    readings = shared(paths, hours, ctx.scope) if shared else R.telemetry(ctx.table("event_up"), paths, hours, ctx.scope, ctx.as_of)
-    df = R.stats_of(readings, paths, decimals)
+    stored = getattr(ctx.tables, "stats", None)
+    df = stored(paths, hours, ctx.scope, decimals) if stored else None
+    if df is None:
+        shared = getattr(ctx.tables, "telemetry", None)
+        readings = shared(paths, hours, ctx.scope) if shared else R.telemetry(ctx.table("event_up"), paths, hours, ctx.scope, ctx.as_of)
+        df = R.stats_of(readings, paths, decimals)
     return df.withColumn("span_hours", R.hours_between(c("first_at"), c("last_at")))
 
 
@@ -105,6 +109,11 @@ def _stuck(ctx: Context) -> DataFrame:
     )
 
 
+def _missing_fold(ctx: Context) -> Fold:
+    p = dict(ctx.params)
+    return R.presence(candidates(ctx), P.whole(p, "lookbackHours", 1), P.whole(p, "recentHours", 1), ctx.scope, ctx.table("event_up"), ctx.as_of)
+
+
 def _missing(ctx: Context) -> DataFrame:
     p = dict(ctx.params)
     hours, recent = P.whole(p, "lookbackHours", 1), P.whole(p, "recentHours", 1)
@@ -112,7 +121,7 @@ def _missing(ctx: Context) -> DataFrame:
     if recent >= hours:
         raise P.ParamError("recentHours must be below lookbackHours")
     paths = candidates(ctx)
-    df = R.path_presence(ctx.table("event_up"), paths, hours, recent, ctx.scope, ctx.as_of, each_path=bool(p.get("eachPath")))
+    df = R.presence_of(ctx.folded(_missing_fold(ctx)), paths, each_path=bool(p.get("eachPath")))
     df = df.filter((c("ever_seen") >= history) & (c("recent_uplinks") >= uplinks) & (c("recent_seen") == 0))
     return finding(
         df,
@@ -213,6 +222,7 @@ CHECKS = [
         {"paths": ["soil.moisture"], "lookbackHours": 168, "recentHours": 12, "minRecentUplinks": 5, "minHistoricalSightings": 10, "eachPath": False},
         UPLINK,
         _missing,
+        _missing_fold,
     ),
     Check(
         "counter-stalled",

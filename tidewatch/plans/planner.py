@@ -1,10 +1,11 @@
-"""Shared scans: checks over the same uplinks read and parse them once.
-
-All window checks of a pass whose parameters are valid are put together: the greatest lookback and
-the union of their candidate paths give one frame of numeric readings, which is cached; each check
-filters it by path, time and scope. Checks on the newest uplink that look at all devices share one
-cached row for each device, of the greatest lookback among them: it is the newest of a shorter one as
-well, if it lies in that.
+"""Shared scans: a pass reads event_up twice, however many checks look at it.
+
+One scan gives the numeric readings of all window checks: the greatest lookback and the union of their candidate
+paths make one frame, which is cached; each check filters it by path, time and scope. Where partial sums of the readings are
+stored, these checks read them instead, and of event_up the edges of their windows only. The other scan sums up uplinks for all
+checks that count them (silence, decoding, signal, presence of fields, joins) and takes each device's newest
+decoded uplink, by one aggregation with a condition for each check; its result, a row for each device and name, is cached. A newest
+uplink of the greatest lookback is the newest of a shorter one as well, if it lies in that.
 """
 
 from __future__ import annotations
@@ -17,19 +18,23 @@ from pyspark.sql import functions as F
 from ..functions import params as P
 from ..functions import payload
 from ..operators import resolvers as R
+from ..operators.folds import Fold, folded, newest_of, one
 from ..operators.scope import Scope
-from .checks.base import Check
+from ..sources.partials import Partials
+from .checks.base import Check, Context
 from .config import CheckConfig
 
 NEWEST_RULES = ("battery-low", "measurement-threshold", "boolean-alarm", "geofence-breach")
+#: Name of the fold of newest uplinks; no check's kind has a blank.
+NEWEST = "newest uplinks"
 WINDOW_RULES = ("measurement-peak", "measurement-rate", "measurement-stuck", "counter-stalled", "counter-spike")
 
 
 class SharedTables(Mapping):
-    """The event tables, and what several checks share: readings, and newest decoded uplinks."""
+    """The event tables, and what several checks share: readings, sums over uplinks, newest decoded uplinks."""
 
-    def __init__(self, tables: Mapping[str, DataFrame], readings: DataFrame | None, newest: DataFrame | None, as_of: str):
-        self._tables, self._readings, self._newest, self._as_of = tables, readings, newest, as_of
+    def __init__(self, tables: Mapping[str, DataFrame], as_of: str, readings: DataFrame | None, sums: DataFrame | None, folds: Mapping[str, tuple[int, Fold]], partials: Partials | None):
+        self._tables, self._as_of, self._readings, self._sums, self._folds, self._partials = tables, as_of, readings, sums, folds, partials
         if readings is None:
             self.telemetry = None
 
@@ -44,12 +49,25 @@ class SharedTables(Mapping):
 
     def fill(self) -> None:
         """Compute what is shared, so that its time isn't that of the first check that reads it."""
-        for df in (self._readings, self._newest):
-            if df is not None:
-                df.count()
+        for df in self.cached():
+            df.count()
+
+    def cached(self) -> list[DataFrame]:
+        return [df for df in (self._readings, self._sums) if df is not None]
+
+    def folded(self, kind: str) -> DataFrame | None:
+        """A check's sums over uplinks; None if they aren't among the shared ones."""
+        return one(self._sums, *self._folds[kind]) if kind in self._folds else None
 
     def newest(self, scope: Scope) -> DataFrame | None:
-        return self._newest if scope == Scope() else None
+        found = self.folded(NEWEST) if scope == Scope() else None
+        return None if found is None else newest_of(found, "object")
+
+    def stats(self, paths: R.Paths, hours: float, scope: Scope, decimals: int | None) -> DataFrame | None:
+        """Window statistics from stored partial sums; None where these don't have all the paths."""
+        if self._partials is None or not self._partials.has(paths):
+            return None
+        return self._partials.stats(self["event_up"], paths, hours, scope, self._as_of, decimals, distinct=decimals is not None)
 
     def telemetry(self, paths: R.Paths, hours: float, scope: Scope) -> DataFrame:
         """As resolvers.telemetry, from the shared readings."""
@@ -60,42 +78,43 @@ class SharedTables(Mapping):
         return rows.select("dev_eui", "device_name", "time", "deduplication_id", order.cast("int").alias("ord"), "num")
 
 
-def shared(tables: Mapping[str, DataFrame], checks: list[tuple[CheckConfig, Check]], as_of: str) -> SharedTables | None:
-    """Shared tables for the window checks and the newest-uplink checks among checks; None if of neither there are two."""
+def shared(tables: Mapping[str, DataFrame], checks: list[tuple[CheckConfig, Check]], as_of: str, partials: Partials | None = None) -> SharedTables | None:
+    """Tables with what these checks share; None if there is nothing. A check whose parameters are wrong is left to itself."""
     paths: dict[str, tuple[str, ...]] = {}
-    hours, users, back = 0, 0, []
+    hours, users, back, folds = 0, 0, [], {}
     for c, check in checks:
         merged = {**check.params, **c.params}
-        if check.id in NEWEST_RULES:
-            try:
-                if Scope.of(merged) == Scope():
-                    back.append(P.number(merged, "lookbackHours"))
-            except P.ParamError:
-                pass  # the check itself reports it
-        if check.id not in WINDOW_RULES:
-            continue
         try:
+            if check.id in NEWEST_RULES and Scope.of(merged) == Scope():
+                back.append(P.number(merged, "lookbackHours"))
+            fold = check.folds(Context(tables, c.params, as_of, c.kind))
+            if fold is not None:
+                folds[c.kind] = fold
+            if check.id not in WINDOW_RULES:
+                continue
             own, own_hours = P.paths(merged), P.whole(merged, "lookbackHours", 1)
-        except P.ParamError:
+        except (P.ParamError, LookupError, ValueError):
             continue  # the check itself reports it
+        if partials is not None and partials.has(own):
+            continue
         users += 1
         hours = max(hours, own_hours)
         paths |= {".".join(p): p for p in own}
-    up = tables["event_up"]
-    newest = R.newest_decoded(up, max(back) + 1, Scope(), as_of).cache() if len(back) > 1 else None  # an hour more: some round theirs
-    if users < 2:
-        return SharedTables(tables, None, newest, as_of) if newest is not None else None
-    rows = R.window(up, as_of, hours).filter(F.col("object").isNotNull())
-    rows = rows.select("dev_eui", "device_name", "device_profile_name", "time", "deduplication_id", payload.parsed().alias("_v"))
-    each = F.array(*[F.struct(F.lit(n).alias("path"), payload.leaf_number(F.col("_v"), p).alias("num")) for n, p in paths.items()])
-    readings = rows.select(
-        "dev_eui", "device_name", "device_profile_name", "time", "deduplication_id", F.inline(F.filter(each, lambda x: x["num"].isNotNull()))
-    )
-    return SharedTables(tables, readings.cache(), newest, as_of)
+    up, readings, sums = tables["event_up"], None, None
+    if back:
+        folds[NEWEST] = Fold(max(back) + 1, newest=("object",))  # an hour more: some round theirs
+    numbered = {kind: (i, f) for i, (kind, f) in enumerate(folds.items())}
+    if numbered:
+        sums = folded(up, as_of, list(folds.values())).cache()
+    if users > 1:
+        rows = R.window(up, as_of, hours).filter(F.col("object").isNotNull())
+        readings = payload.readings(rows, paths, "dev_eui", "device_name", "device_profile_name", "time", "deduplication_id").cache()
+    if sums is None and readings is None and partials is None:
+        return None
+    return SharedTables(tables, as_of, readings, sums, numbered, partials)
 
 
 def release(tables: Mapping[str, DataFrame]) -> None:
     if isinstance(tables, SharedTables):
-        for df in (tables._readings, tables._newest):
-            if df is not None:
-                df.unpersist()
+        for df in tables.cached():
+            df.unpersist()

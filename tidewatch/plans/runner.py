@@ -24,6 +24,7 @@ from ..operators import findings as FF
 from ..operators import reconcile as RC
 from ..operators import routing as RT
 from ..sources.notify import Delivery, Post, http_post, send_all
+from ..sources.partials import Partials
 from ..sources.state import StateStore
 from . import planner
 from .checks.base import Check, Context
@@ -108,16 +109,18 @@ def run_pass(
     fuse: bool = True,
     retry_pending: bool = False,
     post: Post = http_post,
+    partials: Partials | None = None,
 ) -> Summary:
     """Run the enabled checks as of a time (now by default). A dry run counts findings and changes nothing.
 
     retry_pending: send open alerts again whose delivery failed in a pass before; without it each
-    alert is sent once, when it is raised.
+    alert is sent once, when it is raised. partials: stored sums of readings, which window checks
+    read instead of raw uplinks.
     """
     as_of = as_of or datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
     state = store.opened()
     known = [(c, checks[c.rule]) for c in config.enabled if c.rule in checks]
-    shared = _shared(spark, config, tables, known, as_of) if fuse and "event_up" in tables else tables
+    shared = _shared(spark, config, tables, known, as_of, partials) if fuse and "event_up" in tables else tables
 
     def one(c: CheckConfig) -> tuple[Outcome, DataFrame | None]:
         outcome, began, rows = Outcome(c.kind, c.rule, "ok", started=datetime.now(timezone.utc).replace(tzinfo=None)), time.monotonic(), None
@@ -162,11 +165,11 @@ def run_pass(
     return summary
 
 
-def _shared(spark: SparkSession, config: Config, tables: Mapping[str, DataFrame], known: list, as_of: str) -> Mapping[str, DataFrame]:
+def _shared(spark: SparkSession, config: Config, tables: Mapping[str, DataFrame], known: list, as_of: str, partials: Partials | None) -> Mapping[str, DataFrame]:
     """Tables with what checks share; without it if that can't be made, so that each check meets its own failure."""
     shared = None
     try:
-        shared = planner.shared(tables, known, as_of)
+        shared = planner.shared(tables, known, as_of, partials)
         if shared is not None:
             within(spark, config.timeout_ms * len(known), shared.fill)
     except Exception:  # noqa: BLE001
