@@ -1,0 +1,90 @@
+"""Whitening against exact fractions and a plain eigendecomposition."""
+
+import math
+from fractions import Fraction
+
+import numpy as np
+import pytest
+
+from tidewatch.llm import whitening
+
+SCHEMA = "vec_id long, embedding array<double>, n long, label int"
+
+
+def brute(rows):
+    """(id, deviation) of what remains, and the covariance of the integers, exact until it is rounded once."""
+    sound = [(i, v) for i, v in rows if v and all(c is not None and math.isfinite(c) for c in v)]
+    lengths = [len(v) for _, v in sound]
+    d = max(set(lengths), key=lambda k: (lengths.count(k), k))
+    sound = [(i, [math.floor(1024 * c) + 100000 for c in v]) for i, v in sound if len(v) == d]
+    n = len(sound)
+    s = [sum(x[j] for _, x in sound) for j in range(d)]
+    y = [[n * a - b for a, b in zip(x, s)] for _, x in sound]
+    cov = np.array([[float(Fraction(sum(r[i] * r[j] for r in y), n**3)) for j in range(d)] for i in range(d)])
+    return [(i, sum(a * a for a in r)) for (i, _), r in zip(sound, y)], np.array([[a / n for a in r] for r in y]), cov
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, v, 7, 1) for i, v in rows], SCHEMA).repartition(3)
+
+
+def vectors(seed, n, d, spread=1.0):
+    rng = np.random.default_rng(seed)
+    mixed = rng.normal(size=(n, d)) @ rng.normal(size=(d, d)) * spread
+    return [(i, [float(x) for x in r]) for i, r in enumerate(mixed)]
+
+
+@pytest.mark.parametrize("d, spread", [(12, 1.0), (3, 1.0), (12, 1e6), (5, 1e12)])
+def test_against_fractions(spark, d, spread):
+    rows = vectors(d, 150, d, spread)
+    rows += [(900, None), (901, []), (902, [1.0] * (d - 1) + [float("nan")]), (903, [None] + [0.0] * (d - 1)), (904, [float("-inf")] * d), (905, [1.0] * (d + 2))]
+    rows += [(None, rows[0][1]), (3, rows[3][1]), (3, rows[3][1])]
+    norms, y, cov = brute(rows)
+    got = whitening.whiten(frame(spark, rows), components=8).collect()
+    assert sorted((str(r.vec_id), int(r.deviation)) for r in got) == sorted((str(i), x) for i, x in norms)
+    assert {r.n for r in got} == {len(norms)}
+    e, u = np.linalg.eigh(cov)
+    k = min(8, d)
+    e, u = e[::-1][:k], u[:, ::-1][:, :k]
+    want = y @ u / np.sqrt(e)
+    at = {(str(i), x): row for (i, x), row in zip(norms, want)}
+    mine = np.array([r.whitened for r in got])
+    theirs = np.array([at[str(r.vec_id), int(r.deviation)] for r in got])
+    sign = np.sign((mine * theirs).sum(0))
+    assert np.allclose(mine * sign, theirs, rtol=1e-6, atol=1e-8)
+    assert all(np.allclose(r.explained, e / np.trace(cov), rtol=1e-9) for r in got)
+    w = mine - mine.mean(0)
+    error = np.abs(w.T @ w / len(w) - np.eye(k)).max()
+    assert {r.identity_error for r in got} == {got[0].identity_error} and got[0].identity_error < 1e-6 and error < 1e-6
+
+
+def test_products_are_exact_over_many_blocks(spark, monkeypatch):
+    rows = vectors(4, 300, 4, 1e5)
+    df = frame(spark, rows).select("embedding")
+    at = whitening.fit(df)
+    whole = whitening.products(df, at)
+    x = np.array([[math.floor(1024 * c) + 100000 for c in v] for _, v in rows], object)
+    y = len(rows) * x - x.sum(0)
+    assert (whole == y.T @ y).all()
+    assert at.limbs >= 2
+
+
+def test_entries_beyond_64_bits(spark):
+    """Clipped entries make integers that 64 bits don't hold: sums, norms and products stay exact."""
+    rows = [(0, [1e300, 0.0]), (1, [-1e300, 1.0]), (2, [0.5, -1.0]), (3, [2.0, 5.0])]
+    df = frame(spark, rows)
+    at = whitening.fit(df.select("embedding"))
+    x = np.array([[min(max(math.floor(1024 * c), -(2**62)), 2**62) + 100000 for c in v] for _, v in rows], object)
+    y = 4 * x - x.sum(0)
+    assert not at.long and (whitening.products(df.select("embedding"), at) == y.T @ y).all()
+    assert {r.deviation for r in whitening.whiten(df).collect()} <= {None, *[int((r * r).sum()) for r in y]}
+
+
+def test_without_components_or_rows(spark):
+    assert whitening.whiten(frame(spark, [(1, [1.0, 2.0])] * 5)).count() == 0
+    assert whitening.whiten(frame(spark, [(1, [1.0, 2.0])])).count() == 0
+    assert whitening.whiten(frame(spark, [(1, None), (2, [])])).count() == 0
+    empty = spark.createDataFrame([], SCHEMA)
+    assert whitening.whiten(empty).count() == 0 and whitening.whiten(empty).columns[0] == "vec_id"
+    flat = whitening.whiten(frame(spark, [(i, [float(i), 1.0, 2.0 * i]) for i in range(20)])).collect()
+    assert {len(r.whitened) for r in flat} == {1}  # one direction has all the variance
