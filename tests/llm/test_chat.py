@@ -148,3 +148,20 @@ def test_long_quotes_take_linear_time(spark):
 
 def test_empty(spark):
     assert chat.conversations(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_rows_of_one_turn_link_by_themselves(spark):
+    """Only the row that quotes is linked, not another one of its turn; a row without a turn may quote as well."""
+    rows = [(1, 0, "user", "alpha beta gamma"), (1, 1, "bot", "delta"), (1, 2, "user", "> alpha beta gamma\nyes"), (1, 2, "user", "nothing quoted"), (1, 2, None, None), (1, None, "user", "> alpha beta gamma")]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], SCHEMA).repartition(2)
+    got = {(r["turn"], r["own"]): r for r in chat.conversations(df).collect()}
+    assert len(got) == 6
+    assert (got[2, "yes"]["linked"], got[2, "yes"]["parent_turn"], got[2, "yes"]["n_quotes"]) == (True, 0, 1)
+    assert (got[2, "nothing quoted"]["linked"], got[2, "nothing quoted"]["parent_turn"], got[2, "nothing quoted"]["n_quotes"]) == (False, 1, 0)
+    assert not got[2, ""]["linked"]
+    assert sorted(r["position"] for r in got.values()) == [1, 2, 3, 4, 5, 6]
+
+
+def test_own_text_without_quotes(spark):
+    got = run(spark, [(1, 0, "u", "a\r\nb\x01c\x02  d\r")])
+    assert got[1, 0]["own"] == "a\nb c   d\n"

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import types as T
 
 from tidewatch.llm import jaccard_join as J
 from tidewatch.llm.graph import components
@@ -149,3 +150,16 @@ def test_components(spark, seed):
         parent[max(a, b)] = min(a, b)
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert all(got.get(x, x) == find(x) for x in parent)
+
+
+@pytest.mark.parametrize("names", [("row", "key", "gone"), ("__key", "__gone", "__mark"), ("mark", "id", "set_class"), ("a.b", "c`d", "component")])
+def test_keep_one_leaves_columns_alone(spark, corpus, names):
+    """Whatever other columns are called, they come back as they were."""
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), *[T.StructField(n, T.StringType()) for n in names]])
+    rows = [(i, t, f"x{i}", None, f"z{len(t or '')}") for i, t in corpus]
+    kept = J.keep_one(spark.createDataFrame(rows, schema).repartition(3))
+    assert kept.columns == ["doc_id", "text", *names]
+    found = [tuple(r) for r in kept.collect()]
+    assert set(found) <= set(rows)
+    plain = J.keep_one(spark.createDataFrame(corpus, "doc_id long, text string"))
+    assert sorted((repr(r[0]), r[1] or "") for r in found) == sorted((repr(r[0]), r[1] or "") for r in plain.collect())

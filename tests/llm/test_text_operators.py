@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -182,6 +183,24 @@ def test_bpe_columns_round_trip(docs):
     assert back.filter("coalesce(text, '') <> decoded").count() == 0
 
 
+@pytest.mark.parametrize("text", ["=" * 1_000_000, " " + "=" * 1_000_000, "*-" + "-" * 999_999, "x" * 1_000_000, "zx" + "x" * 1_000_000, "漢" * 300_000, "no space" * 125_000], ids=lambda t: t[:9])
+def test_bpe_long_runs(codec, encoding, text):
+    """Megabytes of one character or without a space, also out of step with the halves, take some seconds; ids are the public library's."""
+    began = time.process_time()
+    got = codec.encode(text)
+    assert time.process_time() - began < 20
+    assert codec.decode(got) == text.encode()
+    short = text[: 20_001 if text[0] in " *z" else 20_000]  # the library takes quadratic time here
+    assert codec.encode(short) == encoding.encode(short)
+
+
+def test_bpe_heap_leaf(codec):
+    rng = random.Random(2)
+    for _ in range(200):
+        data = bytes(rng.choice(b"=-x aenio\xe6\xbc") for _ in range(rng.randrange(1, 99)))
+        assert codec._long_leaf(data) == codec._leaf(data)
+
+
 # -- 4 ---------------------------------------------------------------------------------------------
 
 

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import re
 from functools import cache
 
@@ -33,6 +34,10 @@ from pyspark.sql import functions as F
 
 #: Strings up to this many bytes are encoded directly; encodings of strings up to twice as long are kept.
 LEAF_BYTES = 5
+#: Bytes from which neighbours are kept in a heap.
+LONG_LEAF = 100
+#: Bytes from which the first half's last tokens are encoded again with the second half, and how many of them.
+LONG_PIECE, CARRIED = 4096, 8
 #: Entries of a worker's tables: encodings of texts' parts, of pairs of tokens, of short strings.
 PARTS_KEPT, PAIRS_KEPT, SHORT_KEPT = 220_000, 150_000, 100_000
 #: Characters of the longest part whose encoding is kept; tokens that one leaf of the decoding tree joins.
@@ -82,6 +87,8 @@ class Codec:
         """Merge the neighbours of lowest rank, first ones first, until none has a rank."""
         if data in self.ranks:
             return [data]
+        if len(data) > LONG_LEAF:
+            return self._long_leaf(data)
         ranks = self.ranks
         parts = [data[i : i + 1] for i in range(len(data))]
         scores = [ranks.get(data[i : i + 2], 1 << 60) for i in range(len(data) - 1)]
@@ -98,6 +105,26 @@ class Codec:
                 scores[i - 1] = ranks.get(parts[i - 1] + parts[i], 1 << 60)
         return [self._own[p] for p in parts]
 
+    def _long_leaf(self, data: bytes) -> list[bytes]:
+        """_leaf of many bytes: neighbours in a heap by rank and place, parts in a linked list."""
+        rank, n = self.ranks.get, len(data)
+        end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the part that starts at a place; 0: none does
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(data[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, stop = heapq.heappop(heap)
+            middle = end[i]
+            if not middle or middle == n or end[middle] != stop:
+                continue  # one of the two was merged since
+            end[i], end[middle] = stop, 0
+            if stop < n:
+                before[stop] = i
+                if (r := rank(data[i : end[stop]])) is not None:
+                    heapq.heappush(heap, (r, i, end[stop]))
+            if i and (r := rank(data[before[i] : stop])) is not None:
+                heapq.heappush(heap, (r, before[i], stop))
+        return [self._own[data[i:e]] for i, e in enumerate(end) if e]
+
     def _stable(self, a: bytes, b: bytes) -> bool:
         """Whether two tokens' bytes are encoded as these two."""
         return self._pairs[a, b] == [a, b]
@@ -123,8 +150,13 @@ class Codec:
     def _halves(self, data: bytes) -> list[bytes]:
         if len(data) <= LEAF_BYTES:
             return self._leaf(data)
-        half = len(data) // 2
-        return self.join(self.encode_bytes(data[:half]), self.encode_bytes(data[half:]))
+        half = 1 << ((len(data) - 1).bit_length() - 1)  # a power of two: in long runs of one character most tokens' lengths divide it
+        left = self.encode_bytes(data[:half])
+        if len(data) > LONG_PIECE and len(left) > CARRIED:
+            # The second half begins where a token does, so that a run out of step with the halves is in step again.
+            left = left[:-CARRIED]
+            half = sum(map(len, left))
+        return self.join(left, self.encode_bytes(data[half:]))
 
     def encode_bytes(self, data: bytes) -> list[bytes]:
         """Tokens of one piece, by halves."""

@@ -18,9 +18,11 @@ joined, so a common text is two rows, however many have it.
 
 Defined results: null texts count as empty; messages without quotes reply to the one before; a
 passage that nobody wrote links to nothing; rows with a null conversation form a conversation of
-their own, which others don't link to; a null turn comes first and isn't linked to; repeated rows
+their own, which others don't link to; a null turn comes first and isn't linked to; different rows of one turn each have
+their own links; rows alike in conversation, turn, role and text
 stay, with the same result but for the position; of equal passages the earliest counts; extra
-columns don't matter.
+columns don't matter. The own text of a message without quotes is its text but for line ends (\\r\\n and \\r become \\n) and
+U+0001 and U+0002, which mark runs while quotes are parsed and become spaces.
 """
 
 from __future__ import annotations
@@ -55,10 +57,11 @@ def _units(body: Column) -> list[Column]:
 
 
 def parse(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text and: own (text without quotes), passages (array of level, body) of each row."""
+    """conv_id, turn, role, key (of the row, by these and the text) and: own (text without quotes), passages (array of level, body) of each row."""
     text = F.translate(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"\r\n?", "\n"), "\x01\x02", "  ")
     quoted = F.col("plain").rlike(r"(?m)^[ \t]*>")
-    df = messages.select("conv_id", "turn", "role", "text", text.alias("plain"))
+    key = F.sha2(F.to_json(F.struct("conv_id", "turn", "role", "text"), {"ignoreNullFields": "false"}), 256)
+    df = messages.select("conv_id", "turn", "role", key.alias("key"), text.alias("plain"))
     lines = F.transform(
         F.split(F.array_join(F.regexp_extract_all("plain", F.lit(_BLOCK), F.lit(0)), "\n\n"), "\n"),
         lambda x: F.struct(
@@ -78,14 +81,14 @@ def parse(messages: DataFrame) -> DataFrame:
     )
     empty = F.array().cast("array<struct<level: int, body: string>>")
     own = F.when(quoted, F.regexp_replace(F.regexp_replace(F.regexp_replace("plain", _BLOCK, ""), r"\n(?:[ \t]*\n){2,}", "\n\n"), r"\A\s+|\s+\z", ""))
-    return df.select("conv_id", "turn", "role", "text", F.coalesce(own, "plain").alias("own"), F.coalesce(passages, empty).alias("passages"))
+    return df.select("conv_id", "turn", "role", "key", F.coalesce(own, "plain").alias("own"), F.coalesce(passages, empty).alias("passages"))
 
 
 def link(parsed: DataFrame) -> DataFrame:
-    """conv_id, turn, to_conv, to_turn, level: for each message with quotes that somebody wrote, the message it answers."""
-    passages = parsed.filter(F.size("passages") > 0).select("conv_id", "turn", F.explode("passages").alias("q"))
+    """key, to_conv, to_turn, level: for each message with quotes that somebody wrote, the message it answers."""
+    passages = parsed.filter(F.size("passages") > 0).select("key", "conv_id", "turn", F.explode("passages").alias("q"))
     ranked = [F.transform(u, lambda h, k=k: F.struct(F.lit(k).alias("rank"), h.alias("h"))) for k, u in enumerate(_units(F.col("q.body")))]
-    asked = table(passages.select("conv_id", "turn", "q.level", F.inline(F.concat(*ranked))).distinct(), "asked")
+    asked = table(passages.select("key", "conv_id", "turn", "q.level", F.inline(F.concat(*ranked))).distinct(), "asked")
     said = parsed.filter("turn is not null").select("conv_id", "turn", F.explode(F.array_distinct(F.concat(*_units(F.col("own"))))).alias("h"))
     near = said.join(asked.select("h").distinct(), "h", "left_semi").groupBy("h", "conv_id").agg(F.min("turn").alias("to_turn"))
     near = table(near, "said")
@@ -98,8 +101,7 @@ def link(parsed: DataFrame) -> DataFrame:
     found = found.withColumn("inside", F.coalesce(F.col("to_turn") < F.col("turn"), F.lit(False))).join(far, "h", "left")
     away = F.when(F.col("first.conv_id").eqNullSafe(F.col("conv_id")), F.col("second")).otherwise(F.col("first"))
     found = found.withColumn("away", away).select(
-        "conv_id",
-        "turn",
+        "key",
         "level",
         "rank",
         "inside",
@@ -107,10 +109,10 @@ def link(parsed: DataFrame) -> DataFrame:
         F.when(F.col("inside"), F.col("to_turn")).otherwise(F.col("away.to_turn")).alias("to_turn"),
     )
     near_turn = F.when(F.col("inside"), F.col("to_turn"))
-    best = found.filter("to_turn is not null").groupBy("conv_id", "turn").agg(
+    best = found.filter("to_turn is not null").groupBy("key").agg(
         F.max(F.struct("inside", (-F.col("level")).alias("depth"), (-F.col("rank")).alias("size"), near_turn.alias("near"), "to_conv", "to_turn")).alias("b")
     )
-    return best.select("conv_id", "turn", F.col("b.to_conv").alias("to_conv"), F.col("b.to_turn").alias("to_turn"), (-F.col("b.depth")).alias("level"))
+    return best.select("key", F.col("b.to_conv").alias("to_conv"), F.col("b.to_turn").alias("to_turn"), (-F.col("b.depth")).alias("level"))
 
 
 def _turn_before(df: DataFrame) -> DataFrame:
@@ -125,9 +127,7 @@ def _turn_before(df: DataFrame) -> DataFrame:
 def conversations(messages: DataFrame) -> DataFrame:
     """Every message with: own text, n_quotes, linked (a quote was found), parent_conv, parent_turn, position in reply order."""
     parsed = table(parse(messages), "messages")
-    links = link(parsed).select(F.col("conv_id").alias("l_conv"), F.col("turn").alias("l_turn"), "to_conv", "to_turn")
-    df = _turn_before(parsed.withColumn("tie", F.xxhash64("role", "text")).drop("text"))
-    df = df.join(links, df.conv_id.eqNullSafe(links.l_conv) & df.turn.eqNullSafe(links.l_turn), "left")
+    df = _turn_before(parsed).join(link(parsed).select("key", "to_conv", "to_turn"), "key", "left")
     linked = F.col("to_turn").isNotNull()
     df = df.withColumns(
         {
@@ -139,7 +139,7 @@ def conversations(messages: DataFrame) -> DataFrame:
     inside = F.when(F.col("parent_conv").eqNullSafe(F.col("conv_id")), F.col("parent_turn"))
     df = df.select(
         "conv_id", "turn", "role", "own", F.size("passages").cast("long").alias("n_quotes"), "linked", "parent_conv", "parent_turn",
-        F.coalesce(inside, F.lit(-1).cast("long")).alias("answers"), "tie",
+        F.coalesce(inside, F.lit(-1).cast("long")).alias("answers"), "key",
     )
-    df = placed(df, "conv_id", "answers", "turn", "tie")
+    df = placed(df, "conv_id", "answers", "turn", "key")
     return df.select("conv_id", "turn", "role", "own", "n_quotes", "linked", "parent_conv", "parent_turn", (F.col("place") + 1).alias("position"))

@@ -408,16 +408,16 @@ def keep_one(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> Data
     rows = known.filter("id is not null").select("id", "key", "set_class")
     named = rows.join(labels, rows.set_class == labels.node, "left").select("id", "key", F.coalesce("label", "set_class").alias("component"))
     low = named.filter("component is not null").groupBy("component").agg(F.min(F.struct("id", "key")).alias("low"))
-    gone = named.join(low, "component").filter(F.col("key") != F.col("low.key")).select(F.col("key").alias("__mark"), F.lit(True).alias("__gone"))
-    alike = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("__mark"))
-    alike = alike.join(gone, "__mark", "left_anti").select("__mark", F.lit(False).alias("__gone"))
+    gone = named.join(low, "component").filter(F.col("key") != F.col("low.key")).select(F.col("key").alias("mark"), F.lit(True).alias("gone"))
+    alike = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("mark"))
+    alike = alike.join(gone, "mark", "left_anti").select("mark", F.lit(False).alias("gone"))
     marks = table(gone.distinct().union(alike), "marks")
     id_, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
-    rest = docs.withColumn("__key", F.xxhash64(id_.isNull(), id_, text))
-    rest = rest.join(marks, rest["__key"] == marks["__mark"], "left").filter("__gone is null or not __gone")
-    if marks.filter("not __gone").isEmpty():
-        return rest.select(*[F.col(f"`{c}`") for c in docs.columns])
+    columns = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]  # they travel in one column, whatever their names
+    rest = docs.select(F.struct(*columns).alias("row"), F.xxhash64(id_.isNull(), id_, text).alias("key"))
+    rest = rest.join(marks, rest["key"] == marks["mark"], "left").filter("gone is null or not gone").select("row", "key", "gone")
+    if marks.filter("not gone").isEmpty():
+        return rest.select("row.*")
     rest = table(rest, "kept")
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    one = rest.filter("__gone is not null").groupBy("__key").agg(F.first(row).alias("__row")).select("__row.*")
-    return rest.filter("__gone is null").select(*[F.col(f"`{c}`") for c in docs.columns]).union(one)
+    one = rest.filter("gone is not null").groupBy("key").agg(F.first("row").alias("row")).select("row.*")
+    return rest.filter("gone is null").select("row.*").union(one)
