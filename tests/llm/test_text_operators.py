@@ -561,6 +561,36 @@ def test_rules_limits_hold_against_junk(spark, junk):
     assert {i for i, k in kept.items() if not k} == {*range(junk), *range(300, 316, 4), 400, 401, 402}
 
 
+@pytest.mark.parametrize("kind", ["symbol_rate", "dup_line_rate", "repeat_rate", "word_length", "short_words"])
+def test_rules_each_limit_rejects_in_mixed_lengths(spark, kind):
+    """Texts of 60 to 4,000 words in two sources, one in ten with junk of one kind: the junk goes, clean texts stay."""
+    rng, rows, planted = random.Random(len(kind)), [], set()
+    for i in range(400):
+        w = prose(rng, (60, 300, 900, 4000)[i % 4]).split()
+        if i % 10 == 3 or i % 10 == 4:
+            planted.add(i)
+            if kind == "symbol_rate":
+                w = [x + "##" if rng.random() < 0.3 else x for x in w]
+            elif kind == "repeat_rate":
+                part = [*prose(rng, 6).split()]
+                w = [*w[: len(w) * 6 // 10], *(part * (len(w) // 6 + 1))[: len(w) * 4 // 10]]
+            elif kind in ("word_length", "short_words"):
+                w = [x * 3 for x in w] if kind == "word_length" else [x[0] for x in w]
+                w = [x + rng.choice("abcdefghijklmnopqrstuvwxyz") for x in w] if kind == "short_words" else w
+        lines = [" ".join(w[k : k + 5]) for k in range(0, len(w), 5)]
+        if kind == "dup_line_rate" and i in planted:
+            lines = ["home | about".replace("|", "and") if k % 5 < 2 else x for k, x in enumerate(lines)]
+        rows.append((i, "\n".join(lines), "en", f"s{i % 2}"))
+    found = rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)).collect()
+    rejected = {r["doc_id"] for r in found if not r["kept"]}
+    assert planted - {r["doc_id"] for r in found if r["base_failed"]}  # some that only this limit can find
+    assert planted <= rejected and len(rejected - planted) <= 4
+    name = "word_length" if kind == "short_words" else kind
+    for r in found:
+        if r["doc_id"] in planted and not r["base_failed"]:
+            assert not r[f"{name}_low"] <= r[name] <= r[f"{name}_high"] or name in ("symbol_rate", "dup_line_rate", "repeat_rate") and r[name] > r[f"{name}_high"]
+
+
 # -- 8 ---------------------------------------------------------------------------------------------
 
 

@@ -155,15 +155,15 @@ ORACLES: dict[str, str] = {
             coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
           FROM w LEFT JOIN l ON l.doc_id = w.doc_id LEFT JOIN rep ON rep.doc_id = w.doc_id),
         s AS (
-          SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, ln((n_symbols + 1::DOUBLE) / (word_chars + 1)) AS a,
-            ln((n_dup_lines + 1::DOUBLE) / (n_lines + 1)) AS b, ln((n_repeat_words + 2::DOUBLE) / (n_words + 1)) AS c, ln((word_chars + 0.5::DOUBLE) / (n_words + 1)) AS d FROM m),
+          SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, greatest(n_symbols - 2, 0) / (word_chars + 1::DOUBLE) AS a,
+            greatest(n_dup_lines - 1, 0) / (n_lines + 1::DOUBLE) AS b, greatest(n_repeat_words - 6, 0) / (n_words + 1::DOUBLE) AS c, ln((word_chars + 0.5::DOUBLE) / (n_words + 1)) AS d FROM m),
         q0 AS (SELECT count(*) FILTER (NOT base_failed) AS n, {_QUARTILES} FROM s),
         q1 AS (SELECT lang, count(*) FILTER (NOT base_failed) AS n, {_QUARTILES} FROM s GROUP BY lang),
         q2 AS (SELECT lang, source, count(*) FILTER (NOT base_failed) AS n, {_QUARTILES} FROM s GROUP BY lang, source),
         l1 AS (SELECT lang, {_leaning('q1', 'q0')} FROM q1, q0),
         q AS (SELECT q2.lang, source, {_leaning('q2', 'l1')} FROM q2 JOIN l1 ON l1.lang IS NOT DISTINCT FROM q2.lang)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-          NOT base_failed AND a <= a3 + 3.0 * greatest(0.7, a3 - a1) + 1e-9 AND b <= b3 + 3.0 * greatest(0.7, b3 - b1) + 1e-9 AND c <= c3 + 3.0 * greatest(0.7, c3 - c1) + 1e-9
+          NOT base_failed AND a <= a3 + 3.0 * greatest(0.005, a3 - a1) + 1e-9 AND b <= b3 + 3.0 * greatest(0.05, b3 - b1) + 1e-9 AND c <= c3 + 3.0 * greatest(0.05, c3 - c1) + 1e-9
             AND d <= d3 + 3.0 * greatest(0.05, d3 - d1) + 1e-9 AND d >= d1 - 3.0 * greatest(0.05, d3 - d1) - 1e-9 AS kept
         FROM s LEFT JOIN q ON q.lang IS NOT DISTINCT FROM s.lang AND q.source IS NOT DISTINCT FROM s.source""",
     "op12_source_divergence": r"""

@@ -1,17 +1,17 @@
 """Quality rules with adaptive thresholds.
 
-Every document gets its measures: symbols for each character in words, repeated lines for each line,
-words in repeats for each word, and characters for each word, as logarithms of (count + prior) /
-(total + 1), so that none is infinite and a single chance event in a short text weighs little. Mergeable quantile sketches
+Every document gets its measures: symbols for each character in words, repeated lines for each line and words in repeats for
+each word, as shares of what exceeds a chance event (a few symbols, one repeated line, one repeated window count for nothing, so a text
+without junk has 0 at any length), and characters for each word, as a logarithm. Mergeable quantile sketches
 (Spark's percentile_approx, which sums up parts of a group before the shuffle and merges them after
 it) give each language and source, each language, and the whole table their lower and upper
 quartile. A group's quartiles are joined with the wider ones, which count as WIDER rows: a small
 group leans on its language, and a language on the whole, while a large group stands by itself. Limits are
-the outer fences, SPREAD times the distance of the quartiles beyond them (at least a factor that keeps
-groups of equal texts from rejecting what differs a little): no measure has a fixed cutoff, and up to
+the outer fences, SPREAD times the distance of the quartiles beyond them. The distance counts as a least one at least:
+in a group in which most texts have none of a kind of junk, or nearly the same, that decides. Up to
 a quarter of a group can be junk without moving its limit there. The upper fence
-holds for all measures, the lower one for characters for each word, whose low end is junk as well. A join brings the
-limits to the documents, and a document is kept if it breaks none.
+holds for all measures; the lower one for characters for each word only, since few symbols and few repeats are no fault while short words
+are. A join brings the limits to the documents, and a document is kept if it breaks none.
 """
 
 from __future__ import annotations
@@ -32,12 +32,12 @@ SPREAD, WIDER = 3.0, 20.0
 ACCURACY = 10_000
 #: Rounding errors that don't break a limit.
 SLACK = 1e-9
-#: Count, total and prior of each measure, the least distance of its quartiles, and whether its lower fence holds.
+#: Count, total, what of the count is chance, the least distance of the quartiles, and whether the lower fence holds.
 RATES = {
-    "symbol_rate": ("n_symbols", "word_chars", 1.0, 0.7, False),
-    "dup_line_rate": ("n_dup_lines", "n_lines", 1.0, 0.7, False),
-    "repeat_rate": ("n_repeat_words", "n_words", 2.0, 0.7, False),
-    "word_length": ("word_chars", "n_words", 0.5, 0.05, True),
+    "symbol_rate": ("n_symbols", "word_chars", 2, 0.005, False),
+    "dup_line_rate": ("n_dup_lines", "n_lines", 1, 0.05, False),
+    "repeat_rate": ("n_repeat_words", "n_words", 6, 0.05, False),
+    "word_length": ("word_chars", "n_words", None, 0.05, True),
 }
 
 _U = np.uint64
@@ -109,9 +109,13 @@ def measures(docs: DataFrame) -> DataFrame:
 
 
 def _rates(found: DataFrame) -> DataFrame:
-    rate = lambda a, b, prior: F.log((F.col(a) + prior) / (F.col(b) + 1.0))
+    def rate(count: str, total: str, chance: int | None):
+        if chance is None:
+            return F.log((F.col(count) + 0.5) / (F.col(total) + 1.0))
+        return F.greatest(F.col(count) - chance, F.lit(0)) / (F.col(total) + 1.0)
+
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return found.withColumns({k: rate(a, b, prior) for k, (a, b, prior, _, _) in RATES.items()} | {"base_failed": failed})
+    return found.withColumns({k: rate(*r[:3]) for k, r in RATES.items()} | {"base_failed": failed})
 
 
 def _sketches(found: DataFrame, *group: str) -> DataFrame:
