@@ -402,6 +402,7 @@ def test_decontamination_in_blocks_of_items(spark, monkeypatch):
     bench = spark.createDataFrame(items, "item_id long, text string")
     whole = sorted(map(tuple, decontaminate.matches(df, bench).collect()))
     monkeypatch.setattr(decontaminate, "ITEMS", 8)
+    monkeypatch.setattr(decontaminate, "WORDS", 400)
     parts = sorted(map(tuple, decontaminate.matches(df, bench).collect()))
     assert [x[:2] for x in whole] == [x[:2] for x in parts] == [(i, i) for i in range(40)]
 

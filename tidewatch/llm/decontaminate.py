@@ -21,9 +21,10 @@ document that has half of an item's runs has half of some piece's, so length hid
 whole item is verified, for several pieces on the passages retrieved and as many words as the item
 has on both sides of them.
 
-The index is built from blocks of some ITEMS items, each broadcast in turn and released before the
-next: bounded memory for test sets of any size, and no item is left out; the documents are scanned
-once for each block. Document frequencies come from all items.
+The index is built from blocks of some ITEMS items and WORDS words, each broadcast in turn and released before the
+next: bounded memory for test sets of any size (a single item, however long, is in one block), and no item is left out; the documents
+are scanned once for each block. Document frequencies come from all items. Pieces are numbered by the score they need, so
+what WAND has left to look at always needs as much as the first of it, and one item of two words doesn't keep the others from being skipped.
 
 Defined results: null and empty texts and items without words match nothing; items shorter than RUN
 words have their whole word sequence as the one run; repeated rows of docs give repeated results,
@@ -50,8 +51,8 @@ PASSAGE, STEP = 128, 64
 SHARE = 0.5
 #: Words of a run, share of an item's runs, and of its question's and its answer's word pairs.
 RUN, OVERLAP, PART_OVERLAP, PART_WORDS = 5, 0.5, 0.5, 4
-#: Items of one broadcast index, on average; postings of a block.
-ITEMS, BLOCK = 10_000, 64
+#: Items and words of one broadcast index, on average; postings of a block.
+ITEMS, WORDS, BLOCK = 10_000, 2_000_000, 64
 K1, B = 1.2, 0.75
 
 _U = np.uint64
@@ -125,12 +126,16 @@ def build(ids: np.ndarray, texts: pa.Array, frequency: dict[int, int], n_items:
         at = at[size[w.doc[at] * 2 + answer[at]] >= PART_WORDS]
         words.append(np.unique(np.stack([w.doc[at] + c.row, _pairs(w.hash, at), answer[at]], 1), axis=0))
     item, hashes, impact, owner = np.concatenate(items), np.concatenate(terms), np.concatenate(impacts), np.concatenate(owner)
+    own = np.bincount(item, impact, len(owner))
+    by_need = np.argsort(own, kind="stable")
+    number = np.empty(len(owner), np.int64)
+    number[by_need] = np.arange(len(owner))
+    item, owner, own = number[item], owner[by_need], own[by_need]
     order = np.lexsort((item, hashes))
     item, hashes, impact = item[order], hashes[order], impact[order]
     term, first = np.unique(hashes, return_index=True)
     first = np.append(first, len(hashes))
     block_top = [np.maximum.reduceat(impact[a:b], np.arange(0, b - a, BLOCK)) for a, b in zip(first[:-1], first[1:])]
-    own = np.bincount(item, impact, len(owner))
     run, word = np.concatenate(runs), np.concatenate(words)
     top = np.array([b.max() for b in block_top]) if len(block_top) else np.zeros(0)
     # An item's telling terms: its greatest impacts, until the others add up to half of what is needed at most.
@@ -151,12 +156,11 @@ def build(ids: np.ndarray, texts: pa.Array, frequency: dict[int, int], n_items:
 
 def wand(index: Index, terms: list[int]) -> list[int]:
     """Pieces whose BM25 score for the distinct terms reaches what they need."""
-    least = float(index.need.min()) if len(index.need) else np.inf
     lists = [[index.item[index.lists(t)], index.impact[index.lists(t)], 0, t] for t in terms]
     out = []
     while lists:
         lists.sort(key=lambda x: x[0][x[2]])
-        bound, pivot = 0.0, None
+        least, bound, pivot = index.need[lists[0][0][lists[0][2]]], 0.0, None  # needs never fall from here on
         for i, x in enumerate(lists):
             bound += index.top[x[3]]
             if bound >= least:
@@ -176,7 +180,7 @@ def wand(index: Index, terms: list[int]) -> list[int]:
                 after = min(after, int(items[end - 1]) + 1)
         if pivot + 1 < len(lists):
             after = min(after, int(lists[pivot + 1][0][lists[pivot + 1][2]]))
-        if limit < least:
+        if limit < index.need[doc]:
             target = max(after, doc + 1)  # no item up to the blocks' ends can reach the threshold
         else:
             score = 0.0
@@ -216,7 +220,7 @@ def _indexes(items: DataFrame, frequency: DataFrame):
     spark = items.sparkSession
     total = frequency.filter("term is null").first()
     n, words = (total["n"], total["words"]) if total else (0, 0)
-    parts = max(1, -(-n // ITEMS))
+    parts = max(1, -(-n // ITEMS), -(-words // WORDS))
     for part in range(parts):
         own = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
         rows = own.select("item_id", "text").toArrow()
