@@ -260,3 +260,31 @@ def test_layout_by_day_prunes_folders(spark, tmp_path):
     window = R.window(got["event_up"], AS_OF, 6)
     assert window.columns == mine["event_up"].columns and window.count() == R.window(mine["event_up"], AS_OF, 6).count() > 0
     assert "PartitionFilters: [isnotnull(day" in window._jdf.queryExecution().toString()
+
+
+def test_every_key_of_a_destination_counts():
+    """webhookAuth, webhookTokenHeader and timeouts are read; a key that isn't read is refused."""
+    env = {"TIDEWATCH_WEBHOOK_SECRET": "s"}
+    ops = {"webhookUrl": "https://x.y", "webhookAuth": "hmac", "//": "a comment"}
+    c = parse(env, notify={**HOOK, "timeoutMs": 1500, "destinations": {"ops": ops}})
+    d = c.notify.destinations["ops"]
+    assert (d.auth, d.timeout_ms) == ("hmac", 1500)
+    d = parse(env, notify={**HOOK, "destinations": {"ops": {**ops, "webhookAuth": "token", "webhookTokenHeader": "X-Key", "timeoutMs": 70}}}).notify.destinations["ops"]
+    assert (d.auth, d.token_header, d.timeout_ms) == ("token", "X-Key", 70)
+    for bad in ({"webhookauth": "hmac"}, {"webhookAuth": "basic"}, {"auth": "hmac"}, {"timeoutMs": True}, {"webhookTokenHeader": 5}):
+        with pytest.raises(C.ConfigError):
+            parse(env, notify={**HOOK, "destinations": {"ops": {**ops, **bad}}})
+    with pytest.raises(C.ConfigError):
+        parse(env, notify={**HOOK, "destinations": {"ops": ops}, "byseverity": {}})
+
+
+def test_lookback_reads_hours_as_checks_do():
+    from dataclasses import replace
+
+    from tidewatch.plans.checks import CHECKS
+    from tidewatch.plans.verify import lookback
+
+    of = lambda value, checks=CHECKS: lookback(parse({}, checks=[{"rule": "measurement-peak", "params": {"lookbackHours": value}}]), checks)
+    assert of(720) == of("720") == 720 and of(3) == 3 and of("many") == 24
+    own = {"measurement-peak": replace(CHECKS["measurement-peak"], reach=lambda p: 2 * float(p["lookbackHours"]))}
+    assert of("50", own) == 100

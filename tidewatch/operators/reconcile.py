@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 STATE = (
@@ -30,12 +30,15 @@ class Reconciled:
 
 
 def one_per_device(findings: DataFrame) -> DataFrame:
-    """A device found several times by one check: the last finding is stored, the first is announced."""
-    order = Window.partitionBy(*KEY).orderBy("ordinal", "summary", "detail")
-    back = Window.partitionBy(*KEY).orderBy(F.col("ordinal").desc(), F.col("summary").desc(), F.col("detail").desc())
-    first = F.first(F.struct("severity", "summary", "detail")).over(order)
-    ranked = findings.withColumns({"_n": F.row_number().over(back), "_first": first, "times": F.count("*").over(Window.partitionBy(*KEY))})
-    return ranked.filter("_n = 1").drop("_n").withColumnRenamed("_first", "announced")
+    """A device found several times by one check: the last finding is stored, the first is announced. One pass of partial sums."""
+    order = F.struct("ordinal", "summary", "detail")
+    rest = [c for c in findings.columns if c not in KEY]
+    found = findings.groupBy(*KEY).agg(
+        F.max_by(F.struct(*rest), order).alias("_last"),
+        F.min_by(F.struct("severity", "summary", "detail"), order).alias("announced"),
+        F.count("*").alias("times"),
+    )
+    return found.select(*KEY, *[F.col(f"_last.{c}").alias(c) for c in rest], "announced", "times")
 
 
 def merge(state: DataFrame, findings: DataFrame, as_of: str, kinds: list[str]) -> DataFrame:

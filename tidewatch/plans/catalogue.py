@@ -6,18 +6,21 @@ Spark's side runs checks and resolvers on the event tables that sources.tables d
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import payload
 from ..operators import findings as FF
 from ..operators import reconcile as RC
 from ..operators import resolvers as R
 from ..operators import routing
 from ..operators.scope import Scope
 from ..sources import tables as T
+from ..sources.daily import Daily
 from ..sources.partials import Partials
 from ..sources.state import StateStore, scratch
 from ..streaming import silence
@@ -208,6 +211,51 @@ def silence_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return silence.in_alert(spark.read.schema(silence.EVENTS).parquet(f"{folder}/out")).select("dev_eui", "device_name", ntz("last_seen"))
 
 
+def churn_by_device(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """join_churn over tables that are laid out by device; none of its sums and joins moves a row."""
+    database = f"by_device_{uuid.uuid4().hex}"
+    tables = T.test_tables(spark, sf_dir)
+    T.lay_out_by_device({k: tables[k] for k in ("event_up", "event_join")}, database, scratch(spark, "by-device"), buckets=8)
+    rule, params = _CHURN
+    found = CHECKS[rule].run(Context(T.catalog(spark, database), params, AS_OF, rule))
+    return found.select("dev_eui", "device_name", "severity", *[F.col(f"detail.{f}").alias(f) for f in ("joins", "distinctDevAddrs", "uplinksInWindow", "latestJoinAt")])
+
+
+_CHURN = ("join-churn", {"maxJoinsPerUplinkRatio": None})
+#: Days of the summaries' queries, and of the two batches that made them: they overlap.
+_DAYS = ("2024-01-06", "2024-01-23")
+
+
+def _daily(spark: SparkSession, sf_dir: str) -> Daily:
+    up = T.test_tables(spark, sf_dir)["event_up"]
+    daily = Daily(spark, scratch(spark, "daily"), _paths(["purchase.value"]))
+    daily.append(up.filter(F.pmod(F.xxhash64("deduplication_id"), F.lit(5)) < 3), "first")
+    daily.append(up.filter(F.pmod(F.xxhash64("deduplication_id"), F.lit(5)) >= 3), "late")
+    return daily
+
+
+def census_of_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uplinks and different devices of a range of days, by profile, from bitmaps."""
+    return _daily(spark, sf_dir).census(*_DAYS)
+
+
+def calibration_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings of a range of days by profile from sketches: number, extremes, and whether the exact rank of the sketch's fifth
+    percentile is within two in a thousand of it, or within a reading."""
+    up = T.test_tables(spark, sf_dir)["event_up"]
+    found = _daily(spark, sf_dir).quantiles(*_DAYS, 0.05).select("device_profile_name", "n", "least", "greatest", F.col("quantiles")[0].alias("q"))
+    day = F.to_date("time")
+    rows = up.filter(F.col("object").isNotNull() & day.between(F.lit(_DAYS[0]), F.lit(_DAYS[1])))
+    rows = payload.readings(rows, {"purchase.value": ("purchase", "value")}, "device_profile_name").withColumn("num", F.col("num").cast("double"))
+    ranks = rows.join(found, "device_profile_name").groupBy("device_profile_name").agg(
+        F.first("n").alias("n"), F.first("least").alias("least"), F.first("greatest").alias("greatest"),
+        F.count_if(F.col("num") < F.col("q")).alias("below"), F.count_if(F.col("num") <= F.col("q")).alias("upto"),
+    )
+    slack = F.greatest(F.lit(1.0), F.col("n") * 0.002)
+    near = (F.col("below") - slack <= F.col("n") * 0.05) & (F.col("upto") + slack >= F.col("n") * 0.05)
+    return ranks.select("device_profile_name", "n", "least", "greatest", near.alias("p05_near"))
+
+
 def context_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parameterised SQL over event tables, as a check's author may write it."""
     return spark.sql(
@@ -271,6 +319,9 @@ QUERIES: dict[str, Query] = {
     "severity_precedence": severity_precedence,
     "profile_census": profile_census,
     "calibration": calibration,
+    "census_of_days": census_of_days,
+    "calibration_sketch": calibration_sketch,
+    "join_churn_by_device": churn_by_device,
     "context_query": context_query,
     "full_pass": full_pass,
 }
@@ -375,9 +426,13 @@ ORACLES: dict[str, str] = {
     "profile_census": f"{_EV} SELECT profile AS device_profile_name, count(*) AS uplinks, count(DISTINCT dev_eui) AS devices FROM ev GROUP BY profile",
     "calibration": f"""{_EV} SELECT profile AS device_profile_name, CAST(min(v) AS DOUBLE) AS least, round(quantile_cont(CAST(v AS DOUBLE), 0.05), 6) AS p05, CAST(max(v) AS DOUBLE) AS greatest
         FROM e2 WHERE has AND event_type = 'purchase' AND {_since(720)} GROUP BY profile""",
+    "census_of_days": f"{_EV} SELECT profile AS device_profile_name, count(*) AS uplinks, count(DISTINCT dev_eui) AS devices FROM ev WHERE CAST(ts AS DATE) BETWEEN '{_DAYS[0]}' AND '{_DAYS[1]}' GROUP BY profile",
+    "calibration_sketch": f"""{_EV} SELECT profile AS device_profile_name, count(*) AS n, CAST(min(v) AS DOUBLE) AS least, CAST(max(v) AS DOUBLE) AS greatest, true AS p05_near
+        FROM ev WHERE k % 10 > 2 AND event_type = 'purchase' AND CAST(ts AS DATE) BETWEEN '{_DAYS[0]}' AND '{_DAYS[1]}' GROUP BY profile""",
     "context_query": f"{_EV} SELECT dev_eui, count(*) AS acks FROM ev WHERE event_type = 'purchase' AND k % 5 <> 0 AND k >= 50 AND ts > TIMESTAMP '2024-01-10 00:00:00' GROUP BY dev_eui",
 }
 
+ORACLES["join_churn_by_device"] = ORACLES["join_churn"]
 #: The pass starts without alerts, so every finding is raised and none is judged by a clearing limit.
 ORACLES["full_pass"] = " UNION ALL ".join(
     f"SELECT '{_kind(name)}' AS kind, 'ok' AS status, count(*) AS findings, count(*) AS raised, CAST(0 AS BIGINT) AS resolved FROM ({ORACLES[name].replace(_OPENED, 'false')})"

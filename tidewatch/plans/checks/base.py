@@ -70,6 +70,8 @@ class Check:
     find: Callable[[Context], DataFrame]
     #: What the check sums up of event_up, where it reads these sums through Context.folded: a planner makes them for all checks at once.
     fold: Callable[[Context], Fold] | None = None
+    #: Hours before a pass that the check reads, of its parameters; without it the greatest parameter in ...Hours.
+    reach: Callable[[dict[str, Any]], float] | None = None
     routing: str = "fact"
     scoped: bool = True
     params: dict[str, Any] = field(init=False)

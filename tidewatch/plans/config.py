@@ -115,9 +115,29 @@ def _env(env: Mapping[str, str], key: str) -> str | None:
     return value or None
 
 
-def _destination(name: str, raw: Any, env: Mapping[str, str]) -> Destination:
+#: Keys that are read; the last two are short for webhookAuth and webhookTokenHeader.
+_DESTINATION = ("provider", "to", "chatId", "webhookUrl", "webhookAuth", "webhookTokenHeader", "timeoutMs", "auth", "tokenHeader")
+_NOTIFY = ("destinations", "routing", "bySeverity", "defaultDestination", "timeoutMs")
+
+
+def _known(raw: dict, allowed: tuple[str, ...], at: str) -> None:
+    """No key passes unread; those that begin with // are comments."""
+    unknown = sorted(k for k in raw if k not in allowed and not k.startswith("//"))
+    _need(not unknown, f"{at} has {', '.join(unknown)}, which isn't read; its keys are {', '.join(allowed)}")
+
+
+def _milliseconds(raw: dict, at: str, default: int) -> int:
+    value = raw.get("timeoutMs", default)
+    _need(isinstance(value, int) and not isinstance(value, bool) and value > 0, f"{at}.timeoutMs must be a whole number above 0")
+    return value
+
+
+def _destination(name: str, raw: Any, env: Mapping[str, str], timeout_ms: int) -> Destination:
     at = f"notify.destinations.{name}"
     _need(isinstance(raw, dict), f"{at} must be an object")
+    _known(raw, _DESTINATION, at)
+    for short, key in (("auth", "webhookAuth"), ("tokenHeader", "webhookTokenHeader")):
+        _need(not (short in raw and key in raw), f"{at} has both {short} and {key}")
     own = "DEST_" + re.sub(r"[^A-Za-z0-9]", "_", name).upper()
     provider = _env(env, f"{own}_PROVIDER") or raw.get("provider", "webhook")
     _need(provider in PROVIDERS, f"{at}.provider must be one of {', '.join(PROVIDERS)}, not {provider!r}")
@@ -128,7 +148,8 @@ def _destination(name: str, raw: Any, env: Mapping[str, str]) -> Destination:
     chat = _env(env, f"{own}_CHAT_ID") or raw.get("chatId")
     url = _env(env, f"{own}_WEBHOOK_URL") or raw.get("webhookUrl")
     secret = _env(env, f"{own}_SECRET") or _env(env, "WEBHOOK_SECRET")
-    auth = raw.get("auth")
+    auth, header = raw.get("webhookAuth", raw.get("auth")), raw.get("webhookTokenHeader", raw.get("tokenHeader", "X-Token"))
+    _need(isinstance(header, str) and bool(header), f"{at}.webhookTokenHeader must be the name of a header")
     credentials: dict[str, str] = {}
     if provider in ("twilio", "signal"):
         _need(bool(to), f"{at}: {provider} needs at least one recipient in `to`")
@@ -139,16 +160,14 @@ def _destination(name: str, raw: Any, env: Mapping[str, str]) -> Destination:
         _need(chat is not None and str(chat).strip() != "", f"{at}: telegram needs chatId")
     if provider == "webhook":
         _need(isinstance(url, str) and bool(re.fullmatch(r"https?://\S+", url)), f"{at}.webhookUrl must be an http or https address")
-        _need(auth in (None, "hmac", "token", "bearer"), f"{at}.auth must be hmac, token or bearer")
+        _need(auth in (None, "hmac", "token", "bearer"), f"{at}.webhookAuth must be hmac, token or bearer")
         _need(auth is None or secret is not None, f"{at}: auth {auth} needs a secret in {ENV}{own}_SECRET or {ENV}WEBHOOK_SECRET")
     wanted = {"twilio": ("TWILIO_ACCOUNT_SID", "TWILIO_AUTH_TOKEN", "TWILIO_FROM"), "telegram": ("TELEGRAM_BOT_TOKEN",), "signal": ("SIGNAL_API_URL", "SIGNAL_NUMBER")}
     for key in wanted.get(provider, ()):
         value = _env(env, key)
         _need(value is not None, f"{at}: {provider} needs {ENV}{key}")
         credentials[key] = value
-    timeout = raw.get("timeoutMs", 5000)
-    _need(isinstance(timeout, int) and timeout > 0, f"{at}.timeoutMs must be a whole number above 0")
-    return Destination(name, provider, url, tuple(to), str(chat) if chat is not None else None, auth, raw.get("tokenHeader", "X-Token"), secret, timeout, credentials)
+    return Destination(name, provider, url, tuple(to), str(chat) if chat is not None else None, auth, header, secret, _milliseconds(raw, at, timeout_ms), credentials)
 
 
 def _notify(raw: Any, checks: list[CheckConfig], env: Mapping[str, str]) -> Notify:
@@ -158,7 +177,9 @@ def _notify(raw: Any, checks: list[CheckConfig], env: Mapping[str, str]) -> Noti
     _need("destinations" in raw, "notify.destinations is missing; leave notify out to record alerts only")
     named = raw["destinations"]
     _need(isinstance(named, dict), "notify.destinations must be an object")
-    found = {k: _destination(k, v, env) for k, v in named.items() if not k.startswith("//")}
+    _known(raw, _NOTIFY, "notify")
+    timeout_ms = _milliseconds(raw, "notify", 5000)
+    found = {k: _destination(k, v, env, timeout_ms) for k, v in named.items() if not k.startswith("//")}
     _need(bool(found), "notify.destinations is empty; leave notify out to record alerts only")
 
     def target(value: Any, at: str) -> str | None:

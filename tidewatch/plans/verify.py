@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
+from ..functions import params as P
 from ..sources.state import StateStore
 from .checks.base import Check
 from .config import Config
@@ -48,6 +49,18 @@ def verify(config: Config, checks: Mapping[str, Check], columns: Mapping[str, se
 
 
 def lookback(config: Config, checks: Mapping[str, Check]) -> float:
-    """Hours before a pass that its checks look at, all of them."""
-    own = [{**checks[c.rule].params, **c.params} for c in config.enabled if c.rule in checks]
-    return max((float(v) for p in own for k, v in p.items() if k.endswith("Hours") and isinstance(v, (int, float)) and not isinstance(v, bool)), default=24.0)
+    """Hours before a pass that its checks look at, all of them: what each states as its reach, or the greatest of its parameters in hours."""
+    return max((_reach(checks[c.rule], {**checks[c.rule].params, **c.params}) for c in config.enabled if c.rule in checks), default=24.0)
+
+
+def _reach(check: Check, params: dict) -> float:
+    if check.reach is not None:
+        return float(check.reach(params))
+    hours = []
+    for k in params:
+        if k.endswith("Hours") and params[k] is not None:
+            try:
+                hours.append(P.number(params, k))
+            except P.ParamError:
+                pass  # the check itself reports it
+    return max(hours, default=24.0)

@@ -35,6 +35,31 @@ def lay_out(tables: Mapping[str, DataFrame], folder: str) -> None:
         rows.write.mode("append").partitionBy("day").parquet(f"{folder}/{name}.parquet")
 
 
+def hottest_share(events: DataFrame) -> float:
+    """The share of rows that the device with most of them has; 0 without rows."""
+    counts = events.groupBy("dev_eui").agg(F.count("*").alias("n"))
+    return counts.agg((F.max("n") / F.sum("n")).alias("share")).first()["share"] or 0.0
+
+
+def lay_out_by_device(tables: Mapping[str, DataFrame], database: str, folder: str, buckets: int = 64, uneven: float = 8.0) -> None:
+    """Append event tables to a database of the catalogue (made in folder, if it isn't there): a subfolder for each day, in it a file for
+    each of some buckets of devices, sorted by device and time, with a Bloom filter on the device (Parquet leaves it out where a dictionary has all of a file's devices).
+
+    Windows prune days, and whatever groups, ranks or joins by device finds its rows together, without an exchange. A bucket is
+    one task's, so a table in which a device has more than `uneven` buckets' share of the rows is refused: lay_out() splits such days. Read them with catalog(spark, database).
+    """
+    for name, df in tables.items():
+        share = hottest_share(df)
+        if share > uneven / buckets:
+            raise ValueError(f"{name}: one device has {share:.0%} of the rows, more than {uneven:g} of {buckets} buckets; lay it out by day alone")
+    spark = next(iter(tables.values())).sparkSession
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{folder}'")
+    for name, df in tables.items():
+        rows = df.withColumn("day", F.to_date("time")).repartition(buckets, "dev_eui")
+        writer = rows.write.mode("append").partitionBy("day").bucketBy(buckets, "dev_eui").sortBy("dev_eui", "time")
+        writer.option("parquet.bloom.filter.enabled#dev_eui", "true").saveAsTable(f"{database}.{name}")
+
+
 def slices(until: datetime, hours: float, n: int) -> list[str]:
     """SQL conditions that part the time from hours before until, excluded, up to it."""
     edges = [until - timedelta(hours=hours * (n - k) / n) for k in range(n + 1)]
