@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import payload
+from ..operators import counters
 from ..operators import findings as FF
 from ..operators import reconcile as RC
 from ..operators import resolvers as R
@@ -221,6 +222,12 @@ def churn_by_device(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("dev_eui", "device_name", "severity", *[F.col(f"detail.{f}").alias(f) for f in ("joins", "distinctDevAddrs", "uplinksInWindow", "latestJoinAt")])
 
 
+def counter_advance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What counters advanced between neighbouring readings, and their resets inside the window."""
+    up = T.test_tables(spark, sf_dir)["event_up"]
+    return counters.advances(R.telemetry(up, _paths(_WINDOW), 720, Scope(), AS_OF), _paths(_WINDOW))
+
+
 _CHURN = ("join-churn", {"maxJoinsPerUplinkRatio": None})
 #: Days of the summaries' queries, and of the two batches that made them: they overlap.
 _DAYS = ("2024-01-06", "2024-01-23")
@@ -319,6 +326,7 @@ QUERIES: dict[str, Query] = {
     "severity_precedence": severity_precedence,
     "profile_census": profile_census,
     "calibration": calibration,
+    "counter_advance": counter_advance,
     "census_of_days": census_of_days,
     "calibration_sketch": calibration_sketch,
     "join_churn_by_device": churn_by_device,
@@ -426,6 +434,9 @@ ORACLES: dict[str, str] = {
     "profile_census": f"{_EV} SELECT profile AS device_profile_name, count(*) AS uplinks, count(DISTINCT dev_eui) AS devices FROM ev GROUP BY profile",
     "calibration": f"""{_EV} SELECT profile AS device_profile_name, CAST(min(v) AS DOUBLE) AS least, round(quantile_cont(CAST(v AS DOUBLE), 0.05), 6) AS p05, CAST(max(v) AS DOUBLE) AS greatest
         FROM e2 WHERE has AND event_type = 'purchase' AND {_since(720)} GROUP BY profile""",
+    "counter_advance": _stats_sql("""SELECT dev_eui, CASE WHEN ord = 0 THEN 'purchase.value' ELSE 'k' END AS matched_path, count(*) AS readings,
+        count(*) FILTER (num < last) AS resets, CAST(coalesce(sum(CASE WHEN num < last THEN num ELSE num - last END) FILTER (last IS NOT NULL), 0) AS DOUBLE) AS advance
+        FROM (SELECT *, lag(num) OVER (PARTITION BY dev_eui, ord ORDER BY ts, id) AS last FROM r JOIN won USING (dev_eui, ord)) GROUP BY dev_eui, ord"""),
     "census_of_days": f"{_EV} SELECT profile AS device_profile_name, count(*) AS uplinks, count(DISTINCT dev_eui) AS devices FROM ev WHERE CAST(ts AS DATE) BETWEEN '{_DAYS[0]}' AND '{_DAYS[1]}' GROUP BY profile",
     "calibration_sketch": f"""{_EV} SELECT profile AS device_profile_name, count(*) AS n, CAST(min(v) AS DOUBLE) AS least, CAST(max(v) AS DOUBLE) AS greatest, true AS p05_near
         FROM ev WHERE k % 10 > 2 AND event_type = 'purchase' AND CAST(ts AS DATE) BETWEEN '{_DAYS[0]}' AND '{_DAYS[1]}' GROUP BY profile""",
