@@ -13,7 +13,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import payload
+from ..functions import payload, table_functions
 from ..operators import counters
 from ..operators import findings as FF
 from ..operators import reconcile as RC
@@ -222,6 +222,16 @@ def churn_by_device(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("dev_eui", "device_name", "severity", *[F.col(f"detail.{f}").alias(f) for f in ("joins", "distinctDevAddrs", "uplinksInWindow", "latestJoinAt")])
 
 
+def _by_sql(call: str, *columns: str) -> Query:
+    """A query that calls a resolver's SQL table function."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        table_functions.register(spark, T.test_tables(spark, sf_dir))
+        return spark.sql(f"SELECT {', '.join(columns) or '*'} FROM {call.format(at=f'TIMESTAMP{AS_OF!r}')}")
+
+    return run
+
+
 def counter_advance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What counters advanced between neighbouring readings, and their resets inside the window."""
     up = T.test_tables(spark, sf_dir)["event_up"]
@@ -327,6 +337,10 @@ QUERIES: dict[str, Query] = {
     "profile_census": profile_census,
     "calibration": calibration,
     "counter_advance": counter_advance,
+    "latest_readings_sql": _by_sql("latest_readings(array('click.value', 'view.value', 'k'), {at}, 168)"),
+    "latest_fixes_sql": _by_sql("latest_fixes(array('position.latitude'), array('gps.lon', 'position.longitude'), {at}, 168)"),
+    "window_stats_sql": _by_sql("window_stats(array('purchase.value', 'k'), {at}, 720)"),
+    "path_presence_sql": _by_sql("path_presence(array('signup.value', 'error.value', 'k'), 120, {at}, 720)"),
     "census_of_days": census_of_days,
     "calibration_sketch": calibration_sketch,
     "join_churn_by_device": churn_by_device,
@@ -444,6 +458,8 @@ ORACLES: dict[str, str] = {
 }
 
 ORACLES["join_churn_by_device"] = ORACLES["join_churn"]
+ORACLES |= {f"{name}_sql": ORACLES[name] for name in ("latest_readings", "latest_fixes", "path_presence")}
+ORACLES["window_stats_sql"] = ORACLES["window_stats"].replace("last_at, mean FROM s", "last_at FROM s")
 #: The pass starts without alerts, so every finding is raised and none is judged by a clearing limit.
 ORACLES["full_pass"] = " UNION ALL ".join(
     f"SELECT '{_kind(name)}' AS kind, 'ok' AS status, count(*) AS findings, count(*) AS raised, CAST(0 AS BIGINT) AS resolved FROM ({ORACLES[name].replace(_OPENED, 'false')})"

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ...functions import params as P
+from ...operators import counters
 from ...operators import resolvers as R
 from ...operators.folds import Fold
 from .base import UPLINK, Check, Context, candidates, finding, graded, told
@@ -21,12 +22,24 @@ def _stats(ctx: Context, decimals: int | None = None) -> DataFrame:
     stored = getattr(ctx.tables, "stats", None)
     df = stored(paths, hours, ctx.scope, decimals) if stored else None
     if df is None:
-        shared = getattr(ctx.tables, "telemetry", None)
-        readings = shared(paths, hours, ctx.scope) if shared else R.telemetry(ctx.table("event_up"), paths, hours, ctx.scope, ctx.as_of)
-        df = R.stats_of(readings, paths, decimals)
+        df = R.stats_of(_readings(ctx), paths, decimals)
     return df.withColumn("span_hours", R.hours_between(c("first_at"), c("last_at")))
 
 
+def _readings(ctx: Context) -> DataFrame:
+    paths, hours = candidates(ctx), P.whole(dict(ctx.params), "lookbackHours", 1)
+    shared = getattr(ctx.tables, "telemetry", None)
+    return shared(paths, hours, ctx.scope) if shared else R.telemetry(ctx.table("event_up"), paths, hours, ctx.scope, ctx.as_of)
+
+
+def _advance(ctx: Context) -> DataFrame:
+    """Window statistics with advance and resets: from first to last reading, or with acrossResets between neighbours."""
+    df = _stats(ctx)
+    if not P.flag(dict(ctx.params), "acrossResets"):
+        return df.withColumns({"advance": c("vlast") - c("vfirst"), "resets": F.lit(0).cast("bigint")})
+    return df.join(counters.advances(_readings(ctx), candidates(ctx)).select("dev_eui", "advance", "resets"), "dev_eui")
+
+
 def _ends(ctx: Context) -> dict[str, Column]:
     return {"candidatePaths": F.lit(P.label(candidates(ctx))), "firstAt": c("first_at"), "lastAt": c("last_at")}
 
@@ -141,8 +154,8 @@ def _missing(ctx: Context) -> DataFrame:
 def _stalled(ctx: Context) -> DataFrame:
     p = dict(ctx.params)
     least, advance = P.whole(p, "minSamples", 2), P.number(p, "minAdvance")
-    df = _stats(ctx).filter(c("samples") >= least).withColumn("advance", c("vlast") - c("vfirst"))
-    fell = c("advance") < 0
+    df = _advance(ctx).filter(c("samples") >= least)
+    fell = (c("advance") < 0) | (c("resets") > 0)
     reason = F.when(fell, F.lit("decrease" if P.flag(p, "alertOnDecrease") else None)).when(c("advance") < advance, F.lit("stalled"))
     df = df.withColumn("reason", reason).filter("reason is not null")
     return finding(
@@ -165,8 +178,7 @@ def _stalled(ctx: Context) -> DataFrame:
 def _spike(ctx: Context) -> DataFrame:
     p = dict(ctx.params)
     limit, least, span = P.number(p, "maxRatePerHour"), P.whole(p, "minSamples", 2), P.number(p, "minSpanHours")
-    df = _stats(ctx).withColumn("advance", c("vlast") - c("vfirst"))
-    df = df.filter((c("samples") >= least) & (c("span_hours") >= span) & (c("span_hours") > 0) & (c("advance") >= 0))
+    df = _advance(ctx).filter((c("samples") >= least) & (c("span_hours") >= span) & (c("span_hours") > 0) & (c("advance") >= 0))
     df = df.withColumn("rate", F.try_divide(c("advance"), c("span_hours"))).filter(c("rate") > limit)
     return finding(
         df,
@@ -228,7 +240,7 @@ CHECKS = [
         "counter-stalled",
         "A counter that doesn't advance, or goes back.",
         "warning",
-        {"paths": _COUNTERS, "lookbackHours": 12, "minAdvance": 1, "minSamples": 4, "alertOnDecrease": True},
+        {"paths": _COUNTERS, "lookbackHours": 12, "minAdvance": 1, "minSamples": 4, "alertOnDecrease": True, "acrossResets": False},
         UPLINK,
         _stalled,
     ),
@@ -236,7 +248,7 @@ CHECKS = [
         "counter-spike",
         "A counter that advances too fast.",
         "critical",
-        {"paths": _COUNTERS, "maxRatePerHour": 500, "lookbackHours": 3, "minSamples": 3, "minSpanHours": 0.5, "unit": "L"},
+        {"paths": _COUNTERS, "maxRatePerHour": 500, "lookbackHours": 3, "minSamples": 3, "minSpanHours": 0.5, "unit": "L", "acrossResets": False},
         UPLINK,
         _spike,
     ),
