@@ -366,6 +366,42 @@ def test_pii_redact(docs):
     assert row["t"] == "y" and out.filter("doc_id = 1 and text is null").count() == 1
 
 
+def test_pii_long_texts_in_pieces(spark, monkeypatch):
+    """Texts are cut into pieces; matches, contexts and redaction are those of the whole text, wherever the cuts lie."""
+    rng = random.Random(12)
+    bits = ["a", "b7 ", "mail", "@", ".", "12", "-", " ", "\n", "4111 1111 1111 1111", "x.y@z-1.co", "10.0.0.1", "+1 (555) 555-1234", "é ", "ab ", "word "]
+    texts = ["".join(rng.choice(bits) for _ in range(n)) for n in (30, 200, 900, 3000)] + ["7" * 9000 + " end of it 4111111111111111", "no gap" * 2000]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    rows += [(100 + i, "some words here " * 20 + f"please mail to user{i}@host.com today " + "and more text " * 30) for i in range(5)]
+    rows += [(110, "some words here " * 33 + "please mail to bob@localhost today " + "and more " * 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+
+    def results():
+        found = pii.find(df).select("doc_id", pii.listed("base").alias("b"), pii.listed("spans").alias("s")).collect()
+        return {r["doc_id"]: (r["b"], r["s"]) for r in found}, {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+
+    whole = results()
+    assert {i: b for i, (b, _) in whole[0].items()} == {i: brute_pii(t) for i, t in rows}
+    assert whole[0][110][1].startswith("email:") and whole[0][110][0] == ""
+    for piece, few in ((7, 1), (60, 3), (500, 10**6)):
+        monkeypatch.setattr(pii, "PIECE", piece)
+        monkeypatch.setattr(pii, "CUT", pii.CUT.replace("2000", str(max(piece, 2 * pii.CONTEXT))))
+        monkeypatch.setattr(pii, "FEW_SPANS", few)
+        assert results() == whole
+        monkeypatch.undo()
+
+
+@pytest.mark.parametrize("unit, kind", [("mail bob@x.org ", "EMAIL"), ("card 4111 1111 1111 1111 and ", "CARD"), ("code ab12 then ", None)])
+def test_pii_many_matches_take_linear_time(spark, unit, kind):
+    """60,000 matches in one text; a time in proportion to matches times length would be a quarter of an hour."""
+    df = spark.createDataFrame([(1, unit * 60_000)], "doc_id long, text string")
+    began = time.monotonic()
+    row = pii.redact(df).first()
+    assert time.monotonic() - began < 150
+    n = row["text"].count(f"[{kind}]") if kind else row["text"].count("ab12")
+    assert n == 60_000
+
+
 # -- 6 ---------------------------------------------------------------------------------------------
 
 

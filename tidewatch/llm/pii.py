@@ -19,7 +19,8 @@ often copied, so a text's copies don't raise a pattern.
 The patterns below are equivalent to the plain ones they stand for, with possessive quantifiers and
 a look behind instead of restarts inside a run, so that long runs take linear time. A match's place
 is the first place of its string at or after the end of the match before; that is exact, since an
-earlier place would have been a match itself.
+earlier place would have been a match itself. Long texts are cut into pieces where no match can go on, so that places, overlaps and
+contexts cost time in proportion to the text, however many matches it has.
 
 Defined results: null texts count as empty, without spans; offsets are code points, end exclusive;
 base spans of different kinds may overlap, added spans overlap no other; repeated rows give repeated
@@ -44,6 +45,8 @@ PATTERNS = {
 CANDIDATE = r"(?<![A-Za-z0-9@._%+-])[A-Za-z._%+-]*+[0-9@][A-Za-z0-9@._%+-]*+"
 #: Characters before an identifier in which its context is looked for.
 CONTEXT = 60
+#: Spans of a text from which it is put together by pieces.
+FEW_SPANS = 64
 ROUNDS, MIN_SEEDS, MIN_CONFIDENCE, MIN_LENGTH = 3, 3, 0.8, 5
 
 
@@ -69,18 +72,35 @@ _CHECKS = {
     "card": f"length({_digits('s.m')}) BETWEEN 14 AND 19 AND {_luhn('s.m')}",
     "phone": f"length({_digits('s.m')}) BETWEEN 10 AND 15",
 }
-#: What a text must hold for a pattern to be worth looking for.
-_NEEDS = {"email": "contains(t, '@')", "ip": "digit", "card": "digit", "phone": "contains(t, '+')"}
+#: What a piece of text must hold for a pattern to be worth looking for.
+_NEEDS = {"email": "contains(c.t, '@')", "ip": "c.digit", "card": "c.digit", "phone": "contains(c.t, '+')"}
+#: Characters of a piece of a long text, at least. Pieces end where no match can go on: a letter before a space or a line's end
+#: (only e-mail addresses and candidates hold letters, and these hold no space).
+PIECE = 2000
+CUT = r"(?s)(?:.{%d}.*?[A-Za-z](?=[\x20\n])|.+)" % PIECE
+
+
+def _split(text: str) -> str:
+    """SQL for the pieces of a text."""
+    return f"CASE WHEN length({text}) <= {2 * PIECE} THEN array({text}) ELSE regexp_extract_all({text}, {_sql(CUT)}, 0) END"
+
+
+def _starts(pieces: str) -> str:
+    """SQL for the place at which each piece starts."""
+    return (
+        f"aggregate({pieces}, named_struct('at', 0, 'out', cast(array() AS array<int>)), (a, p) -> "
+        "named_struct('at', a.at + length(p), 'out', array_append(a.out, a.at)), a -> a.out)"
+    )
 
 
 def _places(pattern: str, order: int, needs: str) -> str:
-    """SQL for the matches of a pattern in t: array of (start, kind number, end, m)."""
+    """SQL for the matches of a pattern in a piece c: array of (start in the piece, kind number, end, m)."""
     return f"""
-    CASE WHEN {needs} THEN aggregate(regexp_extract_all(t, {_sql(pattern)}, 0),
+    CASE WHEN {needs} THEN aggregate(regexp_extract_all(c.t, {_sql(pattern)}, 0),
       named_struct('at', 1, 'out', cast(array() AS array<struct<s: int, k: int, e: int, m: string>>)),
       (a, m) -> named_struct(
-        'at', locate(m, t, a.at) + length(m),
-        'out', array_append(a.out, named_struct('s', locate(m, t, a.at) - 1, 'k', {order}, 'e', locate(m, t, a.at) - 1 + length(m), 'm', m))),
+        'at', locate(m, c.t, a.at) + length(m),
+        'out', array_append(a.out, named_struct('s', locate(m, c.t, a.at) - 1, 'k', {order}, 'e', locate(m, c.t, a.at) - 1 + length(m), 'm', m))),
       a -> a.out)
     ELSE cast(array() AS array<struct<s: int, k: int, e: int, m: string>>) END"""
 
@@ -94,9 +114,11 @@ def _taken(text: str, pattern: str) -> str:
 
 
 def _contexts() -> str:
-    """SQL for the lexical patterns of a match s (s.s to s.e) of t. Words that the windows cut don't count."""
-    before = f"concat(CASE WHEN s.s <= {CONTEXT} THEN ' ' ELSE '' END, substr(t, greatest(1, s.s + 1 - {CONTEXT}), least(s.s, {CONTEXT})))"
-    after = f"concat(substr(t, s.e + 1, {CONTEXT}), CASE WHEN length(t) <= s.e + {CONTEXT} THEN ' ' ELSE '' END)"
+    """SQL for the lexical patterns of a match s (s.s to s.e) of a piece c, which has CONTEXT characters of its neighbours around it
+    in c.w. Words that the windows cut don't count."""
+    at = "(s.s + c.lead)"
+    before = f"concat(CASE WHEN s.s + c.o <= {CONTEXT} THEN ' ' ELSE '' END, substr(c.w, greatest(1, {at} + 1 - {CONTEXT}), least({at}, {CONTEXT})))"
+    after = f"concat(substr(c.w, s.e + c.lead + 1, {CONTEXT}), CASE WHEN c.n <= s.e + c.o + {CONTEXT} THEN ' ' ELSE '' END)"
     two, one = f"{_WORD}+{_GAP}+{_WORD}+", f"{_WORD}+"
     parts = {
         "b2": _taken("w.b", f"{_GAP}({two}){_GAP}*\\z"), "b1": _taken("w.b", f"{_GAP}({one}){_GAP}*\\z"),
@@ -115,21 +137,25 @@ def base_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     df = docs.select(F.col(f"`{text_col}`").alias("__text"), F.struct(*(rest or [F.lit(None).alias("none")])).alias("__rest"))
     df = df.withColumns({"__row": F.monotonically_increasing_id(), "t": F.coalesce(F.col("__text").cast("string"), F.lit(""))})
-    df = df.withColumn("digit", F.expr("t RLIKE '[0-9]'"))
+    # Arrays of the same length meet in zip_with, which evaluates each once; an index into one, inside a lambda, would be evaluated anew for each piece.
+    df = df.withColumn("_p", F.expr(_split("t")))
+    lead, tail = (f"transform({x}, p -> {f}(p, {CONTEXT}))" for x, f in (("concat(array(''), slice(_p, 1, size(_p) - 1))", "right"), ("concat(slice(_p, 2, size(_p)), array(''))", "left")))
+    around = f"zip_with({lead}, {tail}, (x, y) -> named_struct('x', x, 'y', y))"
+    pieces = f"zip_with(zip_with(_p, {_starts('_p')}, (p, o) -> named_struct('t', p, 'o', o)), {around}, (p, a) -> named_struct("
+    pieces += "'t', p.t, 'o', p.o, 'w', concat(a.x, p.t, a.y), 'lead', length(a.x), 'digit', p.t RLIKE '[0-9]', 'n', length(t)))"
+    df = df.withColumn("_c", F.expr(pieces))
     for k, kind in enumerate(KINDS):
-        df = df.withColumn(f"_{kind}", F.expr(f"filter({_places(PATTERNS[kind], k, _NEEDS[kind])}, s -> {_CHECKS[kind]})"))
-    df = df.withColumn("base", F.array_sort(F.concat(*[F.col(f"_{k}") for k in KINDS])))
-    df = df.withColumn("_cand", F.expr(_places(CANDIDATE, len(KINDS), "(digit OR contains(t, '@'))")))
-    df = df.withColumn(
-        "_cand",
-        F.expr(
-            "filter(transform(_cand, s -> named_struct('s', s.s, 'k', s.k, 'e', s.s + length(rtrim('._%+-', s.m)), 'm', rtrim('._%+-', s.m))), "
-            f"s -> length(s.m) >= {MIN_LENGTH} AND NOT exists(base, b -> b.s < s.e AND s.s < b.e))"
-        ),
-    )
-    row = f"named_struct('s', s.s, 'e', s.e, 'm', lower(s.m), 'kind', {{kind}}, 'contexts', {_contexts()}, 'at', contains(s.m, '@'))"
-    df = df.withColumn("graph", F.expr(f"concat(transform(base, s -> {row.format(kind='s.k')}), transform(_cand, s -> {row.format(kind='-1')}))"))
-    return df.drop("t", "digit", "_cand", *[f"_{k}" for k in KINDS])
+        df = df.withColumn(f"_{kind}", F.expr(f"transform(_c, c -> filter({_places(PATTERNS[kind], k, _NEEDS[kind])}, s -> {_CHECKS[kind]}))"))
+    both = lambda a, b: f"zip_with({a}, {b}, (a, b) -> concat(a, b))"
+    df = df.withColumn("_base", F.expr(f"transform({both(both('_email', '_ip'), both('_card', '_phone'))}, x -> array_sort(x))"))
+    found = f"filter({_places(CANDIDATE, len(KINDS), "(c.digit OR contains(c.t, '@'))")}, s -> length(rtrim('._%+-', s.m)) >= {MIN_LENGTH})"
+    trimmed = f"transform({found}, s -> named_struct('s', s.s, 'k', s.k, 'e', s.s + length(rtrim('._%+-', s.m)), 'm', rtrim('._%+-', s.m)))"
+    df = df.withColumn("_cand", F.expr(f"zip_with(_c, _base, (c, x) -> filter({trimmed}, s -> NOT exists(x, b -> b.s < s.e AND s.s < b.e)))"))
+    row = f"named_struct('s', s.s + c.o, 'e', s.e + c.o, 'm', lower(s.m), 'kind', {{kind}}, 'contexts', {_contexts()}, 'at', contains(s.m, '@'))"
+    own = f"concat(transform(x.b, s -> {row.format(kind='s.k')}), transform(x.d, s -> {row.format(kind='-1')}))"
+    df = df.withColumn("graph", F.expr(f"flatten(zip_with(_c, zip_with(_base, _cand, (b, d) -> named_struct('b', b, 'd', d)), (c, x) -> {own}))"))
+    df = df.withColumn("base", F.expr("flatten(zip_with(_c, _base, (c, x) -> transform(x, s -> named_struct('s', s.s + c.o, 'k', s.k, 'e', s.e + c.o))))"))
+    return df.drop("t", "_p", "_c", "_base", "_cand", *[f"_{k}" for k in KINDS])
 
 
 def _trusted(edges: DataFrame, known: DataFrame) -> DataFrame:
@@ -180,8 +206,6 @@ def _found(docs: DataFrame, text_col: str) -> DataFrame:
     rows = table(base_spans(docs, text_col), "pii")
     graph = rows.select("__row", F.explode("graph").alias("g")).select("__row", "g.s", "g.e", "g.m", "g.kind", "g.at", F.explode_outer("g.contexts").alias("context"))
     good = table(confident_patterns(graph.select("context", "at", "m", "kind")), "pii-patterns")
-    plain = F.expr("transform(base, s -> named_struct('s', s.s, 'k', s.k, 'e', s.e))")
-    rows = rows.withColumn("base", plain)
     if good.isEmpty():  # nothing to add, so nothing to join
         return rows.select("__text", "__rest", "base", F.col("base").alias("spans"))
     more = (
@@ -211,11 +235,19 @@ def listed(spans: str) -> Column:
 def redact(docs: DataFrame) -> DataFrame:
     """docs with each span in text replaced by its kind in brackets; n_chars, if there, is the new length."""
     names = ", ".join(f"'[{k.upper()}]'" for k in KINDS)
-    text = F.expr(
-        f"""CASE WHEN size(spans) = 0 THEN __text ELSE aggregate(spans, named_struct('at', 0, 'out', ''),
+
+    def replaced(text: str, spans: str) -> str:
+        return f"""aggregate({spans}, named_struct('at', 0, 'out', ''),
         (a, s) -> CASE WHEN s.s < a.at THEN named_struct('at', greatest(a.at, s.e), 'out', a.out) ELSE
-          named_struct('at', s.e, 'out', concat(a.out, substr(__text, a.at + 1, s.s - a.at), element_at(array({names}), s.k + 1))) END,
-        a -> concat(a.out, substr(__text, a.at + 1))) END"""
+          named_struct('at', s.e, 'out', concat(a.out, substr({text}, a.at + 1, s.s - a.at), element_at(array({names}), s.k + 1))) END,
+        a -> concat(a.out, substr({text}, a.at + 1)))"""
+
+    # A text of many spans is put together piece by piece: no span goes beyond one.
+    mine = "transform(filter(spans, s -> s.s >= c.o AND s.s < c.o + length(c.t)), s -> named_struct('s', s.s - c.o, 'k', s.k, 'e', s.e - c.o))"
+    pieces = f"zip_with({_split('__text')}, {_starts(_split('__text'))}, (x, o) -> named_struct('t', x, 'o', o))"
+    text = F.expr(
+        f"CASE WHEN size(spans) = 0 THEN __text WHEN size(spans) < {FEW_SPANS} THEN {replaced('__text', 'spans')} "
+        f"ELSE array_join(transform({pieces}, c -> {replaced('c.t', mine)}), '') END"
     )
     out = _found(docs, "text").select("__rest", text.alias("__text"))
     new = {"text": F.col("__text")}
