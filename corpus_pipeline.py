@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewatch.llm import bpe, decontaminate, jaccard_join, pii, quality
-from tidewatch.llm.shared import table
+from tidewatch.llm.shared import forget, table
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,6 +54,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = table(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, table(stage(spark, docs, sf_dir), name)
+        if k:  # a stage's table, which its successor has read to the end
+            forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)
