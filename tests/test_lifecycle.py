@@ -1,6 +1,8 @@
 import json
+import os
 import time
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -208,6 +210,25 @@ def test_state_versions(spark, tmp_path):
     assert RC.status(store.read(), T2).first()["open_for"].days == 1
 
 
+def test_two_passes_at_once(spark, tmp_path):
+    """The second writer of a version fails and leaves the first one's as it is; afterwards passes go on."""
+    store = StateStore(spark, str(tmp_path))
+    a = RC.reconcile(store.read(), found(spark, ("k", eui("1"), "info", "x")), T1, ["k"]).state
+    b = RC.reconcile(store.read(), found(spark, ("k", eui("2"), "info", "x"), ("k", eui("3"), "info", "x")), T1, ["k"]).state
+    slow = StateStore(spark, str(tmp_path))
+    slow.version = lambda: 0  # it read the state before the other one wrote
+    assert store.write(a) == 1
+    with pytest.raises(RuntimeError, match="meanwhile"):
+        slow.write(b)
+    (tmp_path / "_claims").mkdir(exist_ok=True)
+    (tmp_path / "_claims" / "2").touch()
+    with pytest.raises(RuntimeError, match="another pass"):
+        store.write(b)
+    assert store.version() == 1 and store.opened().count() == 1
+    os.utime(tmp_path / "_claims" / "2", (1, 1))  # that pass died long ago
+    assert store.write(b) == 2 and store.opened().count() == 2 and not list((tmp_path / "_claims").glob("[0-9]*"))
+
+
 def test_builtin_contract():
     for c in registry.load().values():
         assert registry.validated(c, c.id) and "deviceProfiles" in c.params

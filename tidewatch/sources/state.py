@@ -2,7 +2,7 @@
 
 A pass writes open/v=N, the open alerts, and closed/pass=N, those that it resolved, and then a marker
 in _current that names N. Readers take the newest marker, so a pass is seen whole or not at all; a
-version being read is never overwritten. Closed alerts are written once and never read by a pass, so
+version being read is never overwritten. Of two passes at once the first to claim the version writes it; the other fails. Closed alerts are written once and never read by a pass, so
 a pass costs what is open, however long the history. Paths are any file system that Spark knows.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{(place or tempfile.mkdtemp(prefix='tidewatch-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: A claim older than this is one of a pass that died.
+CLAIM_SECONDS = 3600
+
+
 class StateStore:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -83,12 +88,23 @@ class StateStore:
     def write(self, opened: DataFrame, closed: DataFrame | None = None) -> int:
         """A new version: the alerts that are open now, and those that this pass resolved."""
         n = self.version() + 1
+        fs, p = self._fs(f"_claims/{n}")
+        if not fs.createNewFile(p) and time.time() - fs.getFileStatus(p).getModificationTime() / 1000 < CLAIM_SECONDS:
+            raise RuntimeError(f"version {n} is being written by another pass")
+        try:
+            return self._write(n, opened, closed)
+        finally:
+            fs.delete(p, False)
+
+    def _write(self, n: int, opened: DataFrame, closed: DataFrame | None) -> int:
+        fs, p = self._fs(f"_current/{n}")
+        if fs.exists(p):
+            raise RuntimeError(f"version {n} was written by another pass meanwhile")
         opened.write.mode("overwrite").parquet(f"{self.folder}/open/v={n}")
         self._delete(f"closed/pass={n}")  # of a pass that didn't end
         if closed is not None:
             closed.write.mode("overwrite").parquet(f"{self.folder}/closed/pass={n}")
-        fs, p = self._fs(f"_current/{n}")
-        fs.create(p, True).close()
+        fs.create(p, False).close()
         return n
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
