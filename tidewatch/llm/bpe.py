@@ -150,7 +150,9 @@ class Codec:
     def _halves(self, data: bytes) -> list[bytes]:
         if len(data) <= LEAF_BYTES:
             return self._leaf(data)
-        half = 1 << ((len(data) - 1).bit_length() - 1)  # a power of two: in long runs of one character most tokens' lengths divide it
+        half = len(data) // 2
+        if len(data) > LONG_LEAF:  # a power of two: in long runs of one character most tokens' lengths divide it
+            half = 1 << ((len(data) - 1).bit_length() - 1)
         left = self.encode_bytes(data[:half])
         if len(data) > LONG_PIECE and len(left) > CARRIED:
             # The second half begins where a token does, so that a run out of step with the halves is in step again.
