@@ -63,3 +63,24 @@ def test_empty_tables(spark, tmp_path):
     for name, query in queries.QUERIES.items():
         assert query(spark, str(tmp_path)).count() == 0, name
     shutil.rmtree(tmp_path)
+
+
+def test_workers_keep_no_memory(spark):
+    """After a task of encoding its worker's tables are empty, and texts reach Python in batches of a few MB."""
+    import public_tokenizers
+    import pyarrow as pa
+
+    from tidewatch.llm import bpe
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+    def kept(batches):
+        codec = bpe.load(path, public_tokenizers.PATTERN)
+        for b in batches:
+            tables = [len(t) + len(t.older) for t in (codec._pairs, codec._short, codec._texts)]
+            yield pa.RecordBatch.from_arrays([pa.array([sum(tables)]), pa.array([b.nbytes])], ["entries", "bytes"])
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("text")
+    assert bpe.token_digests(docs.selectExpr("1 AS doc_id", "text"), path, public_tokenizers.PATTERN).filter("n_tokens > 0").count()
+    found = spark.range(0, 64_000, 1, 8).selectExpr("repeat('some words ', 200) AS text").mapInArrow(kept, "entries long, bytes long").collect()
+    assert {r["entries"] for r in found} == {0} and max(r["bytes"] for r in found) < 5 << 20

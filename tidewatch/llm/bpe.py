@@ -32,6 +32,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
+
 #: Strings up to this many bytes are encoded directly; encodings of strings up to twice as long are kept.
 LEAF_BYTES = 5
 #: Bytes from which neighbours are kept in a heap.
@@ -66,6 +68,10 @@ class _Kept(dict):
         self[key] = found
         return found
 
+    def forget(self) -> None:
+        self.older = {}
+        self.clear()
+
 
 class Codec:
     """Encoder and decoder for a rank file; ranks: bytes to id."""
@@ -81,6 +87,11 @@ class Codec:
         self._short = _Kept(self._halves, SHORT_KEPT)
         self._texts = _Kept(self.part_text, PARTS_KEPT)
 
+    def forget(self) -> None:
+        """Empty the tables of encodings. A worker outlives its task, and other operators' tasks need the memory."""
+        for kept in (self._pairs, self._short, self._texts):
+            kept.forget()
+
     # -- bytes of one piece -----------------------------------------------------------------
 
     def _leaf(self, data: bytes) -> list[bytes]:
@@ -227,18 +238,22 @@ def token_digests(
 
     def run(batches):
         codec = load(path, pattern)
-        for b in batches:
-            n, ids, back = [], [], []
-            for text in b.column("text").to_pylist():
-                found = codec.ids_text(text or "")
-                n.append(found.count(" ") + 1 if found else 0)
-                ids.append(hashlib.sha256(found.encode()).hexdigest())
-                back.append(hashlib.sha256(codec.decode_text(found)).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
+        try:
+            for b in batches:
+                n, ids, back = [], [], []
+                for text in b.column("text").to_pylist():
+                    found = codec.ids_text(text or "")
+                    n.append(found.count(" ") + 1 if found else 0)
+                    ids.append(hashlib.sha256(found.encode()).hexdigest())
+                    back.append(hashlib.sha256(codec.decode_text(found)).hexdigest())
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())],
+                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
+        finally:
+            codec.forget()
+
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return source.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import forget, placed, table
+from .shared import forget, placed, small_batches, table
 from .words import Pieces, chunks, distinct, mix, ngrams, signed
 
 #: A posting list of more classes than this is costly.
@@ -175,6 +175,7 @@ def classes(docs: DataFrame, words: int, percent: int, id_col: str = "doc_id", t
                     ["id", "key", "set_class", "n_shingles", "sketch", "entries"],
                 )
 
+    small_batches(docs.sparkSession)
     return _source(docs, id_col, text_col).mapInArrow(run, CLASSES)
 
 

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
 from .words import SEPARATOR, Chunk, Pieces, chunks, mix, ngrams
 
 #: Indices that features are hashed to.
@@ -224,6 +225,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the classifier accepts, columns as they were."""
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     @F.arrow_udf("boolean")

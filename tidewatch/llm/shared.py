@@ -12,6 +12,16 @@ from pyspark.sql import functions as F
 #: Spark's own setting: shuffle files of a job go when it ends, not when the driver happens to collect its garbage.
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Spark's limit to what a task hands Python at once, and ours: batches of 10,000 rows of text are several times as large.
+_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session hands texts to Python in batches of BATCH_BYTES, unless it was given a limit: a task then
+    holds a few MB of them in each process, whatever the texts' lengths. A longer text is a batch of its own."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir. Where that is unset: a new one, on one machine (tests); else an error."""
