@@ -45,6 +45,23 @@ def test_windows_reach_the_scan(spark, tmp_path):
         assert pushed and all("GreaterThan(time" in x and "LessThanOrEqual(time" in x for x in pushed), call
 
 
+def test_payloads_are_parsed_once_and_paths_are_literals(spark):
+    TF.register(spark, fleet(9).tables(spark))
+    for call in CALLS:
+        if call.startswith(("window_stats", "path_presence")):
+            plan = spark.sql(f"SELECT * FROM {call}")._jdf.queryExecution().optimizedPlan().toString()
+            assert plan.count("parseJson") == 1 and "lambda" not in plan, call
+
+
+def test_more_paths_than_are_unrolled(spark):
+    tables = fleet(9).tables(spark)
+    TF.register(spark, tables)
+    names = [f"none{i}" for i in range(TF.UNROLLED + 1)] + ["a", "b.c"]
+    got = spark.sql(f"SELECT * FROM window_stats(array({str(names)[1:-1]}), {AT}, 40)")
+    want = R.window_stats(tables["event_up"], [tuple(n.split(".")) for n in names], 40, Scope(), AS_OF).drop("mean")
+    assert rows(got) == rows(want) and got.count()
+
+
 def test_numbers_in_paths(spark):
     s = Store()
     s.up("1", "n", 1, 5, '{"list": [4, 5], "map": {"1": 6}}')
