@@ -229,3 +229,18 @@ def test_thin_keeps_what_can_matter():
 
     df = pd.DataFrame({"dev_eui": "1", "device_name": [None, "a"] * 50, "micros": range(1, 101)})
     assert sorted(next(S._newest_few(3)(iter([df]))).micros) == list(range(95, 101))  # three of each name in the one second
+
+
+def test_silence_asks_little_of_its_state():
+    """A device's turn reads its state once, writes it once and sets one timer: each is a call to the executor."""
+    from types import SimpleNamespace
+    from unittest.mock import MagicMock
+
+    from tidewatch.streaming.silence import Silence
+
+    handle, processor = MagicMock(), Silence(10**9, 10**10, 1)
+    handle.getValueState.return_value.get.return_value = None
+    processor.init(handle)
+    made = len(handle.mock_calls)
+    list(processor.handleInputRows(("d",), iter([{"micros": 5 * 10**6, "device_name": "n"}]), SimpleNamespace(getCurrentWatermarkInMs=lambda: 6000)))
+    assert len(handle.mock_calls) - made <= 3

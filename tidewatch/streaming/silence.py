@@ -24,70 +24,68 @@ from ..operators.scope import Scope
 
 #: Stores of keyed state that know timers.
 PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+#: What is kept of a device, in one value: each read or write of state is a call from Python to the executor.
+STATE = "pending array<struct<at: bigint, name: string>>, heard array<bigint>, names map<string, bigint>, raised bigint, timer bigint"
 EVENTS = "dev_eui string, device_name string, event string, as_of timestamp, last_seen timestamp"
 SECOND = 1_000_000
 
 
 class Silence(StatefulProcessor):
-    """Per device: pending (time, name) beyond the clock, heard (the newest times up to it), names and their last times, raised (when it was last heard, if it is in alert)."""
+    """Per device: pending (time, name) beyond the clock, heard (the newest times up to it), names and their last times, raised (when it was last heard, if it is in alert), and its timer."""
 
     def __init__(self, silent: int, inventory: int, least: int):
         self.silent, self.inventory, self.least = silent, inventory, least
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getListState("pending", "at bigint, name string")
-        self.heard = handle.getListState("heard", "at bigint")
-        self.names = handle.getMapState("names", "name string", "at bigint")
-        self.raised = handle.getValueState("raised", "last bigint")
+        self.device = handle.getValueState("device", STATE)
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        self.pending.appendList([(r["micros"], r["device_name"]) for r in rows])
-        return self._turn(key[0], timerValues.getCurrentWatermarkInMs())
+        return self._turn(key[0], timerValues.getCurrentWatermarkInMs(), [(r["micros"], r["device_name"]) for r in rows])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        return self._turn(key[0], timerValues.getCurrentWatermarkInMs())
+        return self._turn(key[0], timerValues.getCurrentWatermarkInMs(), [])
 
-    def _turn(self, device: str, clock: int) -> Iterator[Row]:
+    def _turn(self, device: str, clock: int, new: list) -> Iterator[Row]:
         now = clock * 1000 // SECOND * SECOND
         known = now - self.inventory
-        pending = [(r[0], r[1]) for r in self.pending.get()]
+        old = self.device.get() or ([], [], {}, None, None)
+        pending = [(r[0], r[1]) for r in old[0]] + new
         due, later = [p for p in pending if p[0] <= now], [p for p in pending if p[0] > now]
-        heard = [at for at in [*(r[0] for r in self.heard.get()), *(at for at, _ in due)] if at > known]
+        heard = [at for at in [*old[1], *(at for at, _ in due)] if at > known]
         heard = sorted(heard)[-self.least :]
-        names = {k[0]: v[0] for k, v in self.names.iterator()}
+        names = dict(old[2])
         for at, name in due:
             if name is not None:
                 names[name] = max(at, names.get(name, at))
         kept = {k: v for k, v in names.items() if v > known}
-        was = self.raised.get()[0] if self.raised.exists() else None
+        was = old[3]
         is_silent = len(heard) == self.least and heard[-1] < now - self.silent
 
-        self.pending.put(later) if later else self.pending.clear()
-        self.heard.put([(at,) for at in heard]) if heard else self.heard.clear()
-        for name in names.keys() - kept.keys():
-            if self.names.containsKey((name,)):
-                self.names.removeKey((name,))
-        for name, at in kept.items():
-            self.names.updateValue((name,), (at,))
-        self.raised.update((heard[-1],)) if is_silent else self.raised.clear()
-        self._wake(clock, later, heard, is_silent)
+        timer = self._wake(clock, later, heard, is_silent, old[4])
+        if later or heard or kept:
+            self.device.update((later, heard, kept, heard[-1] if is_silent else None, timer))
+        else:
+            self.device.clear()
         if (heard[-1] if is_silent else None) != was:
             event = "clear" if not is_silent else "raise" if was is None else "touch"
             last = pd.Timestamp(heard[-1], unit="us") if heard else None
             yield Row(dev_eui=device, device_name=max(kept, default=None), event=event, as_of=pd.Timestamp(now, unit="us"), last_seen=last)
 
-    def _wake(self, clock: int, later: list, heard: list[int], is_silent: bool) -> None:
-        """One timer, at the first second in which something may change."""
+    def _wake(self, clock: int, later: list, heard: list[int], is_silent: bool, old: int | None) -> int | None:
+        """One timer, at the first second in which something may change; it is set only where it isn't the old one."""
         at = [t for t, _ in later]
         if heard:
             at.append((heard[0] if len(heard) == self.least else heard[-1]) + self.inventory)  # no longer known, or forgotten
             if not is_silent:
                 at.append(heard[-1] + self.silent + 1)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if at:
-            self.handle.registerTimer(max(clock + 1, -(-min(at) // SECOND) * 1000))
+        timer = max(clock + 1, -(-min(at) // SECOND) * 1000) if at else None
+        if timer != old:
+            if old is not None:
+                self.handle.deleteTimer(old)
+            if timer is not None:
+                self.handle.registerTimer(timer)
+        return timer
 
     def close(self) -> None:
         pass
