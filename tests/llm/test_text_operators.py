@@ -178,6 +178,16 @@ def test_bpe_tables_are_bounded_in_bytes(encoding):
     assert kept and max(map(len, kept)) <= bpe.PART_CHARS
 
 
+def test_bpe_decoding_joins_leaves_of_many_tokens(codec, monkeypatch):
+    calls, joined = [], bpe.Codec._joined
+    monkeypatch.setattr(bpe.Codec, "_joined", lambda self, tokens: calls.append(1) or joined(self, tokens))
+    text = "of words and numbers 123 " * 40
+    assert codec.decode_text(codec.ids_text(text)) == text.encode()
+    assert len(calls) == 1
+    for n in (1, 63, 64, 1023, 1024, 1025, 5000):
+        assert codec.decode([i % 256 for i in range(n)]) == b"".join(codec.tokens[i % 256] for i in range(n))
+
+
 def test_bpe_columns_round_trip(docs):
     back = bpe.decode_ids(bpe.encode_texts(docs, PATH, P.PATTERN), PATH, P.PATTERN)
     assert back.filter("coalesce(text, '') <> decoded").count() == 0
@@ -662,6 +672,25 @@ def test_token_output(spark, docs, corpus, encoding, nothing, tmp_path):
     assert token_output.materialise(nothing, PATH, P.PATTERN, 50256, 32).count() == 0
 
 
+def test_token_ids_without_look_ahead(encoding):
+    encode, rng = token_output._encoder(PATH, P.PATTERN), random.Random(5)
+    for _ in range(3000):
+        text = "".join(rng.choice([" ", " ", "  ", "\n", "\t", "\x1c", "\x85", "\u3000", "a", "Bc", "'s", "'ll", "1", "!", "é"]) for _ in range(rng.randrange(10)))
+        assert encode(text) == encoding.encode_ordinary(text), text
+    used = []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(token_output, "_encoding", lambda path, pattern: used.append(pattern) or encoding)
+        token_output._encoder(PATH, P.PATTERN)("one word after\nthe other")
+        assert used and not any("(?!" in pattern for pattern in used)
+        token_output._encoder(PATH, P.PATTERN)("two  spaces")
+        assert used[-1] == P.PATTERN
+
+
+def test_token_slots_take_one_call_of_python(docs):
+    plan = token_output.materialise(docs, PATH, P.PATTERN, 50256, 32)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_shards_are_fixed_stride_files(spark, docs, tmp_path):
     got = token_output.materialise(docs, PATH, P.PATTERN, 50256, 32)
     ids = {r["slot"]: bytes(r["ids"]) for r in got.collect()}
