@@ -7,10 +7,12 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 
 from tidewatch.llm import bpe, decontaminate, licenses, pii, quality, rules, substring, token_output
+from tidewatch.llm.words import Pieces, chunks
 
 from .conftest import WORDS, prose
 
@@ -246,6 +248,26 @@ def test_substring_full_filters(docs, corpus, monkeypatch):
     assert got == brute_substring(corpus)
 
 
+def test_substring_false_hits_mark_no_window():
+    """A probe's false hit marks its own hash. Unless that is a reference block's, no window may come from it."""
+    words_ = Pieces(next(chunks(pa.array([prose(random.Random(3), 200)]))))
+    at, h = substring._rolling(words_, 7)
+    own = substring._is_reference(words_, at, 7)
+    for chosen, some in ((h[~own], False), (h[own][3:4], True)):
+        bitmap = np.zeros(substring.BITS, np.uint8)
+        bitmap[substring._bits(chosen).ravel()] = 1
+        assert (len(substring._candidates(words_, np.packbits(bitmap), 13, 7)[0]) > 0) == some
+
+
+def test_substring_filters_stay_off_the_driver(docs, monkeypatch):
+    def no(*a, **k):
+        raise AssertionError("a filter in the driver")
+
+    monkeypatch.setattr(type(docs), "toArrow", no)
+    monkeypatch.setattr(type(docs.sparkSession.sparkContext), "broadcast", no)
+    assert substring.remove_repeats(docs).count() == docs.count()
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_substring_null_and_repeated_ids(spark, seed):
     """Rows without an id, and rows of one id with different texts, each keep their own word positions."""

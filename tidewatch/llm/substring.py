@@ -7,8 +7,11 @@ BLOCK words are a reference block elsewhere.
 
 Anchors are found without moving a row for each probe: hashes of reference blocks go into a Bloom
 filter of fixed size (BITS bits, 32 MB, whatever the input), probes that hit it mark their hash in a
-second one; a place whose hash is marked is an anchor. The filters have false hits only, never
-misses. Beyond some 10^8 blocks they let more places through, and the grouping then carries up to a
+second one; a reference block whose hash is marked, by another one or by a probe, is an anchor. A
+repeated window holds a reference block of its own document, which is a reference block or a probe of
+the other one, so only reference blocks need be looked up there: a probe's false hit marks its own
+hash, but no reference block's. The filters are tables in the shared folder that workers read; they
+don't pass through the driver. They have false hits only, never misses. Beyond some 10^8 blocks they let more places through, and the grouping then carries up to a
 row for each word; results stay the same. Documents without an anchor are final after that pass and
 never move.
 
@@ -32,12 +35,15 @@ doc_id and text together, so rows of one doc_id may have different texts.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +60,8 @@ _LAST = (1 << 63) - 1
 _SLICES = BITS // SLICE
 #: Kinds of marks: reference blocks, whole sequences, probes that hit.
 _BLOCK, _SEQ, _PROBE = 0, 1, 2
+#: Files that a table of filters is stored in.
+FILES = 4
 
 
 def _bits(h: np.ndarray) -> np.ndarray:
@@ -91,9 +99,9 @@ def _mark_batch(rows: list[tuple[int, bytes, bool]]) -> pa.RecordBatch:
 _MARK = "slice int, bits binary, twice boolean"
 
 
-def _bitmaps(marks: DataFrame, wanted: dict[int, tuple[bool, bool]]) -> dict[tuple[int, int], np.ndarray]:
-    """By kind, and 0 or 1: the bits marked, and those marked at least twice, as far as wanted. Tasks stream a slice's
-    marks past two arrays of fixed size; the driver gets SLICE / 8 bytes for each slice in use and each bitmap wanted."""
+def _bitmaps(marks: DataFrame, wanted: dict[int, tuple[bool, bool]]) -> DataFrame:
+    """A table of slices: the bits marked, and those marked at least twice, by kind as far as wanted. Tasks stream a
+    slice's marks past an array of fixed size; the table has SLICE / 8 bytes for each slice in use and each bitmap wanted."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         now, seen = None, np.zeros(SLICE, np.uint8)
@@ -116,17 +124,29 @@ def _bitmaps(marks: DataFrame, wanted: dict[int, tuple[bool, bool]]) -> dict[tup
         if now is not None:
             yield done()
 
-    out: dict[tuple[int, int], np.ndarray] = {}
-    size = SLICE // 8
     rows = marks.repartition("slice").sortWithinPartitions("slice", "twice").mapInArrow(run, "slice int, once binary, twice binary")
-    for b in rows.toArrow().to_batches():  # at most a row for each slice of the filters
-        for row, number in enumerate(b.column(0).to_pylist()):
-            kind, at = divmod(number, _SLICES)
-            for k in (0, 1):
-                if wanted[kind][k]:
-                    if (kind, k) not in out:
-                        out[kind, k] = np.zeros((SEQ_BITS if kind == _SEQ else BITS) // 8, np.uint8)
-                    out[kind, k][at * size : (at + 1) * size] = np.frombuffer(b.column(k + 1)[row].as_py(), np.uint8)
+    return table(rows.repartition(FILES), "filter")
+
+
+def _source(bitmaps: DataFrame, kind: int, k: int) -> tuple[tuple[str, ...], int, int]:
+    """What _filter() needs to read a bitmap of _bitmaps(): k is 0, or 1 for the bits marked at least twice."""
+    return tuple(re.sub(r"^file:/+", "/", f) for f in bitmaps.inputFiles()), kind, k
+
+
+@lru_cache(maxsize=2)
+def _filter(*sources: tuple[tuple[str, ...], int, int]) -> np.ndarray | None:
+    """All bits of some bitmaps of one size, read by a worker and kept for its next tasks; None: there are none."""
+    out, size = None, SLICE // 8
+    for files, kind, k in sources:
+        for name in files:
+            fs, place = FileSystem.from_uri(name)
+            for b in pq.read_table(place, filesystem=fs, columns=["slice", ("once", "twice")[k]]).to_batches():
+                for s, bits in zip(b.column(0).to_pylist(), b.column(1)):
+                    if s // _SLICES == kind:
+                        if out is None:
+                            out = np.zeros((SEQ_BITS if kind == _SEQ else BITS) // 8, np.uint8)
+                        at = s % _SLICES * size
+                        out[at : at + size] |= np.frombuffer(bits.as_buffer(), np.uint8)
     return out
 
 
@@ -158,8 +178,10 @@ def _sequences(w: Pieces) -> np.ndarray:
 
 
 def _candidates(w: Pieces, shared: np.ndarray | None, window: int, block: int) -> tuple[np.ndarray, np.ndarray]:
-    """(word number, hash) of the windows that hold a marked anchor."""
+    """(word number, hash) of the windows that hold an anchor: a reference block of their document whose hash is marked."""
     at, h = _rolling(w, block)
+    own = _is_reference(w, at, block)
+    at, h = at[own], h[own]
     hit = np.zeros(len(w.hash) + 1, np.int64)
     hit[at[_has(shared, _bits(h))]] = 1
     total = np.concatenate([[0], np.cumsum(hit)])
@@ -206,7 +228,6 @@ def _digest(text: bytes) -> str:
 def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (null: nothing was removed), kept_sha256 of every row of docs (doc_id, text)."""
     block = (window + 1) // 2
-    sc = docs.sparkSession.sparkContext
     id_, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
     # key: the same only for rows of one doc_id (or none) and one text; doc_id alone doesn't tell rows apart.
     docs = docs.select(id_.alias("doc_id"), text.alias("text"), F.xxhash64(id_.isNull(), id_, text).alias("key"))
@@ -221,9 +242,7 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
                 )
 
     found = _bitmaps(docs.select("text").mapInArrow(index, _MARK), {_BLOCK: (True, True), _SEQ: (False, True)})
-    met = found.pop((_BLOCK, 1), None)
-    copied = sc.broadcast(found.pop((_SEQ, 1), None))
-    blocks = sc.broadcast(found.pop((_BLOCK, 0), None))
+    blocks, copied = _source(found, _BLOCK, 0), _source(found, _SEQ, 1)
 
     def probe(batches):
         for b in batches:
@@ -231,23 +250,19 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
                 w = Pieces(c)
                 at, h = _rolling(w, block)
                 bit = _bits(h[~_is_reference(w, at, block)])
-                yield _mark_batch(_packed(_PROBE, np.unique(bit[:, _has(blocks.value, bit)]), False))
+                yield _mark_batch(_packed(_PROBE, np.unique(bit[:, _has(_filter(blocks), bit)]), False))
 
-    hits = _bitmaps(docs.select("text").mapInArrow(probe, _MARK), {_PROBE: (True, False)}).get((_PROBE, 0))
-    blocks.destroy()
-    if hits is not None and met is not None:
-        hits |= met
-    shared = sc.broadcast(met if hits is None else hits)
-    del hits, met
+    hits = _bitmaps(docs.select("text").mapInArrow(probe, _MARK), {_PROBE: (True, False)})
+    shared = _source(found, _BLOCK, 1), _source(hits, _PROBE, 0)
 
     def split(batches):
         """Final rows of documents that can't hold a repeat; texts of the others."""
         for b in batches:
             for c in chunks(b.column("text")):
                 w = Pieces(c)
-                at, _ = _candidates(w, shared.value, window, block)
+                at, _ = _candidates(w, _filter(*shared), window, block)
                 seq = _sequences(w)
-                again = _has(copied.value, _seq_bits(seq)) & (w.per_doc > 0)
+                again = _has(_filter(copied), _seq_bits(seq)) & (w.per_doc > 0)
                 hard = again | (np.bincount(w.doc[at], minlength=c.n) > 0)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -288,7 +303,7 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
             order, key = b.column("order").to_numpy(), b.column("key").to_numpy()
             for c in chunks(b.column("text")):
                 w = Pieces(c)
-                at, g = _candidates(w, shared.value, window, block)
+                at, g = _candidates(w, _filter(*shared), window, block)
                 at, g = _first_of_each(w, at, g)
                 doc = w.doc[at]
                 yield pa.RecordBatch.from_arrays(
@@ -297,28 +312,28 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
                 )
 
     grams = table(own.select("order", "key", "text").mapInArrow(windows, "g long, order long, key long, start int"), "windows")
-    copied.destroy()
-    shared.destroy()
+    forget(found)
+    forget(hits)
     # The first document of each window comes from partial sums, and a join brings it back: Spark can split a common window's rows.
-    hits = []
+    repeats = []
     for k in range(PASSES):
         part = grams.filter(F.pmod("g", F.lit(PASSES)) == k)
         shared_by = part.groupBy("g").agg(F.min("order").alias("low"), F.max("order").alias("high")).filter("low < high").select("g", "low")
-        hits.append(table(part.join(shared_by, "g").filter("order > low").select("key", "start"), "repeats"))
+        repeats.append(table(part.join(shared_by, "g").filter("order > low").select("key", "start"), "repeats"))
     forget(grams)
-    starts = table(reduce(DataFrame.union, hits).groupBy("key").agg(F.collect_set("start").alias("starts")), "starts")
-    for part in hits:
+    starts = table(reduce(DataFrame.union, repeats).groupBy("key").agg(F.collect_set("start").alias("starts")), "starts")
+    for part in repeats:
         forget(part)
 
     def mark(batches):
         for b in batches:
             yield _mark_batch(_marks(_SEQ, _seq_bits(mix(b.column("key").to_numpy().view(_U)))))
 
-    touched = sc.broadcast(_bitmaps(starts.select("key").mapInArrow(mark, _MARK), {_SEQ: (True, False)}).get((_SEQ, 0)))
+    touched = _source(_bitmaps(starts.select("key").mapInArrow(mark, _MARK), {_SEQ: (True, False)}), _SEQ, 0)
 
     @F.pandas_udf("boolean")
     def may_change(key: pd.Series) -> pd.Series:
-        return pd.Series(_has(touched.value, _seq_bits(mix(key.to_numpy().view(_U)))))
+        return pd.Series(_has(_filter(touched), _seq_bits(mix(key.to_numpy().view(_U)))))
 
     def cut(batches):
         for b in batches:
