@@ -43,7 +43,7 @@ LONG_PIECE, CARRIED = 4096, 8
 #: Entries of a worker's tables: encodings of texts' parts, of pairs of tokens, of short strings.
 PARTS_KEPT, PAIRS_KEPT, SHORT_KEPT = 220_000, 150_000, 100_000
 #: Characters of the longest part whose encoding is kept; tokens that one leaf of the decoding tree joins.
-PART_CHARS, LEAF_TOKENS = 32, 64
+PART_CHARS, LEAF_TOKENS = 32, 1024
 #: A space before white space, where a cut could differ from the pattern's.
 _UNSAFE = re.compile(r" \s").search
 
@@ -57,14 +57,14 @@ class _Kept(dict):
         self.make, self.limit, self.older = make, limit, {}
 
     def __missing__(self, key):
-        if len(key) > PART_CHARS:  # seldom seen twice, and of any length
-            return self.make(key)
+        found = self.older.pop(key, None) if self.older else None
+        if found is None:
+            found = self.make(key)
+            if len(key) > PART_CHARS:  # seldom seen twice, and of any length
+                return found
         if len(self) >= self.limit:
             self.older = dict(self)
             self.clear()
-        found = self.older.pop(key, None)
-        if found is None:
-            found = self.make(key)
         self[key] = found
         return found
 
